@@ -57,9 +57,17 @@ FEATURES = (
     "hour",
 )
 
-# Command-line patterns and the length cap.
+# Command-line pattern, words (any letter case) and the length cap.
 BASE64_BLOB = r"[A-Za-z0-9+/]{40,}={0,2}"
-DOWNLOAD_WORDS = r"(DownloadString|DownloadFile|WebClient|Invoke-WebRequest|wget|curl\.exe|bitsadmin)"
+DOWNLOAD_WORDS = (
+    "DownloadString",
+    "DownloadFile",
+    "WebClient",
+    "Invoke-WebRequest",
+    "wget",
+    "curl.exe",
+    "bitsadmin",
+)
 COMMAND_LENGTH_CAP = 4096
 
 # Event ids of the endpoint-monitor channel -> category.

@@ -39,6 +39,16 @@ def has_any(text: Column, words: Iterable[str]) -> Column:
     return test
 
 
+def folded(text: Column) -> Column:
+    """Text for matching ASCII words in any letter case, as a Unicode-aware regex would.
+
+    Besides lower-casing, the long s and the dotted and dotless i become plain letters.
+    """
+    for special, plain in (("\u017f", "s"), ("\u0130", "i"), ("\u0131", "i")):
+        text = F.replace(text, F.lit(special), F.lit(plain))
+    return F.lower(text)
+
+
 def choose(rules: Iterable[tuple[Column, Column]], default: Column) -> Column:
     """Value of the first rule that holds."""
     chain = None

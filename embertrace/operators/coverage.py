@@ -10,28 +10,35 @@ from embertrace.functions.text import first_usable
 from embertrace.operators.interval import best_in_span, top_in_span
 
 
-def executed_steps(links: DataFrame, poll_order: Column | None = None) -> DataFrame:
-    """Executed steps, one row per link, with technique, ability, host and time.
+_STEP = ("technique_id", "ability_name", "host", "executed_at", "status")
 
-    A link seen in several polls counts once, as it was first seen executed.  Steps whose
-    time cannot be read are left out.
-    """
+
+def step_columns(links: DataFrame, *more: Column) -> DataFrame:
+    """Executed links with technique, ability, host and time; unreadable times are null."""
     technique = first_usable(
         F.col("ability.technique_id"),
         F.concat(F.lit("unknown:"), first_usable(F.col("ability.name"), F.col("id"), F.lit("?"))),
     )
-    stamp = first_usable(F.col("finish"), F.col("create"))
-    shaped = links.filter(F.col("status").isin(*fv.EXECUTED_STATUS)).select(
+    return links.filter(F.col("status").isin(*fv.EXECUTED_STATUS)).select(
         F.col("id").alias("link_id"),
         technique.alias("technique_id"),
         F.coalesce(F.col("ability.name"), F.lit("(unknown)")).alias("ability_name"),
         F.lower(first_usable(F.col("host"), F.col("paw"), F.lit("unknown"))).alias("host"),
-        F.try_to_timestamp(stamp).alias("executed_at"),
+        F.try_to_timestamp(first_usable(F.col("finish"), F.col("create"))).alias("executed_at"),
         F.col("status"),
-        (poll_order if poll_order is not None else stamp).alias("_seen"),
+        *more,
     )
-    columns = ["technique_id", "ability_name", "host", "executed_at", "status"]
-    first = F.min_by(F.struct(*columns), F.struct("_seen", "status", "executed_at"))
+
+
+def executed_steps(links: DataFrame, poll_order: Column | None = None) -> DataFrame:
+    """Executed steps, one row per link.
+
+    A link seen in several polls counts once, as it was first seen executed.  Steps whose
+    time cannot be read are left out.
+    """
+    seen = poll_order if poll_order is not None else first_usable(F.col("finish"), F.col("create"))
+    shaped = step_columns(links, seen.alias("_seen"))
+    first = F.min_by(F.struct(*_STEP), F.struct("_seen", "status", "executed_at"))
     return (
         shaped.groupBy("link_id")
         .agg(first.alias("s"))
@@ -63,10 +70,10 @@ def step_results(
     best = best_in_span(
         steps, anomalies, "link_id", window_seconds, step_at="executed_at", event_at="event_ts"
     )
-    seconds = lambda micros: F.round(
-        F.greatest(micros - F.unix_micros("executed_at"), F.lit(0)) / 1e6, 1
-    )
     found = F.col("n").isNotNull()
+    seconds = lambda micros: F.when(
+        found, F.round(F.greatest(micros - F.unix_micros("executed_at"), F.lit(0)) / 1e6, 1)
+    )
     total = F.coalesce("n", F.lit(0))
     return steps.join(best, "link_id", "left").select(
         "link_id",

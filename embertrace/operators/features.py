@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
 from embertrace.functions.scoring import rarity
-from embertrace.functions.text import lookup, non_empty, strip
+from embertrace.functions.text import folded, has_any, lookup, non_empty, strip
 from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, join_counts
 from embertrace.session import cut
 
@@ -104,7 +104,7 @@ def command_indicators(text: Column) -> dict[str, Column]:
         "has_cmd": (length > 0).cast("double"),
         "cmd_len": F.least(length, F.lit(fv.COMMAND_LENGTH_CAP)).cast("double"),
         "cmd_has_encoding": F.rlike(trimmed, F.lit(fv.BASE64_BLOB)).cast("double"),
-        "cmd_has_download": F.rlike(trimmed, F.lit("(?iu)" + fv.DOWNLOAD_WORDS)).cast("double"),
+        "cmd_has_download": has_any(folded(trimmed), [w.lower() for w in fv.DOWNLOAD_WORDS]).cast("double"),
     }
 
 

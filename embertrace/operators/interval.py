@@ -11,53 +11,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RADIX = 4
+RADIX = 8
 
 
-def block_levels(span: int) -> int:
-    """Number of block sizes needed for spans of ``span`` microseconds."""
-    levels = 1
-    while RADIX**levels <= span + 1:
-        levels += 1
-    return levels
+def block_sizes(span: int) -> list[int]:
+    """Block sizes in microseconds for spans of ``span`` microseconds."""
+    sizes = [1]
+    while sizes[-1] * RADIX <= span + 1:
+        sizes.append(sizes[-1] * RADIX)
+    return sizes
 
 
-def event_blocks(at: Column, span: int) -> Column:
-    """Every block an instant lies in, as ``array<struct<level, block>>``."""
-    return F.array(
-        *[
-            F.struct(F.lit(level).alias("level"), F.floor(at / F.lit(RADIX**level)).alias("block"))
-            if level
-            else F.struct(F.lit(0).alias("level"), at.cast("bigint").alias("block"))
-            for level in range(block_levels(span))
-        ]
-    )
+def event_blocks(at: str, span: int) -> Column:
+    """Every block the instant in column ``at`` lies in, as ``array<struct<level, block>>``."""
+    parts = [
+        f"named_struct('level', {level}, 'block', ({at} - pmod({at}, {size}L)) div {size}L)" if level
+        else f"named_struct('level', 0, 'block', {at})"
+        for level, size in enumerate(block_sizes(span))
+    ]
+    return F.expr(f"array({', '.join(parts)})")
 
 
-def span_blocks(start: Column, span: int) -> Column:
-    """The fewest blocks that cover ``[start, start + span]`` and nothing else."""
-    end = start + F.lit(span + 1)
-    levels = block_levels(span)
-    # Whole blocks inside the span, per level: [first, after).
-    first = [-F.floor(-start / F.lit(RADIX**level)) if level else start for level in range(levels)]
-    after = [F.floor(end / F.lit(RADIX**level)) if level else end for level in range(levels)]
-
-    def blocks(level: int, low: Column, high: Column) -> Column:
-        listed = F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<bigint>"))
-        return F.transform(listed, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
-
-    parts = []
-    for level in range(levels):
-        low, high = first[level].cast("bigint"), after[level].cast("bigint")
-        if level + 1 == levels:
-            parts.append(blocks(level, low, high))
-            continue
-        above_low = first[level + 1].cast("bigint")
-        above_high = after[level + 1].cast("bigint")
-        covered = above_low < above_high
-        parts.append(blocks(level, low, F.when(covered, above_low * RADIX).otherwise(high)))
-        parts.append(blocks(level, F.when(covered, above_high * RADIX).otherwise(high), high))
-    return F.concat(*parts)
+def span_blocks(start: str, span: int) -> Column:
+    """The fewest blocks that cover ``[start, start + span]`` and nothing else.
+
+    Per size, the whole blocks inside the span are ``first .. after - 1``; what the next
+    larger size covers is left to it, so only the two ends remain.
+    """
+    sizes = block_sizes(span)
+    # floor of a quotient of integers, exact for any sign
+    floor = lambda x, size: x if size == 1 else f"(({x} - pmod({x}, {size}L)) div {size}L)"
+    end = f"({start} + {span + 1}L)"
+    first = [floor(f"({start} + {size - 1}L)", size) for size in sizes]
+    after = [floor(end, size) for size in sizes]
+    listed = []
+    for level in range(len(sizes)):
+        low, high = first[level], after[level]
+        if level + 1 == len(sizes):
+            ranges = [(low, high)]
+        else:
+            covered = f"{first[level + 1]} < {after[level + 1]}"
+            ranges = [
+                (low, f"if({covered}, {first[level + 1]} * {RADIX}, {high})"),
+                (f"if({covered}, {after[level + 1]} * {RADIX}, {high})", high),
+            ]
+        listed += [
+            f"transform(if({a} < {b}, sequence({a}, {b} - 1), array()),"
+            f" b -> named_struct('level', {level}, 'block', b))"
+            for a, b in ranges
+        ]
+    return F.expr(f"concat({', '.join(listed)})")
 
 
 def best_in_span(
@@ -74,11 +77,14 @@ def best_in_span(
         F.col("score").alias("score"), (-at).alias("before"), F.col("alert_id"), F.col("percentile").alias("percentile")
     )
     summed = (
-        events.select("host", at.alias("at"), better.alias("best"), F.inline(event_blocks(at, span)))
+        events.select("host", at.alias("at"), better.alias("best"))
+        .select("host", "at", "best", F.inline(event_blocks("at", span)))
         .groupBy("host", "level", "block")
         .agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at"), F.max("best").alias("best"))
     )
-    wanted = steps.select(step_id, "host", F.inline(span_blocks(F.unix_micros(step_at), span)))
+    wanted = steps.select(step_id, "host", F.unix_micros(step_at).alias("at")).select(
+        step_id, "host", F.inline(span_blocks("at", span))
+    )
     return (
         wanted.join(summed, ["host", "level", "block"])
         .groupBy(step_id)
@@ -97,12 +103,15 @@ def top_in_span(
     at = F.unix_micros(event_at)
     order = [F.desc("score"), F.col("at"), F.col("alert_id")]
     kept = (
-        events.select("host", "score", "percentile", "alert_id", at.alias("at"), F.inline(event_blocks(at, span)))
+        events.select("host", "score", "percentile", "alert_id", at.alias("at"))
+        .select("*", F.inline(event_blocks("at", span)))
         .withColumn("_n", F.row_number().over(Window.partitionBy("host", "level", "block").orderBy(*order)))
         .filter(F.col("_n") <= k)
         .drop("_n")
     )
-    wanted = steps.select(step_id, "host", F.inline(span_blocks(F.unix_micros(step_at), span)))
+    wanted = steps.select(step_id, "host", F.unix_micros(step_at).alias("at")).select(
+        step_id, "host", F.inline(span_blocks("at", span))
+    )
     return (
         wanted.join(kept, ["host", "level", "block"])
         .withColumn("rank", F.row_number().over(Window.partitionBy(step_id).orderBy(*order)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
@@ -47,21 +47,6 @@ def categorical_codes(rows: DataFrame, columns: Sequence[str] = CODED, key: str
     return coded
 
 
-def _points(coded: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, list[Column], int]:
-    """Scaled code columns of the rows."""
-    names = [f"{c}_code" for c in columns]
-    stats = coded.agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.avg(c).alias(f"m_{c}") for c in names],
-        *[F.stddev_pop(c).alias(f"s_{c}") for c in names],
-    ).first()
-    scaled = [
-        ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(stats[f"s_{c}"] or 1.0)).alias(f"x{i}")
-        for i, c in enumerate(names)
-    ]
-    return coded, scaled, stats["n"]
-
-
 def legacy_scores(
     rows: DataFrame, method: str = "isolation_forest", *, key: str = "alert_id", seed: int = fv.SEED, k: int = 20
 ) -> DataFrame:
@@ -69,28 +54,34 @@ def legacy_scores(
 
     Rows with equal codes share a score, so the scoring runs on distinct points.
     """
-    coded = cut(categorical_codes(rows, CODED, key).select(key, *[f"{c}_code" for c in CODED]))
-    _, scaled, n = _points(coded, CODED)
+    if method not in ("isolation_forest", "lof"):
+        raise ValueError(f"unknown method {method!r}")
+    codes = [f"{c}_code" for c in CODED]
+    coded = cut(categorical_codes(rows, CODED, key).select(key, *codes))
+    stats = coded.agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.avg(c).alias(f"m_{c}") for c in codes],
+        *[F.stddev_pop(c).alias(f"s_{c}") for c in codes],
+    ).first()
+    n = stats["n"]
     if not n:
         return coded.select(key, F.lit(0.0).alias("anomaly_score"), F.lit(method).alias("model"))
-    codes = [f"{c}_code" for c in CODED]
-    points = cut(
-        coded.groupBy(*codes).agg(F.count(F.lit(1)).alias("cnt")).select(*codes, "cnt", *scaled)
-    )
+    scales = [stats[f"s_{c}"] or 1.0 for c in codes]
+    points = coded.groupBy(*codes).agg(F.count(F.lit(1)).alias("cnt"))
     if method == "lof":
-        scored = local_outlier_factor(points, codes, ["x0", "x1"], "cnt", k=k)
-        scored = scored.select(*codes, "cnt", F.col("lof").alias("anomaly_score"))
+        scored = local_outlier_factor(points, codes, scales, "cnt", k=k).withColumnRenamed("lof", "anomaly_score")
     else:
-        slots, size = fit_trees(
-            coded.select(key, *scaled), ["x0", "x1"], key, n, trees=LEGACY_TREES, seed=seed
-        )
-        raw = cut(Forest.of(slots, ["x0", "x1"], size).score(points))
+        axes = [
+            ((F.col(c) - F.lit(stats[f"m_{c}"])) / F.lit(scale)).alias(f"x{i}")
+            for i, (c, scale) in enumerate(zip(codes, scales))
+        ]
+        slots, size = fit_trees(coded.select(key, *axes), ["x0", "x1"], key, n, trees=LEGACY_TREES, seed=seed)
+        raw = cut(Forest.of(slots, ["x0", "x1"], size).score(points.select("*", *axes)))
         bounds = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).first()
-        scored = raw.select(
-            *codes, "cnt",
-            min_max_inverted(F.col("raw"), F.lit(bounds["lo"]), F.lit(bounds["hi"])).alias("anomaly_score"),
-        )
-    scored = cut(scored)
+        scored = raw.withColumn(
+            "anomaly_score", min_max_inverted(F.col("raw"), F.lit(bounds["lo"]), F.lit(bounds["hi"]))
+        )
+    scored = cut(scored.select(*codes, "cnt", "anomaly_score"))
     return join_counts(
         coded, scored, codes, "cnt", table_rows=scored.count(), total=n, spread_by=F.col(key)
     ).select(key, "anomaly_score", F.lit(method).alias("model"))

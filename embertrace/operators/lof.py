@@ -1,4 +1,4 @@
-"""Local outlier factor on distinct two-dimensional points with multiplicities.
+"""Local outlier factor on distinct points of a two-dimensional integer grid, with multiplicities.
 
 Breunig, Kriegel, Ng and Sander, "LOF: Identifying Density-Based Local Outliers", SIGMOD 2000.
 
@@ -21,34 +21,33 @@ from embertrace.session import cut
 EPSILON = 1e-10
 
 
-def _cell(axis: str, side: float):
-    return F.floor(F.col(axis) / F.lit(side))
-
-
-def _pairs(open_points: DataFrame, points: DataFrame, axes: Sequence[str], side: float, k: int) -> DataFrame:
+def _pairs(
+    open_points: DataFrame, points: DataFrame, scales: Sequence[float], side: float, k: int
+) -> DataFrame:
     """Other points within ``side`` of each open point, nearest ``k`` and ties."""
-    x, y = axes
+    cell = [F.floor(F.col(axis) / F.lit(scale * side)) for axis, scale in zip("xy", scales)]
     around = F.array(
         *[
-            F.struct((_cell(x, side) + i).alias("cx"), (_cell(y, side) + j).alias("cy"))
+            F.struct((cell[0] + i).alias("cx"), (cell[1] + j).alias("cy"))
             for i in (-1, 0, 1)
             for j in (-1, 0, 1)
         ]
     )
-    asking = open_points.select("p", F.col(x).alias("px"), F.col(y).alias("py"), F.inline(around))
+    asking = open_points.select("p", F.col("x").alias("px"), F.col("y").alias("py"), F.inline(around))
     placed = points.select(
         F.col("p").alias("q"),
-        F.col(x).alias("qx"),
-        F.col(y).alias("qy"),
+        F.col("x").alias("qx"),
+        F.col("y").alias("qy"),
         F.col("w").alias("qw"),
-        _cell(x, side).alias("cx"),
-        _cell(y, side).alias("cy"),
+        cell[0].alias("cx"),
+        cell[1].alias("cy"),
     )
-    near = F.sqrt(F.pow(F.col("px") - F.col("qx"), 2) + F.pow(F.col("py") - F.col("qy"), 2))
+    dx = (F.col("px") - F.col("qx")) / F.lit(scales[0])
+    dy = (F.col("py") - F.col("qy")) / F.lit(scales[1])
     found = (
         asking.join(placed, ["cx", "cy"])
         .filter(F.col("p") != F.col("q"))
-        .select("p", "q", "qw", near.alias("d"))
+        .select("p", "q", "qw", F.sqrt(dx * dx + dy * dy).alias("d"))
         .filter(F.col("d") <= side)
     )
     # Every neighbour weighs at least one, so k distinct ones with ties are enough.
@@ -56,10 +55,12 @@ def _pairs(open_points: DataFrame, points: DataFrame, axes: Sequence[str], side:
     return found.withColumn("_r", F.rank().over(nearest)).filter(F.col("_r") <= k).drop("_r")
 
 
-def neighbourhoods(points: DataFrame, axes: Sequence[str], k: int, start: float, reach: float) -> DataFrame:
+def neighbourhoods(
+    points: DataFrame, scales: Sequence[float], k: int, start: float, reach: float
+) -> DataFrame:
     """``p, q, qw, d, kdist``: all points no further than the k-th neighbour.
 
-    ``points``: ``p, w`` and the axes.  The ``w - 1`` other rows on the same point count as
+    ``points``: ``p, x, y, w``.  The ``w - 1`` other rows on the same point count as
     neighbours at distance 0 and are listed as a row ``q = p`` when there are any.
     """
     own = points.filter(F.col("w") > 1).select(
@@ -74,7 +75,7 @@ def neighbourhoods(points: DataFrame, axes: Sequence[str], k: int, start: float,
     while True:
         last = side >= reach
         met = cut(
-            _pairs(waiting, points, axes, side, k)
+            _pairs(waiting, points, scales, side, k)
             .unionByName(own.join(waiting.select("p"), "p", "left_semi"))
             .withColumn("_sum", F.sum("qw").over(running))
             .withColumn("kdist", F.min(F.when(F.col("_sum") >= k, F.col("d"))).over(whole))
@@ -94,28 +95,35 @@ def neighbourhoods(points: DataFrame, axes: Sequence[str], k: int, start: float,
 
 
 def local_outlier_factor(
-    points: DataFrame, ids: Sequence[str], axes: Sequence[str], weight: str, *, k: int = 20
+    points: DataFrame, axes: Sequence[str], scales: Sequence[float], weight: str, *, k: int = 20
 ) -> DataFrame:
-    """Add ``lof`` to distinct points; ``weight`` is the number of rows on a point."""
+    """Add ``lof`` to distinct points.
+
+    ``axes`` are two whole-number columns, each divided by its scale to measure distance;
+    ``weight`` is the number of rows on a point.
+    """
+    ax, ay = axes
     keyed = cut(
-        points.withColumn("p", F.struct(*ids)).withColumn("w", F.col(weight).cast("bigint"))
+        points.withColumn("p", F.struct(ax, ay))
+        .withColumn("x", F.col(ax).cast("bigint"))
+        .withColumn("y", F.col(ay).cast("bigint"))
+        .withColumn("w", F.col(weight).cast("bigint"))
     )
-    x, y = axes
     size = keyed.agg(
         F.sum("w").alias("n"),
         F.count(F.lit(1)).alias("points"),
-        (F.max(x) - F.min(x)).alias("wx"),
-        (F.max(y) - F.min(y)).alias("wy"),
-        F.count_distinct(x).alias("nx"),
-        F.count_distinct(y).alias("ny"),
+        (F.max("x") - F.min("x")).alias("wx"),
+        (F.max("y") - F.min("y")).alias("wy"),
     ).first()
     if size["points"] < 2:
-        return keyed.drop("p", "w").withColumn("lof", F.lit(1.0))
+        return keyed.drop("p", "x", "y", "w").withColumn("lof", F.lit(1.0))
     neighbours = min(k, size["n"] - 1)
-    gaps = [w / (n - 1) for w, n in ((size["wx"], size["nx"]), (size["wy"], size["ny"])) if n > 1 and w > 0]
-    start = min(gaps) * max(1.0, (neighbours + 1) / 2.0)
-    reach = (size["wx"] ** 2 + size["wy"] ** 2) ** 0.5
-    near = cut(neighbourhoods(keyed.select("p", "w", *axes), axes, neighbours, start, reach))
+    widths = [size["wx"] / scales[0], size["wy"] / scales[1]]
+    gap = min(1.0 / scale for scale, width in zip(scales, widths) if width > 0)
+    start = gap * max(1.0, (neighbours + 1) / 2.0)
+    # A hair more than the diagonal, so that the last round misses no point.
+    reach = (widths[0] ** 2 + widths[1] ** 2) ** 0.5 * (1.0 + 1e-9)
+    near = cut(neighbourhoods(keyed.select("p", "x", "y", "w"), scales, neighbours, start, reach))
 
     kdist = near.groupBy("p").agg(F.max("kdist").alias("qk")).withColumnRenamed("p", "q")
     density = cut(
@@ -134,4 +142,4 @@ def local_outlier_factor(
         .agg((F.sum(F.col("q_lrd") * F.col("qw")) / F.sum("qw")).alias("mean_lrd"))
     )
     factor = around.join(density, "p").select("p", (F.col("mean_lrd") / F.col("lrd")).alias("lof"))
-    return keyed.join(factor, "p").drop("p", "w")
+    return keyed.join(factor, "p").drop("p", "x", "y", "w")

@@ -35,9 +35,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` with the number inside ``props`` and an absolute time."""
-    return table(spark, sf_dir, "events").select(
+def from_events(events: DataFrame) -> DataFrame:
+    """``events`` (a table or a stream) with the number inside ``props`` and an absolute time."""
+    return events.select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         "user_id",
@@ -47,6 +47,10 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_events(table(spark, sf_dir, "events"))
+
+
 def _event_columns(text: Column | None = None) -> list[Column]:
     k = F.col("k")
     parent = F.when(k % 12 != 11, F.concat(F.lit("p"), (k % 12).cast("string"), F.lit(".exe")))
@@ -92,16 +96,20 @@ def rule_groups() -> Column:
     )
 
 
-def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sec_events_of(base: DataFrame) -> DataFrame:
     """Canonical events without command lines."""
-    return _base(spark, sf_dir).select(*_event_columns(), "value", "k")
+    return base.select(*_event_columns(), "value", "k")
+
+
+def sec_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sec_events_of(base_events(spark, sf_dir))
 
 
 def _document_of_event(spark: SparkSession, sf_dir: str, documents: DataFrame) -> DataFrame:
     """Events with columns of the document that serves as their command line."""
     n = table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
     return (
-        _base(spark, sf_dir)
+        base_events(spark, sf_dir)
         .withColumn("doc_id", F.col("event_id") % n)
         .join(documents, "doc_id", "left")
     )
@@ -126,7 +134,7 @@ def sec_events_with_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored_of(base: DataFrame) -> DataFrame:
     """Canonical events with an ``ml`` struct; ``value`` stands in for the model's score."""
     score = F.col("value") / (F.col("value") + 50.0)
     flagged = score >= ANOMALY_FROM
@@ -137,7 +145,7 @@ def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
             for i, name in enumerate(("proc_rarity", "parent_child_rarity", "hour"))
         ]
     )
-    return sec_events(spark, sf_dir).withColumn(
+    return sec_events_of(base).withColumn(
         "ml",
         F.struct(
             F.round(score, 6).alias("anomaly_score"),
@@ -149,6 +157,10 @@ def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored_of(base_events(spark, sf_dir))
+
+
 def label_of(quality: Column, toxic: Column) -> Column:
     """False-positive label from a document's labels."""
     return F.when(toxic == 1, F.lit("high")).when(quality == 1, F.lit("low")).otherwise(F.lit("medium"))
@@ -181,7 +193,7 @@ def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def notification_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deliveries tried for three in ten events, every second one successful."""
     return (
-        _base(spark, sf_dir)
+        base_events(spark, sf_dir)
         .filter(F.col("k") % 10 < 3)
         .select(
             F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("alert_id"),
@@ -195,7 +207,7 @@ def iso_text(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
 
 
-def exec_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def exec_links_of(base: DataFrame) -> DataFrame:
     """Purchases as steps of an operation, each reported by two polls.
 
     The step ends ``k`` seconds before the event's time; some stamps are empty or unusable,
@@ -205,8 +217,7 @@ def exec_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = iso_text(F.timestamp_micros(F.unix_micros("ts") - k.cast("bigint") * 1_000_000))
     host = F.concat(F.lit("H"), (F.col("user_id") % 20).cast("string"))
     return (
-        _base(spark, sf_dir)
-        .filter(F.col("event_type") == "purchase")
+        base.filter(F.col("event_type") == "purchase")
         .select(
             F.concat(F.lit("L"), F.col("event_id").cast("string")).alias("id"),
             (k % 5).cast("int").alias("status"),
@@ -223,3 +234,7 @@ def exec_links(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.explode(F.array(F.lit(1), F.lit(2))).alias("poll"),
         )
     )
+
+
+def exec_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exec_links_of(base_events(spark, sf_dir))

@@ -10,7 +10,8 @@ from embertrace import fixed_values as fv
 
 def new_steps(steps: DataFrame, late: str) -> DataFrame:
     """Each link once, as long as repeats come within the lateness."""
-    return steps.withWatermark("executed_at", late).dropDuplicatesWithinWatermark(["link_id"])
+    known = steps.filter(F.col("executed_at").isNotNull())
+    return known.withWatermark("executed_at", late).dropDuplicatesWithinWatermark(["link_id"])
 
 
 def detection_stream(
