@@ -42,19 +42,45 @@ _RULE_REPLY = (
 )
 
 
-def decimals(value: Column, places: int) -> Column:
-    """A number with a fixed count of decimals."""
-    return F.format_string(f"%.{places}f", value.cast("double"))
+def decimals(value: Column, places: int, plus: bool = False) -> Column:
+    """A number with a fixed count of decimals, rounded by its exact binary value.
+
+    69.85 is stored a little below that and so shows as 69.8; only true halves go to the
+    even neighbour.  The doubled product is taken without error (its rounding error is
+    recovered by splitting the factor), so halves are recognised exactly.
+    """
+    size = F.abs(value.cast("double"))
+    factor = float(2 * 10**places)
+    spread = size * 134217729.0
+    high = spread - (spread - size)
+    low = size - high
+    product = size * factor
+    error = (high * factor - product) + low * factor
+    doubled = F.floor(product)
+    up, down = F.floor((doubled + 1) / 2), F.floor(doubled / 2)
+    at_half = (doubled % 2 == 1) & (product == doubled)
+    whole = (
+        F.when(~at_half | (error > 0), up)
+        .when(error < 0, down)
+        .otherwise(F.when(up % 2 == 0, up).otherwise(down))
+    ).cast("bigint")
+    scale = 10**places
+    sign = F.when(value < 0, F.lit("-")).otherwise(F.lit("+" if plus else ""))
+    return F.concat(
+        sign,
+        F.floor(whole / scale).cast("string"),
+        F.lit("."),
+        F.lpad((whole % scale).cast("string"), places, "0"),
+    )
 
 
 def feature_text(top_features: Column) -> Column:
     """Top features as ``name (z=+1.23, above baseline); …``; a text when there are none."""
-    one = lambda f: F.format_string(
-        "%s (z=%+.2f, %s baseline)",
-        f["feature"],
-        F.coalesce(f["z_score"], F.lit(0.0)),
-        F.when(f["z_score"] > 0, F.lit("above")).otherwise(F.lit("below")),
-    )
+    def one(f: Column) -> Column:
+        z = F.coalesce(f["z_score"], F.lit(0.0))
+        side = F.when(z > 0, F.lit("above")).otherwise(F.lit("below"))
+        return F.concat(f["feature"], F.lit(" (z="), decimals(z, 2, plus=True), F.lit(", "), side, F.lit(" baseline)"))
+
     listed = F.array_join(F.transform(F.slice(top_features, 1, 3), one), "; ")
     return F.when(F.coalesce(F.size(top_features), F.lit(0)) > 0, listed).otherwise(F.lit(NO_FEATURES))
 

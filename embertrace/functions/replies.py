@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
-from embertrace.functions.text import strip
+from embertrace.functions.text import one_json_value, strip
 
 _FIELDS = "struct<" + ", ".join(
     f"{key}: {'array<string>' if key == 'investigation_steps' else 'string'}" for key in fv.REPLY_KEYS_FULL
@@ -26,7 +26,7 @@ def parsed_reply(reply: Column, rule_backed: Column) -> Column:
     five steps are kept, at least one is required.
     """
     text = json_object(reply)
-    keys = F.json_object_keys(F.when(F.try_parse_json(text).isNotNull(), text))
+    keys = F.json_object_keys(F.when(one_json_value(text), text))
     has = lambda needed: F.size(F.array_except(F.array(*[F.lit(k) for k in needed]), keys)) == 0
     complete = F.when(rule_backed, has(fv.REPLY_KEYS_RULE)).otherwise(has(fv.REPLY_KEYS_FULL))
     fields = F.from_json(text, _FIELDS, _JSON)

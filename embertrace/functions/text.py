@@ -111,6 +111,11 @@ def group_tactic(groups: Column) -> Column:
     )
 
 
+def one_json_value(text: Column) -> Column:
+    """True when a text is exactly one JSON value, with nothing after it."""
+    return F.coalesce(F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False))
+
+
 def string_or_list(value: Column) -> Column:
     """A JSON text holding one string or a list of strings, as ``array<string>``.
 

@@ -13,6 +13,7 @@ from embertrace.functions.text import (
     first_usable,
     group_category,
     non_empty,
+    one_json_value,
     string_or_list,
     strip,
 )
@@ -24,7 +25,7 @@ def _parsed(lines: DataFrame, text: str, schema: str) -> DataFrame:
     """Keep the lines that hold one JSON object, parsed into ``r``."""
     is_object = F.startswith(strip(F.col(text)), F.lit("{"))
     return (
-        lines.filter(is_object)
+        lines.filter(is_object & one_json_value(F.col(text)))
         .withColumn("r", F.from_json(F.col(text), schema, _JSON))
         .filter(F.col("r").isNotNull() & F.col("r._malformed").isNull())
     )
@@ -147,7 +148,9 @@ def log_lines(lines: DataFrame, ingested_at: Column) -> DataFrame:
     schema = "timestamp string, source_ip string, event_type string, raw string, anomaly_score string, _malformed string"
     parsed = trimmed.withColumn(
         "r",
-        F.when(F.startswith("line", F.lit("{")), F.from_json("line", schema, _JSON)),
+        F.when(
+            F.startswith("line", F.lit("{")) & one_json_value(F.col("line")), F.from_json("line", schema, _JSON)
+        ),
     ).withColumn("is_json", F.col("r").isNotNull() & F.col("r._malformed").isNull())
     stamp = F.col("r.timestamp")
     # A stamp that is there but cannot be read stays null; a missing one gets the ingest time.

@@ -360,8 +360,8 @@ def tactic_counts(spark, sf_dir):
 @query
 def prompt_facts(spark, sf_dir):
     """The event lines of the full prompt, for every event, with the whole command text."""
-    rows = t.sec_events_with_text(spark, sf_dir).withColumn("score", F.round(F.col("value") / 1000.0, 4))
-    percentile = F.when(F.col("k") % 9 != 0, F.round(F.col("value"), 1))
+    rows = t.sec_events_with_text(spark, sf_dir).withColumn("score", F.col("value") / 1000.0)
+    percentile = F.when(F.col("k") % 9 != 0, F.col("value"))
     shaped = rows.withColumn(
         "ml",
         F.struct(
@@ -399,7 +399,7 @@ def _replies(spark, sf_dir) -> DataFrame:
         "attack_technique": F.concat(F.lit("T1"), F.lpad((n % 500).cast("string"), 3, "0")),
         "attack_tactic": F.col("role"),
         "description": F.col("text"),
-        "fp_assessment": F.element_at(
+        "fp_assessment": F.try_element_at(
             F.array(*[F.lit(x) for x in ("low", " Medium ", "HIGH", "unsure")]), (n % 4 + 1).cast("int")
         ),
         "fp_reasoning": F.when(n % 6 != 0, F.lit("seen before")),
@@ -462,7 +462,7 @@ def _log_lines(spark, sf_dir) -> DataFrame:
                     F.when(k % 10 == 0, t.iso_text(F.col("ts"))).alias("timestamp"),
                     address.alias("source_ip"),
                     F.col("event_type").alias("event_type"),
-                    (F.col("value") / 200.0).alias("anomaly_score"),
+                    (k / 100.0).alias("anomaly_score"),
                 )
             ),
         )
@@ -529,7 +529,7 @@ def _windows_lines(spark, sf_dir) -> DataFrame:
         .when(k % 8 == 2, F.lit("4104"))
         .when(k % 8 == 3, F.lit("x9"))
         .alias("EventID"),
-        F.element_at(
+        F.try_element_at(
             F.array(F.lit(t.CHANNELS[0]), F.lit("Security"), F.lit(t.CHANNELS[2]), F.lit("WMI-Log")), k % 4 + 1
         ).alias("Channel"),
         F.when(k % 5 != 0, image).otherwise(F.lit("")).alias("Image"),
@@ -555,7 +555,7 @@ def _windows_lines(spark, sf_dir) -> DataFrame:
     )
 
 
-def _flat_events(events: DataFrame) -> DataFrame:
+def _flat_events(events: DataFrame, *more: Column) -> DataFrame:
     return events.select(
         "alert_id",
         ts_text(F.col("ts")).alias("ts"),
@@ -566,20 +566,20 @@ def _flat_events(events: DataFrame) -> DataFrame:
         F.col("event.category").alias("category"),
         F.col("event.id").alias("event_id"),
         "source_dataset",
+        *more,
     )
 
 
 @query
 def normalise_events(spark, sf_dir):
     events = normalise.windows_events(_windows_lines(spark, sf_dir))
-    more = events.select(
-        "alert_id",
+    return _flat_events(
+        events,
         F.col("process.command_line").alias("command_line"),
         F.col("event.channel").alias("channel"),
         F.array_join("tags", ",").alias("tags"),
         F.col("_bad_reason").isNotNull().alias("is_bad"),
     )
-    return _flat_events(events).join(more, "alert_id")
 
 
 def _alert_lines_of(base: DataFrame) -> DataFrame:
@@ -630,15 +630,14 @@ def _alert_lines(spark, sf_dir) -> DataFrame:
 
 
 def _flat_alerts(rows: DataFrame) -> DataFrame:
-    more = rows.select(
-        "alert_id",
+    return _flat_events(
+        rows,
         F.col("event.mitre.technique").alias("technique"),
         F.col("wazuh.rule.description").alias("description"),
         F.col("wazuh.rule.level").alias("level"),
         F.array_join("wazuh.rule.groups", ",").alias("groups"),
         F.col("wazuh.agent.name").alias("agent_name"),
     )
-    return _flat_events(rows).join(more, "alert_id")
 
 
 @query
@@ -774,7 +773,7 @@ def _tactic() -> Column:
     number = F.regexp_extract("technique_id", r"^T1(\d+)$", 1).try_cast("int")
     names = [tactic for _, tactic in fv.RULE_GROUP_TACTIC]
     return F.coalesce(
-        F.element_at(F.array(*[F.lit(n) for n in names]), number % len(names) + 1), F.lit(fv.TACTIC_DEFAULT)
+        F.try_element_at(F.array(*[F.lit(n) for n in names]), number % len(names) + 1), F.lit(fv.TACTIC_DEFAULT)
     )
 
 
@@ -865,7 +864,7 @@ def categorical_codes(spark, sf_dir):
 def lof_scores(spark, sf_dir):
     rows = legacy.legacy_scores(_legacy_rows(spark, sf_dir), "lof")
     # Coinciding points make factors of very different size, so the logarithm is compared.
-    return rows.select("alert_id", F.round(F.log("anomaly_score"), 6).alias("log_factor"))
+    return rows.select("alert_id", (F.round(F.log("anomaly_score"), 6) + 0.0).alias("log_factor"))
 
 
 @query

@@ -340,8 +340,8 @@ WITH {BASE} SELECT CASE k % 4 WHEN 0 THEN 'Lateral Movement' WHEN 1 THEN 'Execut
 
 ORACLE["prompt_facts"] = f"""
 WITH {BASE}
-SELECT alert_id, 'anomaly_score: ' || printf('%.4f', round(value / 1000, 4)) || '  (' ||
-  CASE WHEN k % 9 <> 0 THEN printf('%.1f', round(value, 1)) || 'th percentile' ELSE 'percentile unavailable' END || ')' ||
+SELECT alert_id, 'anomaly_score: ' || printf('%.4f', value / 1000) || '  (' ||
+  CASE WHEN k % 9 <> 0 THEN printf('%.1f', value) || 'th percentile' ELSE 'percentile unavailable' END || ')' ||
   chr(10) || 'event.category: ' || cat || chr(10) || 'event.channel: ' || channel ||
   chr(10) || 'process.name: ' || proc || chr(10) || 'process.parent.name: ' || coalesce(parent, 'unknown') ||
   chr(10) || 'process.command_line: ' || CASE WHEN text IS NULL OR text = '' THEN '(not recorded)' ELSE text END ||
@@ -353,7 +353,7 @@ FROM sec LEFT JOIN documents ON doc_id = sec.event_id % (SELECT count(*) FROM do
 
 ORACLE["prompt_text"] = f"""
 WITH {SCORED}, p AS (
-  SELECT *, k % 3 = 0 AS backed, value / 100 AS x FROM alerts)
+  SELECT *, k % 3 = 0 AS backed, k / 8.0::DOUBLE AS x FROM alerts)
 SELECT alert_id, CASE WHEN backed THEN 'A' ELSE 'B' END AS enrichment_path, true AS names_rarity,
   NOT backed AS asks_technique, true AS asks_steps,
   CASE WHEN pct IS NOT NULL THEN printf('%.1f', pct) || 'th percentile'
@@ -405,7 +405,7 @@ logs AS (
       WHEN 2 THEN '{{broken ' || user_id || ' 1.2.3.4' WHEN 4 THEN 'plain ' || event_type
       ELSE '{{' || CASE WHEN k % 10 = 0 THEN '"timestamp":"' || {_ISO} || '",' ELSE '' END ||
         '"source_ip":"' || address || '","event_type":"' || event_type || '","anomaly_score":' END AS raw_head,
-    k % 5 = 0 AS is_json, CASE WHEN k % 5 = 0 THEN value / 200 END AS anomaly_score, k
+    k % 5 = 0 AS is_json, CASE WHEN k % 5 = 0 THEN k / 100.0::DOUBLE END AS anomaly_score, k
   FROM shaped
 )"""
 
@@ -682,4 +682,4 @@ lrd AS (
 lof AS (
   SELECT n.a, n.b, sum(l.lrd * n.w) / sum(n.w) / any_value(o.lrd) AS lof
   FROM near n JOIN lrd l ON l.a = n.qa AND l.b = n.qb JOIN lrd o ON o.a = n.a AND o.b = n.b GROUP BY 1, 2)
-SELECT alert_id, round(ln(lof), 6) AS log_factor FROM coded JOIN lof ON a = event_type_code AND b = source_ip_code"""
+SELECT alert_id, round(ln(lof), 6) + 0.0::DOUBLE AS log_factor FROM coded JOIN lof ON a = event_type_code AND b = source_ip_code"""

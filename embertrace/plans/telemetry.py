@@ -54,7 +54,7 @@ def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_columns(text: Column | None = None) -> list[Column]:
     k = F.col("k")
     parent = F.when(k % 12 != 11, F.concat(F.lit("p"), (k % 12).cast("string"), F.lit(".exe")))
-    channel = F.element_at(F.array(*[F.lit(c) for c in CHANNELS]), k % len(CHANNELS) + 1)
+    channel = F.try_element_at(F.array(*[F.lit(c) for c in CHANNELS]), k % len(CHANNELS) + 1)
     return [
         F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("alert_id"),
         "ts",
@@ -138,7 +138,7 @@ def scored_of(base: DataFrame) -> DataFrame:
     """Canonical events with an ``ml`` struct; ``value`` stands in for the model's score."""
     score = F.col("value") / (F.col("value") + 50.0)
     flagged = score >= ANOMALY_FROM
-    z = lambda i: F.round(F.col("value") / 100.0 - F.lit(float(i)), 3)
+    z = lambda i: F.col("k") / 8.0 - F.lit(float(i))
     features = F.array(
         *[
             F.struct(F.lit(name).alias("feature"), z(i).alias("z_score"))
