@@ -59,6 +59,7 @@ FEATURES = (
 
 # Command-line pattern, words (any letter case) and the length cap.
 BASE64_BLOB = r"[A-Za-z0-9+/]{40,}={0,2}"
+BASE64_SHORTEST = 40
 DOWNLOAD_WORDS = (
     "DownloadString",
     "DownloadFile",

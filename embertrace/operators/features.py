@@ -96,16 +96,32 @@ class Frequencies:
         )
 
 
-def command_indicators(text: Column) -> dict[str, Column]:
-    """Presence, capped length and pattern flags of a command line."""
-    trimmed = strip(F.coalesce(text, F.lit("")))
-    length = F.length(trimmed)
-    return {
-        "has_cmd": (length > 0).cast("double"),
-        "cmd_len": F.least(length, F.lit(fv.COMMAND_LENGTH_CAP)).cast("double"),
-        "cmd_has_encoding": F.rlike(trimmed, F.lit(fv.BASE64_BLOB)).cast("double"),
-        "cmd_has_download": has_any(folded(trimmed), [w.lower() for w in fv.DOWNLOAD_WORDS]).cast("double"),
-    }
+COMMAND_FEATURES = ("has_cmd", "cmd_len", "cmd_has_encoding", "cmd_has_download")
+
+
+def command_indicators(text: Column) -> Column:
+    """Presence, capped length and pattern flags of a command line, as one struct.
+
+    The trimmed and the folded text are bound once each, not once per use.
+    """
+
+    def indicators(trimmed: Column) -> Column:
+        length = F.length(trimmed)
+        words = [w.lower() for w in fv.DOWNLOAD_WORDS]
+        download = F.exists(F.array(folded(trimmed)), lambda plain: has_any(plain, words))
+        # A blob holds no space, so only words of at least its shortest length are searched.
+        blob = F.exists(
+            F.split(trimmed, " "),
+            lambda word: (F.octet_length(word) >= fv.BASE64_SHORTEST) & F.rlike(word, F.lit(fv.BASE64_BLOB)),
+        )
+        return F.struct(
+            (length > 0).cast("double").alias("has_cmd"),
+            F.least(length, F.lit(fv.COMMAND_LENGTH_CAP)).cast("double").alias("cmd_len"),
+            blob.cast("double").alias("cmd_has_encoding"),
+            download.cast("double").alias("cmd_has_download"),
+        )
+
+    return F.get(F.transform(F.array(strip(F.coalesce(text, F.lit("")))), indicators), F.lit(0))
 
 
 def event_scalars(events: DataFrame) -> DataFrame:
@@ -114,17 +130,15 @@ def event_scalars(events: DataFrame) -> DataFrame:
     The command text ends here; what follows moves only short columns.  Events may carry
     a struct ``command_indicators`` instead, made where the text is not yet multiplied.
     """
-    if "command_indicators" in events.columns:
-        commands = {name: F.col(f"command_indicators.{name}") for name in command_indicators(F.lit(""))}
-    else:
-        commands = command_indicators(F.col("process.command_line"))
+    if "command_indicators" not in events.columns:
+        events = events.withColumn("command_indicators", command_indicators(F.col("process.command_line")))
     return events.select(
         "alert_id",
         *[expr.alias(name) for name, expr in event_keys().items()],
         lookup(F.col("event.category"), fv.CATEGORY_RANK, 0).cast("double").alias("event_category_rank"),
         lookup(F.col("event.channel"), fv.CHANNEL_RANK, 0).cast("double").alias("channel_rank"),
         F.coalesce(strip(F.col("event.id")).try_cast("bigint"), F.lit(0)).cast("double").alias("event_id"),
-        *[F.coalesce(expr, F.lit(0.0)).alias(name) for name, expr in commands.items()],
+        *[F.coalesce(f"command_indicators.{name}", F.lit(0.0)).alias(name) for name in COMMAND_FEATURES],
         F.coalesce(F.hour("ts"), F.lit(0)).cast("double").alias("hour"),
     )
 

@@ -13,22 +13,23 @@ from embertrace.functions.text import (
     first_usable,
     group_category,
     non_empty,
-    one_json_value,
     string_or_list,
     strip,
 )
 
-_JSON = {"allowSingleQuotes": "false", "columnNameOfCorruptRecord": "_malformed"}
+_JSON = {"allowSingleQuotes": "false"}
 
 
-def _parsed(lines: DataFrame, text: str, schema: str) -> DataFrame:
-    """Keep the lines that hold one JSON object, parsed into ``r``."""
-    is_object = F.startswith(strip(F.col(text)), F.lit("{"))
-    return (
-        lines.filter(is_object & one_json_value(F.col(text)))
-        .withColumn("r", F.from_json(F.col(text), schema, _JSON))
-        .filter(F.col("r").isNotNull() & F.col("r._malformed").isNull())
-    )
+def parse_objects(lines: DataFrame, text: Column, schema: str) -> DataFrame:
+    """Add ``r``: the fields of a line that is exactly one JSON object, null otherwise.
+
+    The line is read as the only element of a list, so text after the object makes it
+    malformed.  The generator keeps the parse in one place: filters on its result are not
+    pushed below it, which would parse every line twice.
+    """
+    listed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), f"array<struct<{schema}>>", _JSON)
+    parsed = lines.select("*", F.explode(F.array(listed)).alias("_objects"))
+    return parsed.withColumn("r", F.when(F.size("_objects") == 1, F.get("_objects", F.lit(0)))).drop("_objects")
 
 
 def windows_events(lines: DataFrame) -> DataFrame:
@@ -41,7 +42,11 @@ def windows_events(lines: DataFrame) -> DataFrame:
     code = F.coalesce(strip(r("EventID")), F.lit("0")).try_cast("bigint")
     channel = F.coalesce(r("Channel"), F.lit(""))
     picked = first_usable(r("AccountName"), r("SubjectUserName"), r("TargetUserName"), r("User"))
-    parsed = _parsed(lines, "line", schemas.RAW_WINDOWS_EVENT).withColumn("code", F.coalesce(code, F.lit(0)))
+    parsed = (
+        parse_objects(lines, F.col("line"), schemas.RAW_WINDOWS_EVENT)
+        .filter(F.col("r").isNotNull())
+        .withColumn("code", F.coalesce(code, F.lit(0)))
+    )
     ts = F.try_to_timestamp(first_usable(r("@timestamp"), r("EventTime")))
     return parsed.select(
         F.sha2(F.concat_ws("|", "source_dataset", "member", F.col("line_no").cast("string")), 256).alias("alert_id"),
@@ -83,7 +88,8 @@ def endpoint_alerts(lines: DataFrame, id_column: str | None = None) -> DataFrame
     ``id_column`` when the upstream store gives one, otherwise hashed from the text.
     """
     identity = F.col(id_column) if id_column else F.sha2(F.col("line"), 256)
-    parsed = _parsed(lines, "line", schemas.RAW_ENDPOINT_ALERT).select(
+    objects = parse_objects(lines, F.col("line"), schemas.RAW_ENDPOINT_ALERT)
+    parsed = objects.filter(F.col("r").isNotNull()).select(
         identity.alias("alert_id"),
         "r",
         _agent_or(F.col("r.agent"), F.col("r.wazuh.agent"), "id", "name").alias("agent"),
@@ -145,13 +151,10 @@ def log_lines(lines: DataFrame, ingested_at: Column) -> DataFrame:
     """
     line = strip(F.col("line"))
     trimmed = lines.withColumn("line", line).filter(F.col("line") != "")
-    schema = "timestamp string, source_ip string, event_type string, raw string, anomaly_score string, _malformed string"
-    parsed = trimmed.withColumn(
-        "r",
-        F.when(
-            F.startswith("line", F.lit("{")) & one_json_value(F.col("line")), F.from_json("line", schema, _JSON)
-        ),
-    ).withColumn("is_json", F.col("r").isNotNull() & F.col("r._malformed").isNull())
+    schema = "timestamp: string, source_ip: string, event_type: string, raw: string, anomaly_score: string"
+    # Text that does not start like an object is not worth a parse.
+    candidate = F.when(F.startswith("line", F.lit("{")), F.col("line"))
+    parsed = parse_objects(trimmed, candidate, schema).withColumn("is_json", F.col("r").isNotNull())
     stamp = F.col("r.timestamp")
     # A stamp that is there but cannot be read stays null; a missing one gets the ingest time.
     read = F.when(stamp.isNull(), ingested_at).otherwise(F.try_to_timestamp(stamp))

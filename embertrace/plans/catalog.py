@@ -112,8 +112,8 @@ def windows_categories(spark, sf_dir):
 
 @query
 def cmd_indicators(spark, sf_dir):
-    indicators = features.command_indicators(F.col("text"))
-    return t.table(spark, sf_dir, "documents").select("doc_id", *[e.alias(n) for n, e in indicators.items()])
+    documents = t.table(spark, sf_dir, "documents")
+    return documents.select("doc_id", features.command_indicators(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
 # --- scaling and ranking ------------------------------------------------------------

@@ -127,7 +127,7 @@ def sec_events_with_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     The text is searched once per document, before one document meets many events, and
     only four numbers per document are moved.
     """
-    indicators = F.struct(*[expr.alias(name) for name, expr in command_indicators(F.col("text")).items()])
+    indicators = command_indicators(F.col("text"))
     documents = table(spark, sf_dir, "documents").select("doc_id", indicators.alias("command_indicators"))
     return _document_of_event(spark, sf_dir, documents).select(
         *_event_columns(), "value", "k", "command_indicators"

@@ -47,11 +47,11 @@ LOG_EVENT = """
 
 # Raw Windows event: every scalar is read as text, so a type clash cannot null a row.
 RAW_WINDOWS_EVENT = """
-    EventID string, Channel string, Image string, SourceImage string, NewProcessName string,
-    ProcessName string, ParentImage string, ParentProcessName string, CommandLine string,
-    ParentCommandLine string, ScriptBlockText string, AccountName string, SubjectUserName string,
-    TargetUserName string, User string, `@timestamp` string, EventTime string, Hostname string,
-    host string, tags string, _malformed string
+    EventID: string, Channel: string, Image: string, SourceImage: string, NewProcessName: string,
+    ProcessName: string, ParentImage: string, ParentProcessName: string, CommandLine: string,
+    ParentCommandLine: string, ScriptBlockText: string, AccountName: string, SubjectUserName: string,
+    TargetUserName: string, User: string, `@timestamp`: string, EventTime: string, Hostname: string,
+    host: string, tags: string
 """
 
 _AGENT = "struct<id: string, name: string>"
@@ -62,9 +62,9 @@ _RULE = (
 
 # Raw endpoint alert; fields that may be a string or a list are read as text.
 RAW_ENDPOINT_ALERT = f"""
-    `@timestamp` string, timestamp string, hostname string,
-    agent {_AGENT}, rule {_RULE},
-    wazuh struct<agent: {_AGENT}, rule: {_RULE}>,
-    data struct<win: struct<eventdata: map<string, string>>>,
-    syscheck struct<uname_after: string>, _malformed string
+    `@timestamp`: string, timestamp: string, hostname: string,
+    agent: {_AGENT}, rule: {_RULE},
+    wazuh: struct<agent: {_AGENT}, rule: {_RULE}>,
+    data: struct<win: struct<eventdata: map<string, string>>>,
+    syscheck: struct<uname_after: string>
 """
