@@ -51,7 +51,7 @@ def alert_lines(spark: SparkSession, since: datetime | None, *paths: str) -> Dat
     if since is None:
         return lines
     stamp = F.coalesce(
-        F.nullif(F.get_json_object("line", "$.['@timestamp']"), F.lit("")), F.get_json_object("line", "$.timestamp")
+        F.nullif(F.get_json_object("line", "$['@timestamp']"), F.lit("")), F.get_json_object("line", "$.timestamp")
     )
     return lines.filter(F.try_to_timestamp(stamp) > F.lit(since))
 
