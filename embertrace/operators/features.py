@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from embertrace import fixed_values as fv
 from embertrace.functions.scoring import rarity
 from embertrace.functions.text import folded, has_any, lookup, non_empty, strip
-from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, join_counts
+from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, TableSize, join_counts, row_bytes
 from embertrace.session import cut
 
 # kind of frequency table -> key columns
@@ -70,17 +70,21 @@ class Frequencies:
     """Computed frequency tables with the sizes that decide how to join them."""
 
     table: DataFrame
-    rows: dict[str, int]
+    sizes: dict[str, TableSize]
     total: int
 
     @classmethod
     def of(cls, table: DataFrame) -> "Frequencies":
         """Take over a computed ``kind, key1, key2, n`` table."""
-        sizes = table.groupBy("kind").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()
+        measured = (
+            table.groupBy("kind")
+            .agg(F.count(F.lit(1)).alias("rows"), F.sum(row_bytes(table)).alias("bytes"), F.sum("n").alias("n"))
+            .collect()
+        )
         return cls(
             table,
-            {r["kind"]: r["rows"] for r in sizes},
-            next((r["n"] for r in sizes if r["kind"] == "total"), 0),
+            {r["kind"]: TableSize(r["rows"], r["bytes"]) for r in measured},
+            next((r["n"] for r in measured if r["kind"] == "total"), 0),
         )
 
     @classmethod
@@ -171,7 +175,7 @@ def feature_matrix(
             corpus.lookup(kind),
             list(keys),
             f"n_{kind}",
-            table_rows=corpus.rows.get(kind, 0),
+            size=corpus.sizes.get(kind, TableSize(0, 0)),
             total=corpus.total,
             spread_by=F.col("alert_id"),
             broadcast_rows=broadcast_rows,

@@ -13,7 +13,7 @@ from embertrace.functions.scoring import min_max_inverted
 from embertrace.operators.iforest import Forest, fit_trees
 from embertrace.operators.lof import local_outlier_factor
 from embertrace.operators.ranking import cumulative
-from embertrace.operators.skew import join_counts
+from embertrace.operators.skew import join_counts, table_size
 from embertrace.session import cut
 
 CODED = ("event_type", "source_ip")
@@ -38,10 +38,10 @@ def categorical_codes(rows: DataFrame, columns: Sequence[str] = CODED, key: str
     coded = rows
     for column in columns:
         codes = cut(value_codes(rows, column))
-        size = codes.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()
+        total = codes.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
         coded = join_counts(
             coded, codes.select(column, F.col("code").alias(f"{column}_code"), F.col("cnt").alias("_cnt")),
-            [column], "_cnt", table_rows=size["rows"], total=size["n"], spread_by=F.col(key),
+            [column], "_cnt", size=table_size(codes), total=total, spread_by=F.col(key),
         ).drop("_cnt")
         coded = coded.withColumn(f"{column}_code", F.coalesce(f"{column}_code", F.lit(-1)))
     return coded
@@ -83,5 +83,5 @@ def legacy_scores(
         )
     scored = cut(scored.select(*codes, "cnt", "anomaly_score"))
     return join_counts(
-        coded, scored, codes, "cnt", table_rows=scored.count(), total=n, spread_by=F.col(key)
+        coded, scored, codes, "cnt", size=table_size(scored), total=n, spread_by=F.col(key)
     ).select(key, "anomaly_score", F.lit(method).alias("model"))

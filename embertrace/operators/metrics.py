@@ -49,5 +49,5 @@ def top_mean(rows: DataFrame, key: str, value: str, above: float, limit: int = 2
 
 
 def cursor(rows: DataFrame, ts: str = "ts") -> DataFrame:
-    """The newest time of a batch: where the next one starts."""
-    return rows.agg(F.max(ts).alias("last_seen"))
+    """The newest time of a batch, where the next one starts, and its rows."""
+    return rows.agg(F.max(ts).alias("last_seen"), F.count(F.lit(1)).alias("events"))

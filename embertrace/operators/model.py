@@ -15,7 +15,7 @@ from embertrace.operators.features import Frequencies
 from embertrace.operators.iforest import Forest, fit_trees, one_row
 from embertrace.operators.ranking import quantile_columns, value_ranks
 from embertrace.operators.scaling import Scaler, scaler_stats, top_features
-from embertrace.operators.skew import join_counts
+from embertrace.operators.skew import TableSize, join_counts, table_size
 from embertrace.session import cut
 
 # The training percentiles are kept at this many evenly spaced steps.
@@ -91,7 +91,7 @@ class RankedScores:
 
     rows: DataFrame
     ranks: DataFrame
-    distinct: int
+    size: TableSize
     n: int
     lo: float
     hi: float
@@ -104,13 +104,12 @@ def rank_scores(scored: DataFrame, **options) -> RankedScores:
     """
     rows = cut(scored)
     ranks = cut(value_ranks(rows, "raw", **options))
-    size = ranks.agg(
-        F.count(F.lit(1)).alias("rows"),
+    bounds = ranks.agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
         F.min("raw").alias("lo"),
         F.max("raw").alias("hi"),
     ).first()
-    return RankedScores(rows, ranks, size["rows"], size["n"], size["lo"], size["hi"])
+    return RankedScores(rows, ranks, table_size(ranks), bounds["n"], bounds["lo"], bounds["hi"])
 
 
 def fit(
@@ -177,7 +176,7 @@ def batch_scores(model: Model, ranked: RankedScores, **options) -> DataFrame:
         ranks,
         ["raw"],
         "cnt",
-        table_rows=ranked.distinct,
+        size=ranked.size,
         total=ranked.n,
         spread_by=F.col("alert_id"),
         **options,

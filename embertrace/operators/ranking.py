@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, join_counts
+from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, join_counts, table_size
 from embertrace.session import cut
 
 # Up to this many distinct values are ordered in one task.
@@ -55,7 +55,7 @@ def cumulative(
     ranges = Window.partitionBy(*whole).orderBy("_range")
     before = ranges.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy(*whole)
-    # One row per range and group: as many as there are shuffle partitions, times groups.
+    # A row per range and group in it: at most ranges plus groups.
     offsets = per_range.select(
         *keys,
         "_range",
@@ -65,7 +65,8 @@ def cumulative(
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value)
     inside_before = inside.rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.join(F.broadcast(offsets), [*keys, "_range"]).select(
+    # The join and the window below need the same placement by group and range.
+    return ranged.join(offsets, [*keys, "_range"]).select(
         *[F.col(c) for c in small.columns],
         *[
             (F.col(f"_{m}_before") + F.coalesce(F.sum(m).over(inside_before), F.lit(0))).alias(f"{m}_below")
@@ -104,14 +105,14 @@ def percentile_rank(
             average_percentile(F.col("cnt_below"), F.col("cnt"), F.col("cnt_total")).alias("percentile"),
         )
     )
-    size = ranks.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()
+    total = ranks.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("n")).first()["n"]
     joined = join_counts(
         df,
         ranks,
         [value],
         "cnt",
-        table_rows=size["rows"],
-        total=size["n"],
+        size=table_size(ranks),
+        total=total,
         spread_by=spread_by,
         broadcast_rows=broadcast_rows,
         heavy_keys=heavy_keys,

@@ -156,12 +156,9 @@ def top3_features(spark, sf_dir):
 @query
 def minmax_score(spark, sf_dir):
     events = t.table(spark, sf_dir, "events")
-    bounds = events.agg(F.min(-F.col("value")).alias("lo"), F.max(-F.col("value")).alias("hi"))
-    # One row on the small side.
-    both = events.join(F.broadcast(bounds))
-    return both.select(
-        "event_id", r6(min_max_inverted(-F.col("value"), F.col("lo"), F.col("hi"))).alias("score")
-    )
+    raw = -F.col("value")
+    lo, hi = events.select(F.min(raw)).scalar(), events.select(F.max(raw)).scalar()
+    return events.select("event_id", r6(min_max_inverted(raw, lo, hi)).alias("score"))
 
 
 @query
@@ -677,9 +674,7 @@ def full_scan(spark, sf_dir):
 @query
 def incremental_scan(spark, sf_dir):
     rows = scans.events_since(t.sec_events(spark, sf_dir), at("2024-01-20"))
-    return metrics.cursor(rows).select(ts_text(F.col("last_seen")).alias("last_seen")).join(
-        F.broadcast(rows.agg(F.count(F.lit(1)).alias("events")))
-    )
+    return metrics.cursor(rows).select(ts_text(F.col("last_seen")).alias("last_seen"), "events")
 
 
 @query

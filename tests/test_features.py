@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from embertrace import fixed_values as fv
 from embertrace.operators.features import Frequencies, command_indicators, feature_matrix, frequency_tables, rarest_pairs
 from embertrace.operators.scaling import Scaler, feature_power, top_features
-from embertrace.operators.skew import join_counts
+from embertrace.operators.skew import TableSize, join_counts
 
 
 def by_id(df):
@@ -114,7 +114,7 @@ def test_split_join_keeps_hot_rows_out_of_the_shuffle(spark):
     )
     counts = left.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     joined = join_counts(
-        left, counts, ["key"], "n", table_rows=1001, total=2000, spread_by=F.col("id"), broadcast_rows=0, heavy_keys=4
+        left, counts, ["key"], "n", size=TableSize(1001, 0), total=2000, spread_by=F.col("id"), broadcast_rows=0, heavy_keys=4
     )
     got = {r["key"]: r["n"] for r in joined.collect()}
     assert got["hot"] == 1000 and got["k1"] == 1 and joined.count() == 2000
