@@ -63,6 +63,18 @@ def span_blocks(start: str, span: int) -> Column:
     return F.expr(f"concat({', '.join(listed)})")
 
 
+def near_steps(steps: DataFrame, events: DataFrame, span: int, *, step_at: str, event_at: str) -> DataFrame:
+    """Events in the span-wide time cells that some step's span touches.
+
+    Steps are few beside events, so most events end here, before they meet the blocks.
+    """
+    width = F.lit(span + 1)
+    cell = lambda ts: F.floor(F.unix_micros(ts) / width)
+    touched = steps.select("host", F.explode(F.array(cell(step_at), cell(step_at) + 1)).alias("_cell")).distinct()
+    placed = events.withColumn("_cell", cell(event_at))
+    return placed.join(touched, ["host", "_cell"], "left_semi").drop("_cell")
+
+
 def best_in_span(
     steps: DataFrame, events: DataFrame, step_id: str, span_seconds: int, *, step_at: str, event_at: str
 ) -> DataFrame:
@@ -73,6 +85,7 @@ def best_in_span(
     """
     span = span_seconds * 1_000_000
     at = F.unix_micros(event_at)
+    events = near_steps(steps, events, span, step_at=step_at, event_at=event_at)
     better = F.struct(
         F.col("score").alias("score"), (-at).alias("before"), F.col("alert_id"), F.col("percentile").alias("percentile")
     )
@@ -101,6 +114,7 @@ def top_in_span(
     """
     span = span_seconds * 1_000_000
     at = F.unix_micros(event_at)
+    events = near_steps(steps, events, span, step_at=step_at, event_at=event_at)
     order = [F.desc("score"), F.col("at"), F.col("alert_id")]
     kept = (
         events.select("host", "score", "percentile", "alert_id", at.alias("at"))

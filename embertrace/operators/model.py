@@ -16,7 +16,7 @@ from embertrace.operators.iforest import Forest, fit_trees, one_row
 from embertrace.operators.ranking import quantile_columns, value_ranks
 from embertrace.operators.scaling import Scaler, scaler_stats, top_features
 from embertrace.operators.skew import TableSize, join_counts, table_size
-from embertrace.session import cut
+from embertrace.session import cut, spread
 
 # The training percentiles are kept at this many evenly spaced steps.
 GRID = 1000
@@ -128,7 +128,7 @@ def fit(
         scaler.z_scores(features), fv.FEATURES, "alert_id", scaler.n, trees=trees, seed=seed
     )
     forest = Forest.of(slots, fv.FEATURES, sample_size)
-    ranked = rank_scores(raw_scores(features, scaler, forest))
+    ranked = rank_scores(raw_scores(spread(features), scaler, forest))
     steps = [i / GRID for i in range(GRID + 1)]
     cut_off = ranked.ranks.agg(*quantile_columns("raw", [contamination], ["cut_off"])).first()["cut_off"]
     grid = training_grid(ranked.ranks, steps)

@@ -20,7 +20,7 @@ from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
-from embertrace.session import cut, scratch_path
+from embertrace.session import cut, scratch_path, spread
 from embertrace.sources import scans
 from embertrace.streaming.bridge import alert_events, run_available
 from embertrace.streaming.detections import detection_stream
@@ -112,7 +112,7 @@ def windows_categories(spark, sf_dir):
 
 @query
 def cmd_indicators(spark, sf_dir):
-    documents = t.table(spark, sf_dir, "documents")
+    documents = spread(t.table(spark, sf_dir, "documents"))
     return documents.select("doc_id", features.command_indicators(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 
@@ -490,7 +490,7 @@ def log_events(spark, sf_dir):
 def ip_extract_logs(spark, sf_dir):
     """Every line of every document and page as a log line."""
     texts = (
-        t.table(spark, sf_dir, "documents")
+        spread(t.table(spark, sf_dir, "documents"))
         .select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
         .unionByName(
             t.table(spark, sf_dir, "pages").select(
@@ -546,7 +546,7 @@ def _windows_lines(spark, sf_dir) -> DataFrame:
     )
     whole = F.to_json(raw)
     line = F.when(k % 20 == 19, F.concat(F.lit("{bad "), whole)).when(k % 20 == 18, F.lit("  ")).otherwise(whole)
-    return t.base_events(spark, sf_dir).select(
+    return t.from_events(spread(t.table(spark, sf_dir, "events"))).select(
         F.lit("raw").alias("source_dataset"), F.lit("events").alias("member"), F.col("event_id").alias("line_no"),
         line.alias("line"),
     )
@@ -623,7 +623,7 @@ def _alert_lines_of(base: DataFrame) -> DataFrame:
 
 
 def _alert_lines(spark, sf_dir) -> DataFrame:
-    return _alert_lines_of(t.base_events(spark, sf_dir))
+    return _alert_lines_of(t.from_events(spread(t.table(spark, sf_dir, "events"))))
 
 
 def _flat_alerts(rows: DataFrame) -> DataFrame:
@@ -784,7 +784,7 @@ _DRIFT_FROM = "2024-01-21"
 
 def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Features before and from the boundary, each against its own corpus."""
-    events = t.sec_events_with_indicators(spark, sf_dir)
+    events = cut(t.sec_events_with_indicators(spark, sf_dir))
     boundary = F.lit(at(_DRIFT_FROM))
     return tuple(
         cut(features.feature_matrix(events.filter(side))) for side in (F.col("ts") < boundary, F.col("ts") >= boundary)
@@ -880,7 +880,7 @@ def iforest_scores(spark, sf_dir):
 @query
 def iforest_incremental(spark, sf_dir):
     """Train on the days before the boundary, score the days after it with the saved numbers."""
-    events = t.sec_events_with_indicators(spark, sf_dir)
+    events = cut(t.sec_events_with_indicators(spark, sf_dir))
     boundary = F.lit(at(_DRIFT_FROM))
     run = retrain_plan.retrain(events.filter(F.col("ts") < boundary), "m")
     fresh = events.filter(F.col("ts") >= boundary)

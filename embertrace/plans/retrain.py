@@ -17,7 +17,7 @@ from embertrace.operators.model import (
     raw_scores,
     training_scores,
 )
-from embertrace.session import cut
+from embertrace.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -66,8 +66,8 @@ def score_new(
         return training_scores(model, feature_matrix(new_events, frequencies))
     if baseline != "batch":
         raise ValueError(f"unknown baseline {baseline!r}")
-    features = feature_matrix(new_events)
-    ranked = rank_scores(raw_scores(features, model.scaler, model.forest))
+    features = cut(feature_matrix(new_events))
+    ranked = rank_scores(raw_scores(spread(features), model.scaler, model.forest))
     return batch_scores(model, ranked)
 
 

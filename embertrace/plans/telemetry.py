@@ -14,6 +14,7 @@ from embertrace.functions.scoring import score_route
 from embertrace.functions.text import lookup
 from embertrace.operators.features import command_indicators
 from embertrace.operators.triage import confidence_columns
+from embertrace.session import spread
 
 CATEGORY_OF_TYPE = {
     "signup": "authentication",
@@ -128,7 +129,7 @@ def sec_events_with_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     only four numbers per document are moved.
     """
     indicators = command_indicators(F.col("text"))
-    documents = table(spark, sf_dir, "documents").select("doc_id", indicators.alias("command_indicators"))
+    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", indicators.alias("command_indicators"))
     return _document_of_event(spark, sf_dir, documents).select(
         *_event_columns(), "value", "k", "command_indicators"
     )

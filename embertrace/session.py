@@ -62,6 +62,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan or a computed table over all cores, when it has fewer partitions than that.
+
+    A small table in one file would keep all but one core idle in costly per-row work; a
+    table of many partitions stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once per Spark context."""
     context = spark.sparkContext
