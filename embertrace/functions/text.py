@@ -69,7 +69,7 @@ def event_category(channel: Column, event_id: Column) -> Column:
     code = event_id.cast("string")
     monitor = F.coalesce(
         F.try_element_at(
-            F.create_map(*[F.lit(x) for item in fv.SYSMON_CATEGORY.items() for x in item]), event_id.cast("int")
+            F.create_map(*[F.lit(x) for item in fv.SYSMON_CATEGORY.items() for x in item]), event_id.try_cast("int")
         ),
         F.concat(F.lit("sysmon_"), code),
     )

@@ -57,12 +57,13 @@ def distances(running: DataFrame) -> DataFrame:
 def reference_spread(running: DataFrame) -> DataFrame:
     """Population deviation of the reference window per feature."""
     ref = F.col("ref").cast("double")
-    means = running.groupBy("feature").agg((F.sum(ref * F.col("value")) / F.sum(ref)).alias("mean"))
+    rows = F.nullif(F.sum(ref), F.lit(0.0))
+    means = running.groupBy("feature").agg((F.sum(ref * F.col("value")) / rows).alias("mean"))
     # One row per feature.
     return (
         running.join(F.broadcast(means), "feature")
         .groupBy("feature")
-        .agg(F.sqrt(F.sum(ref * F.pow(F.col("value") - F.col("mean"), 2)) / F.sum(ref)).alias("ref_std"))
+        .agg(F.sqrt(F.sum(ref * F.pow(F.col("value") - F.col("mean"), 2)) / rows).alias("ref_std"))
     )
 
 
@@ -86,8 +87,8 @@ def stability_index(running: DataFrame, bins: int = PSI_BINS) -> DataFrame:
         .withColumn("bin", sum((F.col("value") > F.col("edges")[i]).cast("int") for i in range(bins - 1)))
         .groupBy("feature", "bin")
         .agg(
-            (F.sum("ref") / F.max("ref_total")).alias("r"),
-            (F.sum("cur") / F.max("cur_total")).alias("c"),
+            (F.sum("ref") / F.nullif(F.max("ref_total"), F.lit(0))).alias("r"),
+            (F.sum("cur") / F.nullif(F.max("cur_total"), F.lit(0))).alias("c"),
         )
         .select("feature", F.greatest("r", F.lit(PSI_FLOOR)).alias("r"), F.greatest("c", F.lit(PSI_FLOOR)).alias("c"))
     )

@@ -224,7 +224,9 @@ def run_metrics(scores: DataFrame) -> DataFrame:
     head = scores.agg(
         F.count(F.lit(1)).alias("events_scored"),
         F.count_if("is_anomaly").alias("anomaly_count"),
-        F.round(F.count_if("is_anomaly") / F.count(F.lit(1)), 4).alias("anomaly_rate"),
+        F.coalesce(
+            F.round(F.count_if("is_anomaly") / F.nullif(F.count(F.lit(1)), F.lit(0)), 4), F.lit(0.0)
+        ).alias("anomaly_rate"),
         F.max("anomaly_score").alias("top_score"),
     )
     p95 = value_ranks(scores, "anomaly_score").agg(*quantile_columns("anomaly_score", [0.95], ["score_p95"]))

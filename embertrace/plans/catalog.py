@@ -68,7 +68,7 @@ def freq_tables(spark, sf_dir):
 
 @query
 def feature_matrix(spark, sf_dir):
-    rows = features.feature_matrix(t.sec_events_with_indicators(spark, sf_dir))
+    rows = features.feature_matrix(t.searched_events(spark, sf_dir))
     return rows.select("alert_id", *[r6(f).alias(f) for f in fv.FEATURES])
 
 
@@ -121,7 +121,7 @@ def cmd_indicators(spark, sf_dir):
 
 def _features(spark, sf_dir) -> DataFrame:
     """Features of all events, computed once."""
-    return cut(features.feature_matrix(t.sec_events_with_indicators(spark, sf_dir)))
+    return cut(features.feature_matrix(t.searched_events(spark, sf_dir)))
 
 
 def _z(spark, sf_dir) -> DataFrame:
@@ -784,7 +784,7 @@ _DRIFT_FROM = "2024-01-21"
 
 def _windows(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Features before and from the boundary, each against its own corpus."""
-    events = cut(t.sec_events_with_indicators(spark, sf_dir))
+    events = t.searched_events(spark, sf_dir)
     boundary = F.lit(at(_DRIFT_FROM))
     return tuple(
         cut(features.feature_matrix(events.filter(side))) for side in (F.col("ts") < boundary, F.col("ts") >= boundary)
@@ -874,13 +874,13 @@ def _flat_scores(scores: DataFrame) -> DataFrame:
 
 @query
 def iforest_scores(spark, sf_dir):
-    return _flat_scores(retrain_plan.retrain(t.sec_events_with_indicators(spark, sf_dir), "m").scores)
+    return _flat_scores(retrain_plan.retrain(t.searched_events(spark, sf_dir), "m").scores)
 
 
 @query
 def iforest_incremental(spark, sf_dir):
     """Train on the days before the boundary, score the days after it with the saved numbers."""
-    events = cut(t.sec_events_with_indicators(spark, sf_dir))
+    events = t.searched_events(spark, sf_dir)
     boundary = F.lit(at(_DRIFT_FROM))
     run = retrain_plan.retrain(events.filter(F.col("ts") < boundary), "m")
     fresh = events.filter(F.col("ts") >= boundary)

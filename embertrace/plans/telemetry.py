@@ -14,7 +14,7 @@ from embertrace.functions.scoring import score_route
 from embertrace.functions.text import lookup
 from embertrace.operators.features import command_indicators
 from embertrace.operators.triage import confidence_columns
-from embertrace.session import spread
+from embertrace.session import cut, spread
 
 CATEGORY_OF_TYPE = {
     "signup": "authentication",
@@ -135,6 +135,11 @@ def sec_events_with_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def searched_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, computed: counting and feature passes read it without joining again."""
+    return cut(sec_events_with_indicators(spark, sf_dir))
+
+
 def scored_of(base: DataFrame) -> DataFrame:
     """Canonical events with an ``ml`` struct; ``value`` stands in for the model's score."""
     score = F.col("value") / (F.col("value") + 50.0)

@@ -55,6 +55,13 @@ def test_gates(spark, windows):
     assert tuple(verdict) == (1, 1, False)
 
 
+def test_empty_current_window(windows):
+    _, _, r, c = windows
+    running = drift.cumulative_windows(drift.window_histogram(r, c.filter("false"), NAMES))
+    gates = {g["name"]: g for g in drift.gate_rows(drift.drift_table(running), F.lit(900), F.lit(0)).collect()}
+    assert not gates["current_rows"]["passed"] and gates["current_rows"]["value"] == 0
+
+
 def test_quality(spark, windows):
     ref, _, _, _ = windows
     holed = ref.copy()

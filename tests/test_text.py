@@ -27,6 +27,7 @@ def test_base_name(spark):
         ("Windows PowerShell", 800, "script_execution"),
         ("Microsoft-Windows-WMI-Activity/Operational", 5857, "wmi_activity"),
         ("Sysmon and Security", 4625, "sysmon_4625"),
+        ("Sysmon", 99_999_999_999, "sysmon_99999999999"),
         ("System", 1, "other"),
         (None, 1, "other"),
     ],
