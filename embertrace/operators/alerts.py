@@ -83,6 +83,18 @@ def anomaly_top(alerts: DataFrame, limit: int = 10) -> DataFrame:
     )
 
 
+def score_preview(alerts: DataFrame, limit: int = 10) -> DataFrame:
+    """Highest scores of a run, flagged or not: what a trial run shows instead of writing."""
+    return top_rows(alerts, limit, F.desc("ml.anomaly_score"), F.col("alert_id")).select(
+        "alert_id",
+        F.round("ml.anomaly_score", 4).alias("score"),
+        F.col("ml.is_anomaly").alias("is_anomaly"),
+        F.coalesce("event.category", F.lit("?")).alias("category"),
+        F.coalesce("process.name", F.lit("?")).alias("process"),
+        F.coalesce("source_dataset", F.lit("?")).alias("dataset"),
+    )
+
+
 def log_triage_input(log_events: DataFrame, threshold: float = 0.75, limit: int = 10) -> DataFrame:
     """Highest-scoring log events at or above a score."""
     columns = ["timestamp", "source_ip", "event_type", "raw", "anomaly_score"]

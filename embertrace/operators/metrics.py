@@ -32,9 +32,15 @@ def anomaly_rate(scores: DataFrame, ts: Column, is_anomaly: Column, width: str =
 
 
 def score_histogram(rows: DataFrame, value: Column, lo: float, hi: float, bins: int = 50) -> DataFrame:
-    """Rows per equal-width bin; the upper end belongs to the last bin."""
-    bin_no = F.least(F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins)), F.lit(bins))
-    return rows.filter(value.between(lo, hi)).groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    """Rows per equal-width bin; the upper end belongs to the last bin.
+
+    Values below and above the range are counted in bins 0 and ``bins + 1``, missing ones in
+    a null bin.
+    """
+    bin_no = F.when(value == hi, F.lit(bins).cast("bigint")).otherwise(
+        F.width_bucket(value, F.lit(lo), F.lit(hi), F.lit(bins))
+    )
+    return rows.groupBy(bin_no.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_mean(rows: DataFrame, key: str, value: str, above: float, limit: int = 20) -> DataFrame:

@@ -244,6 +244,11 @@ def anomaly_top10(spark, sf_dir):
     return alerts.anomaly_top(_current(spark, sf_dir))
 
 
+@query
+def score_preview(spark, sf_dir):
+    return alerts.score_preview(t.scored_alerts(spark, sf_dir))
+
+
 @query
 def unenriched_topn(spark, sf_dir):
     rows = triage.unenriched(t.scored_alerts(spark, sf_dir), t.triage_rows(spark, sf_dir), 50)

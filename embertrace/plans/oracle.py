@@ -266,6 +266,10 @@ WITH {CURRENT}
 SELECT alert_id, score, proc AS process, cat AS category, event_type AS dataset, technique, fp
 FROM now WHERE is_anomaly ORDER BY score DESC, alert_id LIMIT 10"""
 
+ORACLE["score_preview"] = f"""
+WITH {SCORED} SELECT alert_id, round(score, 4) AS score, is_anomaly, cat AS category, proc AS process,
+  event_type AS dataset FROM alerts ORDER BY alerts.score DESC, alert_id LIMIT 10"""
+
 ORACLE["unenriched_topn"] = f"""
 WITH {CURRENT} SELECT alert_id, score AS anomaly_score FROM now
 WHERE is_anomaly AND NOT enriched ORDER BY score DESC, alert_id LIMIT 50"""

@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
 from embertrace.operators.features import Frequencies, feature_matrix
+from embertrace.operators.ledger import last_valid_run, metric_rows, run_row
 from embertrace.operators.model import (
     Model,
     batch_scores,
     fit,
     rank_scores,
     raw_scores,
+    run_metrics,
     training_scores,
 )
 from embertrace.session import cut, spread
+from embertrace.sources.tables import append, append_scores, write_snapshot
 
 
 @dataclass(frozen=True)
@@ -73,8 +78,6 @@ def score_new(
 
 def since_last_run(ledger: DataFrame, since=None):
     """The boundary of an incremental run: given, or the end of the last valid retrain."""
-    from embertrace.operators.ledger import last_valid_run
-
     if since is not None:
         return since
     row = last_valid_run(ledger).first()
@@ -91,6 +94,32 @@ def with_events(events: DataFrame, scores: DataFrame, run_id: Column, scored_at:
     return events.select(*kept).join(packed, "alert_id").withColumn("run_id", run_id)
 
 
+def store(
+    run: Retrained, events: DataFrame, folder: str, started_at: datetime, completed_at: datetime
+) -> dict[str, int]:
+    """Write everything a retrain leaves: scores, feature snapshot, model, metrics, run record.
+
+    The record comes last, so a run without one is known to be incomplete.
+    """
+    spark = events.sparkSession
+    run_id = run.model.model_id
+    scored = with_events(events, run.scores, F.lit(run_id), F.lit(completed_at))
+    written = append_scores(scored, f"{folder}/scores")
+    write_snapshot(run.features, f"{folder}/feature_snapshots", run_id)
+    run.model.save(spark, f"{folder}/models", run.frequencies)
+    settings = spark.createDataFrame(
+        [("isolation_forest", run.model.contamination, len(run.model.forest.path), ",".join(fv.FEATURES))],
+        "model_type string, contamination double, n_estimators int, feature_names string",
+    )
+    figures = cut(run_metrics(run.scores))
+    rows = metric_rows(F.lit(run_id), "param", settings).unionByName(metric_rows(F.lit(run_id), "metric", figures))
+    append(rows, f"{folder}/run_metrics")
+    head = figures.first()
+    result = {"events_scored": head["events_scored"], "anomalies_found": head["anomaly_count"], "written": written}
+    append(run_row(spark, "retrain", started_at, completed_at, json.dumps(result)), f"{folder}/run_ledger")
+    return result
+
+
 def run_summary(scores: DataFrame) -> DataFrame:
     """Counts of one run; an empty batch gives zeros."""
     return scores.agg(

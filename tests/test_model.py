@@ -1,13 +1,15 @@
+from datetime import timedelta
+
 import numpy as np
 import pytest
-from conftest import EVENT_SCHEMA, event
+from conftest import EVENT_SCHEMA, event, utc
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
 from embertrace.operators import iforest
 from embertrace.operators.features import Frequencies, feature_matrix
 from embertrace.operators.model import Model, batch_scores, fit, rank_scores, raw_scores, run_metrics
-from embertrace.plans.retrain import retrain, run_summary, score_new, since_last_run, with_events
+from embertrace.plans.retrain import retrain, run_summary, score_new, since_last_run, store, with_events
 from embertrace.session import cut, scratch_path
 from embertrace.sources.tables import conform
 
@@ -148,5 +150,23 @@ def test_metrics_and_rows(ten_events, trained):
     assert written.count() == 10 and "_raw" not in written.columns and "scored_at" in written.schema["ml"].dataType.names
 
 
+def test_stored_run(spark, ten_events, trained):
+    folder = scratch_path(spark, "run")
+    start = utc("2024-01-02T03:04:05")
+    result = store(trained, ten_events, folder, start, start + timedelta(seconds=30))
+    assert result == {"events_scored": 10, "anomalies_found": 2, "written": 10}
+    stored = spark.read.parquet(f"{folder}/scores")
+    assert {str(r["run_id"]) for r in stored.collect()} == {"ten"}
+    assert stored.filter("ml.is_anomaly").count() == 2
+    assert spark.read.parquet(f"{folder}/feature_snapshots").count() == 10
+    assert Model.load(spark, f"{folder}/models", "ten").cut_off == trained.model.cut_off
+    metrics = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/run_metrics").collect()}
+    assert metrics["anomaly_count"] == "2" and metrics["n_estimators"] == "200"
+    boundary = since_last_run(spark.read.parquet(f"{folder}/run_ledger"))
+    assert boundary == (start + timedelta(seconds=30)).replace(tzinfo=None)
+    late = utc("2024-05-05T00:00:00")
+    assert since_last_run(spark.read.parquet(f"{folder}/run_ledger"), late) == late
+
+
 def test_frequencies_total(ten_events):
     assert Frequencies.count(ten_events).total == 10
