@@ -20,7 +20,7 @@ from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
-from embertrace.session import cut, scratch_path, spread
+from embertrace.session import cut, scratch_path, setting, spread
 from embertrace.sources import scans
 from embertrace.streaming.bridge import alert_events, run_available
 from embertrace.streaming.detections import detection_stream
@@ -923,7 +923,12 @@ def stream_detections(spark, sf_dir):
     steps = coverage.step_columns(t.exec_links_of(_streamed(spark, sf_dir)).filter(F.col("poll") == 1))
     found = coverage.anomalous_events(t.scored_of(_streamed(spark, sf_dir)), 0.65)
     out, checkpoint = scratch_path(spark, "detections"), scratch_path(spark, "detections-checkpoint")
-    run_available(detection_stream(steps, found, keep_misses=False), out, checkpoint).awaitTermination()
+    # A stream keeps its number of state partitions for life; more than cores only cost commits.
+    key = "spark.sql.shuffle.partitions"
+    partitions = min(int(spark.conf.get(key)), spark.sparkContext.defaultParallelism)
+    with setting(spark, key, str(partitions)):
+        stream = run_available(detection_stream(steps, found, keep_misses=False), out, checkpoint)
+    stream.awaitTermination()
     return spark.read.parquet(out).select(
         "link_id", "alert_id", ts_text(F.col("executed_at")).alias("executed_at"), "score"
     )
