@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from embertrace.llm import pii, secret_scan
 from embertrace.llm.quality import quality_rules
 
 
@@ -13,6 +15,17 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of all documents and the terms that disclose it."""
+    spans = F.col("spans")
+    return pii.disclosure_spans(_documents(spark, sf_dir)).select(
+        "doc_id",
+        *(secret_scan.count_of(spans, kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(secret_scan.digest(spans, pii.KINDS), 256).alias("base_sha256"),
+        secret_scan.digest(spans).alias("spans"),
+    )
+
+
 def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality verdicts of all documents."""
     return quality_rules(_documents(spark, sf_dir)).select(
@@ -20,8 +33,21 @@ def op9_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of all documents, in the open and under layers of encoding."""
+    spans = F.col("secrets")
+    return secret_scan.secret_spans(_documents(spark, sf_dir)).select(
+        "doc_id",
+        *(secret_scan.count_of(spans, kind).alias(f"n_{kind}") for kind in secret_scan.KINDS),
+        F.sha2(secret_scan.digest(spans, secret_scan.KINDS), 256).alias("base_sha256"),
+        secret_scan.digest(spans).alias("spans"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,
+    "op10_secret_layers": op10_secret_layers,
 }
 
 ORACLE: dict[str, str] = {}
