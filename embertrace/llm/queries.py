@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
+from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.quality import quality_rules
 
 
@@ -15,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicates over all documents."""
+    return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents and the terms that disclose it."""
     spans = F.col("spans")
@@ -45,6 +51,7 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_odd_sketches": op4_odd_sketches,
     "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,
     "op10_secret_layers": op10_secret_layers,
