@@ -8,19 +8,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
+from embertrace.llm.mixing import temperature_mix
 from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.quality import quality_rules
+from embertrace.llm.sharding import shard_plan
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of all documents."""
+    return shard_plan(_documents(spark, sf_dir)).select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        F.col("shard").cast("int").alias("shard"),
+        F.col("slot").cast("bigint").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates over all documents."""
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reading of every document: pass, block and place in the block."""
+    return temperature_mix(_documents(spark, sf_dir)).select("doc_id", "source", "epoch", "block", "place")
+
+
 def op8_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of all documents and the terms that disclose it."""
     spans = F.col("spans")
@@ -51,7 +71,9 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_odd_sketches": op4_odd_sketches,
+    "op7_temperature_mix": op7_temperature_mix,
     "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,
     "op10_secret_layers": op10_secret_layers,
