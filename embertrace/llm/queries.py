@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
+from embertrace.llm.latent import benchmark_hits
 from embertrace.llm.mixing import temperature_mix
 from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.quality import quality_rules
@@ -36,6 +37,17 @@ def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op5_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in all documents; a document that holds one is not kept."""
+    hits = F.col("hits")
+    return benchmark_hits(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(
+        "doc_id",
+        (F.size(hits) == 0).alias("kept"),
+        F.array_join(hits["item"].cast("array<string>"), ",").alias("item_ids"),
+        F.round(F.array_max(hits["lcs"]), 6).alias("lcs"),
+    )
+
+
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of every document: pass, block and place in the block."""
     return temperature_mix(_documents(spark, sf_dir)).select("doc_id", "source", "epoch", "block", "place")
@@ -73,6 +85,7 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_odd_sketches": op4_odd_sketches,
+    "op5_latent_retrieval": op5_latent_retrieval,
     "op7_temperature_mix": op7_temperature_mix,
     "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,

@@ -18,6 +18,8 @@ _VALUES = _constants(11, 256)
 _VALUES[65:91] = _VALUES[97:123]
 _IS_WORD = np.ones(256, bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: The same for words of letters and digits; all bytes beyond ASCII belong to words.
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 _BASE = int(_constants(12, 1)[0])
 _BACK = pow(_BASE, -1, 1 << 64)
 _TURNS = _constants(13, 64)
@@ -42,10 +44,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def words_of(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, start and end of each word of UTF-8 bytes; A-Z count as a-z."""
+def words_of(raw: np.ndarray, belongs: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of UTF-8 bytes; A-Z count as a-z.  ``belongs`` says which bytes do."""
     inside = np.zeros(len(raw) + 2, np.int8)
-    inside[1:-1] = _IS_WORD[raw]
+    inside[1:-1] = belongs[raw]
     edges = np.diff(inside)
     starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     sums = np.zeros(len(raw) + 1, np.uint64)
