@@ -2,13 +2,14 @@
 
 Each set of word shingles gives ``bands * rows`` MinHash samples.  Bands of samples name
 buckets; an odd sketch, a bitmap in which each sample flips one bit, estimates the similarity
-of two members of a bucket from the population count of the XOR.  What the estimate does not
-rule out is confirmed on the full sets.
+of two members of a bucket from the population count of the XOR.  A second, wider one over all
+elements of the set bounds the difference of two sets exactly: an XOR count never exceeds it.
+What neither rules out is confirmed on the full sets.
 
 No bucket is turned into all of its pairs.  First every member meets the smallest member of
-its bucket.  What then still lies outside the largest component of a bucket meets, of every
-other component there, the member with the nearest sketch, until that joins nothing more;
-last, it meets every member of another component that its sketch does not rule out.
+its bucket.  What then still lies outside the largest component of a bucket meets there the
+members of other components that the sketches do not rule out; the sketches are compared inside
+the join, so pairs they rule out never become rows.
 """
 
 from __future__ import annotations
@@ -40,6 +41,7 @@ class Plan:
     bands: int = 30
     rows: int = 6
     bits: int = 512
+    set_bits: int = 2048
     errors: float = 5.0
 
     @property
@@ -60,7 +62,7 @@ class Plan:
         return math.ceil(mean + self.errors / 2 * noise)
 
 
-SKETCH_DDL = "struct<n_shingles:bigint,sum_a:bigint,sum_b:bigint,bands:array<bigint>,odd:array<bigint>>"
+SKETCH_DDL = "struct<n_shingles:bigint,sum_a:bigint,sum_b:bigint,bands:array<bigint>,odd:array<bigint>,whole:array<bigint>>"
 
 
 def _samples(hashes: np.ndarray, starts: np.ndarray, plan: Plan) -> np.ndarray:
@@ -82,36 +84,44 @@ def _bands(samples: np.ndarray, plan: Plan) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def _parities(owner: np.ndarray, hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """A bitmap for each of ``n`` owners in which each of its hashes flips a bit."""
+    flat = owner * bits + (hashes % np.uint64(bits)).astype(np.int64)
+    parity = (np.bincount(flat, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(parity.reshape(n, bits), axis=1).view(np.int64)
+
+
 def _odd(samples: np.ndarray, plan: Plan) -> np.ndarray:
     named = samples.astype(np.uint64) | (np.arange(plan.samples, dtype=np.uint64) << np.uint64(32))[None, :]
-    bit = (mixed(named) % np.uint64(plan.bits)).astype(np.int64)
-    flat = (np.arange(len(samples))[:, None] * plan.bits + bit).ravel()
-    parity = (np.bincount(flat, minlength=len(samples) * plan.bits) & 1).astype(np.uint8)
-    return np.packbits(parity.reshape(len(samples), plan.bits), axis=1).view(np.int64)
+    return _parities(np.repeat(np.arange(len(samples)), plan.samples), mixed(named).ravel(), len(samples), plan.bits)
 
 
 def _sketched(texts: pa.Array, plan: Plan) -> pa.Array:
     n = len(texts)
     sizes, sums = np.zeros(n, np.int64), np.zeros((n, 2), np.int64)
     bands, odd = np.zeros((n, plan.bands), np.int64), np.zeros((n, plan.bits // 64), np.int64)
+    whole = np.zeros((n, plan.set_bits // 64), np.int64)
     for first, raw, at in pieces(texts.to_pylist()):
         hashes, counts = shingle_hashes(raw, at, plan.width)
         starts = np.cumsum(counts) - counts
         full = np.flatnonzero(counts)
         if not len(full):
             continue
-        rows = first + full
+        rows, members = first + full, []
         for k, doc in zip(rows, full):
             own = np.unique(hashes[starts[doc] : starts[doc] + counts[doc]])
+            members.append(own)
             sizes[k] = len(own)
             sums[k] = own.sum(dtype=np.uint64).view(np.int64), mixed(own ^ np.uint64(0x5DEECE66D)).sum(dtype=np.uint64).view(np.int64)
         samples = _samples(hashes, starts[full], plan)
         bands[rows], odd[rows] = _bands(samples, plan), _odd(samples, plan)
+        owner = np.repeat(np.arange(len(full)), sizes[rows])
+        whole[rows] = _parities(owner, mixed(np.concatenate(members)), len(full), plan.set_bits)
     lists = [
-        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (bands, odd)
+        pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32) * x.shape[1], pa.array(x.ravel())) for x in (bands, odd, whole)
     ]
     return pa.StructArray.from_arrays(
-        [pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1]), *lists], ["n_shingles", "sum_a", "sum_b", "bands", "odd"]
+        [pa.array(sizes), pa.array(sums[:, 0]), pa.array(sums[:, 1]), *lists], ["n_shingles", "sum_a", "sum_b", "bands", "odd", "whole"]
     )
 
 
@@ -126,13 +136,30 @@ def sketches(docs: DataFrame, plan: Plan = Plan(), text: str = "text", key: str
     return docs.select(F.col(key).alias("id"), sketched(F.col(text)).alias("s")).select("id", "s.*")
 
 
-def _xor_count(x: Column, y: Column, plan: Plan) -> Column:
+def _fields(plan: Plan) -> list[Column]:
+    """Size and sketches of a set as plain numbers, which joins read faster than arrays."""
+    odd = [F.get("odd", F.lit(k)).alias(f"o{k}") for k in range(plan.bits // 64)]
+    return [F.col("n_shingles").alias("n"), *odd, *(F.get("whole", F.lit(k)).alias(f"w{k}") for k in range(plan.set_bits // 64))]
+
+
+def _xor_count(x: Column, y: Column, name: str, bits: int) -> Column:
     total = F.lit(0)
-    for k in range(plan.bits // 64):
-        total = total + F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k))))
+    for k in range(bits // 64):
+        total = total + F.bit_count(x[f"{name}{k}"].bitwiseXOR(y[f"{name}{k}"]))
     return total
 
 
+def _may_link(x: Column, y: Column, plan: Plan) -> Column:
+    """Whether the sketches of two sets leave a link open.
+
+    Sets of a and b elements are a link if they differ in at most (100 - percent) (a + b) /
+    (100 + percent) elements, and the XOR count of the set bitmaps is never more than that.
+    """
+    differ = _xor_count(x, y, "w", plan.set_bits)
+    most = (100 - plan.percent) * (x["n"] + y["n"])
+    return (_xor_count(x, y, "o", plan.bits) <= plan.most_bits) & ((100 + plan.percent) * differ <= most)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, plan: Plan) -> DataFrame:
     """The pairs ``a, b`` whose full shingle sets are a link."""
 
@@ -165,7 +192,7 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", ke
     full = drawn.filter(F.col("id").isNotNull() & (F.col("n_shingles") > 0))
     sets = staged(
         full.groupBy("n_shingles", "sum_a", "sum_b").agg(
-            F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("odd").alias("odd")
+            F.min("id").alias("node"), F.first("bands").alias("bands"), F.first("odd").alias("odd"), F.first("whole").alias("whole")
         ),
         "sets",
     )
@@ -175,26 +202,16 @@ def near_duplicates(docs: DataFrame, plan: Plan = Plan(), text: str = "text", ke
     wanted = members.select("node").distinct()
     sources = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     texts = staged(sources.join(wanted, F.col("id") == F.col("node"), "left_semi"), "candidates")
-    odd = staged(sets.join(wanted, "node", "left_semi").select("node", "odd"), "odd-sketches")
+    odd = staged(sets.join(wanted, "node", "left_semi").select("node", F.struct(*_fields(plan)).alias("sketch")), "odd-sketches")
 
     pairs = members.filter(F.col("node") != F.col("lead")).select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    left, right = odd.select(F.col("node").alias("a"), F.col("odd").alias("x")), odd.select(F.col("node").alias("b"), F.col("odd").alias("y"))
-    near = pairs.join(right, "b").join(left, "a").filter(_xor_count(F.col("x"), F.col("y"), plan) <= plan.most_bits)
+    left, right = (odd.select(F.col("node").alias(n), F.col("sketch").alias(s)) for n, s in (("a", "x"), ("b", "y")))
+    near = pairs.join(right, "b").join(left, "a").filter(_may_link(F.col("x"), F.col("y"), plan))
     links = staged(_confirmed(near.select("a", "b"), texts, plan), "found")
     labels = components(links)
-    last = False
-    while True:
-        open_ = _open_members(members, labels, odd)
-        if open_.isEmpty():
-            break
-        met = _meetings(open_, plan, nearest=not last)
-        found = staged(_confirmed(met, texts, plan), "found")
-        links = links.unionByName(found)
-        if not found.isEmpty():
-            labels = components(links)
-        if last:
-            break
-        last = found.isEmpty()
+    found = staged(_confirmed(_meetings(_open_members(members, labels, odd), plan), texts, plan), "found")
+    if not found.isEmpty():
+        labels = components(links.unionByName(found))
 
     node_of = sets.select("n_shingles", "sum_a", "sum_b", "node")
     named = (
@@ -222,17 +239,11 @@ def _open_members(members: DataFrame, labels: DataFrame, odd: DataFrame) -> Data
     )
 
 
-def _meetings(open_: DataFrame, plan: Plan, nearest: bool) -> DataFrame:
-    """Pairs of members of different components that their sketches do not rule out.
-
-    One side is outside the main component of the bucket.  With ``nearest``, only the one with
-    the nearest sketch per member and other component.
-    """
-    x = open_.filter(~F.col("main")).select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("odd").alias("x"))
-    y = open_.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("odd").alias("y"), "main")
-    count = _xor_count(F.col("x"), F.col("y"), plan)
-    apart = (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b"))) & (count <= plan.most_bits)
-    met = x.join(y, (x["band"] == y["band"]) & apart)
-    if nearest:
-        return met.groupBy("a", "lb").agg(F.min_by("b", F.struct(count.alias("c"), F.col("b"))).alias("b")).select("a", "b")
+def _meetings(open_: DataFrame, plan: Plan) -> DataFrame:
+    """Pairs of members of different components that their sketches do not rule out; one side is
+    outside the main component of the bucket."""
+    x = open_.filter(~F.col("main")).select("band", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sketch").alias("x"))
+    y = open_.select("band", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sketch").alias("y"), "main")
+    apart = (F.col("la") != F.col("lb")) & (F.col("main") | (F.col("a") < F.col("b")))
+    met = x.join(y, (x["band"] == y["band"]) & apart & _may_link(F.col("x"), F.col("y"), plan))
     return met.select("a", "b").distinct()

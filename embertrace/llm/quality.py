@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from embertrace.llm.staging import split_words
+from embertrace.llm.staging import settled, split_words
 
 #: Character classes in the order in which they are taken off a text.
 CLASSES = ("lower", "white", "upper", "digit", "symbol", "stop", "letter", "rest")
@@ -199,7 +199,8 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     df = df.withColumn("base_failed", failed)
     if not found:
         empty = F.lit(None).cast("double")
-        return df.withColumns({"word_distance": empty, "class_distance": empty, "kept": ~failed}).drop("_words", "classes")
+        df = df.withColumns({"word_distance": empty, "class_distance": empty, "kept": ~F.col("base_failed")})
+        return settled(df, "base_failed", "kept").drop("_words", "classes")
     vocabulary = sorted({w for _, words, _, _ in found for w in words})
     chars = F.aggregate("classes", F.lit(0).cast("bigint"), lambda s, c: s + c)
     judged = (F.col("n_words") >= rules.min_words) & (chars >= rules.min_chars)
@@ -242,4 +243,5 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), text: str = "text", l
     df = df.withColumn("word_distance", F.col("_nearest.word")).withColumn("class_distance", F.col("_nearest.class"))
     far = (F.col("word_distance") > rules.word_distance) | (F.col("class_distance") > rules.class_distance)
     df = df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False)))
+    df = settled(df, "base_failed", "word_distance", "class_distance", "kept")
     return df.drop("_words", "classes", "_judged", "_common", "_own", "_refs", "_classes", "_counts", "_shares", "_distances", "_nearest")

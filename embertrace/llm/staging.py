@@ -15,6 +15,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with ``columns`` computed once per row: later filters on them are not unfolded into their expressions."""
+    others = [c for c in df.columns if c not in columns]
+    return df.select(*others, F.inline(F.array(F.struct(*columns))))
+
+
 def unit(*parts: Column) -> Column:
     """A number in [0, 1) that depends on ``parts`` only."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 11) / F.lit(float(1 << 53))
