@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
+from embertrace.llm.byte_cnn import identify_languages
 from embertrace.llm.latent import benchmark_hits
 from embertrace.llm.mixing import temperature_mix
 from embertrace.llm.odd_sketch import near_duplicates
@@ -48,6 +49,11 @@ def op5_latent_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_byte_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    return identify_languages(_documents(spark, sf_dir)).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reading of every document: pass, block and place in the block."""
     return temperature_mix(_documents(spark, sf_dir)).select("doc_id", "source", "epoch", "block", "place")
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op4_odd_sketches": op4_odd_sketches,
     "op5_latent_retrieval": op5_latent_retrieval,
+    "op6_byte_network": op6_byte_network,
     "op7_temperature_mix": op7_temperature_mix,
     "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,

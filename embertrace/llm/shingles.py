@@ -55,11 +55,11 @@ def words_of(raw: np.ndarray, belongs: np.ndarray = _IS_WORD) -> tuple[np.ndarra
     return mixed((sums[ends] - sums[starts]) * _power(_BACK, len(raw) + 1)[starts]), starts, ends
 
 
-def pieces(texts: list[str | None], size: int = 1 << 19, most: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """The texts in runs of about ``size`` bytes and at most ``most`` texts: number of the first, all bytes, where each text starts."""
+def pieces(texts: list[str | None], size: int = 1 << 19, most: int = 512, end: bytes = b" ") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """The texts in runs of about ``size`` bytes and at most ``most`` texts, each followed by ``end``: number of the first, all bytes, where each text starts."""
     first, held, total = 0, [], 0
     for k, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass") + b" "
+        raw = (text or "").encode("utf-8", "surrogatepass") + end
         held.append(raw)
         total += len(raw)
         if total >= size or len(held) == most or k == len(texts) - 1:
