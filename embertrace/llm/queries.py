@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from embertrace.llm.latent import benchmark_hits
 from embertrace.llm.mixing import temperature_mix
 from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.quality import quality_rules
+from embertrace.llm.records import Coding, round_trip
 from embertrace.llm.sharding import shard_plan
 
 
@@ -33,6 +35,12 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token records of all documents, read back from their files."""
+    coding = Coding(public_tokenizers.path("byte_bpe_50k.json"))
+    return round_trip(_documents(spark, sf_dir), coding).withColumnRenamed("id", "doc_id")
+
+
 def op4_odd_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicates over all documents."""
     return near_duplicates(_documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept")
@@ -90,6 +98,7 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
+    "op3_token_records": op3_token_records,
     "op4_odd_sketches": op4_odd_sketches,
     "op5_latent_retrieval": op5_latent_retrieval,
     "op6_byte_network": op6_byte_network,
