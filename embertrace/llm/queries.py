@@ -13,6 +13,7 @@ from embertrace.llm.byte_cnn import identify_languages
 from embertrace.llm.latent import benchmark_hits
 from embertrace.llm.mixing import temperature_mix
 from embertrace.llm.odd_sketch import near_duplicates
+from embertrace.llm.preference import PREFERENCE_SQL, conversations_of, formatted, sibling_pairs
 from embertrace.llm.quality import quality_rules
 from embertrace.llm.records import Coding, round_trip
 from embertrace.llm.sharding import shard_plan
@@ -22,6 +23,12 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as preference pairs with prompt and masked completions."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return formatted(sibling_pairs(conversations_of(turns)))
+
+
 def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shard and slot of all documents."""
     return shard_plan(_documents(spark, sf_dir)).select(
@@ -97,6 +104,7 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_preference_pairs": op1_preference_pairs,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
     "op3_token_records": op3_token_records,
     "op4_odd_sketches": op4_odd_sketches,
@@ -108,4 +116,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_layers": op10_secret_layers,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_preference_pairs": PREFERENCE_SQL,
+}
