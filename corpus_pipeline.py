@@ -17,9 +17,14 @@ from embertrace.llm.sharding import hypergeometric_shards
 from embertrace.session import scratch_path
 
 
+def _rows(docs: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` beside the whole row, so that no result can replace a column of the input."""
+    return docs.select(*columns, F.struct("*").alias("_row"))
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the quality rules keep."""
-    return quality_rules(docs).filter("kept").select(*docs.columns)
+    return quality_rules(_rows(docs, "text", "lang")).filter("kept").select("_row.*")
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,12 +39,13 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that hold no passage of the benchmark."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontaminated(_rows(docs, "text"), benchmark).select("_row.*")
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mixture reads it, at least once and on average at most twice a source."""
-    return temperature_mix(docs).select(*docs.columns)
+    """Every document as often as the mixture reads it: at least once, and no source more than twice over."""
+    return temperature_mix(_rows(docs, "doc_id", "text", "source")).select("_row.*")
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from embertrace.llm import pii, secret_scan
 from embertrace.llm.byte_cnn import identify_languages
 from embertrace.llm.latent import benchmark_hits
 from embertrace.llm.mixing import temperature_mix
+from embertrace.llm.oracle import NEAR_DUPLICATES, QUALITY
 from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.preference import PREFERENCE_SQL, conversations_of, formatted, sibling_pairs
 from embertrace.llm.quality import quality_rules
@@ -118,4 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE: dict[str, str] = {
     "op1_preference_pairs": PREFERENCE_SQL,
+    "op4_odd_sketches": NEAR_DUPLICATES,
+    "op9_quality_divergence": QUALITY,
 }
