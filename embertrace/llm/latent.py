@@ -1,7 +1,7 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark passages become TF-IDF rows over hashed terms, with document frequencies counted over
-all documents.  A randomised SVD of these rows, whose products with the rows are summed by Spark,
+Benchmark passages become TF-IDF rows over their terms, with document frequencies counted over
+all documents; terms of more than ``common`` of the documents carry no weight.  A randomised SVD of these rows, whose products with the rows are summed by Spark,
 gives a latent space.  Every text is projected block by block of words; sums of neighbouring
 blocks are its windows at several lengths.  Windows whose cosine with a benchmark passage is high
 enough are candidates, and those are confirmed by the longest common subsequence of words and, for
@@ -25,11 +25,12 @@ from embertrace.session import ship_package
 
 @dataclass(frozen=True)
 class Retrieval:
-    """``buckets`` bounds the terms and with ``rank`` the size of the broadcast projection;
-    ``items`` is how many benchmark passages one pass over the documents looks for."""
+    """``items`` is how many benchmark passages one pass over the documents looks for; with their
+    terms and ``rank`` it bounds what is broadcast.  A window needs ``least_terms`` weighty words."""
 
-    buckets: int = 1 << 15
-    rank: int = 96
+    rank: int = 64
+    common: float = 0.1
+    least_terms: int = 3
     block_words: int = 12
     scales: tuple[int, ...] = (2, 4)
     cosine: float = 0.55
@@ -37,7 +38,7 @@ class Retrieval:
     likely: float = 0.55
     answer_words: int = 8
     answer_share: float = 0.75
-    items: int = 20_000
+    items: int = 4_000
     seed: int = 17
 
 
@@ -45,62 +46,73 @@ HIT = pa.list_(pa.struct([("item", pa.int64()), ("cosine", pa.float64()), ("lcs"
 HIT_DDL = "array<struct<item:bigint,cosine:double,lcs:double,answer:boolean>>"
 
 
-def _terms(texts: list[str | None], rule: Retrieval):
-    """Per run of texts: number of the first text, the text of each word, its place there, hash and bucket."""
-    for first, raw, at in pieces(texts):
+def _words(texts: list[str | None]):
+    """Per run of texts: number of the first, how many, and of each word its text, place there and hash.
+
+    Case does not count.
+    """
+    for first, raw, at in pieces([t and t.lower() for t in texts]):
         hashes, starts, _ = words_of(raw, LETTERS)
         owner = np.searchsorted(at, starts, "right") - 1
         n = np.bincount(owner, minlength=len(at))
-        place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-        yield first, len(at), owner, place, hashes, (hashes % np.uint64(rule.buckets)).astype(np.int64)
+        yield first, len(at), owner, np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n), hashes
+
 
+def _known(hashes: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the words are among the sorted terms, and the numbers of those terms."""
+    at = np.minimum(np.searchsorted(terms, hashes), len(terms) - 1)
+    mine = np.flatnonzero(terms[at] == hashes)
+    return mine, at[mine]
 
-def document_frequencies(docs: DataFrame, used: np.ndarray, rule: Retrieval, text: str = "text") -> np.ndarray:
-    """In how many documents each used bucket occurs, counted over all of them; last, their number."""
+
+def document_frequencies(docs: DataFrame, terms: np.ndarray, text: str = "text") -> np.ndarray:
+    """In how many documents each term occurs, counted over all of them; last, their number."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def counted(batches):
-        total = np.zeros(rule.buckets + 1, np.int64)
+        total = np.zeros(len(shared.value) + 1, np.int64)
         for batch in batches:
-            for _, n, owner, _, _, bucket in _terms(batch.column(0).to_pylist(), rule):
-                mine = used[bucket]
-                once = np.unique(owner[mine] * rule.buckets + bucket[mine])
-                total[:-1] += np.bincount(once % rule.buckets, minlength=rule.buckets)
+            for _, n, owner, _, hashes in _words(batch.column(0).to_pylist()):
+                mine, term = _known(hashes, shared.value)
+                once = np.unique(owner[mine] * len(total) + term)
+                total += np.bincount(once % len(total), minlength=len(total))
                 total[-1] += n
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["term", "n"])
 
-    found = np.zeros(rule.buckets + 1, np.int64)
+    found = np.zeros(len(terms) + 1, np.int64)
     for row in docs.select(text).mapInArrow(counted, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         found[row["term"]] = row["n"]
     return found
 
 
-def _rows(texts: list[str], weights: np.ndarray, rule: Retrieval) -> np.ndarray:
+def _rows(texts: list[str], terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Unit TF-IDF rows of the texts."""
-    out = np.zeros((len(texts), rule.buckets))
-    for first, _, owner, _, _, bucket in _terms(texts, rule):
-        np.add.at(out, (first + owner, bucket), weights[bucket])
+    out = np.zeros((len(texts), len(terms)))
+    for first, _, owner, _, hashes in _words(texts):
+        mine, term = _known(hashes, terms)
+        np.add.at(out, (first + owner[mine], term), weights[term])
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
-def latent_space(passages: DataFrame, weights: np.ndarray, rule: Retrieval) -> np.ndarray:
-    """Right singular vectors (buckets x rank) of the TF-IDF rows of ``passages.text``.
+def latent_space(passages: DataFrame, terms: np.ndarray, weights: np.ndarray, rule: Retrieval) -> np.ndarray:
+    """Right singular vectors (terms x rank) of the TF-IDF rows of ``passages.text``.
 
-    Spark sums A'(A X) over parts of the passages; X and the sums are bounded by buckets x rank.
+    Spark sums A'(A X) over parts of the passages; X and the sums are bounded by terms x rank.
     One power step sharpens the random start, then a small eigenproblem gives the vectors.
     """
-    used = np.flatnonzero(weights)
-    rank = min(rule.rank, len(used))
+    context = passages.sparkSession.sparkContext
+    fixed = context.broadcast((terms, weights))
 
     def through(matrix: np.ndarray) -> np.ndarray:
-        shared = passages.sparkSession.sparkContext.broadcast(matrix)
+        shared = context.broadcast(matrix)
 
         def products(batches):
             total, some = np.zeros_like(shared.value), False
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                for k in range(0, len(texts), 64):
-                    rows = _rows(texts[k : k + 64], weights, rule)[:, used]
+                for k in range(0, len(texts), 16):
+                    rows = _rows(texts[k : k + 16], *fixed.value)
                     total += rows.T @ (rows @ shared.value)
                     some = True
             if some:
@@ -108,18 +120,17 @@ def latent_space(passages: DataFrame, weights: np.ndarray, rule: Retrieval) -> n
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(j), pa.array(total[k, j])], ["k", "j", "x"])
 
         out = np.zeros_like(matrix)
-        for r in passages.select("text").mapInArrow(products, "k bigint, j bigint, x double").groupBy("k", "j").agg(F.sum("x").alias("x")).toLocalIterator():
+        sums = passages.select("text").mapInArrow(products, "k bigint, j bigint, x double").groupBy("k", "j").agg(F.sum("x").alias("x"))
+        for r in sums.toLocalIterator():
             out[r["k"], r["j"]] = r["x"]
         shared.unpersist()
         return out
 
-    start = np.random.default_rng(rule.seed).standard_normal((len(used), rank))
-    basis, _ = np.linalg.qr(through(start))
-    basis, _ = np.linalg.qr(through(basis))
-    values, turns = np.linalg.eigh(basis.T @ through(basis))
-    out = np.zeros((rule.buckets, rank), np.float32)
-    out[used] = basis @ turns[:, ::-1]
-    return out
+    basis = np.random.default_rng(rule.seed).standard_normal((len(terms), min(rule.rank, len(terms))))
+    for _ in range(2):
+        basis, _ = np.linalg.qr(through(basis))
+    _, turns = np.linalg.eigh(basis.T @ through(basis))
+    return (basis @ turns[:, ::-1]).astype(np.float32)
 
 
 def common_subsequence(masks: dict[int, int], words: list[int]) -> int:
@@ -139,37 +150,54 @@ def place_masks(words: list[int]) -> dict[int, int]:
     return masks
 
 
-def _searched(texts: list[str | None], space: np.ndarray, weights: np.ndarray, items: list, latent: np.ndarray, rule: Retrieval, masks: dict):
+@dataclass(frozen=True)
+class Stock:
+    """What one pass looks for: passages as word hashes, their ids and latent rows, and the space."""
+
+    name: str
+    ids: list[int]
+    words: list[list[int]]
+    latent: np.ndarray
+    terms: np.ndarray
+    weighed: np.ndarray  # terms x rank, the projection times the weights
+
+
+def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dict) -> list[list[dict]]:
     """The hits of each text; one list per text."""
     hits: list[dict[int, dict]] = [{} for _ in texts]
-    weighed = space * weights[:, None].astype(np.float32)
-    heavy = weights > 0
-    for first, n_texts, owner, place, hashes, bucket in _terms(texts, rule):
-        if not len(owner):
+    items, latent = stock.words, stock.latent
+    for first, n_texts, owner, place, hashes in _words(texts):
+        mine, term = _known(hashes, stock.terms)
+        if not len(mine):
             continue
         n_words = np.bincount(owner, minlength=n_texts)
         n_blocks = -(-n_words // rule.block_words)
         block_at, word_at = np.cumsum(n_blocks) - n_blocks, np.cumsum(n_words) - n_words
-        blocks = np.zeros((int(n_blocks.sum()), space.shape[1]), np.float32)
-        mine = np.flatnonzero(heavy[bucket])
-        if not len(mine):
-            continue
+        blocks = np.zeros((int(n_blocks.sum()), latent.shape[1]), np.float32)
         block = block_at[owner[mine]] + place[mine] // rule.block_words
+        weighty = np.bincount(block, minlength=len(blocks))
         for k in range(0, len(mine), 1 << 14):
             part = block[k : k + (1 << 14)]
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
-            blocks[part[cuts]] += np.add.reduceat(weighed[bucket[mine[k : k + (1 << 14)]]], cuts, axis=0)
+            blocks[part[cuts]] += np.add.reduceat(stock.weighed[term[k : k + (1 << 14)]], cuts, axis=0)
         block_owner = np.repeat(np.arange(n_texts), n_blocks)
         for scale in rule.scales:
-            windows = blocks.copy()
+            enough = weighty.copy()
             for k in range(1, scale):
-                same = block_owner[k:] == block_owner[:-k]
-                windows[:-k][same] += blocks[k:][same]
-            windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
-            for low in range(0, len(windows), 2048):
-                cosines = windows[low : low + 2048] @ latent.T
-                for w, item in zip(*np.nonzero(cosines >= rule.cosine)):
-                    doc = int(block_owner[low + w])
+                enough[:-k] += np.where(block_owner[k:] == block_owner[:-k], weighty[k:], 0)
+            chosen = np.flatnonzero(enough >= rule.least_terms)
+            for low in range(0, len(chosen), 2048):
+                at = chosen[low : low + 2048]
+                windows = blocks[at]
+                for k in range(1, scale):
+                    after = np.minimum(at + k, len(blocks) - 1)
+                    windows += blocks[after] * ((block_owner[after] == block_owner[at]) & (after == at + k))[:, None]
+                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+                cosines = windows @ latent.T
+                near = np.flatnonzero(cosines.max(axis=1) >= rule.cosine)
+                for r, item in zip(*np.nonzero(cosines[near] >= rule.cosine)):
+                    w = near[r]
+                    doc = int(block_owner[at[w]])
                     known = hits[first + doc].get(int(item))
                     if known and known["lcs"] >= 1:
                         continue
@@ -177,9 +205,9 @@ def _searched(texts: list[str | None], space: np.ndarray, weights: np.ndarray, i
                         words = items[item]
                         masks[int(item)] = place_masks(words), place_masks(words[-rule.answer_words :])
                     words = items[item]
-                    at = int(low + w - block_at[doc]) * rule.block_words
+                    start = int(at[w] - block_at[doc]) * rule.block_words
                     more = max(rule.block_words, len(words) // 2)
-                    a, b = max(0, at - more), min(int(n_words[doc]), at + scale * rule.block_words + more)
+                    a, b = max(0, start - more), min(int(n_words[doc]), start + scale * rule.block_words + more)
                     region = hashes[word_at[doc] + a : word_at[doc] + b].tolist()
                     whole, answer = masks[int(item)]
                     share = common_subsequence(whole, region) / len(words)
@@ -211,61 +239,54 @@ def benchmark_hits(
         F.col(item).cast("bigint").alias("id"), F.col(item_text).alias("text")
     )
     passages = staged(passages, "passages")
-    total = passages.count()
-    if not total:
+    runs = -(-passages.count() // rule.items)
+    parts, found = [], docs
+    for run in range(runs):
+        own = passages.filter(F.pmod(F.xxhash64("id", "text"), F.lit(runs)) == run)
+        if stock := _stock(docs, own, rule, text):
+            parts.append(f"_hits_{run}")
+            found = found.withColumn(parts[-1], _searcher(context.broadcast(stock), rule)(F.col(text)))
+    if not parts:
         return docs.withColumn("hits", none)
+    return found.withColumn("hits", F.array_sort(F.concat(*parts))).drop(*parts)
 
-    def buckets(batches):
-        used = np.zeros(rule.buckets, bool)
-        for batch in batches:
-            for _, _, _, _, _, bucket in _terms(batch.column(0).to_pylist(), rule):
-                used[bucket] = True
-        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(used))], ["term"])
-
-    used = np.zeros(rule.buckets, bool)
-    used[[r["term"] for r in passages.select("text").mapInArrow(buckets, "term bigint").distinct().collect()]] = True
-    counts = document_frequencies(docs, used, rule, text)
-    weights = np.where(used, np.log((counts[-1] + 1) / (counts[:-1] + 1)) + 1e-3, 0.0)
-    if not used.any():
-        return docs.withColumn("hits", none)
-    space = context.broadcast(latent_space(passages, weights, rule))
-    shared_weights = context.broadcast(weights)
 
-    runs = -(-total // rule.items)
-    found = docs
-    for run in range(runs):
-        own = passages if runs == 1 else passages.filter(F.pmod(F.xxhash64("id", "text"), F.lit(runs)) == run)
-        own = own.orderBy("id", "text").collect()
-        words: list[list[int]] = [[] for _ in own]
-        for first, _, owner, _, hashes, _ in _terms([r["text"] for r in own], rule):
-            for k, h in zip(owner.tolist(), hashes.tolist()):
-                words[first + k].append(h)
-        filled = [k for k, w in enumerate(words) if w]
-        latent = np.concatenate(
-            [_rows([own[j]["text"] for j in filled[k : k + 64]], weights, rule) @ space.value for k in range(0, len(filled), 64)]
-            or [np.zeros((0, space.value.shape[1]))]
-        )
-        latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
-        stock = context.broadcast(([words[k] for k in filled], latent, [own[k]["id"] for k in filled], uuid.uuid4().hex))
-
-        search = _searcher(stock, space, shared_weights, rule)
-        found = found.withColumn(f"_hits_{run}", search(F.col(text)))
-    parts = [f"_hits_{run}" for run in range(runs)]
-    return found.withColumn("hits", F.array_sort(F.concat(*parts))).drop(*parts)
+def _stock(docs: DataFrame, passages: DataFrame, rule: Retrieval, text: str) -> Stock | None:
+    """The passages of one pass with their latent space; None if they have no words."""
+    own = passages.orderBy("id", "text").collect()
+    words: list[list[int]] = [[] for _ in own]
+    for first, _, owner, _, hashes in _words([r["text"] for r in own]):
+        for k, h in zip(owner.tolist(), hashes.tolist()):
+            words[first + k].append(h)
+    filled = [k for k, w in enumerate(words) if w]
+    if not filled:
+        return None
+    terms = np.unique(np.concatenate([np.array(words[k], np.uint64) for k in filled]))
+    counts = document_frequencies(docs, terms, text)
+    rare = counts[:-1] <= rule.common * counts[-1]
+    if not rare.any():
+        rare[:] = True
+    terms, weights = terms[rare], np.log((counts[-1] + 2) / (counts[:-1][rare] + 1))
+    space = latent_space(passages, terms, weights, rule)
+    parts = [_rows([own[j]["text"] for j in filled[k : k + 16]], terms, weights) @ space for k in range(0, len(filled), 16)]
+    latent = np.concatenate(parts)
+    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    weighed = space * weights[:, None].astype(np.float32)
+    return Stock(uuid.uuid4().hex, [own[k]["id"] for k in filled], [words[k] for k in filled], latent, terms, weighed)
 
 
-#: Place masks of the passages of a run, by the name of the run, kept between the batches of a task.
+#: Place masks of the passages of a pass, by its name, kept between the batches of a task.
 _MASKS: dict[str, dict] = {}
 
 
-def _searcher(stock, space, weights, rule: Retrieval):
-    """The search as a column function; all three are broadcasts."""
+def _searcher(shared, rule: Retrieval):
+    """The search for a broadcast stock as a column function."""
 
     @F.arrow_udf(returnType=HIT_DDL)
     def search(texts: pa.Array) -> pa.Array:
-        words, latent, ids, name = stock.value
-        hits = _searched(texts.to_pylist(), space.value, weights.value, words, latent, rule, _MASKS.setdefault(name, {}))
-        return pa.array([[x | {"item": ids[x["item"]]} for x in h] for h in hits], HIT)
+        stock = shared.value
+        hits = _searched(texts.to_pylist(), stock, rule, _MASKS.setdefault(stock.name, {}))
+        return pa.array([[x | {"item": stock.ids[x["item"]]} for x in h] for h in hits], HIT)
 
     return search
 
