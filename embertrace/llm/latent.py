@@ -4,7 +4,8 @@ Benchmark passages become TF-IDF rows over their terms, with document frequencie
 all documents; terms of more than ``common`` of the documents carry no weight.  A randomised SVD of these rows, whose products with the rows are summed by Spark,
 gives a latent space.  Every text is projected block by block of words; sums of neighbouring
 blocks are its windows at several lengths.  Windows whose cosine with a benchmark passage is high
-enough are candidates, and those are confirmed by the longest common subsequence of words and, for
+enough, and which hold enough of its weight (a window with three words of it does not), are
+candidates, and those are confirmed by the longest common subsequence of words and, for
 looser paraphrases, by finding the end of the passage (its answer) in the window.
 """
 
@@ -34,6 +35,7 @@ class Retrieval:
     block_words: int = 12
     scales: tuple[int, ...] = (2, 4)
     cosine: float = 0.55
+    cover: float = 0.4
     sure: float = 0.75
     likely: float = 0.55
     answer_words: int = 8
@@ -87,16 +89,16 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray, text: str = "text")
 
 
 def _rows(texts: list[str], terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """Unit TF-IDF rows of the texts."""
+    """TF-IDF rows of the texts."""
     out = np.zeros((len(texts), len(terms)))
     for first, _, owner, _, hashes in _words(texts):
         mine, term = _known(hashes, terms)
         np.add.at(out, (first + owner[mine], term), weights[term])
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return out
 
 
 def latent_space(passages: DataFrame, terms: np.ndarray, weights: np.ndarray, rule: Retrieval) -> np.ndarray:
-    """Right singular vectors (terms x rank) of the TF-IDF rows of ``passages.text``.
+    """Right singular vectors (terms x rank) of the unit TF-IDF rows of ``passages.text``.
 
     Spark sums A'(A X) over parts of the passages; X and the sums are bounded by terms x rank.
     One power step sharpens the random start, then a small eigenproblem gives the vectors.
@@ -113,6 +115,7 @@ def latent_space(passages: DataFrame, terms: np.ndarray, weights: np.ndarray, ru
                 texts = batch.column(0).to_pylist()
                 for k in range(0, len(texts), 16):
                     rows = _rows(texts[k : k + 16], *fixed.value)
+                    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
                     total += rows.T @ (rows @ shared.value)
                     some = True
             if some:
@@ -158,6 +161,7 @@ class Stock:
     ids: list[int]
     words: list[list[int]]
     latent: np.ndarray
+    weight: np.ndarray  # length of each passage's row, as far as the space holds it
     terms: np.ndarray
     weighed: np.ndarray  # terms x rank, the projection times the weights
 
@@ -192,11 +196,14 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
                 for k in range(1, scale):
                     after = np.minimum(at + k, len(blocks) - 1)
                     windows += blocks[after] * ((block_owner[after] == block_owner[at]) & (after == at + k))[:, None]
-                windows /= np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+                length = np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
+                windows /= length
                 cosines = windows @ latent.T
                 near = np.flatnonzero(cosines.max(axis=1) >= rule.cosine)
-                for r, item in zip(*np.nonzero(cosines[near] >= rule.cosine)):
-                    w = near[r]
+                w_near, found = np.nonzero(cosines[near] >= rule.cosine)
+                w_near = near[w_near]
+                covers = cosines[w_near, found] * length[w_near, 0] >= rule.cover * stock.weight[found]
+                for w, item in zip(w_near[covers], found[covers]):
                     doc = int(block_owner[at[w]])
                     known = hits[first + doc].get(int(item))
                     if known and known["lcs"] >= 1:
@@ -270,9 +277,10 @@ def _stock(docs: DataFrame, passages: DataFrame, rule: Retrieval, text: str) ->
     space = latent_space(passages, terms, weights, rule)
     parts = [_rows([own[j]["text"] for j in filled[k : k + 16]], terms, weights) @ space for k in range(0, len(filled), 16)]
     latent = np.concatenate(parts)
-    latent = (latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+    weight = np.maximum(np.linalg.norm(latent, axis=1), 1e-9)
+    latent = (latent / weight[:, None]).astype(np.float32)
     weighed = space * weights[:, None].astype(np.float32)
-    return Stock(uuid.uuid4().hex, [own[k]["id"] for k in filled], [words[k] for k in filled], latent, terms, weighed)
+    return Stock(uuid.uuid4().hex, [own[k]["id"] for k in filled], [words[k] for k in filled], latent, weight, terms, weighed)
 
 
 #: Place masks of the passages of a pass, by its name, kept between the batches of a task.
