@@ -91,8 +91,11 @@ class WordEncoder:
         self.model.encode_special_tokens = True
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
         self.coding = coding
-        self.memo: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}  # words at the start of a line
+        self.tails: dict[str, bytes] = {}  # words behind a space
         self.end = self._packed([coding.end_id])
+        self.line_break = self._encoded(["\n"])[0]
+        self.break_id = int(np.frombuffer(self.line_break, f"<u{self.width}")[0])
 
     def _packed(self, ids: list[int]) -> bytes:
         return np.array(ids, f"<u{self.width}").tobytes()
@@ -100,36 +103,53 @@ class WordEncoder:
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [self._packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def words(text: str) -> list[str]:
-        """The text cut at its spaces and line breaks; a space goes with what follows it."""
-        parts: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            words = line.split(" ")
-            if k:
-                parts.append("\n")
-            parts.append(words[0])
-            parts += [" " + w for w in words[1:]]
-        return parts
+    def _learn(self, memo: dict[str, bytes], new: set[str], before: str) -> set[str]:
+        """Adds the words to ``memo``, encoded behind ``before``; returns those that are no single words."""
+        odd = {w for w in new if w.split() != [w]}
+        plain = list(new - odd)
+        runs = [plain[k : k + 512] for k in range(0, len(plain), 512)]
+        # A line break between words is a token of its own and occurs in none of them.
+        for run, ids in zip(runs, self._encoded(["\n".join([before + w for w in run]) for run in runs])):
+            breaks = np.flatnonzero(np.frombuffer(ids, f"<u{self.width}") == self.break_id) * self.width
+            starts = [0, *(breaks + self.width).tolist()]
+            memo.update(zip(run, [ids[a:b] for a, b in zip(starts, [*breaks.tolist(), len(ids)])]))
+        return odd
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        if len(self.memo) > self.coding.memo:
-            self.memo.clear()
-        cut = [self.words(t) if t else [] for t in texts]
-        memo, new, odd = self.memo, {}, set()
-        for k, parts in enumerate(cut):
-            for part in parts:
-                if part not in memo and part not in new:
-                    bare = part[1:] if part[:1] == " " else part
-                    if part != "\n" and (not bare or bare.split() != [bare]):
-                        odd.add(k)
-                        break
-                    new[part] = None
-        if new:
-            memo.update(zip(new, self._encoded(list(new))))
+        for memo in (self.heads, self.tails):
+            if len(memo) > self.coding.memo:
+                memo.clear()
+        cut, new_heads, new_tails = [], set(), set()
+        for text in texts:
+            lines = [line.partition(" ") for line in text.split("\n")] if text else []
+            lines = [(head, tail.split(" ") if space else []) for head, space, tail in lines]
+            cut.append(lines)
+            new_heads.update({head for head, _ in lines}.difference(self.heads))
+            for _, tail in lines:
+                new_tails.update(set(tail).difference(self.tails))
+        odd_heads = self._learn(self.heads, new_heads, "")
+        odd_tails = self._learn(self.tails, new_tails, " ")
+        odd = set()
+        if odd_heads or odd_tails:
+            odd = {k for k, lines in enumerate(cut) for head, tail in lines if head in odd_heads or not odd_tails.isdisjoint(tail)}
         whole = dict(zip(sorted(odd), self._encoded([texts[k] for k in sorted(odd)]))) if odd else {}
-        return [(whole[k] if k in whole else b"".join([memo[p] for p in parts])) + self.end for k, parts in enumerate(cut)]
+        tails, heads = self.tails.__getitem__, self.heads
+        out = []
+        for k, lines in enumerate(cut):
+            ids = whole[k] if k in whole else self.line_break.join([heads[head] + b"".join(map(tails, tail)) for head, tail in lines])
+            out.append(ids + self.end)
+        return out
+
+
+#: Encoders of this worker process, kept from task to task with the words they know.
+_ENCODERS: dict[Coding, WordEncoder] = {}
+
+
+def _encoder(coding: Coding) -> WordEncoder:
+    if coding not in _ENCODERS:
+        _ENCODERS[coding] = WordEncoder(coding)
+    return _ENCODERS[coding]
 
 
 def write_records(docs: DataFrame, folder: str, coding: Coding, text: str = "text", key: str = "doc_id") -> list[RecordFile]:
@@ -149,7 +169,7 @@ def write_records(docs: DataFrame, folder: str, coding: Coding, text: str = "tex
                 for k in range(0, batch.num_rows, coding.batch):
                     part = batch.slice(k, coding.batch)
                     if encoder is None:
-                        encoder = WordEncoder(coding)
+                        encoder = _encoder(coding)
                         store, root = fs.FileSystem.from_uri(folder)
                         store.create_dir(root, recursive=True)
                         name = f"{root}/part-{number:06d}-{uuid.uuid4().hex}"
