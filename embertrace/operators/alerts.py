@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
 from embertrace.operators.ranking import top_rows
+from embertrace.session import cut
 
 
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
@@ -20,8 +21,46 @@ def _orderable(rows: DataFrame, column: str) -> bool:
     return rows.schema[column].dataType.typeName() in {"string", "double", "integer", "long", "boolean", "timestamp"}
 
 
+def newest_scores(scores: DataFrame) -> DataFrame:
+    """The row of the newest run for every alert; runs are told apart by ``scored_at`` and ``run_id``."""
+    if "run_id" not in scores.columns:
+        return scores
+    others = [c for c in scores.columns if c != "alert_id"]
+    newest = F.max_by(F.struct(*others), F.struct("ml.scored_at", "run_id"))
+    return scores.groupBy("alert_id").agg(newest.alias("r")).select("alert_id", "r.*")
+
+
+def newest_top(scores: DataFrame, chosen: Column, limit: int, look_at: int | None = None) -> DataFrame:
+    """The ``limit`` highest of the newest rows that satisfy ``chosen``, without shuffling the scores.
+
+    The highest rows of all runs are taken first, then the newest rows of just these alerts are
+    looked up in one scan; rows that a newer run replaced fall out.  If too few are left, more
+    rows are taken.
+    """
+    order = [F.desc("ml.anomaly_score"), F.col("alert_id")]
+    if "run_id" not in scores.columns:
+        return top_rows(scores.filter(chosen), limit, *order)
+    take = look_at or 4 * limit
+    while True:
+        narrow = scores.filter(chosen).select("alert_id", "run_id", "ml.anomaly_score", "ml.scored_at")
+        highest = cut(top_rows(narrow, take, F.desc("anomaly_score"), F.col("alert_id"), F.desc("run_id")))
+        ids = highest.select("alert_id").distinct()
+        # As many ids as rows were taken: a few hundred unless old runs scored far higher.
+        few = F.broadcast(ids) if take <= _BROADCAST_IDS else ids
+        newest = newest_scores(scores.join(few, "alert_id", "left_semi"))
+        taken = highest.select("alert_id", "run_id", F.lit(True).alias("_taken")).distinct()
+        standing = cut(newest.join(taken, ["alert_id", "run_id"]).filter(chosen).drop("_taken"))
+        if highest.count() < take or standing.count() >= limit:
+            return top_rows(standing, limit, *order)
+        take *= 4
+
+
+_BROADCAST_IDS = 100_000
+
+
 def current_alerts(scores: DataFrame, triage: DataFrame, notifications: DataFrame) -> DataFrame:
-    """Scores with the latest triage and whether a notification went out."""
+    """The newest score of every alert with its latest triage and whether a notification went out."""
+    scores = newest_scores(scores)
     newest = latest(triage, "alert_id", "enriched_at").select(
         "alert_id", F.struct(*[c for c in triage.columns if c != "alert_id"]).alias("triage")
     )
@@ -38,6 +77,14 @@ def current_alerts(scores: DataFrame, triage: DataFrame, notifications: DataFram
     )
 
 
+def top_alerts(scores: DataFrame, triage: DataFrame, notifications: DataFrame, chosen: Column, limit: int) -> DataFrame:
+    """Current state of the ``limit`` highest alerts that satisfy ``chosen``: cut first, joined then."""
+    top = cut(newest_top(scores, chosen, limit))
+    ids = F.broadcast(top.select("alert_id"))  # at most ``limit`` rows
+    of_top = lambda rows: rows.join(ids, "alert_id", "left_semi")
+    return current_alerts(top, of_top(triage), of_top(notifications))
+
+
 def alert_queue(alerts: DataFrame, threshold: float = 0.70, limit: int | None = 100) -> DataFrame:
     """Flat queue rows at or above a score, highest first."""
     text = lambda name: F.coalesce(F.col(name), F.lit(""))
@@ -147,8 +194,11 @@ def notification_rows(pending: DataFrame, outcomes: DataFrame, at: Column) -> Da
 
 
 def notification_summary(fetched: DataFrame, log_rows: DataFrame) -> DataFrame:
-    """One row: fetched, sent, failed, and fetched but not attempted."""
-    outcome = fetched.select("alert_id").join(log_rows.select("alert_id", "status"), "alert_id", "left")
+    """One row: alerts fetched, sent, failed (and never sent), and fetched but not attempted."""
+    tried = log_rows.groupBy("alert_id").agg(
+        F.when(F.bool_or(F.col("status") == "sent"), "sent").otherwise("failed").alias("status")
+    )
+    outcome = fetched.select("alert_id").distinct().join(tried, "alert_id", "left")
     return outcome.agg(
         F.count(F.lit(1)).alias("total_fetched"),
         F.count_if(F.coalesce(F.col("status") == "sent", F.lit(False))).alias("sent"),

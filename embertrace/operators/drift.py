@@ -40,9 +40,9 @@ def window_histogram(reference: DataFrame, current: DataFrame, names: Sequence[s
     )
 
 
-def cumulative_windows(histogram: DataFrame, **options) -> DataFrame:
+def cumulative_windows(histogram: DataFrame) -> DataFrame:
     """The histogram with running sums of both windows, computed once."""
-    return cut(cumulative(histogram, "value", ["ref", "cur"], ["feature"], **options))
+    return cut(cumulative(histogram, "value", ["ref", "cur"], ["feature"]))
 
 
 def distances(running: DataFrame) -> DataFrame:
@@ -148,11 +148,11 @@ def gate_verdict(gates: DataFrame) -> DataFrame:
     )
 
 
-def quality_profile(features: DataFrame, names: Sequence[str] = fv.FEATURES, **options) -> DataFrame:
+def quality_profile(features: DataFrame, names: Sequence[str] = fv.FEATURES) -> DataFrame:
     """Per feature: rows, nulls, distinct values, spread, exact quartiles, commonest share."""
     counts = _long(features, names).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
     counts = cut(counts)
-    running = cut(cumulative(counts.filter(F.col("value").isNotNull()), "value", ["cnt"], ["feature"], **options))
+    running = cut(cumulative(counts.filter(F.col("value").isNotNull()), "value", ["cnt"], ["feature"]))
     reached = F.col("cnt_below") + F.col("cnt")
     quartile = lambda q: F.min(
         F.when(reached >= F.col("cnt_total") * F.lit(q), F.col("value"))

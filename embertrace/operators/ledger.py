@@ -18,7 +18,7 @@ def last_valid_run(ledger: DataFrame, job_type: str = "retrain") -> DataFrame:
         & (F.coalesce(F.size("errors"), F.lit(0)) <= 0)
         & F.col("completed_at").isNotNull()
     )
-    newest = valid.agg(F.max_by(F.struct("run_id", "completed_at"), F.struct("run_id", "completed_at")).alias("r"))
+    newest = valid.agg(F.max_by(F.struct("run_id", "completed_at"), F.struct("completed_at", "run_id")).alias("r"))
     return newest.filter(F.col("r").isNotNull()).select("r.run_id", "r.completed_at")
 
 
@@ -30,12 +30,13 @@ def run_row(
     result: str,
     errors: list[str] | None = None,
     dry_run: bool = False,
+    run_id: str | None = None,
 ) -> DataFrame:
-    """One ledger row; the run id is the start time."""
+    """One ledger row; without a run id, the start time is one."""
     return spark.createDataFrame(
         [
             (
-                started_at.strftime("%Y%m%d_%H%M%S"),
+                run_id or started_at.strftime("%Y%m%d_%H%M%S"),
                 job_type,
                 started_at,
                 completed_at,

@@ -26,10 +26,10 @@ def look_back(rows: DataFrame, as_of: datetime, hours: int = 24, ts: str = "time
     return rows.filter(F.col(ts).between(F.lit(as_of - timedelta(hours=hours)), F.lit(as_of)))
 
 
-def value_codes(rows: DataFrame, column: str, **options) -> DataFrame:
+def value_codes(rows: DataFrame, column: str) -> DataFrame:
     """``column, code, cnt``: position of each distinct value in sorted order, from 0."""
     counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("cnt"))
-    numbered = cumulative(counts.withColumn("one", F.lit(1)), column, ["one"], **options)
+    numbered = cumulative(counts.withColumn("one", F.lit(1)), column, ["one"])
     return numbered.select(column, F.col("one_below").cast("bigint").alias("code"), "cnt")
 
 

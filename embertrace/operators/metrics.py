@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 
 def counts_with_total(rows: DataFrame, key: str, count_name: str = "events") -> DataFrame:
-    """Rows per value and in all; the total row has a null key."""
-    named = rows.filter(F.col(key).isNotNull())
-    return named.rollup(key).agg(F.count(F.lit(1)).alias(count_name))
+    """Rows per value and in all.  ``is_total`` marks the row of all, since a null key is a value too."""
+    return rows.rollup(key).agg((F.grouping(key) == 1).alias("is_total"), F.count(F.lit(1)).alias(count_name))
 
 
 def counts(rows: DataFrame, *keys: Column) -> DataFrame:

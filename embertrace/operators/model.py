@@ -97,13 +97,13 @@ class RankedScores:
     hi: float
 
 
-def rank_scores(scored: DataFrame, **options) -> RankedScores:
+def rank_scores(scored: DataFrame) -> RankedScores:
     """Materialise the raw scores and rank their distinct values once.
 
     Bounds, cut-off, percentiles and p95 are all read off the ranks.
     """
     rows = cut(scored)
-    ranks = cut(value_ranks(rows, "raw", **options))
+    ranks = cut(value_ranks(rows, "raw"))
     bounds = ranks.agg(
         F.coalesce(F.sum("cnt"), F.lit(0)).alias("n"),
         F.min("raw").alias("lo"),

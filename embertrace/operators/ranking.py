@@ -15,17 +15,12 @@ from pyspark.sql import functions as F
 from embertrace.operators.skew import BROADCAST_ROWS, HEAVY_KEYS, join_counts, table_size
 from embertrace.session import cut
 
-# Up to this many distinct values are ordered in one task.
-ONE_TASK_ROWS = 100_000
-
 
 def cumulative(
     histogram: DataFrame,
     value: str,
     measures: Sequence[str],
     group: Sequence[str] = (),
-    *,
-    one_task_rows: int = ONE_TASK_ROWS,
 ) -> DataFrame:
     """Running sums of a histogram (one row per group and value) in value order.
 
@@ -35,20 +30,8 @@ def cumulative(
     """
     keys = list(group)
     whole = [F.lit(1)] if not keys else [F.col(k) for k in keys]
-    small = cut(histogram)
-    if small.count() <= one_task_rows:
-        order = Window.partitionBy(*whole).orderBy(value)
-        before = order.rowsBetween(Window.unboundedPreceding, -1)
-        everything = Window.partitionBy(*whole)
-        return small.select(
-            "*",
-            *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"{m}_below") for m in measures],
-            *[F.sum(m).over(everything).alias(f"{m}_total") for m in measures],
-            F.lead(value).over(order).alias("next_value"),
-        )
-
     # The range number is written with the rows, so it cannot change on a re-run.
-    ranged = cut(small.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
+    ranged = cut(histogram.repartitionByRange(*keys, value).withColumn("_range", F.spark_partition_id()))
     per_range = ranged.groupBy(*keys, "_range").agg(
         *[F.sum(m).alias(f"_{m}_here") for m in measures], F.min(value).alias("_first")
     )
@@ -67,7 +50,7 @@ def cumulative(
     inside_before = inside.rowsBetween(Window.unboundedPreceding, -1)
     # The join and the window below need the same placement by group and range.
     return ranged.join(offsets, [*keys, "_range"]).select(
-        *[F.col(c) for c in small.columns],
+        *[F.col(c) for c in histogram.columns],
         *[
             (F.col(f"_{m}_before") + F.coalesce(F.sum(m).over(inside_before), F.lit(0))).alias(f"{m}_below")
             for m in measures
@@ -77,10 +60,10 @@ def cumulative(
     )
 
 
-def value_ranks(df: DataFrame, value: str, group: Sequence[str] = (), **options) -> DataFrame:
+def value_ranks(df: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Per distinct value: ``cnt`` rows, ``cnt_below`` smaller ones, ``cnt_total`` in all."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("cnt"))
-    return cumulative(counts, value, ["cnt"], group, **options)
+    return cumulative(counts, value, ["cnt"], group)
 
 
 def average_percentile(below: Column, count: Column, total: Column) -> Column:
@@ -93,13 +76,12 @@ def percentile_rank(
     value: str,
     spread_by: Column,
     *,
-    one_task_rows: int = ONE_TASK_ROWS,
     broadcast_rows: int = BROADCAST_ROWS,
     heavy_keys: int = HEAVY_KEYS,
 ) -> DataFrame:
     """Add ``percentile``: the average rank of the row's value over all rows, in percent."""
     ranks = cut(
-        value_ranks(df, value, one_task_rows=one_task_rows).select(
+        value_ranks(df, value).select(
             value,
             "cnt",
             average_percentile(F.col("cnt_below"), F.col("cnt"), F.col("cnt_total")).alias("percentile"),
@@ -138,27 +120,16 @@ def quantile_columns(value: str, probabilities: Sequence[float], names: Sequence
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: Sequence[float], group: Sequence[str] = (), **options
+    df: DataFrame, value: str, probabilities: Sequence[float], group: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles ``q1, q2, …`` per group, without a single-task sort of the column."""
     names = [f"q{i + 1}" for i in range(len(probabilities))]
     return (
-        value_ranks(df, value, group, **options).groupBy(*group).agg(*quantile_columns(value, probabilities, names))
+        value_ranks(df, value, group).groupBy(*group).agg(*quantile_columns(value, probabilities, names))
     )
 
 
-def nearest_rank_columns(value: str, probabilities: Sequence[float], names: Sequence[str]) -> list[Column]:
-    """Aggregates for the smallest value whose cumulative share reaches the probability."""
-    return [
-        F.min(
-            F.when(F.col("cnt_below") + F.col("cnt") >= F.col("cnt_total") * F.lit(float(q)), F.col(value))
-        ).alias(name)
-        for q, name in zip(probabilities, names)
-    ]
-
-
 def top_rows(df: DataFrame, limit: int | None, *order: Column) -> DataFrame:
-    """Ordered rows, at most ``limit`` of them: a top-k without a full sort."""
-    ordered = df.orderBy(*order)
-    return ordered if limit is None else ordered.limit(limit)
+    """The first ``limit`` rows, ordered: a top-k without a full sort.  Without a limit, all rows in no order."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
 

@@ -210,7 +210,13 @@ def fused_routing(spark, sf_dir):
 
 def _current(spark, sf_dir) -> DataFrame:
     return alerts.current_alerts(
-        t.scored_alerts(spark, sf_dir), t.triage_rows(spark, sf_dir), t.notification_rows(spark, sf_dir)
+        t.score_runs(spark, sf_dir), t.triage_rows(spark, sf_dir), t.notification_rows(spark, sf_dir)
+    )
+
+
+def _top(spark, sf_dir, chosen: Column, limit: int) -> DataFrame:
+    return alerts.top_alerts(
+        t.score_runs(spark, sf_dir), t.triage_rows(spark, sf_dir), t.notification_rows(spark, sf_dir), chosen, limit
     )
 
 
@@ -231,7 +237,7 @@ def current_alerts(spark, sf_dir):
 
 @query
 def alert_queue(spark, sf_dir):
-    return alerts.alert_queue(_current(spark, sf_dir))
+    return alerts.alert_queue(_top(spark, sf_dir, F.col("ml.anomaly_score") >= 0.7, 100))
 
 
 @query
@@ -241,7 +247,7 @@ def disagreement(spark, sf_dir):
 
 @query
 def anomaly_top10(spark, sf_dir):
-    return alerts.anomaly_top(_current(spark, sf_dir))
+    return alerts.anomaly_top(_top(spark, sf_dir, F.col("ml.is_anomaly"), 10))
 
 
 @query
@@ -326,6 +332,13 @@ def source_counts_total(spark, sf_dir):
     return metrics.counts_with_total(t.table(spark, sf_dir, "documents"), "source")
 
 
+@query
+def parent_counts_total(spark, sf_dir):
+    """Parents and all events; events without a parent count in both."""
+    parents = t.sec_events(spark, sf_dir).select(F.col("process.parent.name").alias("parent"))
+    return metrics.counts_with_total(parents, "parent")
+
+
 @query
 def category_counts(spark, sf_dir):
     events = t.sec_events(spark, sf_dir)
@@ -893,6 +906,15 @@ def iforest_incremental(spark, sf_dir):
     return _flat_scores(scores)
 
 
+@query
+def incremental_batch(spark, sf_dir):
+    """Days after the boundary scored with the saved model, relative to themselves."""
+    events = t.searched_events(spark, sf_dir)
+    boundary = F.lit(at(_DRIFT_FROM))
+    run = retrain_plan.retrain(events.filter(F.col("ts") < boundary), "m")
+    return _flat_scores(retrain_plan.score_new(run.model, events.filter(F.col("ts") >= boundary)))
+
+
 # --- streams ------------------------------------------------------------------------
 
 

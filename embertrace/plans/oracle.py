@@ -73,6 +73,7 @@ triage AS (
 ),
 notes AS (
   SELECT alert_id, ts, CASE WHEN k % 2 = 0 THEN 'sent' ELSE 'failed' END AS status FROM sec WHERE k % 10 < 3
+  UNION ALL SELECT alert_id, ts, 'failed' FROM sec WHERE k % 10 = 0
 )"""
 )
 
@@ -318,7 +319,10 @@ WITH {SCORED} SELECT user_name AS source_ip, round(avg(score), 6) AS mean_score
 FROM alerts WHERE score > 0.75 GROUP BY 1 ORDER BY avg(score) DESC, 1 LIMIT 20"""
 
 ORACLE["source_counts_total"] = """
-SELECT source, count(*) AS events FROM documents WHERE source IS NOT NULL GROUP BY ROLLUP (source)"""
+SELECT source, grouping(source) = 1 AS is_total, count(*) AS events FROM documents GROUP BY ROLLUP (source)"""
+
+ORACLE["parent_counts_total"] = f"""
+WITH {BASE} SELECT parent, grouping(parent) = 1 AS is_total, count(*) AS events FROM sec GROUP BY ROLLUP (parent)"""
 
 ORACLE["category_counts"] = f"""
 WITH {BASE} SELECT cat AS category, event_type AS source_dataset, count(*) AS events FROM sec GROUP BY 1, 2"""
@@ -336,7 +340,8 @@ ORACLE["notify_summary"] = f"""
 WITH {TRIAGE}
 SELECT count(*) AS total_fetched, count(*) FILTER (status = 'sent') AS sent,
   count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status IS NULL) AS skipped
-FROM alerts LEFT JOIN notes USING (alert_id) WHERE score_routing <> 'auto-close'"""
+FROM alerts LEFT JOIN (SELECT alert_id, CASE WHEN bool_or(status = 'sent') THEN 'sent' ELSE 'failed' END AS status
+  FROM notes GROUP BY 1) USING (alert_id) WHERE score_routing <> 'auto-close'"""
 
 ORACLE["tactic_counts"] = f"""
 WITH {BASE} SELECT CASE k % 4 WHEN 0 THEN 'Lateral Movement' WHEN 1 THEN 'Execution' WHEN 2 THEN 'Discovery'
@@ -522,7 +527,7 @@ SELECT 'e' || event_id AS alert_id, {_TS.format('ts')} AS ts FROM events ORDER B
 ORACLE["last_valid_run"] = f"""
 SELECT 'run' || lpad(o_orderkey::VARCHAR, 9, '0') AS run_id, {_TS.format('o_orderdate')} AS completed_at FROM orders
 WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderstatus <> 'F'
-ORDER BY run_id DESC LIMIT 1"""
+ORDER BY o_orderdate DESC, run_id DESC LIMIT 1"""
 
 STEPS = (
     SCORED

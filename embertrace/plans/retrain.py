@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
@@ -22,7 +22,7 @@ from embertrace.operators.model import (
     training_scores,
 )
 from embertrace.session import cut, spread
-from embertrace.sources.tables import append, append_scores, write_snapshot
+from embertrace.sources.tables import replace_partitions, write_scores, write_snapshot
 
 
 @dataclass(frozen=True)
@@ -97,14 +97,15 @@ def with_events(events: DataFrame, scores: DataFrame, run_id: Column, scored_at:
 def store(
     run: Retrained, events: DataFrame, folder: str, started_at: datetime, completed_at: datetime
 ) -> dict[str, int]:
-    """Write everything a retrain leaves: scores, feature snapshot, model, metrics, run record.
+    """Write everything a retrain leaves: scores, feature snapshot, model, metrics, tags, run record.
 
-    The record comes last, so a run without one is known to be incomplete.
+    All carry the model's id as run id, and a repeated run replaces what it wrote before.  The
+    record comes last, so a run without one is known to be incomplete.
     """
     spark = events.sparkSession
     run_id = run.model.model_id
     scored = with_events(events, run.scores, F.lit(run_id), F.lit(completed_at))
-    written = append_scores(scored, f"{folder}/scores")
+    written = write_scores(scored, f"{folder}/scores")
     write_snapshot(run.features, f"{folder}/feature_snapshots", run_id)
     run.model.save(spark, f"{folder}/models", run.frequencies)
     settings = spark.createDataFrame(
@@ -113,13 +114,30 @@ def store(
     )
     figures = cut(run_metrics(run.scores))
     rows = metric_rows(F.lit(run_id), "param", settings).unionByName(metric_rows(F.lit(run_id), "metric", figures))
-    append(rows, f"{folder}/run_metrics")
+    tags = events.agg(
+        F.coalesce(F.array_join(F.sort_array(F.collect_set("source_dataset")), ","), F.lit("")).alias("dataset"),
+        F.count(F.lit(1)).alias("event_count"),
+    ).withColumn("score_threshold", F.lit(run.model.cut_off))
+    rows = rows.unionByName(metric_rows(F.lit(run_id), "tag", tags))
+    replace_partitions(rows, f"{folder}/run_metrics", "run_id")
     head = figures.first()
     result = {"events_scored": head["events_scored"], "anomalies_found": head["anomaly_count"], "written": written}
-    append(run_row(spark, "retrain", started_at, completed_at, json.dumps(result)), f"{folder}/run_ledger")
+    record = run_row(spark, "retrain", started_at, completed_at, json.dumps(result), run_id=run_id)
+    replace_partitions(record, f"{folder}/run_ledger", "run_id")
     return result
 
 
+def store_unfinished(
+    spark: SparkSession, run_id: str, folder: str, started_at: datetime, ended_at: datetime,
+    errors: list[str] | None = None, result: dict | None = None,
+) -> None:
+    """The record of a run that failed (with ``errors``) or was a trial (without): nothing else is written."""
+    record = run_row(
+        spark, "retrain", started_at, ended_at, json.dumps(result or {}), errors, dry_run=not errors, run_id=run_id
+    )
+    replace_partitions(record, f"{folder}/run_ledger", "run_id")
+
+
 def run_summary(scores: DataFrame) -> DataFrame:
     """Counts of one run; an empty batch gives zeros."""
     return scores.agg(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace import schemas
+from embertrace.operators.ledger import last_valid_run
 
 
 def all_events(events: DataFrame, max_events: int | None = None) -> DataFrame:
@@ -73,8 +74,17 @@ def latest_scorecard(scorecards: DataFrame) -> DataFrame:
     ).select("s.*")
 
 
-def feature_snapshot(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
-    """Feature rows of a training run, the newest by default."""
+def feature_snapshot(spark: SparkSession, path: str, run_id: str | None = None, ledger: DataFrame | None = None) -> DataFrame:
+    """Feature rows of a training run: the named one, or the last valid one of the ledger.
+
+    Run ids are free names, so without a ledger there must be a name.
+    """
     table = spark.read.parquet(path)
-    wanted = F.lit(run_id) if run_id is not None else table.select(F.max("run_id")).scalar()
-    return table.filter(F.col("run_id") == wanted)
+    if run_id is None:
+        if ledger is None:
+            raise ValueError("the newest snapshot is known to the run ledger only")
+        row = last_valid_run(ledger).first()
+        if row is None:
+            return table.limit(0)
+        run_id = row["run_id"]
+    return table.filter(F.col("run_id") == run_id)

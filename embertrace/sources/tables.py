@@ -37,14 +37,17 @@ def append_events(events: DataFrame, path: str) -> int:
     return append(events, path, ["event_date"])
 
 
-def append_scores(scored: DataFrame, path: str) -> int:
-    """Scored rows, one folder per run."""
-    return append(scored.drop("_raw"), path, ["run_id"])
+def write_scores(scored: DataFrame, path: str) -> int:
+    """Scored rows, one folder per run; a repeated run replaces its own."""
+    return replace_partitions(scored.drop("_raw"), path, "run_id")
 
 
-def replace_partitions(rows: DataFrame, path: str, by: str) -> None:
-    """Write rows, replacing only the values of ``by`` that occur in them."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+def replace_partitions(rows: DataFrame, path: str, by: str) -> int:
+    """Write rows, replacing only the values of ``by`` that occur in them, and say how many were written."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+    counted.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    return seen.get["rows"]
 
 
 def write_scorecard(summary: DataFrame, results: DataFrame, path: str, report_date: str) -> None:

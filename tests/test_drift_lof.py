@@ -19,10 +19,9 @@ def windows(spark):
     return ref, cur, spark.createDataFrame(ref), spark.createDataFrame(cur)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_distances(windows, one_task_rows):
+def test_distances(windows):
     ref, cur, r, c = windows
-    running = drift.cumulative_windows(drift.window_histogram(r, c, NAMES), one_task_rows=one_task_rows)
+    running = drift.cumulative_windows(drift.window_histogram(r, c, NAMES))
     got = {row["feature"]: row for row in drift.drift_table(running).collect()}
     for name in NAMES:
         grid = np.unique(np.concatenate([ref[name], cur[name]]))

@@ -40,8 +40,12 @@ def test_archives(spark, zips):
     assert events.select("alert_id").distinct().count() == 4
     again = normalise.windows_events(archives.zip_lines(spark, str(zips / "one.zip")))
     assert {r["alert_id"] for r in again.collect()} <= {r["alert_id"] for r in events.collect()}
-    totals = {r["source_dataset"]: r["events"] for r in metrics.counts_with_total(events, "source_dataset").collect()}
-    assert totals == {"one": 3, "two": 1, None: 4}
+    totals = {
+        (r["source_dataset"], r["is_total"]): r["events"] for r in metrics.counts_with_total(events, "source_dataset").collect()
+    }
+    assert totals == {("one", False): 3, ("two", False): 1, (None, True): 4}
+    nameless = spark.createDataFrame([("x",), (None,), ("x",)], "k string")
+    assert {tuple(r) for r in metrics.counts_with_total(nameless, "k").collect()} == {("x", False, 2), (None, False, 1), (None, True, 3)}
 
 
 def test_unpacked_lines(spark, tmp_path):
@@ -144,7 +148,13 @@ def test_snapshots(spark):
     path = scratch_path(spark, "snapshots")
     for run, n in (("20240101_000000", 2), ("20240102_000000", 3)):
         tables.write_snapshot(spark.range(n), path, run)
-    assert scans.feature_snapshot(spark, path).count() == 3
+    start = utc("2024-01-01T00:00:00")
+    runs = ledger.run_row(spark, "retrain", start, start + timedelta(days=9), "{}", run_id="20240101_000000").unionByName(
+        ledger.run_row(spark, "retrain", start, start + timedelta(days=8), "{}", run_id="20240102_000000")
+    )
+    assert scans.feature_snapshot(spark, path, ledger=runs).count() == 2  # finished last, though named first
+    with pytest.raises(ValueError):
+        scans.feature_snapshot(spark, path)
     assert scans.feature_snapshot(spark, path, "20240101_000000").count() == 2
     with pytest.raises(Exception):
         scans.feature_snapshot(spark, scratch_path(spark, "none")).count()

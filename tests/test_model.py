@@ -9,8 +9,9 @@ from embertrace import fixed_values as fv
 from embertrace.operators import iforest
 from embertrace.operators.features import Frequencies, feature_matrix
 from embertrace.operators.model import Model, batch_scores, fit, rank_scores, raw_scores, run_metrics
-from embertrace.plans.retrain import retrain, run_summary, score_new, since_last_run, store, with_events
+from embertrace.plans.retrain import retrain, run_summary, score_new, since_last_run, store, store_unfinished, with_events
 from embertrace.session import cut, scratch_path
+from embertrace.sources.scans import feature_snapshot
 from embertrace.sources.tables import conform
 
 
@@ -153,7 +154,10 @@ def test_metrics_and_rows(ten_events, trained):
 def test_stored_run(spark, ten_events, trained):
     folder = scratch_path(spark, "run")
     start = utc("2024-01-02T03:04:05")
+    store(trained, ten_events, folder, start, start + timedelta(seconds=9))
     result = store(trained, ten_events, folder, start, start + timedelta(seconds=30))
+    store_unfinished(spark, "broken", folder, start, start + timedelta(days=1), ["no space"])
+    store_unfinished(spark, "trial", folder, start, start + timedelta(days=2), result={"events_scored": 10})
     assert result == {"events_scored": 10, "anomalies_found": 2, "written": 10}
     stored = spark.read.parquet(f"{folder}/scores")
     assert {str(r["run_id"]) for r in stored.collect()} == {"ten"}
@@ -162,6 +166,13 @@ def test_stored_run(spark, ten_events, trained):
     assert Model.load(spark, f"{folder}/models", "ten").cut_off == trained.model.cut_off
     metrics = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/run_metrics").collect()}
     assert metrics["anomaly_count"] == "2" and metrics["n_estimators"] == "200"
+    assert metrics["dataset"] == "test" and metrics["event_count"] == "10" and float(metrics["score_threshold"]) == trained.model.cut_off
+    assert spark.read.parquet(f"{folder}/run_metrics").count() == len(metrics)
+    runs = spark.read.parquet(f"{folder}/run_ledger")
+    assert {r["run_id"]: (r["dry_run"], list(r["errors"])) for r in runs.collect()} == {
+        "ten": (False, []), "broken": (False, ["no space"]), "trial": (True, [])
+    }
+    assert feature_snapshot(spark, f"{folder}/feature_snapshots", ledger=runs).count() == 10
     boundary = since_last_run(spark.read.parquet(f"{folder}/run_ledger"))
     assert boundary == (start + timedelta(seconds=30)).replace(tzinfo=None)
     late = utc("2024-05-05T00:00:00")

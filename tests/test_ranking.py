@@ -15,10 +15,9 @@ def skewed(spark):
     return pdf, spark.createDataFrame(pdf).repartition(5)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_value_ranks(skewed, one_task_rows):
+def test_value_ranks(skewed):
     pdf, df = skewed
-    rows = value_ranks(df, "v", one_task_rows=one_task_rows).toPandas().sort_values("v")
+    rows = value_ranks(df, "v").toPandas().sort_values("v")
     counts = pdf["v"].value_counts().sort_index()
     np.testing.assert_array_equal(rows["v"], counts.index)
     np.testing.assert_array_equal(rows["cnt"], counts)
@@ -28,11 +27,10 @@ def test_value_ranks(skewed, one_task_rows):
     assert pd.isnull(rows["next_value"].iloc[-1])
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_grouped_running_sums(skewed, one_task_rows):
+def test_grouped_running_sums(skewed):
     pdf, df = skewed
     hist = df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("s"))
-    got = cumulative(hist, "v", ["n", "s"], ["g"], one_task_rows=one_task_rows).toPandas()
+    got = cumulative(hist, "v", ["n", "s"], ["g"]).toPandas()
     for g, part in pdf.groupby("g"):
         want = part.groupby("v")["id"].agg(["size", "sum"]).sort_index()
         have = got[got["g"] == g].sort_values("v")
@@ -41,7 +39,7 @@ def test_grouped_running_sums(skewed, one_task_rows):
         assert set(have["s_total"]) == {want["sum"].sum()}
 
 
-@pytest.mark.parametrize("options", [{}, {"one_task_rows": 0, "broadcast_rows": 0, "heavy_keys": 5}])
+@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0, "heavy_keys": 5}])
 def test_percentile_rank(skewed, options):
     pdf, df = skewed
     got = percentile_rank(df, "v", F.col("id"), **options).toPandas().set_index("id")["percentile"].sort_index()
@@ -49,11 +47,10 @@ def test_percentile_rank(skewed, options):
     np.testing.assert_allclose(got, want, atol=1e-9)
 
 
-@pytest.mark.parametrize("one_task_rows", [0, 100_000])
-def test_exact_quantiles(skewed, one_task_rows):
+def test_exact_quantiles(skewed):
     pdf, df = skewed
     q = [0.0, 0.05, 0.333, 0.5, 0.95, 1.0]
-    got = exact_quantiles(df, "v", q, ["g"], one_task_rows=one_task_rows).collect()
+    got = exact_quantiles(df, "v", q, ["g"]).collect()
     for row in got:
         want = np.quantile(pdf[pdf["g"] == row["g"]]["v"], q)
         np.testing.assert_allclose(list(row[1:]), want, atol=1e-12)

@@ -182,6 +182,23 @@ def test_current_state_and_notifications(spark):
     queue = alerts.alert_queue(current, 0.88)
     assert [r["alert_id"] for r in queue.collect()] == ["a", "b", "c"]
     assert [r["alert_id"] for r in alerts.disagreement_queue(queue).collect()] == ["c"]
+    retried = spark.createDataFrame([("a", "failed"), ("a", "sent"), ("x", "sent")], "alert_id string, status string")
+    assert tuple(alerts.notification_summary(pending, retried).first()) == (2, 1, 0, 1)
     figures = alerts.key_figures(current).first()
     assert (figures["total_events"], figures["anomalies"], figures["enriched"]) == (4, 4, 3)
     assert alerts.key_figures(current.filter("false")).first()["anomaly_pct"] == 0.0
+
+
+def test_newest_run_of_each_alert(spark):
+    """Old runs scored the other way round, and one alert is only in the old run."""
+    rows = [(f"a{k}", run, (0.5 + k / 100 if run == "r2" else 0.99 - k / 100, utc(f"2024-01-0{1 + (run == 'r2')}T00:00:00")))
+            for k in range(40) for run in ("r1", "r2") if (k, run) != (3, "r2")]
+    scores = spark.createDataFrame(rows, "alert_id string, run_id string, ml struct<anomaly_score: double, scored_at: timestamp>")
+    newest = {r["alert_id"]: r["run_id"] for r in alerts.newest_scores(scores).collect()}
+    assert len(newest) == 40 and newest["a3"] == "r1" and set(newest.values()) == {"r1", "r2"} and newest["a4"] == "r2"
+    want = sorted([(0.96, "a3"), *((0.5 + k / 100, f"a{k}") for k in range(40) if k != 3)], reverse=True)
+    for look_at in (1, 5, None):
+        top = alerts.newest_top(scores, F.col("ml.anomaly_score") >= 0.6, 5, look_at).collect()
+        assert [r["alert_id"] for r in top] == [a for _, a in want[:5]]
+    everything = alerts.newest_top(scores, F.col("ml.anomaly_score") >= 0.6, 500, 3).count()
+    assert everything == sum(round(x, 2) >= 0.6 for x, _ in want)
