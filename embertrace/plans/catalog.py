@@ -112,7 +112,7 @@ def windows_categories(spark, sf_dir):
 
 @query
 def cmd_indicators(spark, sf_dir):
-    documents = spread(t.table(spark, sf_dir, "documents"))
+    documents = spread(t.command_texts(spark, sf_dir))
     return documents.select("doc_id", features.command_indicators(F.col("text")).alias("c")).select("doc_id", "c.*")
 
 

@@ -53,7 +53,7 @@ TRIAGE = (
     + """,
 rounds AS (
   SELECT a.alert_id, a.ts, a.score, a.pct, a.k, h.hour,
-    CASE WHEN h.hour = 1 THEN 'medium' WHEN l.toxic = 1 THEN 'high' WHEN l.quality = 1 THEN 'low'
+    CASE WHEN h.hour = 1 THEN 'medium' WHEN l.toxic = 1 OR a.k % 2 = 1 THEN 'high' WHEN l.quality = 1 THEN 'low'
       ELSE 'medium' END AS fp
   FROM alerts a JOIN labels l ON l.doc_id = a.event_id CROSS JOIN (VALUES (1), (2)) h(hour)
 ),
@@ -103,7 +103,7 @@ cmd AS (
     regexp_matches(text, '[A-Za-z0-9+/]{{40,}}={{0,2}}')::INT::DOUBLE AS cmd_has_encoding,
     regexp_matches(text, '(?i)({'|'.join(w.replace('.', '[.]') for w in fv.DOWNLOAD_WORDS)})')::INT::DOUBLE
       AS cmd_has_download
-  FROM documents
+  FROM (SELECT doc_id, text || CASE WHEN doc_id % 40 = 7 THEN ' DownloadString' ELSE '' END AS text FROM documents) documents
 )"""
 
 
@@ -358,7 +358,7 @@ SELECT alert_id, 'anomaly_score: ' || printf('%.4f', value / 1000) || '  (' ||
   chr(10) || 'source_dataset: ' || event_type || chr(10) || 'top_contributing_features: proc_rarity (z=' ||
   printf('%+.2f', k / 4.0::DOUBLE - 12) || ', ' || CASE WHEN k / 4.0 - 12 > 0 THEN 'above' ELSE 'below' END || ' baseline)'
   AS facts
-FROM sec LEFT JOIN documents ON doc_id = sec.event_id % (SELECT count(*) FROM documents)"""
+FROM sec LEFT JOIN (SELECT doc_id, text || CASE WHEN doc_id % 40 = 7 THEN ' DownloadString' ELSE '' END AS text FROM documents) documents ON doc_id = sec.event_id % (SELECT count(*) FROM documents)"""
 
 ORACLE["prompt_text"] = f"""
 WITH {SCORED}, p AS (

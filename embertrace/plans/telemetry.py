@@ -116,9 +116,15 @@ def _document_of_event(spark: SparkSession, sf_dir: str, documents: DataFrame) -
     )
 
 
+def command_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as command texts; the documents never load anything, so every fortieth gets such a word."""
+    loads = F.when(F.col("doc_id") % 40 == 7, F.lit(" DownloadString")).otherwise(F.lit(""))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat("text", loads).alias("text"))
+
+
 def sec_events_with_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical events with the whole command text."""
-    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = command_texts(spark, sf_dir)
     return _document_of_event(spark, sf_dir, documents).select(*_event_columns(F.col("text")), "value", "k")
 
 
@@ -129,7 +135,7 @@ def sec_events_with_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     only four numbers per document are moved.
     """
     indicators = command_indicators(F.col("text"))
-    documents = spread(table(spark, sf_dir, "documents")).select("doc_id", indicators.alias("command_indicators"))
+    documents = spread(command_texts(spark, sf_dir)).select("doc_id", indicators.alias("command_indicators"))
     return _document_of_event(spark, sf_dir, documents).select(
         *_event_columns(), "value", "k", "command_indicators"
     )
@@ -185,21 +191,22 @@ def score_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run("20240301_000000", first).unionByName(run("20240302_000000", second))
 
 
-def label_of(quality: Column, toxic: Column) -> Column:
-    """False-positive label from a document's labels."""
-    return F.when(toxic == 1, F.lit("high")).when(quality == 1, F.lit("low")).otherwise(F.lit("medium"))
+def label_of(quality: Column, toxic: Column, k: Column) -> Column:
+    """False-positive label from a document's labels and the event's number, so that high scores meet each label."""
+    return F.when((toxic == 1) | (k % 2 == 1), F.lit("high")).when(quality == 1, F.lit("low")).otherwise(F.lit("medium"))
 
 
 def triage_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two triage rows per labelled event: an early ``medium`` one and the labelled one."""
     labels = table(spark, sf_dir, "labels").select(
         F.concat(F.lit("e"), F.col("doc_id").cast("string")).alias("alert_id"),
-        label_of(F.col("quality"), F.col("toxic")).alias("label"),
+        "quality",
+        "toxic",
     )
     alerts = scored_alerts(spark, sf_dir).select("alert_id", "ts", "ml", "k")
     rounds = F.array(
         F.struct(F.lit(1).alias("hour"), F.lit("medium").alias("fp_assessment")),
-        F.struct(F.lit(2).alias("hour"), F.col("label").alias("fp_assessment")),
+        F.struct(F.lit(2).alias("hour"), label_of(F.col("quality"), F.col("toxic"), F.col("k")).alias("fp_assessment")),
     )
     rows = alerts.join(labels, "alert_id").select("alert_id", "ts", "ml", "k", F.inline(rounds))
     return rows.select(
