@@ -17,27 +17,28 @@ def by_id(df):
 
 def test_frequency_tables(ten_events):
     rows = {(r["kind"], r["key1"], r["key2"]): r["n"] for r in frequency_tables(ten_events).collect()}
-    assert rows[("proc", "cmd.exe", None)] == 3
-    assert rows[("parent", "cmd.exe", None)] == 2
-    assert rows[("parent_child", "explorer.exe", "cmd.exe")] == 3
-    assert rows[("user", "SYSTEM", None)] == 10
-    assert rows[("host_event", "DC01.corp.local", "process_access")] == 2
+    assert rows[("proc", "compile.bin", None)] == 4
+    assert rows[("parent", "compile.bin", None)] == 2
+    assert rows[("parent_child", "agent.bin", "compile.bin")] == 4
+    assert rows[("user", "svc-ci", None)] == 9 and rows[("user", "ops", None)] == 1
+    assert rows[("host_event", "edge-2", "network_connection")] == 1
     assert rows[("total", "", None)] == 10
     assert not [k for k in rows if k[0] in ("proc", "parent") and k[1] is None]
 
 
 def test_feature_values(ten_events):
     rows = by_id(feature_matrix(ten_events))
-    assert rows["3"]["cmd_has_encoding"] == 1 and rows["3"]["has_cmd"] == 1
-    assert rows["3"]["cmd_len"] == len(f"powershell -enc {BLOB}")
+    assert rows["4"]["cmd_has_encoding"] == 1 and rows["4"]["has_cmd"] == 1
+    assert rows["4"]["cmd_len"] == len(f"pack --blob {BLOB}")
     assert rows["9"]["cmd_has_download"] == 1 and rows["9"]["cmd_has_encoding"] == 0
     assert rows["0"]["has_cmd"] == 0 and rows["0"]["cmd_len"] == 0
-    assert rows["4"]["proc_rarity"] > rows["0"]["proc_rarity"]
-    assert rows["0"]["proc_rarity"] == math.log1p(10 / 3)
+    assert rows["5"]["proc_rarity"] > rows["0"]["proc_rarity"]
+    assert rows["0"]["proc_rarity"] == math.log1p(10 / 4)
     assert rows["7"]["proc_rarity"] == 0 and rows["7"]["parent_child_rarity"] == 0
-    assert rows["0"]["event_category_rank"] == 16 and rows["0"]["channel_rank"] == 7
-    assert rows["7"]["channel_rank"] == 1 and rows["7"]["event_id"] == 800
-    assert rows["0"]["hour"] == 2
+    assert rows["0"]["event_category_rank"] == fv.CATEGORY_RANK["process_creation"]
+    assert rows["0"]["channel_rank"] == fv.CHANNEL_RANK["Security"]
+    assert rows["7"]["channel_rank"] == fv.CHANNEL_RANK["Windows PowerShell"] and rows["7"]["event_id"] == 4104
+    assert rows["0"]["hour"] == 17
 
 
 def test_matrix_shape(spark, ten_events):
@@ -64,7 +65,7 @@ def test_unseen_key_is_rarest(spark, ten_events):
     fresh = spark.createDataFrame([event("n", proc="new.exe")], EVENT_SCHEMA)
     row = by_id(feature_matrix(fresh, saved))["n"]
     assert row["proc_rarity"] == math.log1p(10)
-    assert row["parent_proc_rarity"] == math.log1p(10 / 3)
+    assert row["parent_proc_rarity"] == math.log1p(10 / 4)
 
 
 def test_command_indicators(spark):

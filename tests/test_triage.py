@@ -16,12 +16,12 @@ ALERT = """
     ml struct<anomaly_score: double, anomaly_percentile: double, is_anomaly: boolean, routing_decision: string,
               top_features: array<struct<feature: string, z_score: double>>>
 """
-TOPS = [("proc_rarity", 3.45), ("parent_child_rarity", -2.87), ("cmd_has_encoding", 1.234)]
+TOPS = [("user_rarity", 2.06), ("cmd_len", -1.91), ("cmd_has_download", 0.774)]
 
 
-def alert(id="a", proc="cmd.exe", cmd="whoami", score=0.95, pct=98.5, tops=TOPS, rule=None, technique=None, anomaly=True):
+def alert(id="a", proc="lister.bin", cmd="list all", score=0.95, pct=98.5, tops=TOPS, rule=None, technique=None, anomaly=True):
     return (
-        id, utc("2024-01-01T00:00:00"), ("H",), ("U",), (proc, cmd, ("explorer.exe",)),
+        id, utc("2024-01-01T00:00:00"), ("H",), ("U",), (proc, cmd, ("panel.bin",)),
         ("process_creation", "Sysmon", (technique,)), (rule,), "test", (score, pct, anomaly, "tier-1", tops),
     )
 
@@ -31,12 +31,12 @@ def prompt(spark, *args, **kwargs):
 
 
 def test_full_prompt(spark):
-    row = prompt(spark, proc="mimikatz.exe", cmd="powershell -EncodedCommand SQBFAFgA", score=0.9876, pct=97.3)
+    row = prompt(spark, proc="grab.bin", cmd="grab --all b3duIHRlc3Q", score=0.8642, pct=91.7)
     assert row["enrichment_path"] == "B"
     for part in (
-        "mimikatz.exe", "powershell -EncodedCommand SQBFAFgA", "anomaly_score: 0.9876  (97.3th percentile)",
+        "grab.bin", "grab --all b3duIHRlc3Q", "anomaly_score: 0.8642  (91.7th percentile)",
         "statistically unusual for this specific environment", "JSON", "attack_technique", "investigation_steps",
-        "proc_rarity (z=+3.45, above baseline); parent_child_rarity (z=-2.87, below baseline); cmd_has_encoding (z=+1.23",
+        "user_rarity (z=+2.06, above baseline); cmd_len (z=-1.91, below baseline); cmd_has_download (z=+0.77",
     ):
         assert part in row["prompt"]
 
@@ -71,7 +71,7 @@ def test_decimals_match_python(spark):
         assert (r["a"], r["b"], r["c"]) == (f"{n:.1f}", f"{n:.4f}", f"{n:+.2f}"), n
 
 
-GOOD = """{"attack_technique": "T1059.001", "attack_tactic": "Execution", "description": "d", "fp_assessment": "%s",
+GOOD = """{"attack_technique": "T1218.011", "attack_tactic": "Execution", "description": "d", "fp_assessment": "%s",
  "fp_reasoning": "r", "investigation_steps": %s}"""
 
 
@@ -84,7 +84,7 @@ def test_reply_forms(spark):
     body = GOOD % ("low", '["a", "b"]')
     for raw in (body, f"```json\n{body}\n```", f"Sure, here: {body} Anything else?"):
         row = parse(spark, raw)
-        assert row["attack_technique"] == "T1059.001" and row["investigation_steps"] == ["a", "b"]
+        assert row["attack_technique"] == "T1218.011" and row["investigation_steps"] == ["a", "b"]
 
 
 @pytest.mark.parametrize(
@@ -147,7 +147,7 @@ def test_triage_fills_from_the_rule(spark):
     assert (got["a"]["attack_technique"], got["a"]["attack_tactic"]) == ("T1021", "Lateral Movement")
     assert got["a"]["enrichment_path"] == "A" and "odd" in got["a"]["description"]
     assert (got["b"]["attack_technique"], got["b"]["attack_tactic"]) == ("wazuh:9", "Unknown")
-    assert got["d"]["attack_technique"] == "T1059.001" and got["d"]["enrichment_path"] == "B"
+    assert got["d"]["attack_technique"] == "T1218.011" and got["d"]["enrichment_path"] == "B"
     summary = triage.triage_summary(rows, done).first()
     assert tuple(summary) == (5, 3, 2, 1)
     assert [r["alert_id"] for r in triage.disagreement_rows(rows, done).collect()] == ["d"]
