@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Benchmark passages become TF-IDF rows over their terms, with document frequencies counted over
-all documents; terms of more than ``common`` of the documents carry no weight.  A randomised SVD of these rows, whose products with the rows are summed by Spark,
-gives a latent space.  Every text is projected block by block of words; sums of neighbouring
+all documents; every term keeps a positive weight, a common one a small one.  A randomised SVD
+of these rows, whose products with the rows are summed by Spark, gives a latent space.  Every text is projected block by block of words; sums of neighbouring
 blocks are its windows at several lengths.  Windows whose cosine with a benchmark passage is high
 enough, and which hold enough of its weight (a window with three words of it does not), are
 candidates, and those are confirmed by the longest common subsequence of words and, for
@@ -27,10 +27,11 @@ from embertrace.session import ship_package
 @dataclass(frozen=True)
 class Retrieval:
     """``items`` is how many benchmark passages one pass over the documents looks for; with their
-    terms and ``rank`` it bounds what is broadcast.  A window needs ``least_terms`` weighty words."""
+    terms and ``rank`` it bounds what is broadcast.  A window needs ``least_terms`` known words, or as
+    many as the shortest passage has.  ``cosine`` is asked of passages of a block of words or more;
+    a shorter one fills less of its windows and needs less by the root of its part of a block."""
 
     rank: int = 64
-    common: float = 0.1
     least_terms: int = 3
     block_words: int = 12
     scales: tuple[int, ...] = (2, 4)
@@ -146,6 +147,12 @@ def common_subsequence(masks: dict[int, int], words: list[int]) -> int:
     return row.bit_count()
 
 
+def closest_share(masks: dict[int, int], n: int, region: list[int]) -> float:
+    """The largest share of ``n`` words in a stretch half as long again, which keeps chance out of short passages."""
+    starts = [k for k, word in enumerate(region) if word in masks]
+    return max((common_subsequence(masks, region[k : k + n + n // 2]) for k in starts), default=0) / n
+
+
 def place_masks(words: list[int]) -> dict[int, int]:
     masks: dict[int, int] = {}
     for k, word in enumerate(words):
@@ -170,6 +177,9 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
     """The hits of each text; one list per text."""
     hits: list[dict[int, dict]] = [{} for _ in texts]
     items, latent = stock.words, stock.latent
+    sizes = np.array([len(w) for w in items])
+    least = min(rule.least_terms, int(sizes.min()))
+    limits = (rule.cosine * np.sqrt(np.minimum(1.0, sizes / rule.block_words))).astype(np.float32)
     for first, n_texts, owner, place, hashes in _words(texts):
         mine, term = _known(hashes, stock.terms)
         if not len(mine):
@@ -189,7 +199,7 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
             enough = weighty.copy()
             for k in range(1, scale):
                 enough[:-k] += np.where(block_owner[k:] == block_owner[:-k], weighty[k:], 0)
-            chosen = np.flatnonzero(enough >= rule.least_terms)
+            chosen = np.flatnonzero(enough >= least)
             for low in range(0, len(chosen), 2048):
                 at = chosen[low : low + 2048]
                 windows = blocks[at]
@@ -199,8 +209,8 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
                 length = np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
                 windows /= length
                 cosines = windows @ latent.T
-                near = np.flatnonzero(cosines.max(axis=1) >= rule.cosine)
-                w_near, found = np.nonzero(cosines[near] >= rule.cosine)
+                near = np.flatnonzero(cosines.max(axis=1) >= limits.min())
+                w_near, found = np.nonzero(cosines[near] >= limits)
                 w_near = near[w_near]
                 covers = cosines[w_near, found] * length[w_near, 0] >= rule.cover * stock.weight[found]
                 for w, item in zip(w_near[covers], found[covers]):
@@ -217,10 +227,11 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
                     a, b = max(0, start - more), min(int(n_words[doc]), start + scale * rule.block_words + more)
                     region = hashes[word_at[doc] + a : word_at[doc] + b].tolist()
                     whole, answer = masks[int(item)]
-                    share = common_subsequence(whole, region) / len(words)
+                    brief = len(words) < rule.block_words
+                    share = closest_share(whole, len(words), region) if brief else common_subsequence(whole, region) / len(words)
                     short = min(rule.answer_words, len(words))
                     ends = common_subsequence(answer, region) >= rule.answer_share * short
-                    if share >= rule.sure or share >= rule.likely and ends:
+                    if share >= rule.sure or share >= rule.likely and ends and not brief:
                         if not known or share > known["lcs"]:
                             hits[first + doc][int(item)] = {
                                 "item": int(item), "cosine": float(cosines[w, item]), "lcs": share, "answer": ends
@@ -270,10 +281,7 @@ def _stock(docs: DataFrame, passages: DataFrame, rule: Retrieval, text: str) ->
         return None
     terms = np.unique(np.concatenate([np.array(words[k], np.uint64) for k in filled]))
     counts = document_frequencies(docs, terms, text)
-    rare = counts[:-1] <= rule.common * counts[-1]
-    if not rare.any():
-        rare[:] = True
-    terms, weights = terms[rare], np.log((counts[-1] + 2) / (counts[:-1][rare] + 1))
+    weights = np.log((counts[-1] + 2) / (counts[:-1] + 1))
     space = latent_space(passages, terms, weights, rule)
     parts = [_rows([own[j]["text"] for j in filled[k : k + 16]], terms, weights) @ space for k in range(0, len(filled), 16)]
     latent = np.concatenate(parts)

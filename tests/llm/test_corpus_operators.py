@@ -211,3 +211,13 @@ def test_benchmark_passages_are_found(spark, odd):
     assert benchmark_hits(odd, benchmark.limit(0)).filter("size(hits) > 0").count() == 0
 
 
+def test_passages_of_many_documents_and_of_common_words_are_found(spark):
+    hot = " ".join(f"hot{k}" for k in range(30))
+    rows = [(k, text(3000 + k, 300) + (f" {hot} " if k % 3 == 0 else " ") + text(4000 + k, 40)) for k in range(90)]
+    asked = "was it for the that is"
+    around = prose(5000, 200)
+    rows += [(500, " ".join([*around[:95], asked, *around[95:]]))]
+    benchmark = spark.createDataFrame([(1, hot), (2, asked)] + [(10 + k, " ".join(prose(700 + k, 30))) for k in range(5)], "item_id long, text string")
+    got = {r["doc_id"]: {h["item"] for h in r["hits"]} for r in benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    assert {k for k, items in got.items() if 1 in items} == set(range(0, 90, 3))
+    assert 2 in got[500] and sum(2 in items for items in got.values()) <= 4
