@@ -29,7 +29,8 @@ class Retrieval:
     """``items`` is how many benchmark passages one pass over the documents looks for; with their
     terms and ``rank`` it bounds what is broadcast.  A window needs ``least_terms`` known words, or as
     many as the shortest passage has.  ``cosine`` is asked of passages of a block of words or more;
-    a shorter one fills less of its windows and needs less by the root of its part of a block."""
+    a shorter one fills less of its windows and needs less by the root of its part of a block.
+    ``scales`` are doubled on until a window is as long as the longest passage."""
 
     rank: int = 64
     least_terms: int = 3
@@ -173,6 +174,22 @@ class Stock:
     weighed: np.ndarray  # terms x rank, the projection times the weights
 
 
+def _wider(x: np.ndarray, scale: int, owner: np.ndarray) -> np.ndarray:
+    """Sums over ``2 * scale`` blocks of a text from each block on, from those over ``scale`` blocks."""
+    out = x.copy()
+    if scale < len(x):
+        out[:-scale] += x[scale:] * (owner[scale:] == owner[:-scale]).reshape(-1, *[1] * (x.ndim - 1))
+    return out
+
+
+def _scales(longest: int, rule: Retrieval) -> list[int]:
+    """The scales of the rule, doubled on until a window is as long as the longest passage."""
+    scales = sorted(rule.scales)
+    while scales[-1] * rule.block_words < longest:
+        scales.append(2 * scales[-1])
+    return scales
+
+
 def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dict) -> list[list[dict]]:
     """The hits of each text; one list per text."""
     hits: list[dict[int, dict]] = [{} for _ in texts]
@@ -195,46 +212,47 @@ def _searched(texts: list[str | None], stock: Stock, rule: Retrieval, masks: dic
             cuts = np.flatnonzero(np.diff(part, prepend=-1))
             blocks[part[cuts]] += np.add.reduceat(stock.weighed[term[k : k + (1 << 14)]], cuts, axis=0)
         block_owner = np.repeat(np.arange(n_texts), n_blocks)
-        for scale in rule.scales:
-            enough = weighty.copy()
-            for k in range(1, scale):
-                enough[:-k] += np.where(block_owner[k:] == block_owner[:-k], weighty[k:], 0)
+        sums, enough, reached = blocks, weighty, 1
+        for scale in _scales(int(sizes.max()), rule):
+            while reached < scale:
+                sums, enough, reached = _wider(sums, reached, block_owner), _wider(enough, reached, block_owner), 2 * reached
+            # Wider windows than those of the rule are for passages that do not fit into one of half the width.
+            wanted = np.arange(len(sizes)) if scale in rule.scales else np.flatnonzero(sizes > scale * rule.block_words // 2)
+            own, asked, weight = latent[wanted], limits[wanted], stock.weight[wanted]
             chosen = np.flatnonzero(enough >= least)
             for low in range(0, len(chosen), 2048):
                 at = chosen[low : low + 2048]
-                windows = blocks[at]
-                for k in range(1, scale):
-                    after = np.minimum(at + k, len(blocks) - 1)
-                    windows += blocks[after] * ((block_owner[after] == block_owner[at]) & (after == at + k))[:, None]
+                windows = sums[at]
                 length = np.maximum(np.linalg.norm(windows, axis=1, keepdims=True), 1e-9)
                 windows /= length
-                cosines = windows @ latent.T
-                near = np.flatnonzero(cosines.max(axis=1) >= limits.min())
-                w_near, found = np.nonzero(cosines[near] >= limits)
+                cosines = windows @ own.T
+                near = np.flatnonzero(cosines.max(axis=1) >= asked.min())
+                w_near, found = np.nonzero(cosines[near] >= asked)
                 w_near = near[w_near]
-                covers = cosines[w_near, found] * length[w_near, 0] >= rule.cover * stock.weight[found]
-                for w, item in zip(w_near[covers], found[covers]):
+                covers = cosines[w_near, found] * length[w_near, 0] >= rule.cover * weight[found]
+                for w, column in zip(w_near[covers], found[covers]):
+                    item = int(wanted[column])
                     doc = int(block_owner[at[w]])
-                    known = hits[first + doc].get(int(item))
+                    known = hits[first + doc].get(item)
                     if known and known["lcs"] >= 1:
                         continue
-                    if int(item) not in masks:
+                    if item not in masks:
                         words = items[item]
-                        masks[int(item)] = place_masks(words), place_masks(words[-rule.answer_words :])
+                        masks[item] = place_masks(words), place_masks(words[-rule.answer_words :])
                     words = items[item]
                     start = int(at[w] - block_at[doc]) * rule.block_words
                     more = max(rule.block_words, len(words) // 2)
                     a, b = max(0, start - more), min(int(n_words[doc]), start + scale * rule.block_words + more)
                     region = hashes[word_at[doc] + a : word_at[doc] + b].tolist()
-                    whole, answer = masks[int(item)]
+                    whole, answer = masks[item]
                     brief = len(words) < rule.block_words
                     share = closest_share(whole, len(words), region) if brief else common_subsequence(whole, region) / len(words)
                     short = min(rule.answer_words, len(words))
                     ends = common_subsequence(answer, region) >= rule.answer_share * short
                     if share >= rule.sure or share >= rule.likely and ends and not brief:
                         if not known or share > known["lcs"]:
-                            hits[first + doc][int(item)] = {
-                                "item": int(item), "cosine": float(cosines[w, item]), "lcs": share, "answer": ends
+                            hits[first + doc][item] = {
+                                "item": item, "cosine": float(cosines[w, column]), "lcs": share, "answer": ends
                             }
     return [sorted(h.values(), key=lambda x: x["item"]) for h in hits]
 

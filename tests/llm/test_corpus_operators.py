@@ -221,3 +221,10 @@ def test_passages_of_many_documents_and_of_common_words_are_found(spark):
     got = {r["doc_id"]: {h["item"] for h in r["hits"]} for r in benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
     assert {k for k, items in got.items() if 1 in items} == set(range(0, 90, 3))
     assert 2 in got[500] and sum(2 in items for items in got.values()) <= 4
+
+
+def test_long_passages_are_found(spark):
+    items = [(k, " ".join(prose(6000 + k, n))) for k, n in enumerate((40, 150, 400, 1500))]
+    rows = [(k, " ".join([text(7000 + k, 200), passage, text(8000 + k, 200)])) for k, passage in items] + [(9, text(9000, 2000))]
+    found = benchmark_hits(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r["doc_id"]: [h["item"] for h in r["hits"]] for r in found.collect()} == {0: [0], 1: [1], 2: [2], 3: [3], 9: []}
