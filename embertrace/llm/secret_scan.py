@@ -2,8 +2,9 @@
 
 Every layer (the text itself, then whatever a part of a layer decodes to) goes through a
 worklist: it is searched for secrets and for percent-encoded, Unicode-escaped, base64 and
-compressed parts, whose content is appended as new layers until none is new.  Contents met
-before are not taken again, so cycles end.  Each character of a layer knows the range of the
+compressed parts, whose content is appended as new layers until none is new.  A content met
+before at the same place of the text is not taken again, so cycles end; at another place it is.
+Each character of a layer knows the range of the
 text it came from, so findings are given as spans of the text.
 """
 
@@ -157,21 +158,22 @@ def scan(text: str, limits: Limits = Limits()) -> list[dict]:
     plain = direct(text)
     found = [{"kind": k, "start": a, "end": b, "value": text[a:b], "layers": ""} for k, a, b in plain]
     known = {(k, a, b) for k, a, b in plain}
-    seen, left = {text}, limits.decoded_chars
+    seen, left = {(text, 0, len(text))}, limits.decoded_chars
     work: list[tuple[str, list[tuple[int, int]] | None, str]] = [(text, None, "")]
     unfinished = False
     while work:
         layer, places, path = work.pop()
         for how, content, own, cut in _unwrapped(layer, left):
             unfinished |= cut
-            if content in seen:
+            mapped = own if places is None else [(places[a][0], places[b - 1][1]) for a, b in own]
+            met = (content, min(a for a, _ in mapped), max(b for _, b in mapped)) if mapped else (content, 0, 0)
+            if met in seen:
                 continue
             if len(content) > left:
                 unfinished = True
                 continue
             left -= len(content)
-            seen.add(content)
-            mapped = own if places is None else [(places[a][0], places[b - 1][1]) for a, b in own]
+            seen.add(met)
             deeper = f"{path}>{how}" if path else how
             work.append((content, mapped, deeper))
             for kind, a, b in direct(content):

@@ -70,6 +70,21 @@ def test_layers_are_unwrapped_and_mapped():
     assert (a, b) == (start, start + len(url))
 
 
+def test_equal_parts_are_found_at_every_place():
+    url = quote(SECRET, safe="")
+    escaped = "".join(f"\\u{ord(c):04x}" for c in SECRET)
+    plain64 = base64.b64encode(SECRET.encode()).decode()
+    twice = base64.b64encode(plain64.encode()).decode()
+    for inner in (url, escaped, plain64, twice):
+        text = f"a {inner} b {inner}\nc {inner}"
+        found = nested(text)
+        assert len(found) == 3
+        for (_, a, b, _), start in zip(found, (m.start() for m in re.finditer(re.escape(inner), text))):
+            assert start <= a < b <= start + len(inner)
+    both = base64.b64encode(f"{plain64} and {plain64}".encode()).decode()
+    assert len({(a, b) for _, a, b, _ in nested(f"x {both} y")}) == 2
+
+
 def test_layers_end():
     assert secret_scan.scan("%25" * 50 + "41") == []
     assert [x["kind"] for x in secret_scan.scan("A" * 4000)] == []
