@@ -6,12 +6,15 @@ compressed parts, whose content is appended as new layers until none is new.  A
 before at the same place of the text is not taken again, so cycles end; at another place it is.
 Each character of a layer knows the range of the
 text it came from, so findings are given as spans of the text.
+
+Base64 is read over line breaks, and where a run as a whole does not decode to text, from all four
+alignments for the stretches of text and the streams in it.
 """
 
 from __future__ import annotations
 
-import base64
 import binascii
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass
@@ -39,6 +42,14 @@ _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
 _RUN = re.compile(r"[^\x20\x09-\x0D\"'<>]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+_LINES = re.compile(
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)+={0,2}"
+)
+_LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_TEXT = re.compile(
+    rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}"
+)
+_STREAM = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
 _STEMS = ("passw", "secret", "token", "api")
 
 
@@ -52,9 +63,12 @@ _BASE64_MARKS = _marks("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123
 
 @dataclass(frozen=True)
 class Limits:
-    """``decoded_chars`` bounds what one text may unfold to; a text beyond it is marked by kind ``unfinished``."""
+    """A compressed stream of more than ``decoded_chars`` bytes is searched in pieces of that size, which
+    overlap by ``overlap``.  Such a text is marked by kind ``unfinished``, since a secret or an encoded
+    part longer than the overlap may be split between pieces."""
 
     decoded_chars: int = 32 << 20
+    overlap: int = 64 << 10
 
 
 def direct(text: str) -> list[tuple[str, int, int]]:
@@ -102,28 +116,129 @@ def _from_escapes(parts: list[str]) -> str:
 
 
 def _printable(raw: bytes) -> str | None:
+    """The text that bytes hold, without a character cut off at their end."""
     try:
         text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
+    except UnicodeDecodeError as e:
+        if e.reason != "unexpected end of data":
+            return None
+        text = raw[: e.start].decode("utf-8")
     odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
     return text if text and odd * 20 <= len(text) else None
 
 
-def _inflated(raw: bytes, most: int) -> tuple[bytes | None, bool]:
-    """The content of a gzip or zlib stream, and whether it is longer than ``most``."""
-    if raw[:2] not in (b"\x1f\x8b", b"\x78\x01", b"\x78\x5e", b"\x78\x9c", b"\x78\xda"):
-        return None, False
-    worker = zlib.decompressobj(wbits=47)
-    try:
-        content = worker.decompress(raw, most + 1)
-    except zlib.error:
-        return None, False
-    return content[:most], len(content) > most
+def _inflated(raw: bytes | memoryview, limits: Limits):
+    """The content of a zlib stream or of all members of a gzip one, in overlapping pieces."""
+    most = max(1, limits.decoded_chars)
+    keep = min(limits.overlap, most // 2)
+    held, fresh, data, worker = b"", False, raw, zlib.decompressobj(wbits=47)
+    while _STREAM.match(data) or worker is not None:
+        worker = worker or zlib.decompressobj(wbits=47)
+        try:
+            part = worker.decompress(data, most - len(held))
+        except zlib.error:
+            break
+        held, fresh = held + part, fresh or bool(part)
+        data = worker.unconsumed_tail
+        if worker.eof:
+            data, worker = worker.unused_data.lstrip(b"\0"), None
+        elif not part and not data:
+            break
+        if len(held) >= most:
+            yield held
+            held, fresh = held[len(held) - keep :], False
+    if fresh:
+        yield held
+
+
+def _streams(raw: bytes | memoryview, limits: Limits):
+    """The texts of the pieces of a compressed stream, and whether there are several pieces."""
+    last = None
+    for k, piece in enumerate(_inflated(raw, limits)):
+        if last is not None:
+            yield last, True
+        start = next((j for j in range(min(4, len(piece))) if piece[j] & 0xC0 != 0x80), 0) if k else 0
+        last = _printable(piece[start:]) or ""
+    if last is not None:
+        yield last, k > 0
+
+
+def _decoded(body: str) -> bytes:
+    """Base64 without padding, up to the last whole byte."""
+    body = body[:-1] if len(body) % 4 == 1 else body
+    return binascii.a2b_base64(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
+
+
+def _whole(body: str, at: list[int] | range, end: int, limits: Limits) -> list[tuple] | None:
+    """What a base64 run that starts at its first character decodes to, or None."""
+    if len(body) % 4 == 1:
+        return None
+    raw = _decoded(body)
+    if _STREAM.match(raw) and (texts := list(_streams(raw, limits))):
+        return [("base64+compressed", t, [(at[0], end)] * len(t), cut) for t, cut in texts if t or cut]
+    text = _printable(raw)
+    if text is None:
+        return None
+    n = len(body)
+    if text.isascii():
+        ends = lambda k: end if k >= n else at[k - 1] + 1
+        return [("base64", text, [(at[i * 4 // 3], ends((i + 1) * 4 // 3 + 1)) for i in range(len(text))], False)]
+    return [("base64", text, [(at[0], end)] * len(text), False)]
+
+
+def _parts(body: str, at: list[int] | range, limits: Limits):
+    """The stretches of text and the compressed streams that a run holds at any of the four alignments."""
+    for shift in range(4):
+        raw, done = _decoded(body[shift:]), 0
+        place = lambda a, b: (at[shift + a * 4 // 3], at[min(len(body), shift + (b * 4 + 2) // 3) - 1] + 1)  # noqa: B023, E731
+        for m in _STREAM.finditer(raw):
+            span = place(m.start(), len(raw))
+            for text, cut in _streams(memoryview(raw)[m.start() :], limits):
+                if text or cut:
+                    yield "base64+compressed", text, [span] * len(text), cut
+        for m in _TEXT.finditer(raw):
+            text, done = m[0].decode("utf-8", "replace"), m.start()
+            places = []
+            for c in text:
+                size = len(c.encode("utf-8"))
+                places.append(place(done, min(m.end(), done + size)))
+                done = min(m.end() - 1, done + size)
+            yield "base64", text, places, False
+
+
+def _from_base64(layer: str, limits: Limits):
+    """What the base64 runs of a layer decode to, those over several lines first."""
+    done: list[tuple[int, int]] = []
+    for m in _LINES.finditer(layer):
+        lines = list(_LINE.finditer(layer, m.start(), m.end()))
+        for used in (lines, lines[:-1]) if len(lines) > 2 else (lines,):
+            body, at = "".join(x[0] for x in used), [k for x in used for k in range(x.start(), x.end())]
+            end = m.end() if used is lines else used[-1].end()
+            if (found := _whole(body, at, end, limits)) is not None:
+                yield from found
+                done.append((m.start(), end))
+                break
+        else:
+            for part in _parts("".join(x[0] for x in lines), [k for x in lines for k in range(x.start(), x.end())], limits):
+                yield part
+                if part[2]:
+                    done.append((part[2][0][0], part[2][-1][1]))
+    done.sort()
+    k, reach = 0, 0
+    for m in _BASE64.finditer(layer):
+        while k < len(done) and done[k][0] <= m.start():
+            reach = max(reach, done[k][1])
+            k += 1
+        if m.end() <= reach:
+            continue
+        body = m[0].rstrip("=")
+        at = range(m.start(), m.end())
+        found = _whole(body, at, m.end(), limits)
+        yield from _parts(body, at, limits) if found is None else found
 
 
-def _unwrapped(layer: str, most: int):
-    """The encoded parts of a layer: how each was encoded, its content, its places, and whether it was cut."""
+def _unwrapped(layer: str, limits: Limits):
+    """The encoded parts of a layer: how each was encoded, its content, its places, and whether it is a piece."""
     if "%" in layer and _PERCENT.search(layer):
         for run in _RUN.finditer(layer):
             if _PERCENT.search(layer, run.start(), run.end()):
@@ -133,24 +248,7 @@ def _unwrapped(layer: str, most: int):
             if _ESCAPE.search(layer, run.start(), run.end()):
                 yield "unicode", *_spliced(layer, run.start(), run.end(), _ESCAPE, _from_escapes), False
     if b"x" * 16 in layer.encode("utf-8", "surrogatepass").translate(_BASE64_MARKS):
-        for m in _BASE64.finditer(layer):
-            body = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except binascii.Error:
-                continue
-            content, cut = _inflated(raw, most)
-            how = "base64" if content is None else "base64+compressed"
-            text = _printable(raw if content is None else content)
-            if text is None:
-                continue
-            if content is None and text.isascii():
-                places = [(m.start() + i * 4 // 3, min(m.end(), m.start() + (i + 1) * 4 // 3 + 1)) for i in range(len(text))]
-            else:
-                places = [(m.start(), m.end())] * len(text)
-            yield how, text, places, cut
+        yield from _from_base64(layer, limits)
 
 
 def scan(text: str, limits: Limits = Limits()) -> list[dict]:
@@ -158,21 +256,24 @@ def scan(text: str, limits: Limits = Limits()) -> list[dict]:
     plain = direct(text)
     found = [{"kind": k, "start": a, "end": b, "value": text[a:b], "layers": ""} for k, a, b in plain]
     known = {(k, a, b) for k, a, b in plain}
-    seen, left = {(text, 0, len(text))}, limits.decoded_chars
+    seen = {_met(text, 0, len(text))}
     work: list[tuple[str, list[tuple[int, int]] | None, str]] = [(text, None, "")]
     unfinished = False
     while work:
         layer, places, path = work.pop()
-        for how, content, own, cut in _unwrapped(layer, left):
+        for how, content, own, cut in _unwrapped(layer, limits):
             unfinished |= cut
-            mapped = own if places is None else [(places[a][0], places[b - 1][1]) for a, b in own]
-            met = (content, min(a for a, _ in mapped), max(b for _, b in mapped)) if mapped else (content, 0, 0)
-            if met in seen:
+            if not content:
                 continue
-            if len(content) > left:
-                unfinished = True
+            if places is None:
+                mapped = own
+            elif how == "base64+compressed":
+                mapped = [(places[own[0][0]][0], places[own[0][1] - 1][1])] * len(own)
+            else:
+                mapped = [(places[a][0], places[b - 1][1]) for a, b in own]
+            met = _met(content, mapped[0][0], mapped[-1][1])
+            if met in seen:
                 continue
-            left -= len(content)
             seen.add(met)
             deeper = f"{path}>{how}" if path else how
             work.append((content, mapped, deeper))
@@ -189,6 +290,11 @@ def scan(text: str, limits: Limits = Limits()) -> list[dict]:
     return sorted(found, key=lambda x: (x["start"], order.index(x["kind"]), x["end"]))
 
 
+def _met(content: str, start: int, end: int) -> tuple[bytes, int, int]:
+    """A content at a place of the text, in few bytes."""
+    return hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=16).digest(), start, end
+
+
 def secret_spans(docs: DataFrame, text: str = "text", into: str = "secrets", limits: Limits = Limits()) -> DataFrame:
     """All rows with their findings as ``array<struct<kind, start, end, value, layers>>``.
 

@@ -2,6 +2,7 @@
 
 import base64
 import gzip
+import hashlib
 import re
 from urllib.parse import quote
 
@@ -85,6 +86,34 @@ def test_equal_parts_are_found_at_every_place():
     assert len({(a, b) for _, a, b, _ in nested(f"x {both} y")}) == 2
 
 
+def test_base64_over_lines_and_out_of_step():
+    prose = " ".join(hashlib.sha256(str(k).encode()).hexdigest()[:7] for k in range(60))
+    for raw in (f"{prose} {SECRET} {prose}".encode(), gzip.compress(f"{prose} {SECRET}".encode(), mtime=0)):
+        blob = base64.b64encode(raw).decode()
+        for width in (64, 76):
+            for brk in ("\n", "\r\n", "\n  "):
+                lines = brk.join(blob[k : k + width] for k in range(0, len(blob), width))
+                text = f"see:\n{lines}\nafter this"
+                ((kind, a, b, _),) = nested(text)
+                assert kind == "nested-assign" and 5 <= a < b <= 5 + len(lines)
+                values = [x["value"] for x in secret_scan.scan(text)]
+                assert values == [SECRET]
+    for inner in (SECRET.encode(), gzip.compress(SECRET.encode(), mtime=0)):
+        blob = base64.b64encode(inner).decode()
+        for before in ("io/", "a-", "ab_", "https://example.io/path/", "x" * 13 + "/"):
+            found = [x for x in secret_scan.scan(before + blob) if x["value"] and x["value"].startswith(SECRET)]
+            assert found and found[0]["start"] >= before.rfind("/") - len(before) and found[0]["end"] <= len(before + blob)
+
+
+def test_members_and_long_streams_are_read_to_the_end():
+    two = gzip.compress(b"nothing here", mtime=0) + gzip.compress(SECRET.encode(), mtime=0)
+    assert [x[0] for x in nested(base64.b64encode(two).decode())] == ["nested-assign"]
+    small = secret_scan.Limits(decoded_chars=1000)
+    for k in (0, 400, 985, 995, 4000):
+        long = base64.b64encode(gzip.compress(("é" * k + f" {SECRET} " + "zé " * 3000).encode(), mtime=0)).decode()
+        assert [x["kind"] for x in secret_scan.scan(long, small)] == ["nested-assign", "unfinished"]
+
+
 def test_layers_end():
     assert secret_scan.scan("%25" * 50 + "41") == []
     assert [x["kind"] for x in secret_scan.scan("A" * 4000)] == []
