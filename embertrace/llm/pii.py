@@ -4,7 +4,8 @@ Mail addresses, network addresses, cards and telephone numbers are the protected
 Terms near them are held against the whole corpus: with N distinct texts, n_e of them naming
 entity e, n_t holding term t and n_et holding t near e, the share of the information about e
 that t discloses is log(N n_et / (n_e n_t)) / log(N / n_e).  A term that discloses
-``generalise_at`` of it is replaced by its class, one that discloses ``remove_at`` is removed.
+``generalise_at`` of it is replaced by its class, one that discloses ``remove_at`` is removed,
+wherever it stands: also far from the entity and in texts that do not name it.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from bisect import bisect_left
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from embertrace.llm.staging import staged
@@ -37,13 +38,15 @@ _TERM = re.compile(r"[^\W_]+")
 
 @dataclass(frozen=True)
 class Disclosure:
-    """``reach`` terms on each side count as near; a pair needs ``support`` distinct texts to say anything."""
+    """``reach`` terms on each side count as near; a pair needs ``support`` distinct texts to say anything.
+    One pass over the texts looks for about ``terms`` terms, which bounds what is broadcast."""
 
     reach: int = 6
     support: int = 3
     min_letters: int = 4
     generalise_at: float = 0.7
     remove_at: float = 0.9
+    terms: int = 500_000
 
 
 def _luhn(digits: str) -> bool:
@@ -136,18 +139,72 @@ def personal_spans(docs: DataFrame, rule: Disclosure = Disclosure(), text: str =
     ).drop("_found")
 
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``term, n_t``: in how many of the rows each term occurs."""
-    terms = F.split(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"[^\p{L}\p{N}]+", " "), " ")
-    return docs.select(F.explode(F.array_distinct(terms)).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+def _passes(terms: DataFrame, most: int):
+    """The rows of ``terms`` in runs of about ``most``, by hashed term."""
+    runs = -(-terms.count() // most)
+    for run in range(runs):
+        yield terms.filter(F.pmod(F.xxhash64("term"), F.lit(runs)) == run).collect()
+
+
+def _held_of(shared):
+    """The terms of a text that are in a broadcast set, as a column function."""
+
+    @F.arrow_udf(returnType="array<string>")
+    def held(texts: pa.Array) -> pa.Array:
+        wanted = shared.value
+        own = ({w.lower() for w in _TERM.findall(t.as_py() or "")} & wanted for t in texts)
+        return pa.array([sorted(x) for x in own], pa.list_(pa.string()))
+
+    return held
+
+
+def _places_of(shared):
+    """The places in a text of the terms of a broadcast table, as a column function."""
+
+    @F.arrow_udf(returnType=SPAN_DDL)
+    def places(texts: pa.Array) -> pa.Array:
+        wanted, out = shared.value, []
+        for t in texts:
+            own = []
+            for m in _TERM.finditer(t.as_py() or ""):
+                if x := wanted.get(m[0].lower()):
+                    own.append({"kind": x[0], "start": m.start(), "end": m.end(), "entity": x[1]})
+            out.append(own)
+        return pa.array(out, SPAN)
+
+    return places
+
+
+def term_counts(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
+    """``term, n_t``: in how many distinct texts each of ``terms.term`` occurs."""
+    out = docs.sparkSession.createDataFrame([], "term string, n_t bigint")
+    for rows in _passes(terms, rule.terms):
+        shared = docs.sparkSession.sparkContext.broadcast({r["term"] for r in rows})
+        once = docs.select(F.xxhash64(text).alias("text_id"), _held_of(shared)(F.col(text)).alias("terms"))
+        once = once.filter(F.size("terms") > 0).dropDuplicates(["text_id"])
+        counted = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+        out = out.unionByName(counted)
+    return out
+
+
+def term_spans(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
+    """``text_id, more``: every place of the disclosing terms (``term, entity, kind``) in the distinct texts that hold one."""
+    out = None
+    for rows in _passes(terms, rule.terms):
+        shared = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["kind"], r["entity"]) for r in rows})
+        some = docs.select(F.xxhash64(text).alias("text_id"), _places_of(shared)(F.col(text)).alias("more"))
+        some = some.filter(F.size("more") > 0).dropDuplicates(["text_id"])
+        out = some if out is None else out.unionByName(some)
+    if out is None:
+        return docs.sparkSession.createDataFrame([], f"text_id bigint, more {SPAN_DDL}")
+    return out.groupBy("text_id").agg(F.flatten(F.collect_list("more")).alias("more"))
 
 
 def disclosing(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
     """``entity, term, disclosure`` of the pairs at or above ``generalise_at``.
 
     ``found`` has ``text_id`` and the result of :func:`personal_spans`.  Equal texts count
-    once in n_e, n_et and N, so copying a page does not make its words suspicious; n_t counts
-    rows, so copies can only lower the share.
+    once in all four numbers, so copies of a page change nothing.
     """
     texts = docs.groupBy(F.xxhash64(text).alias("text_id")).agg(F.count("*").alias("copies"))
     total = texts.agg(F.count("*").alias("n")).collect()[0]["n"]
@@ -164,7 +221,8 @@ def disclosing(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclosure(
         .agg(F.count("*").alias("n_et"))
         .filter(F.col("n_et") >= rule.support)
     )
-    counted = pairs.join(named, "entity").join(term_counts(docs, text), "term")
+    pairs = staged(pairs, "pii-pairs")
+    counted = pairs.join(named, "entity").join(term_counts(docs, pairs.select("term").distinct(), rule, text), "term")
     pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
     share = pmi / F.log(F.lit(float(total)) / F.col("n_e"))
     return (
@@ -178,7 +236,8 @@ def disclosure_spans(docs: DataFrame, rule: Disclosure = Disclosure(), text: str
     """All rows of ``docs`` with ``spans array<struct<kind, start, end, entity>>``.
 
     Entities keep their kinds; disclosing terms follow as kind ``term`` (to generalise) or
-    ``term-removed``.  Spans count code points, ends exclusive, by start and then kind.  A null
+    ``term-removed`` at all their places outside entities, each with the entity it discloses most
+    of.  Spans count code points, ends exclusive, by start and then kind.  A null
     or empty text has none, an empty table gives an empty table, and repeated rows (equal or
     null keys included) are all kept: rows are matched by the text, not by the key.
     """
@@ -187,22 +246,16 @@ def disclosure_spans(docs: DataFrame, rule: Disclosure = Disclosure(), text: str
     kept = [c for c in columns if c != text]
     found = staged(personal_spans(keyed, rule, text).select(*kept, "text_id", "entities", "near"), "pii-found")
     terms = staged(disclosing(found, docs, rule, text), "pii-terms")
-    near = found.filter(F.size("near") > 0).dropDuplicates(["text_id"]).select("text_id", F.explode("near").alias("x"))
-    flagged = (
-        near.join(terms, (F.col("x.entity") == terms["entity"]) & (F.col("x.term") == terms["term"]))
-        .groupBy("text_id", F.col("x.start").alias("start"), F.col("x.end").alias("end"))
-        .agg(F.max_by(terms["entity"], F.struct("disclosure", terms["entity"])).alias("entity"), F.max("disclosure").alias("share"))
-        .select(
-            "text_id",
-            F.struct(
-                F.when(F.col("share") >= rule.remove_at, "term-removed").otherwise("term").alias("kind"), "start", "end", "entity"
-            ).alias("span"),
-        )
-        .groupBy("text_id")
-        .agg(F.collect_list("span").alias("more"))
+    best = terms.groupBy("term").agg(
+        F.max_by("entity", F.struct("disclosure", "entity")).alias("entity"), F.max("disclosure").alias("share")
     )
+    kind = F.when(F.col("share") >= rule.remove_at, "term-removed").otherwise("term")
+    flagged = term_spans(docs, staged(best.select("term", "entity", kind.alias("kind")), "pii-best"), rule, text)
     order = F.array(*map(F.lit, (*KINDS, "term", "term-removed")))
-    everything = F.concat("entities", F.coalesce("more", F.array().cast(SPAN_DDL)))
+    apart = F.filter(
+        "more", lambda x: ~F.exists("entities", lambda e: (e["start"] < x["end"]) & (e["end"] > x["start"]))
+    )
+    everything = F.concat("entities", F.coalesce(apart, F.array().cast(SPAN_DDL)))
     ranked = F.array_sort(
         F.transform(
             everything,
@@ -244,5 +297,5 @@ def sanitised(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFram
         return pa.array(out, pa.string())
 
     by_text = spans.filter(F.size("spans") > 0).dropDuplicates(["text_id"]).select("text_id", "spans")
-    joined = docs.withColumn("text_id", F.xxhash64(text)).join(by_text, "text_id", "left")
+    joined = docs.drop("spans").withColumn("text_id", F.xxhash64(text)).join(by_text, "text_id", "left")
     return joined.withColumn(text, applied(F.col(text), F.col("spans"))).drop("text_id", "spans")

@@ -148,3 +148,20 @@ def test_terms_that_disclose_an_entity(spark):
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs.filter("doc_id is not null"), found).collect()}
     assert "Zebrafish" not in clean[100] and "[EMAIL]" in clean[100] and clean[200] is None and clean[5] == rows[5][1]
     assert pii.disclosure_spans(docs.limit(0)).count() == 0
+
+
+def test_terms_are_found_despite_copies_and_far_from_the_entity(spark):
+    rows = [(k, f"word{k} something other plain text number {k}") for k in range(300)]
+    far = " ".join(f"filler{k}" for k in range(20))
+    rows += [(1000 + k, f"Zebrafish contact zoe@example.com today item{k} {far} again Zebrafish there{k}") for k in range(5)]
+    rows += [(2000 + k, rows[300][1]) for k in range(200)]
+    rows += [(3000, "a Zebrafish alone, zebrafish@example.org not as a term")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.disclosure_spans(docs)
+    text = dict(rows)
+    terms = {r["doc_id"]: [text[r["doc_id"]][x["start"] : x["end"]] for x in r["spans"] if x["kind"].startswith("term")] for r in found.collect()}
+    assert all(terms[k].count("Zebrafish") == 2 for k in (*range(1000, 1005), *range(2000, 2200)))
+    assert terms[3000] == ["Zebrafish"] and terms[5] == []
+    assert not any("Zebrafish" in r["text"] for r in pii.sanitised(docs, found).collect())
+    blocks = pii.disclosure_spans(docs, pii.Disclosure(terms=2))
+    assert sorted(blocks.select("doc_id", "spans").collect()) == sorted(found.select("doc_id", "spans").collect())
