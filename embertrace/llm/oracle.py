@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from embertrace.llm.odd_sketch import Plan
 from embertrace.llm.quality import Rules
+from embertrace.llm.quantised_tiles import Tiles
 
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
@@ -104,3 +105,86 @@ FROM docs d LEFT JOIN lines l USING (doc_id) LEFT JOIN repeats r USING (doc_id)
 
 
 QUALITY = _quality(Rules())
+
+
+_LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SOURCE_DIVERGENCE = rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("text")} AS text FROM documents
+), terms AS (
+    SELECT id, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS n FROM terms GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+), counts AS (
+    SELECT lang, source, term, count(*) AS n FROM terms SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), sources AS (
+    SELECT DISTINCT lang, source FROM docs
+), langs AS (
+    SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY lang
+), shares AS (
+    SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+           1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 2)) // (sum(coalesce(c.n, 0)) OVER (PARTITION BY s.lang, s.source) + 2 * l.v) AS p,
+           1 + (1000000000::HUGEINT * (k.n + 2)) // (l.total + 2 * l.v) AS q
+    FROM sources s JOIN kept k ON k.lang = s.lang JOIN langs l ON l.lang = s.lang
+    LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), apart AS (
+    SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value
+    FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), parts AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0) AS value
+    FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+    UNION ALL
+    SELECT lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) FROM shares WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+       CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 10
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE fit AS (
+    SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+    WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), unit AS (
+    SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS norm FROM fit
+), links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM unit a JOIN unit b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_inner_product(a.v, b.v) / (a.norm * b.norm) >= {Tiles().cosine}
+), reach AS (
+    SELECT vec_id AS id, vec_id AS other FROM embeddings
+    UNION
+    SELECT r.id, l.b FROM reach r JOIN links l ON r.other = l.a
+), labels AS (
+    SELECT id, min(other) AS component_id FROM reach GROUP BY id
+), degrees AS (
+    SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN labels ON id = e.vec_id LEFT JOIN degrees ON a = e.vec_id
+"""
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SEARCH = f"""
+WITH words AS (
+    SELECT doc_id, unnest({_TERMS.format(_LOWER.format("text"))}) AS term FROM documents
+), lengths AS (
+    SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id
+), corpus AS (
+    SELECT count(*) AS docs, sum(n) AS terms FROM lengths
+), asked AS (
+    SELECT DISTINCT item_id, unnest({_TERMS.format(_LOWER.format("text"))}) AS term FROM benchmark
+), found AS (
+    SELECT doc_id, term, count(*) AS tf FROM words SEMI JOIN asked USING (term) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM found, corpus GROUP BY term, docs
+), scores AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked JOIN found USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), corpus GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""

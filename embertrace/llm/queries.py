@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
 from embertrace.llm.byte_cnn import identify_languages
 from embertrace.llm.latent import benchmark_hits
+from embertrace.llm.max_sketch import ranked_documents
 from embertrace.llm.mixing import temperature_mix
-from embertrace.llm.oracle import NEAR_DUPLICATES, QUALITY
+from embertrace.llm.oracle import LEXICAL_SEARCH, NEAR_DUPLICATES, NEAR_VECTORS, QUALITY, SOURCE_DIVERGENCE
 from embertrace.llm.odd_sketch import near_duplicates
 from embertrace.llm.preference import PREFERENCE_SQL, conversations_of, formatted, sibling_pairs
 from embertrace.llm.quality import quality_rules
+from embertrace.llm.quantised_tiles import near_vectors
 from embertrace.llm.records import Coding, round_trip
 from embertrace.llm.sharding import shard_plan
+from embertrace.llm.source_divergence import source_divergence
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +47,8 @@ def op2_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token records of all documents, read back from their files."""
+    import public_tokenizers  # only this query needs it
+
     coding = Coding(public_tokenizers.path("byte_bpe_50k.json"))
     return round_trip(_documents(spark, sf_dir), coding).withColumnRenamed("id", "doc_id")
 
@@ -104,6 +108,22 @@ def op10_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language are apart, and by which terms."""
+    return source_divergence(_documents(spark, sf_dir))
+
+
+def op12_quantised_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate vectors within each label."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return near_vectors(vectors).select("vec_id", "n_links", "component_id", "kept")
+
+
+def op13_max_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that score highest for each benchmark item."""
+    return ranked_documents(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_preference_pairs": op1_preference_pairs,
     "op2_hypergeometric_shards": op2_hypergeometric_shards,
@@ -115,10 +135,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_disclosure": op8_disclosure,
     "op9_quality_divergence": op9_quality_divergence,
     "op10_secret_layers": op10_secret_layers,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_quantised_tiles": op12_quantised_tiles,
+    "op13_max_sketches": op13_max_sketches,
 }
 
 ORACLE: dict[str, str] = {
     "op1_preference_pairs": PREFERENCE_SQL,
     "op4_odd_sketches": NEAR_DUPLICATES,
     "op9_quality_divergence": QUALITY,
+    "op11_source_divergence": SOURCE_DIVERGENCE,
+    "op12_quantised_tiles": NEAR_VECTORS,
+    "op13_max_sketches": LEXICAL_SEARCH,
 }
