@@ -117,11 +117,12 @@ def tile(table: pa.Table, limit: float) -> pa.Table:
     if not len(a.classes) or not len(b.classes):
         return LINKED.empty_table()
     linked = links_of(a, b, limit, same)
-    group = groups_of(linked)
     counts, classes = linked @ b.copies, a.classes
-    if same:
-        group = group[: len(classes)]
+    if same:  # a class's row and its column are one
+        np.fill_diagonal(linked, linked.any(axis=1))
+        group = groups_of(linked)[: len(classes)]
     else:
+        group = groups_of(linked)
         counts, classes = np.concatenate([counts, linked.T @ a.copies]), np.concatenate([classes, b.classes])
     of = np.flatnonzero(group >= 0)
     return pa.table([classes[of], counts[of], a.classes[group[of]]], schema=LINKED)
