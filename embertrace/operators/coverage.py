@@ -70,12 +70,17 @@ def step_results(
     best = best_in_span(
         steps, anomalies, "link_id", window_seconds, step_at="executed_at", event_at="event_ts"
     )
+    return step_report(steps.join(best, "link_id", "left"), shown)
+
+
+def step_report(found_steps: DataFrame, shown: int = 10) -> DataFrame:
+    """Report columns of steps with ``n`` (null: none), ``first_at`` and ``best`` of their window."""
     found = F.col("n").isNotNull()
     seconds = lambda micros: F.when(
         found, F.round(F.greatest(micros - F.unix_micros("executed_at"), F.lit(0)) / 1e6, 1)
     )
     total = F.coalesce("n", F.lit(0))
-    return steps.join(best, "link_id", "left").select(
+    return found_steps.select(
         "link_id",
         "technique_id",
         "ability_name",

@@ -20,10 +20,10 @@ from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
-from embertrace.session import cut, scratch_path, setting, spread
+from embertrace.session import cut, scratch_path, spread
 from embertrace.sources import scans
 from embertrace.streaming.bridge import alert_events, run_available
-from embertrace.streaming.detections import detection_stream
+from embertrace.streaming.monitor import monitored_steps, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -941,16 +941,20 @@ def stream_bridge(spark, sf_dir):
 
 @query
 def stream_detections(spark, sf_dir):
-    """Steps and anomalies matched as streams; the matches, not the misses still open."""
-    steps = coverage.step_columns(t.exec_links_of(_streamed(spark, sf_dir)).filter(F.col("poll") == 1))
+    """Steps of all polls and anomalies as streams; a last step, long after, closes every window before it."""
+    steps = coverage.step_columns(t.exec_links_of(_streamed(spark, sf_dir)))
     found = coverage.anomalous_events(t.scored_of(_streamed(spark, sf_dir)), 0.65)
+    closing = scratch_path(spark, "closing")
+    end = F.to_timestamp(F.lit("2200-01-01 00:00:00"))
+    last = t.base_events(spark, sf_dir).agg(F.count("*").alias("n")).select(
+        F.lit("closing").alias("link_id"), F.lit("closing").alias("host"), end.alias("executed_at"), end.alias("event_ts"), F.lit(0.0).alias("score")
+    )
+    last.write.parquet(closing)
+    closes = spark.readStream.schema(last.schema).parquet(closing)
+    steps = steps.unionByName(closes.select("link_id", "host", "executed_at"), allowMissingColumns=True)
+    found = found.unionByName(closes.select("host", "event_ts", "score"), allowMissingColumns=True)
     out, checkpoint = scratch_path(spark, "detections"), scratch_path(spark, "detections-checkpoint")
-    # A stream keeps its number of state partitions for life; more than cores only cost commits.
-    key = "spark.sql.shuffle.partitions"
-    partitions = min(int(spark.conf.get(key)), spark.sparkContext.defaultParallelism)
-    with setting(spark, key, str(partitions)):
-        stream = run_available(detection_stream(steps, found, keep_misses=False), out, checkpoint)
+    with stateful(spark):
+        stream = run_available(monitored_steps(steps, found), out, checkpoint)
     stream.awaitTermination()
-    return spark.read.parquet(out).select(
-        "link_id", "alert_id", ts_text(F.col("executed_at")).alias("executed_at"), "score"
-    )
+    return spark.read.parquet(out).withColumn("executed_at", ts_text(F.col("executed_at")))

@@ -593,8 +593,7 @@ WITH {STEPS}, per AS (
   SELECT {_TACTICS} AS tactic, technique_id, max(detected::INT) AS hit FROM results GROUP BY 1, 2)
 SELECT tactic, count(*) AS techniques, sum(hit)::BIGINT AS covered, (count(*) - sum(hit))::BIGINT AS gap
 FROM per GROUP BY 1"""
-ORACLE["stream_detections"] = f"""
-WITH {STEPS} SELECT link_id, alert_id, {_TS.format('executed_at')} AS executed_at, score FROM hits"""
+ORACLE["stream_detections"] = ORACLE["detections_90s"]
 
 _BEFORE, _AFTER = "ts < TIMESTAMP '2024-01-21'", "ts >= TIMESTAMP '2024-01-21'"
 DRIFT = (

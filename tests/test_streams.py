@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from embertrace import schemas
 from embertrace.operators.features import Frequencies
+from embertrace.operators.coverage import step_results
 from embertrace.plans.retrain import retrain, score_new
 from embertrace.session import scratch_path
 from embertrace.sources.tables import append
 from embertrace.streaming.bridge import alert_events, log_events, run_available, text_stream
 from embertrace.streaming.detections import detection_stream
+from embertrace.streaming.monitor import monitored_steps, stateful
 from embertrace.streaming.notifier import first_messages, repeat_messages
 from embertrace.streaming.scoring import score_stream
 
@@ -102,6 +104,66 @@ def test_detections_with_misses_across_a_restart(spark):
 
 
 
+def test_monitor_reports_each_step_once_and_misses_at_the_end_of_their_window(spark):
+    start = utc("2024-01-01T00:00:00")
+    at = lambda s: start + timedelta(seconds=s)
+    step = lambda id, host, s: (id, "T1", "x", host, at(s), 2)
+    hit = lambda id, host, s, score=0.9: (host, at(s), id, score, None)
+    steps_in, hits_in = scratch_path(spark, "steps"), scratch_path(spark, "hits")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    fed = [], []
+
+    def feed(steps, hits):
+        for rows, kind, path, all_rows in ((steps, STEP, steps_in, fed[0]), (hits, HIT, hits_in, fed[1])):
+            all_rows += rows
+            append(spark.createDataFrame(rows, kind).coalesce(1), path)
+        asked, found = spark.readStream.schema(STEP).parquet(steps_in), spark.readStream.schema(HIT).parquet(hits_in)
+        with stateful(spark):
+            run_available(monitored_steps(asked, found, 90, "1 minute", cell_seconds=600), out, checkpoint).awaitTermination()
+        return {r["link_id"]: r for r in spark.read.parquet(out).collect()}
+
+    # windows that cross a cell's end, equal scores, an end that counts, and a link that three polls report
+    first = feed(
+        [step("s1", "a", 0), step("s1", "a", 0), step("s2", "a", 10), step("s3", "b", 20), step("s4", "a", 590), step("s5", "c", 599)],
+        [hit("e1", "a", 90), hit("e2", "a", 101, 0.7), hit("e3", "c", 25), hit("e4", "a", 610), hit("e5", "a", 680, 0.9), hit("e6", None, 5)],
+    )
+    assert "s3" in first and not first["s3"]["detected"] and "s4" not in first
+    # the third poll comes with later steps, after a restart
+    later = feed([step("s1", "a", 0), step("s6", "a", 600)], [hit("e7", "a", 689, 0.95), hit("e8", "c", 690)])
+    assert "s6" not in later
+    feed([step("s9", "z", 4000)], [hit("e9", "y", 4000)])
+    got = feed([step("s10", "z", 8000)], [hit("e10", "y", 8000)])
+    steps, hits = spark.createDataFrame(fed[0], STEP).dropDuplicates(["link_id"]), spark.createDataFrame(fed[1], HIT)
+    want = {r["link_id"]: r for r in step_results(steps, hits).collect()}
+    assert {k: got[k] for k in want if k != "s10"} == {k: want[k] for k in want if k != "s10"}
+    assert spark.read.parquet(out).count() == len(got) == 7
+    assert [k for k in sorted(got) if not got[k]["detected"]] == ["s3", "s5", "s9"]
+
+
+def test_a_busy_host_lies_in_many_keys(spark):
+    """Twenty thousand anomalies of one host, waiting for steps: no key holds more than a cell of them."""
+    steps_in, hits_in = scratch_path(spark, "steps"), scratch_path(spark, "hits")
+    out, checkpoint = scratch_path(spark, "out"), scratch_path(spark, "checkpoint")
+    stamp = lambda seconds: F.timestamp_seconds(F.lit(1_700_000_000) + seconds)
+    rows = spark.range(20_000).select(
+        F.lit("busy").alias("host"), stamp(F.col("id")).alias("event_ts"), F.col("id").cast("string").alias("alert_id"),
+        F.lit(0.8).alias("score"), F.lit(1.0).alias("percentile"),
+    )
+    append(rows.coalesce(1), hits_in)
+    steps = spark.range(3).select(
+        F.concat(F.lit("s"), "id").alias("link_id"), F.lit("T1").alias("technique_id"), F.lit("x").alias("ability_name"), F.lit("busy").alias("host"),
+        stamp(F.col("id") * 7_000 + 100).alias("executed_at"), F.lit(2).alias("status"),
+    )
+    append(steps.coalesce(1), steps_in)
+    asked, found = (spark.readStream.schema(f.schema).parquet(p) for f, p in ((steps, steps_in), (rows, hits_in)))
+    with stateful(spark):
+        run_available(monitored_steps(asked, found, late="20 hours", cell_seconds=600), out, checkpoint).awaitTermination()
+    assert spark.read.parquet(out).count() == 0  # nothing is closed yet
+    held = spark.read.format("statestore").option("operatorId", 0).option("stateVarName", "hits").load(checkpoint)
+    per_key = [len(r["list_value"]) if "list_value" in held.columns else r["count"] for r in (held if "list_value" in held.columns else held.groupBy("key").count()).collect()]
+    assert len(per_key) >= 33 and max(per_key) <= 700 and sum(per_key) >= 20_000
+
+
 def test_messages_once_and_again_after_failure(spark):
     triage_in, outcome_in = scratch_path(spark, "triage"), scratch_path(spark, "outcomes")
     outbox = scratch_path(spark, "outbox")
