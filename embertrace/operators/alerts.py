@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from embertrace import fixed_values as fv
 from embertrace.operators.ranking import top_rows
@@ -13,12 +14,15 @@ from embertrace.session import cut
 def latest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """Newest row per key."""
     others = [c for c in rows.columns if c != key]
-    newest = F.max_by(F.struct(*others), F.struct(at, *[c for c in others if c != at and _orderable(rows, c)]))
+    newest = F.max_by(F.struct(*others), newest_order(rows.select(*others).schema, at))
     return rows.groupBy(key).agg(newest.alias("r")).select(key, "r.*")
 
 
-def _orderable(rows: DataFrame, column: str) -> bool:
-    return rows.schema[column].dataType.typeName() in {"string", "double", "integer", "long", "boolean", "timestamp"}
+def newest_order(fields: StructType, at: str, prefix: str = "") -> Column:
+    """What orders rows in time: ``at``, and at equal times the other columns that have an order."""
+    plain = {"string", "double", "integer", "long", "boolean", "timestamp"}
+    others = [f.name for f in fields if f.name != at and f.dataType.typeName() in plain]
+    return F.struct(*[F.col(f"{prefix}{c}") for c in (at, *others)])
 
 
 def newest_scores(scores: DataFrame) -> DataFrame:
@@ -67,10 +71,13 @@ def current_alerts(scores: DataFrame, triage: DataFrame, notifications: DataFram
     sent = (
         notifications.filter(F.col("status") == "sent").groupBy("alert_id").agg(F.max("ts").alias("notified_at"))
     )
+    return state_columns(scores.join(newest, "alert_id", "left").join(sent, "alert_id", "left"))
+
+
+def state_columns(rows: DataFrame) -> DataFrame:
+    """What is read off an alert's score, triage and ``notified_at``."""
     return (
-        scores.join(newest, "alert_id", "left")
-        .join(sent, "alert_id", "left")
-        .withColumn("enriched", F.col("triage").isNotNull())
+        rows.withColumn("enriched", F.col("triage").isNotNull())
         .withColumn("notified", F.col("notified_at").isNotNull())
         .withColumn("score_routing", F.col("ml.routing_decision"))
         .withColumn("fused_routing", F.col("triage.routing_decision"))

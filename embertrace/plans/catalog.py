@@ -22,6 +22,7 @@ from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
 from embertrace.session import cut, scratch_path, spread
 from embertrace.sources import scans
+from embertrace.sources.alert_state import AlertState
 from embertrace.streaming.bridge import alert_events, run_available
 from embertrace.streaming.monitor import monitored_steps, stateful
 
@@ -214,15 +215,21 @@ def _current(spark, sf_dir) -> DataFrame:
     )
 
 
-def _top(spark, sf_dir, chosen: Column, limit: int) -> DataFrame:
-    return alerts.top_alerts(
-        t.score_runs(spark, sf_dir), t.triage_rows(spark, sf_dir), t.notification_rows(spark, sf_dir), chosen, limit
-    )
+_STATES: dict[tuple[str, str], AlertState] = {}
 
 
-@query
-def current_alerts(spark, sf_dir):
-    return _current(spark, sf_dir).select(
+def _state(spark, sf_dir) -> DataFrame:
+    """The maintained state, made once in a session and read by every question about alerts."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STATES:
+        made = AlertState(spark, scratch_path(spark, "alert-state"), buckets=8)
+        made.refresh(t.score_runs(spark, sf_dir), t.triage_rows(spark, sf_dir), t.notification_rows(spark, sf_dir))
+        _STATES[key] = made
+    return _STATES[key].read()
+
+
+def _flat_state(rows: DataFrame) -> DataFrame:
+    return rows.select(
         "alert_id",
         F.col("ml.anomaly_score").alias("anomaly_score"),
         "enriched",
@@ -235,19 +242,37 @@ def current_alerts(spark, sf_dir):
     )
 
 
+@query
+def current_alerts(spark, sf_dir):
+    return _flat_state(_current(spark, sf_dir))
+
+
+@query
+def alert_state_delta(spark, sf_dir):
+    """The state after three deltas, the last of them twice: first scores, first triage, then all that is newer."""
+    scores, triaged = t.score_runs(spark, sf_dir), t.triage_rows(spark, sf_dir)
+    state = AlertState(spark, scratch_path(spark, "alert-state"), buckets=8)
+    early = F.col("fp_assessment") == "medium"
+    state.apply(scores.filter(F.col("run_id") < "20240302"), triaged.filter(early))
+    state.apply(triage=triaged.filter(~early), notifications=t.notification_rows(spark, sf_dir))
+    for _ in range(2):
+        state.refresh(scores, triaged, t.notification_rows(spark, sf_dir))
+    return _flat_state(state.read())
+
+
 @query
 def alert_queue(spark, sf_dir):
-    return alerts.alert_queue(_top(spark, sf_dir, F.col("ml.anomaly_score") >= 0.7, 100))
+    return alerts.alert_queue(_state(spark, sf_dir))
 
 
 @query
 def disagreement(spark, sf_dir):
-    return alerts.disagreement_queue(alerts.alert_queue(_current(spark, sf_dir), 0.0, None))
+    return alerts.disagreement_queue(alerts.alert_queue(_state(spark, sf_dir), 0.0, None))
 
 
 @query
 def anomaly_top10(spark, sf_dir):
-    return alerts.anomaly_top(_top(spark, sf_dir, F.col("ml.is_anomaly"), 10))
+    return alerts.anomaly_top(_state(spark, sf_dir))
 
 
 @query
@@ -263,13 +288,13 @@ def unenriched_topn(spark, sf_dir):
 
 @query
 def pending_notify(spark, sf_dir):
-    rows = alerts.pending_notifications(_current(spark, sf_dir))
+    rows = alerts.pending_notifications(_state(spark, sf_dir))
     return rows.select("alert_id", F.col("triage.combined_confidence").alias("combined_confidence"), "fused_routing")
 
 
 @query
 def notify_payload(spark, sf_dir):
-    rows = alerts.payload(alerts.pending_notifications(_current(spark, sf_dir), None), "scores")
+    rows = alerts.payload(alerts.pending_notifications(_state(spark, sf_dir), None), "scores")
     inside = lambda path: F.get_json_object("payload", path)
     return rows.select(
         "alert_id",
@@ -293,7 +318,7 @@ def log_triage_top10(spark, sf_dir):
 
 @query
 def kpi_row(spark, sf_dir):
-    row = alerts.key_figures(_current(spark, sf_dir))
+    row = alerts.key_figures(_state(spark, sf_dir))
     return row.select(
         "total_events", "anomalies", "enriched", "min_score", "max_score",
         *[r6(c).alias(c) for c in ("avg_score", "anomaly_pct", "enriched_pct")],

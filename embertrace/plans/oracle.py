@@ -255,6 +255,7 @@ _QUEUE_COLUMNS = (
     'alert_id, score, percentile, combined, routing, disagreement, enriched, category, process, parent, "user",'
     " host, dataset"
 )
+ORACLE["alert_state_delta"] = ORACLE["current_alerts"]
 ORACLE["alert_queue"] = f"""
 WITH {CURRENT} SELECT {_QUEUE_COLUMNS} FROM queue WHERE full_score >= 0.7 ORDER BY full_score DESC, alert_id LIMIT 100"""
 
