@@ -26,8 +26,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The first k bytes of eight.
 _FIRST = np.array([(1 << 64) - (1 << (64 - 8 * k)) for k in range(9)], np.uint64)
-#: A shard ends after so many bytes of text; its pointers take about seven times as much.
-SHARD_BYTES = 24 << 20
+#: A shard ends after so many bytes of text; its pointers take about ten times as much while they are sorted.
+SHARD_BYTES = 8 << 20
 #: Runs of longer terms are told apart by comparing the rest of their bytes at once.
 _LONG = 64
 #: Numbers in a block of counts, terms times sources.
@@ -44,8 +44,10 @@ def term_pointers(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     first[offsets] = True
     before = np.concatenate([[False], inside[:-1]]) & ~first[:-1]
     after = np.concatenate([inside[1:], [False]]) & ~first[1:]
-    starts, lasts = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
-    return starts, lasts - starts + 1, np.searchsorted(offsets, starts, "right") - 1
+    kind = np.int32 if len(raw) < 1 << 31 else np.int64
+    starts = np.flatnonzero(inside & ~before).astype(kind)
+    lengths = np.flatnonzero(inside & ~after).astype(kind) - starts + kind(1)
+    return starts, lengths, np.searchsorted(offsets, starts, "right").astype(kind) - kind(1)
 
 
 def equal_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +61,7 @@ def equal_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
         left = np.clip(lengths[at] - depth, 0, 8)
         return eight[np.where(left > 0, starts[at] + depth, 0)].byteswap() & _FIRST[left]
 
-    order = np.arange(len(starts))
+    order = np.arange(len(starts), dtype=np.int32 if len(starts) < 1 << 31 else np.int64)
     new = np.ones(len(starts), bool)
     key = keys(order, 0)
     turned = np.argsort(key)
@@ -90,7 +92,7 @@ def equal_runs(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tupl
 
 def _gathered(raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
     """The terms that the pointers point to, as strings."""
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
     at = np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(raw[at])).cast(pa.string())
 
@@ -112,14 +114,16 @@ def shard_tally(texts: pa.Array, langs: pa.Array, sources: pa.Array) -> pa.Table
     if not len(starts):
         return TALLY.empty_table()
     order, run = equal_runs(raw, starts, lengths)
-    code = np.sort(run * len(texts) + doc[order])
+    heads = order[np.searchsorted(run, np.arange(run[-1] + 1))]
+    code = run * len(texts)
+    code += doc[order]
+    code.sort()
     first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
     in_doc = np.diff(np.append(first, len(code)))
     run_of, doc_of = np.divmod(code[first], len(texts))
     cell = run_of * len(seen) + group[doc_of]
     edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     run_of, group_of = np.divmod(cell[edge], len(seen))
-    heads = order[np.searchsorted(run, np.arange(run[-1] + 1))]
     terms = _gathered(raw, starts[heads], lengths[heads])
     names = list(seen)
     take = pa.array(group_of)
