@@ -1,10 +1,15 @@
-"""Isolation forest as Spark jobs: sample, grow one tree per group, score by vectorised walk.
+"""Isolation forest as Spark jobs: sample, grow one tree per group, score by a walk through tree slots.
 
 Liu, Ting and Zhou, "Isolation Forest", ICDM 2008.
+
+All draws come from md5 of the seed and of what is drawn for, so that the same forest can be grown anywhere,
+in SQL too.  Path lengths are multiples of ``1 / PATH_STEPS``: their sums are exact in any order.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
@@ -20,6 +25,10 @@ SAMPLE_ROWS = 256
 # Expected rows offered to a tree; enough that fewer than SAMPLE_ROWS is very unlikely.
 OFFERED_ROWS = 340
 
+PATH_STEPS = 1 << 20
+# A prime: draws of rows for trees are taken modulo it.
+DRAW_RANGE = (1 << 31) - 1
+
 _TREE_SCHEMA = "tree int, node int, feature int, threshold double, path double"
 
 
@@ -32,13 +41,23 @@ def average_path(n: float) -> float:
     return 2.0 * (math.log(n - 1.0) + 0.5772156649015329) - 2.0 * (n - 1.0) / n
 
 
+def draw(*of: int) -> tuple[int, int]:
+    """Two whole numbers below 2**52 that depend on ``of`` only."""
+    text = hashlib.md5(":".join(map(str, of)).encode()).hexdigest()
+    return int(text[:13], 16), int(text[13:26], 16)
+
+
+def tree_factors(trees: int, seed: int) -> list[int]:
+    """What a row's number is multiplied with to be drawn for each tree."""
+    return [1 + draw(seed, tree)[0] % (DRAW_RANGE - 1) for tree in range(trees)]
+
+
 def grow_tree(rows: np.ndarray, seed: int, tree: int, height: int) -> pd.DataFrame:
     """One isolation tree over at most ``SAMPLE_ROWS`` rows, stored by heap position.
 
     Every slot of the full binary layout is filled: below a leaf both children repeat the
     leaf, so a walk of exactly ``height`` steps always ends on the right path length.
     """
-    random = np.random.default_rng([seed, tree])
     slots = 2 ** (height + 1) - 1
     feature = np.zeros(slots, dtype=np.int32)
     threshold = np.full(slots, np.inf)
@@ -52,7 +71,7 @@ def grow_tree(rows: np.ndarray, seed: int, tree: int, height: int) -> pd.DataFra
             lo, hi = here.min(axis=0), here.max(axis=0)
             splittable = np.flatnonzero(hi > lo)
             if depth == height or len(here) <= 1 or len(splittable) == 0:
-                settled, here = depth + average_path(len(here)), None
+                settled, here = round((depth + average_path(len(here))) * PATH_STEPS) / PATH_STEPS, None
                 path[slot] = settled
         if depth == height:
             continue
@@ -60,8 +79,9 @@ def grow_tree(rows: np.ndarray, seed: int, tree: int, height: int) -> pd.DataFra
         if here is None:
             pending += [(left, depth + 1, None, settled), (right, depth + 1, None, settled)]
             continue
-        f = int(random.choice(splittable))
-        at = random.uniform(lo[f], hi[f])
+        which, where = draw(seed, tree, slot)
+        f = int(splittable[which % len(splittable)])
+        at = lo[f] + where / (1 << 52) * (hi[f] - lo[f])
         if at >= hi[f]:
             at = lo[f]
         feature[slot], threshold[slot] = f, at
@@ -76,27 +96,26 @@ def grow_tree(rows: np.ndarray, seed: int, tree: int, height: int) -> pd.DataFra
 def sample_for_trees(rows: DataFrame, key: str, n: int, trees: int, seed: int) -> tuple[DataFrame, int]:
     """Rows with a ``tree`` number, exactly ``min(SAMPLE_ROWS, n)`` per tree.
 
-    Chosen by hash of key, tree and seed, so the sample does not depend on partitioning.
-    One hash per input row keeps a pool of bounded size; only the pool is offered to
-    every tree.
+    Chosen by md5 of key and seed, so the sample does not depend on partitioning.  One md5 per input row keeps a
+    pool of bounded size; only the pool is offered to every tree, by ``(a * factor + b) mod DRAW_RANGE`` with two
+    numbers ``a, b`` of the row.
     """
     size = min(SAMPLE_ROWS, n)
-    wide = float(1 << 62) * 2.0
-
-    def share(*parts) -> Column:
-        return (F.xxhash64(*parts).cast("double") + F.lit(wide)) / F.lit(2.0 * wide)
-
+    text = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
+    number = lambda first: F.conv(F.substring("_md5", first, 7), 16, 10).cast("bigint")
     pool_target = trees * OFFERED_ROWS
-    pool, pool_rows = rows, n
+    pool, pool_rows = rows.withColumn("_md5", text), n
     if n > pool_target:
-        pool = rows.filter(share(F.col(key), F.lit(seed)) < pool_target / n)
+        pool = pool.filter(number(15) < int(pool_target / n * (1 << 28)))
         pool_rows = pool_target
-    offered = pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))).withColumn(
-        "_draw", F.xxhash64(F.col(key), F.col("tree"), F.lit(seed + 1))
+    factors = F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(f).cast("bigint").alias("_factor")) for t, f in enumerate(tree_factors(trees, seed))])
+    offered = (
+        pool.withColumns({"_a": number(1), "_b": number(8)})
+        .select(*rows.columns, "_a", "_b", F.inline(factors))
+        .withColumn("_draw", (F.col("_a") * F.col("_factor") + F.col("_b")) % DRAW_RANGE)
     )
     if pool_rows > OFFERED_ROWS:
-        keep = share(F.col(key), F.col("tree"), F.lit(seed + 1)) < OFFERED_ROWS / pool_rows
-        offered = offered.filter(keep)
+        offered = offered.filter(F.col("_draw") < int(OFFERED_ROWS / pool_rows * DRAW_RANGE))
     order = Window.partitionBy("tree").orderBy("_draw", key)
     return offered.withColumn("_pick", F.row_number().over(order)).filter(F.col("_pick") <= size), size
 
@@ -184,6 +203,34 @@ class Forest:
 
         return rows.withColumn("raw", walk(*[F.col(c) for c in self.columns]))
 
+    def walk(self, rows: DataFrame) -> DataFrame:
+        """The same as ``score`` in column expressions: no Python worker takes part.
+
+        The slots of all trees lie in one array per attribute.  A row holds its place in each tree, and a step
+        moves all of them down a level.
+        """
+        trees, slots = self.feature.shape
+        height = int(math.log2(slots + 1)) - 1
+        array = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+        feature = array(self.feature.ravel().tolist(), "int")
+        # below a leaf any way is as good: both children repeat it
+        threshold = array(np.where(np.isinf(self.threshold), 1e300, self.threshold).ravel().tolist(), "double")
+        path = array(self.path.ravel().tolist(), "double")
+        x = F.array(*[F.col(c).cast("double") for c in self.columns])
+
+        def down(place: Column, tree: Column) -> Column:
+            slot = tree * F.lit(slots) + place
+            right = F.get(F.col("_x"), F.get(feature, slot)) > F.get(threshold, slot)
+            return place * 2 + 1 + right.cast("int")
+
+        walked = rows.withColumns({"_x": x, "_at": F.array_repeat(F.lit(0), trees)})
+        for _ in range(height):
+            walked = walked.withColumn("_at", F.transform("_at", down))
+        ends = F.transform("_at", lambda place, tree: F.get(path, tree * F.lit(slots) + place))
+        total = F.aggregate(ends, F.lit(0.0), lambda a, b: a + b)
+        scale = trees * max(average_path(self.sample_size), 1e-12)
+        return walked.withColumn("raw", -F.pow(F.lit(2.0), -total / F.lit(scale))).drop("_x", "_at")
+
 
 def one_row(spark: SparkSession, schema: str, **values) -> DataFrame:
     """A table of one row."""

@@ -16,6 +16,7 @@ from embertrace.functions import prompts
 from embertrace.functions.scoring import min_max_inverted, score_route, to_number
 from embertrace.functions.text import base_name, event_category, group_tactic, lookup
 from embertrace.operators import alerts, coverage, drift, features, ledger, legacy, metrics, normalise, ranking, triage
+from embertrace.operators.iforest import Forest, average_path, fit_trees
 from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
 from embertrace.plans import retrain as retrain_plan
@@ -907,7 +908,7 @@ def lof_scores(spark, sf_dir):
 
 @query
 def legacy_scores(spark, sf_dir):
-    return legacy.legacy_scores(_legacy_rows(spark, sf_dir))
+    return legacy.legacy_scores(_legacy_rows(spark, sf_dir)).withColumn("anomaly_score", r6("anomaly_score"))
 
 
 def _flat_scores(scores: DataFrame) -> DataFrame:
@@ -915,6 +916,36 @@ def _flat_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("top_features", F.array_join(tops, ","))
 
 
+def _forest(spark, sf_dir) -> tuple[DataFrame, Forest]:
+    """Scaled features of all events and the forest grown on them."""
+    z = _z(spark, sf_dir)
+    slots, size = fit_trees(z, fv.FEATURES, "alert_id", z.count(), trees=fv.TREES, seed=fv.SEED)
+    return z, Forest.of(slots, fv.FEATURES, size)
+
+
+@query
+def forest_slots(spark, sf_dir):
+    """The forest as a relation: its splits and its leaves (the first slot of those that repeat one)."""
+    _, forest = _forest(spark, sf_dir)
+    slots = forest.slots(spark)
+    split = F.col("threshold") < float("inf")
+    up = slots.filter(split).select("tree", F.explode(F.array(F.col("node") * 2 + 1, F.col("node") * 2 + 2)).alias("node"))
+    ends = up.unionByName(slots.filter("node = 0").select("tree", "node"))
+    named = F.element_at(F.array(*[F.lit(f) for f in fv.FEATURES]), F.col("feature") + 1)
+    return slots.join(ends, ["tree", "node"], "left_semi").select(
+        "tree", "node", F.when(split, named).alias("feature"),
+        F.when(split, r6("threshold") + 0.0).alias("threshold"), F.when(~split, r6("path")).alias("path"),
+    )
+
+
+@query
+def forest_walk(spark, sf_dir):
+    """Raw scores of all events by column expressions alone."""
+    z, forest = _forest(spark, sf_dir)
+    whole = F.lit(-len(forest.path) * average_path(forest.sample_size))
+    return forest.walk(spread(z)).select("alert_id", r6(F.log2(-F.col("raw")) * whole).alias("total_path"), F.round("raw", 9).alias("raw"))
+
+
 @query
 def iforest_scores(spark, sf_dir):
     return _flat_scores(retrain_plan.retrain(t.searched_events(spark, sf_dir), "m").scores)

@@ -106,6 +106,20 @@ def test_forest_sample_and_ranking(cloud):
     np.testing.assert_array_equal(forest.path, other.path)
 
 
+def test_native_walk_scores_the_same(cloud):
+    columns = ["x0", "x1", "x2"]
+    slots, size = iforest.fit_trees(cloud, columns, "alert_id", 30_005, trees=20, seed=3)
+    forest = iforest.Forest.of(slots, columns, size)
+    some = cloud.filter("alert_id like '%7' or alert_id like 'far%'")
+    want = {r["alert_id"]: r["raw"] for r in forest.score(some).collect()}
+    walked = forest.walk(some)
+    plan = walked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r["alert_id"]: r["raw"] for r in walked.collect()}
+    assert walked.columns == [*some.columns, "raw"] and got.keys() == want.keys()
+    assert max(abs(got[k] - want[k]) for k in want) < 1e-12
+
+
 def test_tree_paths_by_walking():
     """The fixed-length walk ends on the depth of an explicit walk through the splits."""
     random = np.random.default_rng(3)
