@@ -31,7 +31,7 @@ SHARD_BYTES = 8 << 20
 #: Runs of longer terms are told apart by comparing the rest of their bytes at once.
 _LONG = 64
 #: Numbers in a block of counts, terms times sources.
-_CELLS = 1 << 21
+_CELLS = 1 << 17
 
 TALLY = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("docs", pa.int64())])
 _TALLY_DDL = "lang string, source string, term string, n bigint, docs bigint"
