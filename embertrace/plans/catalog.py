@@ -21,8 +21,8 @@ from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
-from embertrace.session import cut, scratch_path, spread
-from embertrace.sources import scans
+from embertrace.session import cut, scratch_path, setting, spread
+from embertrace.sources import archives, scans
 from embertrace.sources.alert_state import AlertState
 from embertrace.streaming.bridge import alert_events, run_available
 from embertrace.streaming.monitor import monitored_steps, stateful
@@ -623,6 +623,29 @@ def normalise_events(spark, sf_dir):
     )
 
 
+@query
+def reingest_ids(spark, sf_dir):
+    """Raw lines in files by weekday, taken in twice: first four of the files, then all, split in another way.
+
+    Lines that are events, their distinct ids, and ids that both times gave.
+    """
+    day = F.concat(F.lit("day"), F.dayofweek("ts").cast("string"))
+    lines = _windows_lines(spark, sf_dir).join(t.base_events(spark, sf_dir).select(F.col("event_id").alias("line_no"), day.alias("day")), "line_no")
+    # equal lines too: every line is written twice
+    twice = lines.select("day", F.explode(F.array("line", "line")).alias("value"))
+    folder = scratch_path(spark, "raw-lines")
+    twice.repartition(2, "day").write.partitionBy("day").text(folder)
+    ids = lambda *paths: cut(
+        normalise.windows_events(archives.json_lines(spark, *paths)).select("alert_id")
+    )
+    first = ids(*[f"{folder}/day=day{n}" for n in range(2, 6)])
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "200000"):
+        again = ids(f"{folder}/day=*")
+    return again.join(first.select("alert_id", F.lit(1).alias("was")), "alert_id", "left").agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("alert_id").alias("ids"), F.count("was").alias("both")
+    )
+
+
 def _alert_lines_of(base: DataFrame) -> DataFrame:
     """Raw endpoint alerts in both layouts, with string and list fields, made of the events."""
     k = F.col("k")

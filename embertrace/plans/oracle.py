@@ -472,6 +472,9 @@ windows AS (
     channel, CASE WHEN k % 2 = 0 THEN 'recorded,' || event_type ELSE '' END AS tags, k % 8 = 3 AS is_bad
   FROM shaped
 )"""
+ORACLE["reingest_ids"] = f"""
+WITH {WINDOWS}, days AS (SELECT 2 * count(*) AS n, dayofweek(ts) + 1 AS day FROM shaped GROUP BY 2)
+SELECT sum(n)::BIGINT AS lines, sum(n)::BIGINT AS ids, (sum(n) FILTER (day BETWEEN 2 AND 5))::BIGINT AS both FROM days"""
 ORACLE["normalise_events"] = f"WITH {WINDOWS} SELECT * REPLACE ({_TS.format('ts')} AS ts) FROM windows"
 
 ENDPOINT = """

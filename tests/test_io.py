@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from embertrace import schemas
 from embertrace.operators import ledger, metrics, normalise
-from embertrace.session import scratch_path
+from embertrace.session import scratch_path, setting
 from embertrace.sources import archives, scans, tables
 
 
@@ -48,6 +48,66 @@ def test_archives(spark, zips):
     assert {tuple(r) for r in metrics.counts_with_total(nameless, "k").collect()} == {("x", False, 2), (None, False, 1), (None, True, 3)}
 
 
+def test_an_archive_is_read_by_members(spark, tmp_path):
+    """Two hundred members of one archive, stored and packed in several ways, are read by fifty tasks and more."""
+    ways = [zipfile.ZIP_DEFLATED, zipfile.ZIP_STORED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA]
+    want = set()
+    with zipfile.ZipFile(tmp_path / "many.zip", "w") as z:
+        for k in range(200):
+            lines = [json.dumps({"EventID": k, "n": n, "t": "é" * (n % 7)}) for n in range(k % 50)]
+            z.writestr(zipfile.ZipInfo(f"part {k}/é-{k}.json"), "\n\n".join(lines) + "\r\n" * (k % 2), compress_type=ways[k % 4])
+            z.writestr(f"part {k}/readme.txt", "no")
+            want |= {("many", f"part {k}/é-{k}.json", 2 * n, line) for n, line in enumerate(lines)}
+    with zipfile.ZipFile(tmp_path / "none.zip", "w"):
+        pass
+    lines = archives.zip_lines(spark, str(tmp_path))
+    got = lines.withColumn("task", F.spark_partition_id()).collect()
+    assert {tuple(r)[:4] for r in got} == want and len(got) == len(want)
+    assert len({r["task"] for r in got}) >= 25
+    members = archives.zip_members(spark, str(tmp_path)).repartition(archives.zip_lines(spark, str(tmp_path)).rdd.getNumPartitions(), "path", "at")
+    assert members.select(F.spark_partition_id()).distinct().count() >= 50
+    whole = spark.read.format("binaryFile").load(str(tmp_path / "many.zip")).select("path", "content").mapInPandas(archives._unzip, archives._SCHEMA)
+    assert {tuple(r) for r in whole.collect()} == want
+    assert archives.zip_lines(spark, str(tmp_path / "none.zip")).count() == 0
+    with open(tmp_path / "bad.zip", "wb") as f:
+        f.write((tmp_path / "many.zip").read_bytes()[:2000])
+    with pytest.raises(Exception):
+        archives.zip_lines(spark, str(tmp_path / "bad.zip")).count()
+
+
+def test_lines_keep_their_place_however_files_are_split(spark, tmp_path):
+    texts = {
+        "a": "".join(json.dumps({"EventID": n % 9, "x": "é" * (n % 40)}) + "\n" * (1 + n % 3) for n in range(4000)),
+        "b": '{"EventID": 1}\r\n{"EventID": 1}\n  \n{"EventID": 1}',
+        "long": '{"EventID": 2}\n' + '"' + "x" * 300_000 + '"\n{"EventID": 3}\n',
+        "empty": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"{name}.json").write_bytes(text.encode())
+    want = set()
+    for name, text in texts.items():
+        at = 0
+        for line in text.encode().split(b"\n"):
+            if line.strip(b"\r ").strip():
+                want.add((name, at, line.decode().rstrip("\r")))
+            at += len(line) + 1
+
+    def read(*names):
+        rows = archives.json_lines(spark, *[str(tmp_path / f"{n}.json") for n in names]).collect()
+        assert len(rows) == len({(r["member"], r["line_no"]) for r in rows})
+        return {(r["source_dataset"], r["line_no"], r["line"]) for r in rows}
+
+    alone = read("a")
+    assert alone == {w for w in want if w[0] == "a"} and read(*texts) == want
+    for size in ("10000", "65536"):
+        with setting(spark, "spark.sql.files.maxPartitionBytes", size):
+            assert read(*texts) == want
+    # a file that has grown keeps the places it had
+    with open(tmp_path / "a.json", "a") as f:
+        f.write('{"EventID": 5}\n' * 2)
+    assert alone < read("a")
+
+
 def test_unpacked_lines(spark, tmp_path):
     (tmp_path / "rec.json").write_text('{"EventID": 1}\n\n{"EventID": 1}\n')
     events = normalise.windows_events(archives.json_lines(spark, str(tmp_path / "rec.json")))
