@@ -81,14 +81,32 @@ def _agent_or(first: Column, second: Column, *fields: str) -> Column:
     return F.when(~empty, first).otherwise(second)
 
 
+def parsed_alerts(lines: DataFrame) -> DataFrame:
+    """Add ``r``, the parsed alert: parsed lines can be stored and then read for events and for rejects."""
+    return parse_objects(lines, F.col("line"), schemas.RAW_ENDPOINT_ALERT)
+
+
+def rejected_alerts(parsed: DataFrame) -> DataFrame:
+    """``line, cause`` of the parsed lines that hold no alert; blank lines are none."""
+    text = strip(F.col("line"))
+    cause = (
+        F.when(~F.startswith(text, F.lit("{")), F.lit("not an object"))
+        .when(F.try_parse_json(text).isNull(), F.lit("malformed JSON"))
+        .otherwise(F.lit("more than one object"))
+    )
+    return parsed.filter(F.col("r").isNull() & (text != "")).select("line", cause.alias("cause"))
+
+
 def endpoint_alerts(lines: DataFrame, id_column: str | None = None) -> DataFrame:
     """Endpoint alerts (``line`` holds one JSON alert) to canonical events.
 
+    ``lines`` may be parsed already (:func:`parsed_alerts`).
+
     ``agent`` and ``rule`` may sit at the top or below ``wazuh``.  The id is taken from
     ``id_column`` when the upstream store gives one, otherwise hashed from the text.
     """
     identity = F.col(id_column) if id_column else F.sha2(F.col("line"), 256)
-    objects = parse_objects(lines, F.col("line"), schemas.RAW_ENDPOINT_ALERT)
+    objects = lines if "r" in lines.columns else parsed_alerts(lines)
     parsed = objects.filter(F.col("r").isNotNull()).select(
         identity.alias("alert_id"),
         "r",

@@ -7,8 +7,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime, timezone
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
@@ -22,10 +23,11 @@ from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, to
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
 from embertrace.session import cut, scratch_path, setting, spread
-from embertrace.sources import archives, scans
+from embertrace.sources import archives, manifest, scans
 from embertrace.sources.alert_state import AlertState
-from embertrace.streaming.bridge import alert_events, run_available
+from embertrace.streaming.bridge import alert_events, bridge_stream, run_available, text_stream
 from embertrace.streaming.monitor import monitored_steps, stateful
+from embertrace.streaming.notifier import notification_log, notify_batch, notify_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -974,24 +976,58 @@ def iforest_scores(spark, sf_dir):
     return _flat_scores(retrain_plan.retrain(t.searched_events(spark, sf_dir), "m").scores)
 
 
+_RUNS: dict[tuple[str, str], str] = {}
+
+
+def _stored_run(spark, sf_dir) -> str:
+    """Where the run over the days before the boundary is stored: trained once in a session, as one would nightly."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _RUNS:
+        events = t.searched_events(spark, sf_dir).filter(F.col("ts") < F.lit(at(_DRIFT_FROM)))
+        root = scratch_path(spark, "runs")
+        retrain_plan.store(retrain_plan.retrain(events, "m"), events, root, at(_DRIFT_FROM), at(_DRIFT_FROM))
+        _RUNS[key] = root
+    return _RUNS[key]
+
+
+def _fresh_events(spark, sf_dir) -> DataFrame:
+    """The events from the boundary on, with their command texts searched."""
+    return t.sec_events_with_indicators(spark, sf_dir).filter(F.col("ts") >= F.lit(at(_DRIFT_FROM)))
+
+
 @query
 def iforest_incremental(spark, sf_dir):
-    """Train on the days before the boundary, score the days after it with the saved numbers."""
-    events = t.searched_events(spark, sf_dir)
-    boundary = F.lit(at(_DRIFT_FROM))
-    run = retrain_plan.retrain(events.filter(F.col("ts") < boundary), "m")
-    fresh = events.filter(F.col("ts") >= boundary)
-    scores = retrain_plan.score_new(run.model, fresh, baseline="training", frequencies=run.frequencies)
-    return _flat_scores(scores)
+    """The days after the boundary, scored with the numbers that the stored run of the days before it saved."""
+    model, frequencies = retrain_plan.stored_model(spark, _stored_run(spark, sf_dir), "m")
+    return _flat_scores(retrain_plan.score_new(model, _fresh_events(spark, sf_dir), baseline="training", frequencies=frequencies))
 
 
 @query
 def incremental_batch(spark, sf_dir):
-    """Days after the boundary scored with the saved model, relative to themselves."""
+    """The days after the boundary, scored with the stored model relative to themselves."""
+    model, _ = retrain_plan.stored_model(spark, _stored_run(spark, sf_dir), "m")
+    return _flat_scores(retrain_plan.score_new(model, cut(_fresh_events(spark, sf_dir))))
+
+
+@query
+def stored_run(spark, sf_dir):
+    """What readers see of a run that is stored twice, beside one that failed and one that died between its writes."""
     events = t.searched_events(spark, sf_dir)
-    boundary = F.lit(at(_DRIFT_FROM))
-    run = retrain_plan.retrain(events.filter(F.col("ts") < boundary), "m")
-    return _flat_scores(retrain_plan.score_new(run.model, events.filter(F.col("ts") >= boundary)))
+    root, run = scratch_path(spark, "runs"), retrain_plan.retrain(events, "m")
+    retrain_plan.store(run, events, root, at(_DRIFT_FROM), at(_DRIFT_FROM))
+    run.features.select(F.lit("dead").alias("run_id"), "*").write.parquet(manifest.new_folder(root))
+    retrain_plan.store_unfinished(spark, "failed", root, at(_DRIFT_FROM), at(_DRIFT_FROM), ["no space"])
+    retrain_plan.store(run, events, root, at(_DRIFT_FROM), at(_DRIFT_FROM))
+    model, frequencies = retrain_plan.stored_model(spark, root, "m")
+    parts = {part: retrain_plan.stored(spark, root, part) for part in ("scores", "run_metrics", "run_ledger")}
+    parts |= {
+        "anomalies": parts["scores"].filter("ml.is_anomaly"),
+        "feature_snapshot": retrain_plan.stored_snapshot(spark, root),
+        "trees": model.forest.slots(spark).select("tree").distinct(),
+        "frequencies": frequencies.table,
+    }
+    rows = [p.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n")) for name, p in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 # --- streams ------------------------------------------------------------------------
@@ -1018,6 +1054,54 @@ def stream_bridge(spark, sf_dir):
     return metrics.counts(rows, F.col("event.category").alias("category"), F.col("host.name").alias("host"))
 
 
+@query
+def stream_bridge_skips(spark, sf_dir):
+    """Alert lines of three files, some of them cut off, plain text or blank: what each batch took in and rejected."""
+    number = F.substring("upstream_id", 2, 20).cast("bigint")
+    lines = _alert_lines(spark, sf_dir).select(
+        (number % 3).alias("file"),
+        F.when(number % 20 == 7, F.lit("  "))
+        .when(number % 10 == 3, F.expr("substring(line, 1, length(line) - 2)"))
+        .when(number % 10 == 4, F.concat(F.lit("text "), "upstream_id"))
+        .otherwise(F.col("line")).alias("value"),
+    )
+    incoming, folder, checkpoint = scratch_path(spark, "alerts"), scratch_path(spark, "bridged"), scratch_path(spark, "bridge-checkpoint")
+    for file in range(3):
+        lines.filter(F.col("file") == file).select("value").coalesce(1).write.mode("append").text(incoming)
+    bridge_stream(text_stream(spark, incoming, files_per_batch=1), folder, checkpoint).awaitTermination()
+    records = spark.read.parquet(f"{folder}/run_ledger")
+    counts = records.select(
+        F.regexp_extract("run_id", r"(\d+)$", 1).cast("int").alias("batch"),
+        *[F.get_json_object("result", f"$.{n}").cast("bigint").alias(n) for n in ("indexed", "skipped")],
+    )
+    rejected = spark.read.parquet(f"{folder}/rejected").groupBy("batch").agg(
+        F.count_if(F.col("cause") == "malformed JSON").alias("malformed"), F.count_if(F.col("cause") == "not an object").alias("no_object")
+    )
+    events = spark.read.parquet(f"{folder}/events").groupBy("batch").agg(F.count_distinct("event.id").alias("rules"))
+    return counts.join(rejected, "batch").join(events, "batch")
+
+
+@query
+def stream_notify(spark, sf_dir):
+    """The log of messages for two rounds of triage, with a restart between them and the second batch coming twice.
+
+    Every fifth alert cannot be delivered at the first try.
+    """
+    rows = t.triage_rows(spark, sf_dir)
+    incoming, log, checkpoint = scratch_path(spark, "triage"), scratch_path(spark, "notify-log"), scratch_path(spark, "notify-checkpoint")
+    number = F.substring("alert_id", 2, 20).cast("bigint")
+    deliver = lambda messages: messages.select("alert_id", ((number % 5 != 0) | (F.col("attempt") > 1)).alias("ok"))
+    for early in (True, False):
+        # the triage rows of an alert stand in the order of their hours
+        first = F.row_number().over(Window.partitionBy("alert_id").orderBy("enriched_at")) == 1
+        part = rows.withColumn("_first", first).filter(F.col("_first") == early).drop("_first")
+        part.coalesce(1).write.mode("append").parquet(incoming)
+        stream = spark.readStream.schema(rows.schema).parquet(incoming)
+        notify_stream(stream, log, deliver, checkpoint).awaitTermination()
+    notify_batch(part, 1, log, deliver)
+    return notification_log(spark, log).select("batch", "alert_id", "attempt", "status", "combined_confidence")
+
+
 @query
 def stream_detections(spark, sf_dir):
     """Steps of all polls and anomalies as streams; a last step, long after, closes every window before it."""

@@ -182,3 +182,11 @@ WITH RECURSIVE {o.LEGACY}, x_rows AS MATERIALIZED (SELECT alert_id, [{_AXES}] AS
 {forest_ctes('x_rows', 2, LEGACY_TREES)}, {walk_ctes('x_rows', LEGACY_TREES, 'scored')}
 SELECT alert_id, round(1 - (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + {fv.SCORE_EPSILON!r}::DOUBLE), 6) AS anomaly_score,
   'isolation_forest' AS model FROM scored"""
+
+ORACLE["stored_run"] = f"""
+WITH RECURSIVE {_TRAINED}, {walk_ctes('x_rows', fv.TREES, 'scored')}
+SELECT 'scores' AS part, count(*) AS n FROM events
+UNION ALL SELECT 'feature_snapshot', count(*) FROM events
+UNION ALL SELECT 'anomalies', count(*) FROM scored WHERE raw < (SELECT quantile_cont(raw, {fv.CONTAMINATION}) FROM scored)
+UNION ALL SELECT 'run_metrics', 12 UNION ALL SELECT 'run_ledger', 2 UNION ALL SELECT 'trees', {fv.TREES}
+UNION ALL SELECT 'frequencies', count(*) FROM ({o.ORACLE['freq_tables']})"""

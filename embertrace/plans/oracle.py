@@ -344,6 +344,26 @@ SELECT count(*) AS total_fetched, count(*) FILTER (status = 'sent') AS sent,
 FROM alerts LEFT JOIN (SELECT alert_id, CASE WHEN bool_or(status = 'sent') THEN 'sent' ELSE 'failed' END AS status
   FROM notes GROUP BY 1) USING (alert_id) WHERE score_routing <> 'auto-close'"""
 
+ORACLE["stream_notify"] = f"""
+WITH {TRIAGE}, asked AS (
+  SELECT alert_id, substr(alert_id, 2)::BIGINT % 5 = 0 AS hard,
+    coalesce(bool_or(fused_routing <> 'auto-close') FILTER (hour = 1), false) AS first,
+    coalesce(bool_or(fused_routing <> 'auto-close') FILTER (hour = 2), false) AS second,
+    max(combined) FILTER (hour = 1) AS combined_1, max(combined) FILTER (hour = 2) AS combined_2
+  FROM triage GROUP BY 1)
+SELECT 0::BIGINT AS batch, alert_id, 1 AS attempt, CASE WHEN hard THEN 'failed' ELSE 'sent' END AS status,
+  combined_1 AS combined_confidence FROM asked WHERE first
+UNION ALL SELECT 1, alert_id, 2, 'sent', CASE WHEN second THEN combined_2 ELSE combined_1 END FROM asked WHERE first AND hard
+UNION ALL SELECT 1, alert_id, 1, CASE WHEN hard THEN 'failed' ELSE 'sent' END, combined_2 FROM asked WHERE NOT first AND second"""
+
+ORACLE["stream_bridge_skips"] = """
+SELECT (event_id % 3)::INT AS batch, count(*) FILTER (event_id % 20 <> 7 AND event_id % 10 NOT IN (3, 4)) AS indexed,
+  count(*) FILTER (event_id % 20 <> 7 AND event_id % 10 IN (3, 4)) AS skipped,
+  count(*) FILTER (event_id % 20 <> 7 AND event_id % 10 = 3) AS malformed,
+  count(*) FILTER (event_id % 20 <> 7 AND event_id % 10 = 4) AS no_object,
+  count(DISTINCT CASE WHEN event_id % 20 <> 7 AND event_id % 10 NOT IN (3, 4) THEN CAST(props->>'$.k' AS INTEGER) END) AS rules
+FROM events GROUP BY 1"""
+
 ORACLE["tactic_counts"] = f"""
 WITH {BASE} SELECT CASE k % 4 WHEN 0 THEN 'Lateral Movement' WHEN 1 THEN 'Execution' WHEN 2 THEN 'Discovery'
   ELSE 'Unknown' END AS tactic, count(*) AS events FROM sec GROUP BY 1"""

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
+from embertrace import schemas
 from embertrace.operators.features import Frequencies, feature_matrix
 from embertrace.operators.ledger import last_valid_run, metric_rows, run_row
 from embertrace.operators.model import (
@@ -22,7 +23,8 @@ from embertrace.operators.model import (
     training_scores,
 )
 from embertrace.session import cut, spread
-from embertrace.sources.tables import replace_partitions, write_scores, write_snapshot
+from embertrace.sources import manifest
+from embertrace.sources.tables import append, conform_known
 
 
 @dataclass(frozen=True)
@@ -94,20 +96,26 @@ def with_events(events: DataFrame, scores: DataFrame, run_id: Column, scored_at:
     return events.select(*kept).join(packed, "alert_id").withColumn("run_id", run_id)
 
 
+#: What a run leaves behind; each part is a folder that the run's commit names.
+PARTS = ("scores", "feature_snapshot", "model", "run_metrics", "run_ledger")
+
+
 def store(
-    run: Retrained, events: DataFrame, folder: str, started_at: datetime, completed_at: datetime
+    run: Retrained, events: DataFrame, root: str, started_at: datetime, completed_at: datetime
 ) -> dict[str, int]:
-    """Write everything a retrain leaves: scores, feature snapshot, model, metrics, tags, run record.
+    """Write everything a retrain leaves: scores, feature snapshot, model, metrics and tags, run record.
 
-    All carry the model's id as run id, and a repeated run replaces what it wrote before.  The
-    record comes last, so a run without one is known to be incomplete.
+    All of it becomes visible by one commit, or none of it: a run that dies half-way leaves only folders that
+    nobody reads.  A repeated run replaces what it stored before.
     """
     spark = events.sparkSession
     run_id = run.model.model_id
+    named = F.lit(run_id).alias("run_id")
+    folders = {part: manifest.new_folder(root) for part in PARTS}
     scored = with_events(events, run.scores, F.lit(run_id), F.lit(completed_at))
-    written = write_scores(scored, f"{folder}/scores")
-    write_snapshot(run.features, f"{folder}/feature_snapshots", run_id)
-    run.model.save(spark, f"{folder}/models", run.frequencies)
+    written = append(conform_known(scored, schemas.SCORED_EVENT), folders["scores"])
+    run.features.select(named, "*").write.parquet(folders["feature_snapshot"])
+    run.model.save(spark, folders["model"], run.frequencies)
     settings = spark.createDataFrame(
         [("isolation_forest", run.model.contamination, len(run.model.forest.path), ",".join(fv.FEATURES))],
         "model_type string, contamination double, n_estimators int, feature_names string",
@@ -118,24 +126,69 @@ def store(
         F.coalesce(F.array_join(F.sort_array(F.collect_set("source_dataset")), ","), F.lit("")).alias("dataset"),
         F.count(F.lit(1)).alias("event_count"),
     ).withColumn("score_threshold", F.lit(run.model.cut_off))
-    rows = rows.unionByName(metric_rows(F.lit(run_id), "tag", tags))
-    replace_partitions(rows, f"{folder}/run_metrics", "run_id")
+    rows.unionByName(metric_rows(F.lit(run_id), "tag", tags)).write.parquet(folders["run_metrics"])
     head = figures.first()
     result = {"events_scored": head["events_scored"], "anomalies_found": head["anomaly_count"], "written": written}
     record = run_row(spark, "retrain", started_at, completed_at, json.dumps(result), run_id=run_id)
-    replace_partitions(record, f"{folder}/run_ledger", "run_id")
+    record.write.parquet(folders["run_ledger"])
+    _publish(spark, root, run_id, folders)
     return result
 
 
 def store_unfinished(
-    spark: SparkSession, run_id: str, folder: str, started_at: datetime, ended_at: datetime,
+    spark: SparkSession, run_id: str, root: str, started_at: datetime, ended_at: datetime,
     errors: list[str] | None = None, result: dict | None = None,
 ) -> None:
-    """The record of a run that failed (with ``errors``) or was a trial (without): nothing else is written."""
+    """The record of a run that failed (with ``errors``) or was a trial (without): nothing else is written.
+
+    What an earlier run of the same name stored stays.
+    """
     record = run_row(
         spark, "retrain", started_at, ended_at, json.dumps(result or {}), errors, dry_run=not errors, run_id=run_id
     )
-    replace_partitions(record, f"{folder}/run_ledger", "run_id")
+    folder = manifest.new_folder(root)
+    record.write.parquet(folder)
+    _publish(spark, root, run_id, {"run_ledger": folder})
+
+
+def _publish(spark: SparkSession, root: str, run_id: str, folders: dict[str, str]) -> None:
+    """Commit the folders of a run; runs that commit at the same time do not disturb each other."""
+    while True:
+        head = manifest.newest(spark, root)
+        mine = {f"{part}/{run_id}": folder for part, folder in folders.items()}
+        try:
+            manifest.commit(spark, root, head, (head.folders if head else {}) | mine)
+            return
+        except manifest.Conflict:
+            continue
+
+
+def stored(spark: SparkSession, root: str, part: str, run_id: str | None = None) -> DataFrame:
+    """A part of all stored runs, or of one.  The model is a bundle: see :func:`stored_model`."""
+    head = manifest.newest(spark, root)
+    found = [f for name, f in sorted((head.folders if head else {}).items()) if name.partition("/")[0] == part and run_id in (None, name.partition("/")[2])]
+    if not found:
+        raise LookupError(f"no {part} of {run_id or 'any run'} under {root}")
+    return spark.read.option("mergeSchema", "true").parquet(*found)
+
+
+def stored_model(spark: SparkSession, root: str, run_id: str) -> tuple[Model, Frequencies]:
+    """The model of a stored run, with the frequency tables it was trained on."""
+    head = manifest.newest(spark, root)
+    folder = head and head.folders.get(f"model/{run_id}")
+    if not folder:
+        raise LookupError(f"no model of {run_id} under {root}")
+    return Model.load(spark, folder, run_id), Model.load_frequencies(spark, folder, run_id)
+
+
+def stored_snapshot(spark: SparkSession, root: str, run_id: str | None = None) -> DataFrame:
+    """Feature rows of a stored run: the named one, or the last valid one of the ledger."""
+    if run_id is None:
+        row = last_valid_run(stored(spark, root, "run_ledger")).first()
+        if row is None:
+            raise LookupError(f"no valid run under {root}")
+        run_id = row["run_id"]
+    return stored(spark, root, "feature_snapshot", run_id)
 
 
 def run_summary(scores: DataFrame) -> DataFrame:

@@ -19,6 +19,9 @@ SCORE_STRUCT = """
            top_features: array<struct<feature: string, z_score: double>>>
 """
 
+# A row of the scores table: an event without its raw text, its score and the run that gave it.
+SCORED_EVENT = EVENT.rstrip().removesuffix(", _raw string") + f", ml {SCORE_STRUCT}, run_id string"
+
 TRIAGE = """
     alert_id string, enriched_at timestamp, enrichment_path string,
     attack_technique string, attack_tactic string, description string,

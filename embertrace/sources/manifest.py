@@ -103,7 +103,8 @@ def forget(spark: SparkSession, root: str, keep: int = 2) -> int:
     """
     versions = _versions(spark, root)
     kept = [c for c in (_read(spark, root, v) for v in versions) if c][-keep:]
-    needed = {folder.split("/data/", 1)[-1].split("/", 1)[0] for c in kept for folder in c.folders.values()}
+    start = f"{root.rstrip('/')}/data/"
+    needed = {folder.removeprefix(start).split("/", 1)[0] for c in kept for folder in c.folders.values()}
     fs, data = _open(spark, f"{root.rstrip('/')}/data")
     gone = 0
     for status in fs.listStatus(data) if fs.exists(data) else []:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from embertrace import schemas
+
 
 def conform(rows: DataFrame, schema: str) -> DataFrame:
     """Rows in the declared columns and types; columns they lack are null, extra ones go."""
@@ -16,6 +18,17 @@ def conform(rows: DataFrame, schema: str) -> DataFrame:
     return merged.to(wanted)
 
 
+def conform_known(rows: DataFrame, schema: str) -> DataFrame:
+    """Rows with the declared columns first and in the declared types; further columns stay as they are."""
+    declared = StructType.fromDDL(schema).fieldNames()
+    others = [c for c in rows.columns if c not in declared]
+    wanted = StructType.fromDDL(schema)
+    for c in others:
+        wanted = wanted.add(rows.schema[c])
+    empty = rows.sparkSession.createDataFrame([], wanted)
+    return rows.unionByName(empty, allowMissingColumns=True).select(*declared, *others).to(wanted)
+
+
 def create_if_absent(spark: SparkSession, name: str, schema: str, partition_by: list[str] | None = None) -> None:
     """A catalog table with the declared schema, unless it is there."""
     if not spark.catalog.tableExists(name):
@@ -33,13 +46,18 @@ def append(rows: DataFrame, path: str, partition_by: list[str] | None = None, fo
 
 
 def append_events(events: DataFrame, path: str) -> int:
-    """Events, one folder per day."""
-    return append(events, path, ["event_date"])
+    """Events in their declared form, one folder per day."""
+    return append(conform_known(events, schemas.EVENT), path, ["event_date"])
+
+
+def append_triage(rows: DataFrame, path: str) -> int:
+    """Triage rows in their declared form."""
+    return append(conform(rows, schemas.TRIAGE), path)
 
 
 def write_scores(scored: DataFrame, path: str) -> int:
-    """Scored rows, one folder per run; a repeated run replaces its own."""
-    return replace_partitions(scored.drop("_raw"), path, "run_id")
+    """Scored rows in their declared form, one folder per run; a repeated run replaces its own."""
+    return replace_partitions(conform_known(scored.drop("_raw"), schemas.SCORED_EVENT), path, "run_id")
 
 
 def replace_partitions(rows: DataFrame, path: str, by: str) -> int:
@@ -63,5 +81,5 @@ def write_snapshot(features: DataFrame, path: str, run_id: str) -> None:
 
 
 def append_log(rows: DataFrame, path: str) -> int:
-    """Notification log as JSON lines."""
-    return append(rows, path, format="json")
+    """Notification log as JSON lines, in its declared form."""
+    return append(conform(rows, schemas.NOTIFICATION), path, format="json")

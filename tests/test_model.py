@@ -9,9 +9,12 @@ from embertrace import fixed_values as fv
 from embertrace.operators import iforest
 from embertrace.operators.features import Frequencies, feature_matrix
 from embertrace.operators.model import Model, batch_scores, fit, rank_scores, raw_scores, run_metrics
-from embertrace.plans.retrain import retrain, run_summary, score_new, since_last_run, store, store_unfinished, with_events
+from embertrace.plans import retrain as retrain_module
+from embertrace.plans.retrain import (
+    retrain, run_summary, score_new, since_last_run, store, store_unfinished, stored, stored_model, stored_snapshot, with_events,
+)
 from embertrace.session import cut, scratch_path
-from embertrace.sources.scans import feature_snapshot
+from embertrace.sources import manifest
 from embertrace.sources.tables import conform
 
 
@@ -166,31 +169,77 @@ def test_metrics_and_rows(ten_events, trained):
 
 
 def test_stored_run(spark, ten_events, trained):
-    folder = scratch_path(spark, "run")
+    root = scratch_path(spark, "run")
     start = utc("2024-01-02T03:04:05")
-    store(trained, ten_events, folder, start, start + timedelta(seconds=9))
-    result = store(trained, ten_events, folder, start, start + timedelta(seconds=30))
-    store_unfinished(spark, "broken", folder, start, start + timedelta(days=1), ["no space"])
-    store_unfinished(spark, "trial", folder, start, start + timedelta(days=2), result={"events_scored": 10})
+    with pytest.raises(LookupError):
+        stored(spark, root, "scores")
+    store(trained, ten_events, root, start, start + timedelta(seconds=9))
+    result = store(trained, ten_events, root, start, start + timedelta(seconds=30))
+    store_unfinished(spark, "broken", root, start, start + timedelta(days=1), ["no space"])
+    store_unfinished(spark, "trial", root, start, start + timedelta(days=2), result={"events_scored": 10})
     assert result == {"events_scored": 10, "anomalies_found": 2, "written": 10}
-    stored = spark.read.parquet(f"{folder}/scores")
-    assert {str(r["run_id"]) for r in stored.collect()} == {"ten"}
-    assert stored.filter("ml.is_anomaly").count() == 2
-    assert spark.read.parquet(f"{folder}/feature_snapshots").count() == 10
-    assert Model.load(spark, f"{folder}/models", "ten").cut_off == trained.model.cut_off
-    metrics = {r["key"]: r["value"] for r in spark.read.parquet(f"{folder}/run_metrics").collect()}
+    scores = stored(spark, root, "scores")
+    assert {str(r["run_id"]) for r in scores.collect()} == {"ten"}
+    assert scores.filter("ml.is_anomaly").count() == 2 and scores.columns[:3] == ["alert_id", "ts", "event_date"]
+    assert "rule" in scores.schema["wazuh"].dataType.names  # declared, though these events have none
+    assert stored(spark, root, "feature_snapshot").count() == 10
+    model, frequencies = stored_model(spark, root, "ten")
+    assert model.cut_off == trained.model.cut_off and frequencies.total == 10
+    metrics = {r["key"]: r["value"] for r in stored(spark, root, "run_metrics", "ten").collect()}
     assert metrics["anomaly_count"] == "2" and metrics["n_estimators"] == "200"
     assert metrics["dataset"] == "lab" and metrics["event_count"] == "10" and float(metrics["score_threshold"]) == trained.model.cut_off
-    assert spark.read.parquet(f"{folder}/run_metrics").count() == len(metrics)
-    runs = spark.read.parquet(f"{folder}/run_ledger")
+    assert stored(spark, root, "run_metrics").count() == len(metrics)
+    runs = stored(spark, root, "run_ledger")
     assert {r["run_id"]: (r["dry_run"], list(r["errors"])) for r in runs.collect()} == {
         "ten": (False, []), "broken": (False, ["no space"]), "trial": (True, [])
     }
-    assert feature_snapshot(spark, f"{folder}/feature_snapshots", ledger=runs).count() == 10
-    boundary = since_last_run(spark.read.parquet(f"{folder}/run_ledger"))
+    assert stored_snapshot(spark, root).count() == 10
+    boundary = since_last_run(runs)
     assert boundary == (start + timedelta(seconds=30)).replace(tzinfo=None)
     late = utc("2024-05-05T00:00:00")
-    assert since_last_run(spark.read.parquet(f"{folder}/run_ledger"), late) == late
+    assert since_last_run(runs, late) == late
+    with pytest.raises(LookupError):
+        stored_model(spark, root, "broken")
+
+
+def test_a_run_that_dies_is_not_seen(spark, ten_events, trained, monkeypatch):
+    """Whatever part it dies after: readers go on seeing the run before, whole."""
+    root = scratch_path(spark, "run")
+    start = utc("2024-01-02T03:04:05")
+    store(trained, ten_events, root, start, start + timedelta(seconds=9))
+    before = manifest.newest(spark, root)
+
+    def dies(*args, **kwargs):
+        raise RuntimeError("lost")
+
+    for name in ("append", "run_metrics", "run_row", "_publish"):
+        with monkeypatch.context() as broken:
+            broken.setattr(retrain_module, name, dies)
+            with pytest.raises(RuntimeError):
+                store(trained, ten_events.limit(3), root, start, start + timedelta(seconds=50))
+        assert manifest.newest(spark, root) == before
+    assert stored(spark, root, "scores").count() == 10 and stored(spark, root, "run_ledger").count() == 1
+    # what died is cleared away, what is seen stays
+    assert manifest.forget(spark, root, keep=1) >= 4
+    assert stored_model(spark, root, "ten")[0].cut_off == trained.model.cut_off and stored_snapshot(spark, root).count() == 10
+
+
+def test_runs_that_commit_together_are_both_kept(spark, ten_events, trained, monkeypatch):
+    root = scratch_path(spark, "run")
+    start = utc("2024-01-02T03:04:05")
+    newest, raced = manifest.newest, []
+
+    def stale(session, where):
+        """The first look is followed by another run's commit."""
+        found = newest(session, where)
+        if not raced:
+            raced.append(True)
+            store_unfinished(spark, "other", root, start, start, ["x"])
+        return found
+
+    monkeypatch.setattr(manifest, "newest", stale)
+    store_unfinished(spark, "mine", root, start, start, ["y"])
+    assert {r["run_id"] for r in stored(spark, root, "run_ledger").collect()} == {"other", "mine"}
 
 
 def test_frequencies_total(ten_events):

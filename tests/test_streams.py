@@ -10,10 +10,10 @@ from embertrace.operators.coverage import step_results
 from embertrace.plans.retrain import retrain, score_new
 from embertrace.session import scratch_path
 from embertrace.sources.tables import append
-from embertrace.streaming.bridge import alert_events, log_events, run_available, text_stream
+from embertrace.streaming.bridge import alert_events, bridge_batch, bridge_stream, log_events, run_available, text_stream
 from embertrace.streaming.detections import detection_stream
 from embertrace.streaming.monitor import monitored_steps, stateful
-from embertrace.streaming.notifier import first_messages, repeat_messages
+from embertrace.streaming.notifier import notification_log, notify_batch, notify_stream
 from embertrace.streaming.scoring import score_stream
 
 
@@ -164,31 +164,76 @@ def test_a_busy_host_lies_in_many_keys(spark):
     assert len(per_key) >= 33 and max(per_key) <= 700 and sum(per_key) >= 20_000
 
 
+TRIAGED = "alert_id string, enriched_at timestamp, routing_decision string, combined_confidence double"
+
+
 def test_messages_once_and_again_after_failure(spark):
-    triage_in, outcome_in = scratch_path(spark, "triage"), scratch_path(spark, "outcomes")
-    outbox = scratch_path(spark, "outbox")
-    first_checkpoint, repeat_checkpoint = scratch_path(spark, "c1"), scratch_path(spark, "c2")
-    outcome = schemas.NOTIFICATION + ", attempt int"
+    triage_in, log, checkpoint = scratch_path(spark, "triage"), scratch_path(spark, "log"), scratch_path(spark, "c")
     when = utc("2024-01-01T00:00:00")
+    broken = {"c"}
+    asked = []
+
+    def deliver(messages):
+        rows = [(r["alert_id"], r["attempt"]) for r in messages.collect()]
+        asked.extend(rows)
+        # what starts with x is not even tried
+        return spark.createDataFrame([(a, a not in broken) for a, _ in rows if a[0] != "x"], "alert_id string, ok boolean")
 
     def triaged(*rows):
-        df = spark.createDataFrame([(a, when, route, 0.9) for a, route in rows],
-                                   "alert_id string, enriched_at timestamp, routing_decision string, combined_confidence double")
-        append(df.coalesce(1), triage_in)
-        stream = spark.readStream.schema(df.schema).parquet(triage_in)
-        drain(first_messages(stream), outbox, first_checkpoint)
-
-    def answered(*rows):
-        df = spark.createDataFrame([(a, when, "high_priority", 0.9, status, n) for a, status, n in rows], outcome)
-        append(df.coalesce(1), outcome_in)
-        drain(repeat_messages(spark.readStream.schema(outcome).parquet(outcome_in)), f"{outbox}-again", repeat_checkpoint)
-
-    sent = lambda path: sorted((r["alert_id"], r["attempt"]) for r in spark.read.parquet(path).collect())
-    triaged(("a", "high_priority"), ("a", "high_priority"), ("b", "auto-close"), ("c", "analyst_review"))
-    triaged(("a", "high_priority"), ("d", "analyst_review"))
-    assert sent(outbox) == [("a", 1), ("c", 1), ("d", 1)]
-    answered(("a", "sent", 1), ("c", "failed", 1))
-    answered(("d", "sent", 1))
-    assert sent(f"{outbox}-again") == [("c", 2)]
-    answered(("c", "failed", 2))
-    assert sent(f"{outbox}-again") == [("c", 2), ("c", 3)]
+        append(spark.createDataFrame([(a, when + timedelta(hours=n), route, 0.9) for n, (a, route) in enumerate(rows)], TRIAGED).coalesce(1), triage_in)
+        stream = spark.readStream.schema(TRIAGED).parquet(triage_in)
+        notify_stream(stream, log, deliver, checkpoint).awaitTermination()
+        return sorted((r["batch"], r["alert_id"], r["attempt"], r["status"]) for r in notification_log(spark, log).collect())
+
+    assert notification_log(spark, log).count() == 0
+    first = triaged(("a", "high_priority"), ("a", "analyst_review"), ("b", "auto-close"), ("c", "analyst_review"), ("x", "high_priority"))
+    assert first == [(0, "a", 1, "sent"), (0, "c", 1, "failed")]
+    assert notification_log(spark, log).filter("alert_id = 'a'").first()["routing_decision"] == "analyst_review"
+    second = triaged(("a", "high_priority"), ("d", "high_priority"), ("b", "auto-close"))
+    assert second == first + [(1, "c", 2, "failed"), (1, "d", 1, "sent")]
+    broken.clear()
+    assert triaged(("b", "auto-close")) == second + [(2, "c", 3, "sent")]
+    # a batch that comes again finds its attempts in the log
+    before = list(asked)
+    again = spark.createDataFrame([("a", when, "high_priority", 0.9), ("d", when, "high_priority", 0.9)], TRIAGED)
+    assert notify_batch(again, 1, log, deliver) == 0 and asked == before
+    # one that never got to its log delivers what is due
+    assert notify_batch(again, 7, log, deliver) == 0
+    assert notify_batch(again.withColumn("alert_id", F.concat(F.lit("n"), "alert_id")), 8, log, deliver) == 2
+
+
+def test_notifier_keeps_no_state(spark):
+    """However many alerts went out, the stream itself holds nothing."""
+    triage_in, log, checkpoint = scratch_path(spark, "triage"), scratch_path(spark, "log"), scratch_path(spark, "c")
+    rows = spark.range(2000).select(F.col("id").cast("string").alias("alert_id"), F.current_timestamp().alias("enriched_at"), F.lit("high_priority").alias("routing_decision"), F.lit(0.5).alias("combined_confidence"))
+    append(rows.coalesce(1), triage_in)
+    stream = spark.readStream.schema(rows.schema).parquet(triage_in)
+    started = notify_stream(stream, log, lambda m: m.select("alert_id", F.lit(True).alias("ok")), checkpoint)
+    started.awaitTermination()
+    assert started.lastProgress["stateOperators"] == [] and notification_log(spark, log).count() == 2000
+
+
+def test_bridge_keeps_what_it_rejects(spark, tmp_path):
+    folder, checkpoint = scratch_path(spark, "bridge"), scratch_path(spark, "checkpoint")
+    ok = lambda n: json.dumps({"@timestamp": f"2024-01-01T00:00:0{n}Z", "rule": {"id": n, "groups": ["logon"]}})
+    run = lambda: bridge_stream(text_stream(spark, str(tmp_path)), folder, checkpoint).awaitTermination()
+    (tmp_path / "1.json").write_text("\n".join([ok(1), "{bad", "", "  ", "word", '["list"]', ok(2) + "}", '{"rule": {"id": 3}}']) + "\n")
+    run()
+    run()
+    (tmp_path / "2.json").write_text(ok(4) + "\n")
+    run()
+    (tmp_path / "3.json").write_text("\n\n")
+    run()
+    events = spark.read.parquet(f"{folder}/events")
+    assert sorted((r["batch"], r["event"]["id"]) for r in events.collect()) == [(0, "1"), (0, "3"), (1, "4")]
+    rejected = {(r["batch"], r["line"], r["cause"]) for r in spark.read.parquet(f"{folder}/rejected").collect()}
+    assert rejected == {
+        (0, "{bad", "malformed JSON"), (0, "word", "not an object"), (0, '["list"]', "not an object"), (0, ok(2) + "}", "more than one object"),
+    }
+    records = {r["run_id"]: json.loads(r["result"]) for r in spark.read.schema(schemas.RUN_LEDGER).parquet(f"{folder}/run_ledger").collect()}
+    assert [records[k]["indexed"] + records[k]["skipped"] for k in sorted(records)] == [6, 1, 0]
+    assert sum(r["indexed"] for r in records.values()) == events.count() and sum(r["skipped"] for r in records.values()) == len(rejected)
+    # a batch that comes again replaces its own rows
+    lines = spark.createDataFrame([(ok(5),)], "line string")
+    assert bridge_batch(lines, 1, folder) == {"indexed": 1, "skipped": 0}
+    assert [r["event"]["id"] for r in spark.read.parquet(f"{folder}/events").filter("batch = 1").collect()] == ["5"]
