@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embertrace.llm.shingles import _BACK, _BASE, _power, mixed
 from embertrace.session import scratch_path, ship_package
 
 INDEX = np.dtype([("has_id", "<u1"), ("id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("tokens", "<u8")])
@@ -35,11 +36,11 @@ _MASK = 0xA282EAD8
 
 @dataclass(frozen=True)
 class Coding:
-    """``tokenizer`` is the file of a byte-level BPE; ``memo`` bounds the words a task keeps encoded."""
+    """``tokenizer`` is the file of a byte-level BPE; ``memo`` bounds the words a worker keeps encoded, about 40 bytes each."""
 
     tokenizer: str
     end_id: int = 2
-    memo: int = 300_000
+    memo: int = 2_000_000
     batch: int = 256
 
 
@@ -75,12 +76,21 @@ def unframed(read) -> bytes:
     return body[:-4]
 
 
+#: Values of bytes for the hashes of words.
+_VALUES = np.random.default_rng(41).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Longer texts are taken in parts of about this many bytes, cut before a word.
+_PART = 1 << 21
+
+
 class WordEncoder:
     """Encodes texts with a ``tokenizers`` model, remembering words.
 
     The model splits text before a single space or around a single line break between other
     characters, so the ids of a text are those of its words in turn.  Texts with any other white
-    space between words are given to the model whole.
+    space between words, and texts that hold a special token, are given to the model whole.
+
+    All words of a batch are hashed at once (64 bits of hash and the length stand for a word), the
+    distinct ones looked up in sorted arrays, and their ids gathered by offsets.
     """
 
     def __init__(self, coding: Coding):
@@ -88,58 +98,143 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(coding.tokenizer)
-        self.model.encode_special_tokens = True
+        self.special = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.width = 2 if self.model.get_vocab_size() <= 1 << 16 else 4
+        self.kind = np.dtype(f"<u{self.width}")
         self.coding = coding
-        self.heads: dict[str, bytes] = {}  # words at the start of a line
-        self.tails: dict[str, bytes] = {}  # words behind a space
-        self.end = self._packed([coding.end_id])
-        self.line_break = self._encoded(["\n"])[0]
-        self.break_id = int(np.frombuffer(self.line_break, f"<u{self.width}")[0])
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, f"<u{self.width}").tobytes()
-
-    def _encoded(self, texts: list[str]) -> list[bytes]:
-        return [self._packed(e.ids) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], new: set[str], before: str) -> set[str]:
-        """Adds the words to ``memo``, encoded behind ``before``; returns those that are no single words."""
-        odd = {w for w in new if w.split() != [w]}
-        plain = list(new - odd)
-        runs = [plain[k : k + 512] for k in range(0, len(plain), 512)]
-        # A line break between words is a token of its own and occurs in none of them.
-        for run, ids in zip(runs, self._encoded(["\n".join([before + w for w in run]) for run in runs])):
-            breaks = np.flatnonzero(np.frombuffer(ids, f"<u{self.width}") == self.break_id) * self.width
-            starts = [0, *(breaks + self.width).tolist()]
-            memo.update(zip(run, [ids[a:b] for a, b in zip(starts, [*breaks.tolist(), len(ids)])]))
-        return odd
+        self.end = np.array([coding.end_id], self.kind).tobytes()
+        self.break_id = self.model.encode("\n", add_special_tokens=False).ids[0]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words = np.empty(0, np.uint64)
+        self.starts, self.counts = np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids = np.empty(0, self.kind)
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.kind) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, hashes: np.ndarray, words: list[str], heads: np.ndarray) -> None:
+        """Remember the ids of new words: those at the start of a line as they are, the others behind a space.
+
+        What is no single word gets the count -1.
+        """
+        counts = np.full(len(words), -1, np.int32)
+        starts = np.zeros(len(words), np.int64)
+        parts, at = [self.ids], len(self.ids)
+        for head, before in ((True, ""), (False, " ")):
+            plain = [k for k in np.flatnonzero(heads == head) if words[k].split() == [words[k]]]
+            runs = [plain[k : k + 512] for k in range(0, len(plain), 512)]
+            # A line break between words is a token of its own and occurs in none of them.
+            for run, ids in zip(runs, self._encoded(["\n".join([before + words[k] for k in run]) for run in runs])):
+                breaks = np.flatnonzero(ids == self.break_id)
+                ends = np.append(breaks, len(ids))
+                first = np.concatenate([[0], breaks + 1])
+                starts[run], counts[run] = at + first, ends - first
+                parts.append(ids)
+                at += len(ids)
+        self.ids = np.concatenate(parts)
+        place = np.searchsorted(self.words, hashes)
+        self.words = np.insert(self.words, place, hashes)
+        self.starts, self.counts = np.insert(self.starts, place, starts), np.insert(self.counts, place, counts)
+
+    def _known(self, raw: bytes, data: np.ndarray, begin: np.ndarray, n: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The place of each word among the remembered ones; new words are learnt."""
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_VALUES[data] * _power(_BASE, len(data)), out=sums[1:])
+        own = mixed((sums[begin + n] - sums[begin]) * _power(_BACK, len(data) + 1)[begin])
+        own = mixed(own + n.astype(np.uint64) * _VALUES[7] + heads * _VALUES[9])
+        distinct, inverse = np.unique(own, return_inverse=True)
+        if len(self.words) + len(distinct) > self.coding.memo:
+            self._forget()
+        new = np.ones(len(distinct), bool)
+        if len(self.words):
+            new = self.words[np.minimum(np.searchsorted(self.words, distinct), len(self.words) - 1)] != distinct
+        if new.any():
+            some = np.empty(len(distinct), np.int64)
+            some[inverse] = np.arange(len(own))
+            some = some[new]
+            self._learn(distinct[new], [raw[a : a + k].decode("utf-8", "surrogatepass") for a, k in zip(begin[some].tolist(), n[some].tolist())], heads[some])
+        return np.searchsorted(self.words, distinct)[inverse]
+
+    def _batch(self, parts: list[tuple[bytes, bytes]]) -> list[bytes | None]:
+        """Packed ids of parts, each with what stands before it (nothing, a space, a line break); None for one that is not plain."""
+        raw = b"".join([(before or b"\n") + part for before, part in parts])
+        data = np.frombuffer(raw, np.uint8)
+        sizes = np.array([len(part) + 1 for _, part in parts])
+        separators = np.flatnonzero((data == 10) | (data == 32))
+        first = np.searchsorted(separators, np.cumsum(sizes) - sizes)
+        owner = np.repeat(np.arange(len(parts)), np.diff(np.append(first, len(separators))))
+        begin = separators + 1
+        n = np.append(separators[1:], len(data)) - begin
+        heads = data[separators] == 10
+        breaks = heads.copy()
+        breaks[first] = [before == b"\n" for before, _ in parts]
+        blank = n == 0
+        whole = (sizes == 1) & np.array([not before for before, _ in parts])  # an empty text is plain
+        odd = np.zeros(len(parts), bool)
+        odd[owner[blank]] = True
+        odd &= ~whole
+        at, counts = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        full = np.flatnonzero(~blank)
+        if len(full):
+            at[full] = self._known(raw, data, begin[full], n[full], heads[full])
+            counts[full] = self.counts[at[full]]
+        odd[owner[counts < 0]] = True
+        counts[odd[owner]] = 0
+        breaks &= ~odd[owner]
+        total = counts + breaks
+        ends = np.cumsum(total)
+        out = np.empty(ends[-1], self.kind)
+        out[(ends - total)[breaks]] = self.break_id
+        inside = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        if len(inside):
+            out[np.repeat(ends - counts, counts) + inside] = self.ids[np.repeat(self.starts[at], counts) + inside]
+        bounds = np.concatenate([[0], ends])[np.append(first, len(n))]
+        return [None if odd[k] else out[bounds[k] : bounds[k + 1]].tobytes() for k in range(len(parts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text, with the end id."""
-        for memo in (self.heads, self.tails):
-            if len(memo) > self.coding.memo:
-                memo.clear()
-        cut, new_heads, new_tails = [], set(), set()
-        for text in texts:
-            lines = [line.partition(" ") for line in text.split("\n")] if text else []
-            lines = [(head, tail.split(" ") if space else []) for head, space, tail in lines]
-            cut.append(lines)
-            new_heads.update({head for head, _ in lines}.difference(self.heads))
-            for _, tail in lines:
-                new_tails.update(set(tail).difference(self.tails))
-        odd_heads = self._learn(self.heads, new_heads, "")
-        odd_tails = self._learn(self.tails, new_tails, " ")
-        odd = set()
-        if odd_heads or odd_tails:
-            odd = {k for k, lines in enumerate(cut) for head, tail in lines if head in odd_heads or not odd_tails.isdisjoint(tail)}
-        whole = dict(zip(sorted(odd), self._encoded([texts[k] for k in sorted(odd)]))) if odd else {}
-        tails, heads = self.tails.__getitem__, self.heads
-        out = []
-        for k, lines in enumerate(cut):
-            ids = whole[k] if k in whole else self.line_break.join([heads[head] + b"".join(map(tails, tail)) for head, tail in lines])
-            out.append(ids + self.end)
-        return out
+        found: list[list[bytes | None]] = [[] for _ in texts]
+        waiting: list[tuple[int, bytes, bytes]] = []
+        held = 0
+
+        def flush() -> None:
+            nonlocal held
+            if waiting:
+                for (k, _, _), ids in zip(waiting, self._batch([(b, p) for _, b, p in waiting])):
+                    found[k].append(ids)
+            waiting.clear()
+            held = 0
+
+        for k, text in enumerate(texts):
+            if any(s in text for s in self.special):
+                found[k].append(None)
+                continue
+            for before, part in _parts(text.encode("utf-8", "surrogatepass")):
+                waiting.append((k, before, part))
+                held += len(part)
+                if held >= _PART:
+                    flush()
+        flush()
+        rest = [k for k, ids in enumerate(found) if None in ids]
+        whole = dict(zip(rest, self._encoded([texts[k] for k in rest]))) if rest else {}
+        return [(whole[k].tobytes() if k in whole else b"".join(ids)) + self.end for k, ids in enumerate(found)]
+
+
+def _parts(raw: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """A text cut before a space or line break into parts of about ``_PART`` bytes, each with that character apart."""
+    at, before = 0, b""
+    while len(raw) - at > _PART:
+        cut = max(raw.rfind(b" ", at, at + _PART), raw.rfind(b"\n", at, at + _PART))
+        if cut < 0:
+            ends = [x for x in (raw.find(b" ", at + _PART), raw.find(b"\n", at + _PART)) if x >= 0]
+            if not ends:
+                break
+            cut = min(ends)
+        yield before, raw[at:cut]
+        at, before = cut + 1, raw[cut : cut + 1]
+    yield before, raw[at:]
 
 
 #: Encoders of this worker process, kept from task to task with the words they know.

@@ -1,5 +1,6 @@
 """Preference pairs, token records and language identification."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -9,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from embertrace.llm import byte_cnn, records
 from embertrace.llm.preference import Template, conversations_of, formatted, sibling_pairs
@@ -73,9 +75,25 @@ ODD = ["", " a", "a  b", "a\n\nb", "a\n b", "a \nb", "x y", "it's they'll 'tis",
 @settings(max_examples=300, deadline=None)
 def test_word_encoder_equals_the_tokenizer(text):
     encoder = test_word_encoder_equals_the_tokenizer.__dict__.setdefault("encoder", records.WordEncoder(CODING))
-    for value in (text, *ODD):
-        ids = encoder.model.encode(value, add_special_tokens=False).ids + [2]
-        assert np.frombuffer(encoder.encode([value])[0], "<u2").tolist() == ids
+    fresh = test_word_encoder_equals_the_tokenizer.__dict__.setdefault("fresh", Tokenizer.from_file(CODING.tokenizer))
+    values = [text, *ODD, text + " " + text]
+    wanted = [fresh.encode(value, add_special_tokens=False).ids + [2] for value in values]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(values)] == wanted
+    assert fresh.encode("<|endoftext|>", add_special_tokens=False).ids == [50256]
+
+
+def test_long_texts_are_encoded_in_parts(monkeypatch):
+    fresh = Tokenizer.from_file(CODING.tokenizer)
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcé1.'", k=rng.randint(1, 9))) for _ in range(300)]
+    texts = ["".join(rng.choice(words) + rng.choice(" \n") for _ in range(400)) + "end" for _ in range(6)]
+    texts += ["x" * 500, "a b" + "y" * 300 + "\nz", texts[0] + "  two", "", " ", texts[1] + "<|endoftext|>"]
+    for part, memo in ((50, 10_000), (7, 10_000), (1 << 21, 40), (100, 1)):
+        monkeypatch.setattr(records, "_PART", part)
+        encoder = records.WordEncoder(records.Coding(CODING.tokenizer, memo=memo))
+        for _ in range(2):
+            got = [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)]
+            assert got == [fresh.encode(t, add_special_tokens=False).ids + [2] for t in texts]
 
 
 def test_records_round_trip(spark, model, tmp_path):
