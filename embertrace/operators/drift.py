@@ -150,7 +150,11 @@ def gate_verdict(gates: DataFrame) -> DataFrame:
 
 def quality_profile(features: DataFrame, names: Sequence[str] = fv.FEATURES) -> DataFrame:
     """Per feature: rows, nulls, distinct values, spread, exact quartiles, commonest share."""
-    counts = _long(features, names).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    return profile_of(_long(features, names).groupBy("feature", "value").agg(F.count(F.lit(1)).alias("cnt")))
+
+
+def profile_of(counts: DataFrame) -> DataFrame:
+    """The same from ``feature, value, cnt``."""
     counts = cut(counts)
     running = cut(cumulative(counts.filter(F.col("value").isNotNull()), "value", ["cnt"], ["feature"]))
     reached = F.col("cnt_below") + F.col("cnt")

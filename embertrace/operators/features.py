@@ -147,7 +147,7 @@ def event_scalars(events: DataFrame) -> DataFrame:
     )
 
 
-_RARITY = {
+RARITY_KINDS = {
     "proc_rarity": "proc",
     "parent_proc_rarity": "parent",
     "parent_child_rarity": "parent_child",
@@ -182,7 +182,7 @@ def feature_matrix(
             heavy_keys=heavy_keys,
         )
     total = F.lit(corpus.total)
-    for name, kind in _RARITY.items():
+    for name, kind in RARITY_KINDS.items():
         usable = F.lit(True)
         for key in KINDS[kind]:
             usable = usable & F.col(key).isNotNull()

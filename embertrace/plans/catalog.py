@@ -16,7 +16,7 @@ from embertrace import fixed_values as fv
 from embertrace.functions import prompts
 from embertrace.functions.scoring import min_max_inverted, score_route, to_number
 from embertrace.functions.text import base_name, event_category, group_tactic, lookup
-from embertrace.operators import alerts, coverage, drift, features, ledger, legacy, metrics, normalise, ranking, triage
+from embertrace.operators import alerts, coverage, day_state, drift, features, ledger, legacy, metrics, normalise, ranking, triage
 from embertrace.operators.iforest import Forest, average_path, fit_trees
 from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
@@ -905,6 +905,27 @@ def quality_profile(spark, sf_dir):
     return rows.select(*exact, *[r6(c).alias(c) for c in rows.columns if c not in exact])
 
 
+@query
+def drift_from_days(spark, sf_dir):
+    """Drift of the days from the boundary, and the profile of all days, from counts by day.
+
+    The events come in two batches that share their days, the second of them twice.
+    """
+    events, path = t.searched_events(spark, sf_dir), scratch_path(spark, "days")
+    half = F.crc32("alert_id") % 2
+    for batch in (0, 1, 1):
+        day_state.add_days(events.filter(half == batch), path, batch)
+    counts, boundary = day_state.days(spark, path), at(_DRIFT_FROM).date()
+    windows = day_state.window_values(counts, after=boundary), day_state.window_values(counts, boundary)
+    running = drift.cumulative_windows(day_state.drift_histogram(*windows))
+    profile = drift.profile_of(day_state.window_values(counts))
+    exact = ["feature", "nulls", "n", "distinct_values", "is_constant"]
+    found = drift.drift_table(running).select(
+        "feature", r6("ks").alias("ks"), F.round("w1", 5).alias("w1"), F.round("w1_norm", 5).alias("w1_norm"), "drifted", r6("psi").alias("psi")
+    )
+    return found.join(profile.select(*exact, *[r6(c).alias(c) for c in profile.columns if c not in exact]), "feature")
+
+
 # --- models -------------------------------------------------------------------------
 
 

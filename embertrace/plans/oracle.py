@@ -715,3 +715,7 @@ lof AS (
   SELECT n.a, n.b, sum(l.lrd * n.w) / sum(n.w) / any_value(o.lrd) AS lof
   FROM near n JOIN lrd l ON l.a = n.qa AND l.b = n.qb JOIN lrd o ON o.a = n.a AND o.b = n.b GROUP BY 1, 2)
 SELECT alert_id, round(ln(lof), 6) + 0.0::DOUBLE AS log_factor FROM coded JOIN lof ON a = event_type_code AND b = source_ip_code"""
+
+ORACLE["drift_from_days"] = f"""
+SELECT * FROM ({ORACLE['drift_ks']}) JOIN ({ORACLE['drift_w1']}) USING (feature) JOIN ({ORACLE['drift_psi']}) USING (feature)
+JOIN ({ORACLE['quality_profile']}) USING (feature)"""

@@ -1,9 +1,14 @@
+from datetime import date
+
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import EVENT_SCHEMA, event
 from pyspark.sql import functions as F
 
-from embertrace.operators import drift, legacy
+from embertrace import fixed_values as fv
+from embertrace.operators import day_state, drift, legacy
+from embertrace.operators.features import feature_matrix
 from embertrace.operators.lof import local_outlier_factor
 
 NAMES = ["a", "b", "c"]
@@ -140,3 +145,28 @@ def test_legacy_edges(log_rows):
     assert legacy.legacy_scores(log_rows.filter("false")).count() == 0
     with pytest.raises(ValueError):
         legacy.legacy_scores(log_rows, "other")
+
+
+def test_windows_of_days_are_the_windows_of_events(spark, tmp_path):
+    """Missing keys, events without a time, late and repeated batches, windows of some days, empty windows."""
+    rows = []
+    for k in range(400):
+        stamp = f"2024-01-{1 + k % 9:02d}T{k % 24:02d}:59:59" if k % 50 else None
+        rows.append(event(f"e{k}", ts=stamp, proc=f"p{k % 7}" if k % 11 else None, parent=f"q{k % 5}" if k % 3 else "", user=f"u{k % 40}", category=["a", None][k % 2 == 0], cmd="wget x" if k % 4 else None))
+    events = spark.createDataFrame(rows, EVENT_SCHEMA)
+    path = str(tmp_path / "days")
+    odd = F.crc32("alert_id") % 3
+    for batch in (0, 2, 1, 2):
+        day_state.add_days(events.filter(odd == batch), path, batch)
+    counts = day_state.days(spark, path)
+    for first, after in ((None, None), (date(2024, 1, 3), None), (None, date(2024, 1, 3)), (date(2024, 1, 2), date(2024, 1, 5)), (date(2025, 1, 1), None)):
+        inside = events.filter("ts is not null")
+        if first:
+            inside = inside.filter(F.to_date("ts") >= F.lit(first))
+        if after:
+            inside = inside.filter(F.to_date("ts") < F.lit(after))
+        assert day_state.window_rows(counts, first, after) == inside.count()
+        features = feature_matrix(inside)
+        long = features.select(*[F.col(f).cast("double").alias(f) for f in fv.FEATURES]).unpivot([], list(fv.FEATURES), "feature", "value")
+        want = {(r["feature"], round(r["value"], 9)): r["count"] for r in long.groupBy("feature", "value").count().collect()}
+        assert {(r["feature"], round(r["value"], 9)): r["cnt"] for r in day_state.window_values(counts, first, after).collect()} == want
