@@ -10,10 +10,13 @@ wherever it stands: also far from the entity and in texts that do not name it.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +27,6 @@ from embertrace.session import ship_package
 KINDS = ("email", "ip", "card", "phone")
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("entity", pa.string())]))
 SPAN_DDL = "array<struct<kind:string,start:bigint,end:bigint,entity:string>>"
-NEAR = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-NEAR_DDL = "array<struct<entity:string,term:string,start:bigint,end:bigint>>"
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -117,26 +118,33 @@ def neighbours(text: str, spans: list[tuple[str, int, int, str]], rule: Disclosu
     return out
 
 
-def personal_spans(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """All rows with ``entities`` and ``near`` (terms around them with their places).
+def _key(text: str) -> bytes:
+    """What stands for a text where equal texts count once."""
+    return hashlib.md5(text.encode("utf-8", "surrogatepass")).digest()
 
-    A null or empty text has neither.
+
+def entity_pairs(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
+    """``key, entities, pairs``: the distinct texts that name an entity, what they name and the terms near each.
+
+    A null or empty text names none.
     """
     ship_package(docs.sparkSession)
+    pair = pa.list_(pa.struct([("entity", pa.string()), ("term", pa.string())]))
 
-    @F.arrow_udf(returnType=f"struct<entities:{SPAN_DDL},near:{NEAR_DDL}>")
-    def found(texts: pa.Array) -> pa.Array:
-        spans, near = [], []
-        for t in texts:
-            value = t.as_py() or ""
-            own = entities(value)
-            spans.append([dict(zip(("kind", "start", "end", "entity"), x)) for x in own])
-            near.append(neighbours(value, own, rule))
-        return pa.StructArray.from_arrays([pa.array(spans, SPAN), pa.array(near, NEAR)], ["entities", "near"])
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, names, pairs = [], [], []
+            for value in batch.column(0).to_pylist():
+                if value and (own := entities(value)):
+                    near = {(x["entity"], x["term"]) for x in neighbours(value, own, rule)}
+                    keys.append(_key(value))
+                    names.append(sorted({e for _, _, _, e in own}))
+                    pairs.append([{"entity": e, "term": t} for e, t in sorted(near)])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names, pa.list_(pa.string())), pa.array(pairs, pair)], ["key", "entities", "pairs"])
 
-    return docs.withColumn("_found", found(F.col(text))).withColumns(
-        {"entities": F.col("_found.entities"), "near": F.col("_found.near")}
-    ).drop("_found")
+    ddl = "key binary, entities array<string>, pairs array<struct<entity:string,term:string>>"
+    return docs.select(text).mapInArrow(found, ddl).dropDuplicates(["key"])
 
 
 def _passes(terms: DataFrame, most: int):
@@ -146,135 +154,135 @@ def _passes(terms: DataFrame, most: int):
         yield terms.filter(F.pmod(F.xxhash64("term"), F.lit(runs)) == run).collect()
 
 
-def _held_of(shared):
-    """The terms of a text that are in a broadcast set, as a column function."""
-
-    @F.arrow_udf(returnType="array<string>")
-    def held(texts: pa.Array) -> pa.Array:
-        wanted = shared.value
-        own = ({w.lower() for w in _TERM.findall(t.as_py() or "")} & wanted for t in texts)
-        return pa.array([sorted(x) for x in own], pa.list_(pa.string()))
-
-    return held
-
-
-def _places_of(shared):
-    """The places in a text of the terms of a broadcast table, as a column function."""
-
-    @F.arrow_udf(returnType=SPAN_DDL)
-    def places(texts: pa.Array) -> pa.Array:
-        wanted, out = shared.value, []
-        for t in texts:
-            own = []
-            for m in _TERM.finditer(t.as_py() or ""):
-                if x := wanted.get(m[0].lower()):
-                    own.append({"kind": x[0], "start": m.start(), "end": m.end(), "entity": x[1]})
-            out.append(own)
-        return pa.array(out, SPAN)
-
-    return places
-
-
 def term_counts(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """``term, n_t``: in how many distinct texts each of ``terms.term`` occurs."""
-    out = docs.sparkSession.createDataFrame([], "term string, n_t bigint")
-    for rows in _passes(terms, rule.terms):
-        shared = docs.sparkSession.sparkContext.broadcast({r["term"] for r in rows})
-        once = docs.select(F.xxhash64(text).alias("text_id"), _held_of(shared)(F.col(text)).alias("terms"))
-        once = once.filter(F.size("terms") > 0).dropDuplicates(["text_id"])
-        counted = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-        out = out.unionByName(counted)
-    return out
-
+    """``term, n_t``: in how many distinct texts each of ``terms.term`` occurs.
 
-def term_spans(docs: DataFrame, terms: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """``text_id, more``: every place of the disclosing terms (``term, entity, kind``) in the distinct texts that hold one."""
-    out = None
+    Texts that hold terms travel as a key and the numbers of the terms, so that equal ones count once; each task then
+    hands on one sum a term.
+    """
+    spark = docs.sparkSession
+    out = spark.createDataFrame([], "term string, n_t bigint")
     for rows in _passes(terms, rule.terms):
-        shared = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["kind"], r["entity"]) for r in rows})
-        some = docs.select(F.xxhash64(text).alias("text_id"), _places_of(shared)(F.col(text)).alias("more"))
-        some = some.filter(F.size("more") > 0).dropDuplicates(["text_id"])
-        out = some if out is None else out.unionByName(some)
-    if out is None:
-        return docs.sparkSession.createDataFrame([], f"text_id bigint, more {SPAN_DDL}")
-    return out.groupBy("text_id").agg(F.flatten(F.collect_list("more")).alias("more"))
+        names = sorted(r["term"] for r in rows)
+        shared = spark.sparkContext.broadcast({t: k for k, t in enumerate(names)})
+
+        def held(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            number = shared.value
+            for batch in batches:
+                keys, own = [], []
+                for value in batch.column(0).to_pylist():
+                    if here := {w.lower() for w in _TERM.findall(value or "")} & number.keys():
+                        keys.append(_key(value))
+                        own.append(sorted(number[w] for w in here))
+                if keys:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(own, pa.list_(pa.int32()))], ["key", "terms"])
+
+        def summed(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(shared.value), np.int64)
+            for batch in batches:
+                total += np.bincount(batch.column(0).flatten().to_numpy(), minlength=len(total))
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+        once = docs.select(text).mapInArrow(held, "key binary, terms array<int>").dropDuplicates(["key"])
+        sums = once.select("terms").mapInArrow(summed, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n_t"))
+        named = spark.createDataFrame([(k, t) for k, t in enumerate(names)], "at bigint, term string")
+        out = out.unionByName(staged(sums.join(named, "at").select("term", "n_t"), "pii-counts"))
+        shared.unpersist()
+    return out
 
 
-def disclosing(found: DataFrame, docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
+def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
     """``entity, term, disclosure`` of the pairs at or above ``generalise_at``.
 
-    ``found`` has ``text_id`` and the result of :func:`personal_spans`.  Equal texts count
-    once in all four numbers, so copies of a page change nothing.
+    Equal texts count once in all four numbers, so copies of a page change nothing.  A term is in at least as many
+    texts as it is near entities in, and its share falls with that number: pairs whose share is too small already by
+    the texts near entities are dropped before the corpus is counted.
     """
-    texts = docs.groupBy(F.xxhash64(text).alias("text_id")).agg(F.count("*").alias("copies"))
-    total = texts.agg(F.count("*").alias("n")).collect()[0]["n"]
-    once = found.filter(F.size("entities") > 0).dropDuplicates(["text_id"])
-    named = (
-        once.select(F.explode(F.array_distinct(F.col("entities.entity"))).alias("entity"))
-        .groupBy("entity")
-        .agg(F.count("*").alias("n_e"))
-    )
-    pair = F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term")))
+    total = docs.select(F.md5(F.col(text).cast("binary"))).distinct().count()
+    once = staged(entity_pairs(docs, rule, text), "pii-found")
+    named = once.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    near = once.select(F.explode(F.array_distinct("pairs.term")).alias("term")).groupBy("term").agg(F.count("*").alias("m_t"))
     pairs = (
-        once.select(F.explode(F.array_distinct(pair)).alias("p"))
+        once.select(F.explode("pairs").alias("p"))
         .groupBy("p.entity", "p.term")
         .agg(F.count("*").alias("n_et"))
         .filter(F.col("n_et") >= rule.support)
     )
-    pairs = staged(pairs, "pii-pairs")
-    counted = pairs.join(named, "entity").join(term_counts(docs, pairs.select("term").distinct(), rule, text), "term")
-    pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col("n_t")))
-    share = pmi / F.log(F.lit(float(total)) / F.col("n_e"))
-    return (
-        counted.filter(F.col("n_e") < total)
-        .select("entity", "term", share.alias("disclosure"))
-        .filter(F.col("disclosure") >= rule.generalise_at)
-    )
+
+    def share(n_t: str) -> Column:
+        pmi = F.log(F.lit(float(total)) * F.col("n_et") / (F.col("n_e") * F.col(n_t)))
+        return pmi / F.log(F.lit(float(total)) / F.col("n_e"))
+
+    known = pairs.join(named, "entity").filter(F.col("n_e") < total).join(near, "term")
+    # a rounding error must not drop a pair that the full count keeps
+    pairs = staged(known.filter(share("m_t") >= rule.generalise_at - 1e-9), "pii-pairs")
+    counted = pairs.join(term_counts(docs, pairs.select("term").distinct(), rule, text), "term")
+    return counted.select("entity", "term", share("n_t").alias("disclosure")).filter(F.col("disclosure") >= rule.generalise_at)
+
+
+_ORDER = {kind: k for k, kind in enumerate((*KINDS, "term", "term-removed"))}
+
+
+def _spans_of(shared, first: bool):
+    """The spans of a text, as a column function: entities (found in the first pass) and terms of a broadcast table outside them."""
+
+    @F.arrow_udf(returnType=SPAN_DDL)
+    def spans(texts: pa.Array, before: pa.Array) -> pa.Array:
+        wanted, out = shared.value, []
+        for t, b in zip(texts.to_pylist(), before.to_pylist()):
+            value = t or ""
+            own = entities(value) if first else [(x["kind"], x["start"], x["end"], x["entity"]) for x in b]
+            inside = sorted((x[1], x[2]) for x in own if x[0] in KINDS)
+            more, k, busy = [], 0, 0
+            for m in _TERM.finditer(value) if wanted else ():
+                if x := wanted.get(m[0].lower()):
+                    while k < len(inside) and inside[k][0] < m.end():
+                        busy = max(busy, inside[k][1])
+                        k += 1
+                    if busy <= m.start():
+                        more.append((x[0], m.start(), m.end(), x[1]))
+            own = sorted(own + more, key=lambda x: (x[1], _ORDER[x[0]], x[2]))
+            out.append([dict(zip(("kind", "start", "end", "entity"), x)) for x in own])
+        return pa.array(out, SPAN)
+
+    return spans
 
 
 def disclosure_spans(docs: DataFrame, rule: Disclosure = Disclosure(), text: str = "text") -> DataFrame:
-    """All rows of ``docs`` with ``spans array<struct<kind, start, end, entity>>``.
+    """All rows and columns of ``docs`` with ``spans array<struct<kind, start, end, entity>>``.
 
     Entities keep their kinds; disclosing terms follow as kind ``term`` (to generalise) or
     ``term-removed`` at all their places outside entities, each with the entity it discloses most
     of.  Spans count code points, ends exclusive, by start and then kind.  A null
-    or empty text has none, an empty table gives an empty table, and repeated rows (equal or
-    null keys included) are all kept: rows are matched by the text, not by the key.
+    or empty text has none, an empty table gives an empty table, repeated rows (equal or
+    null keys included) are all kept, and an input column ``spans`` is replaced; other names are free.
     """
-    columns = [c for c in docs.columns if c not in ("spans", "text_id")]
-    keyed = docs.select(*columns).withColumn("text_id", F.xxhash64(text))
-    kept = [c for c in columns if c != text]
-    found = staged(personal_spans(keyed, rule, text).select(*kept, "text_id", "entities", "near"), "pii-found")
-    terms = staged(disclosing(found, docs, rule, text), "pii-terms")
+    ship_package(docs.sparkSession)
+    rows = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    terms = staged(disclosing(rows, rule, "_text"), "pii-terms")
     best = terms.groupBy("term").agg(
         F.max_by("entity", F.struct("disclosure", "entity")).alias("entity"), F.max("disclosure").alias("share")
     )
     kind = F.when(F.col("share") >= rule.remove_at, "term-removed").otherwise("term")
-    flagged = term_spans(docs, staged(best.select("term", "entity", kind.alias("kind")), "pii-best"), rule, text)
-    order = F.array(*map(F.lit, (*KINDS, "term", "term-removed")))
-    apart = F.filter(
-        "more", lambda x: ~F.exists("entities", lambda e: (e["start"] < x["end"]) & (e["end"] > x["start"]))
-    )
-    everything = F.concat("entities", F.coalesce(apart, F.array().cast(SPAN_DDL)))
-    ranked = F.array_sort(
-        F.transform(
-            everything,
-            lambda x: F.struct(x["start"].alias("start"), F.array_position(order, x["kind"]).alias("rank"), x["end"].alias("end"), x["kind"].alias("kind"), x["entity"].alias("entity")),
-        )
-    )
-    spans = F.transform(
-        ranked, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["entity"].alias("entity"))
-    )
-    return found.join(flagged, "text_id", "left").select(*kept, "text_id", spans.alias("spans"))
+    best = staged(best.select("term", "entity", kind.alias("kind")), "pii-best")
+    found = rows.withColumn("_spans", F.array().cast(SPAN_DDL))
+    for k, run in enumerate([*_passes(best, rule.terms)] or [[]]):
+        shared = docs.sparkSession.sparkContext.broadcast({r["term"]: (r["kind"], r["entity"]) for r in run})
+        if k:  # one broadcast table at a time
+            found = staged(found, "pii-spans")
+        found = found.withColumn("_spans", _spans_of(shared, not k)(F.col("_text"), F.col("_spans")))
+    kept = [F.col("_row")[c].alias(c) for c in docs.columns if c != "spans"]
+    return found.select(*kept, F.col("_spans").alias("spans"))
 
 
-def sanitised(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with the spans of :func:`disclosure_spans` applied to the text.
+def sanitised(found: DataFrame, text: str = "text") -> DataFrame:
+    """The result of :func:`disclosure_spans` with the spans applied to the text, without them.
 
     Entities become ``[EMAIL]`` and so on, terms ``[NUMBER]``, ``[NAME]`` or ``[WORD]`` by
-    their form, removed terms vanish.  Rows are matched by the text.
+    their form, removed terms vanish.
     """
-    ship_package(docs.sparkSession)
+    ship_package(found.sparkSession)
 
     @F.arrow_udf(returnType="string")
     def applied(texts: pa.Array, places: pa.Array) -> pa.Array:
@@ -296,6 +304,4 @@ def sanitised(docs: DataFrame, spans: DataFrame, text: str = "text") -> DataFram
             out.append("".join([*parts, value[done:]]))
         return pa.array(out, pa.string())
 
-    by_text = spans.filter(F.size("spans") > 0).dropDuplicates(["text_id"]).select("text_id", "spans")
-    joined = docs.drop("spans").withColumn("text_id", F.xxhash64(text)).join(by_text, "text_id", "left")
-    return joined.withColumn(text, applied(F.col(text), F.col("spans"))).drop("text_id", "spans")
+    return found.withColumn(text, applied(F.col(text), F.col("spans"))).drop("spans")

@@ -3,11 +3,15 @@
 import base64
 import gzip
 import hashlib
+import math
+import random
 import re
+from collections import Counter
 from urllib.parse import quote
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from embertrace.llm import pii, secret_scan
 
@@ -145,7 +149,7 @@ def test_terms_that_disclose_an_entity(spark):
     text = rows[60][1]
     kinds = {text[a:b]: k for k, a, b in by_id[100][0]}
     assert kinds["zoe@example.com"] == "email" and kinds["Zebrafish"].startswith("term") and "alpha" not in kinds
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(docs.filter("doc_id is not null"), found).collect()}
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(found.filter("doc_id is not null")).collect()}
     assert "Zebrafish" not in clean[100] and "[EMAIL]" in clean[100] and clean[200] is None and clean[5] == rows[5][1]
     assert pii.disclosure_spans(docs.limit(0)).count() == 0
 
@@ -162,6 +166,63 @@ def test_terms_are_found_despite_copies_and_far_from_the_entity(spark):
     terms = {r["doc_id"]: [text[r["doc_id"]][x["start"] : x["end"]] for x in r["spans"] if x["kind"].startswith("term")] for r in found.collect()}
     assert all(terms[k].count("Zebrafish") == 2 for k in (*range(1000, 1005), *range(2000, 2200)))
     assert terms[3000] == ["Zebrafish"] and terms[5] == []
-    assert not any("Zebrafish" in r["text"] for r in pii.sanitised(docs, found).collect())
+    assert not any("Zebrafish" in r["text"] for r in pii.sanitised(found).collect())
     blocks = pii.disclosure_spans(docs, pii.Disclosure(terms=2))
     assert sorted(blocks.select("doc_id", "spans").collect()) == sorted(found.select("doc_id", "spans").collect())
+
+
+def disclosed(texts, rule):
+    """Shares of all pairs, and the spans of every text, straight from the definition."""
+    distinct = set(texts)
+    words = {t: {w.lower() for w in re.findall(r"[^\W_]+", t or "")} for t in distinct}
+    named = {t: pii.entities(t or "") for t in distinct}
+    n_e, n_et = Counter(), Counter()
+    for t in distinct:
+        own = {e for _, _, _, e in named[t]}
+        n_e.update(own)
+        free = [(m.start(), m[0].lower()) for m in re.finditer(r"[^\W_]+", t or "") if not any(a < m.end() and b > m.start() for _, a, b, _ in named[t])]
+        pairs = set()
+        for _, a, b, e in named[t]:
+            near = [w for x, w in free if x < a][-rule.reach :] + [w for x, w in free if x >= b][: rule.reach]
+            pairs |= {(e, w) for w in near if len(w) >= rule.min_letters}
+        n_et.update(pairs)
+    n, best = len(distinct), {}
+    for (e, w), both in n_et.items():
+        n_t = sum(w in words[t] for t in distinct)
+        if both >= rule.support and n_e[e] < n:
+            share = math.log(n * both / (n_e[e] * n_t)) / math.log(n / n_e[e])
+            if share >= rule.generalise_at:
+                best[w] = max(best.get(w, (0, "")), (share, e))
+    spans = {}
+    for t in distinct:
+        own = [(k, a, b) for k, a, b, _ in named[t]]
+        for m in re.finditer(r"[^\W_]+", t or ""):
+            if m[0].lower() in best and not any(a < m.end() and b > m.start() for _, a, b, _ in named[t]):
+                own.append(("term-removed" if best[m[0].lower()][0] >= rule.remove_at else "term", m.start(), m.end()))
+        spans[t] = sorted(own, key=lambda x: (x[1], (*pii.KINDS, "term", "term-removed").index(x[0])))
+    return best, spans
+
+
+def test_shares_and_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    people = [(f"p{k}@mail.example", f"name{k}", f"town{k % 4}") for k in range(12)]
+    texts = [" ".join(rng.choices([f"plain{n}" for n in range(60)], k=rng.randint(3, 30))) for _ in range(150)]
+    for mail, name, town in people:
+        for _ in range(rng.randint(2, 9)):
+            some = rng.choices([f"plain{n}" for n in range(60)], k=rng.randint(4, 20)) + [f"{name.title()} of {town} ({mail})"]
+            rng.shuffle(some)
+            texts.append(" ".join(some) + rng.choice(["", f" and {name}", f" +49 30 1234567 {town}", " 10.0.0.1 " + name]))
+    texts += [texts[-1]] * 40 + [None, None, "", f"{people[0][1]} alone", "x" * 100_000]
+    rows = [(k if k % 9 else None, t, 1, "a", "b", "c", "d", "e") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, near int, entities string, more string, _found string, text_id string, spans string").repartition(3)
+    for rule in (pii.Disclosure(), pii.Disclosure(terms=3, support=2, generalise_at=0.5)):
+        best, spans = disclosed(texts, rule)
+        assert len(best) > 5
+        terms = pii.disclosing(docs, rule).groupBy("term").agg(F.max("disclosure").alias("d")).collect()
+        assert {r["term"]: round(r["d"], 9) for r in terms} == {w: round(x, 9) for w, (x, _) in best.items()}
+        found = pii.disclosure_spans(docs, rule)
+        assert found.columns == ["doc_id", "text", "near", "entities", "more", "_found", "text_id", "spans"]
+        got = found.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert [(x["kind"], x["start"], x["end"]) for x in r["spans"]] == spans[r["text"]]
