@@ -13,17 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from embertrace import fixed_values as fv
+from embertrace import schemas
 from embertrace.functions import prompts
 from embertrace.functions.scoring import min_max_inverted, score_route, to_number
-from embertrace.functions.text import base_name, event_category, group_tactic, lookup
+from embertrace.functions.text import base_name, event_category, group_category, group_tactic, lookup
 from embertrace.operators import alerts, coverage, day_state, drift, features, ledger, legacy, metrics, normalise, ranking, triage
 from embertrace.operators.iforest import Forest, average_path, fit_trees
 from embertrace.operators.model import run_metrics
 from embertrace.operators.scaling import Scaler, feature_power, scaler_stats, top_features
+from embertrace.plans import legacy_job as legacy_job_plan
 from embertrace.plans import retrain as retrain_plan
 from embertrace.plans import telemetry as t
 from embertrace.session import cut, scratch_path, setting, spread
-from embertrace.sources import archives, manifest, scans
+from embertrace.sources import archives, manifest, scans, tables
 from embertrace.sources.alert_state import AlertState
 from embertrace.streaming.bridge import alert_events, bridge_stream, run_available, text_stream
 from embertrace.streaming.monitor import monitored_steps, stateful
@@ -231,6 +233,11 @@ def _state(spark, sf_dir) -> DataFrame:
     return _STATES[key].read()
 
 
+def prepare(spark: SparkSession, sf_dir: str) -> dict[str, Callable[[], object]]:
+    """What is maintained beside the tables, and made once before questions are asked: by name, how to make it."""
+    return {"alert_state": lambda: _state(spark, sf_dir), "stored_run": lambda: _stored_run(spark, sf_dir)}
+
+
 def _flat_state(rows: DataFrame) -> DataFrame:
     return rows.select(
         "alert_id",
@@ -400,6 +407,26 @@ def tactic_counts(spark, sf_dir):
     return metrics.counts(t.sec_events(spark, sf_dir), tactic.alias("tactic"))
 
 
+@query
+def rule_tables(spark, sf_dir):
+    """Every entry of the rank tables and of the rule groups, and texts that miss them, over all events."""
+    names = lambda values: F.array(*[F.lit(v) for v in values])
+    pick = lambda values: F.element_at(names(values), (F.col("event_id") % len(values) + 1).cast("int"))
+    words = [w for w, _ in fv.RULE_GROUP_TACTIC] + [w for _, group in fv.RULE_GROUP_CATEGORY for w in group] + ["other"]
+    rows = t.base_events(spark, sf_dir).select(
+        pick([*fv.CATEGORY_RANK, "none such"]).alias("category"),
+        pick([*fv.CHANNEL_RANK, "windows powershell"]).alias("channel"),
+        F.concat(F.lit("x_"), F.upper(pick(words)), F.lit("_y")).alias("group"),
+    )
+    groups = F.array("group", F.lit("zzz"))
+    return rows.select(
+        lookup(F.col("category"), fv.CATEGORY_RANK, 0).alias("category_rank"),
+        lookup(F.col("channel"), fv.CHANNEL_RANK, 0).alias("channel_rank"),
+        group_tactic(groups).alias("tactic"),
+        group_category(groups).alias("rule_category"),
+    ).groupBy("category_rank", "channel_rank", "tactic", "rule_category").agg(F.count(F.lit(1)).alias("events"))
+
+
 @query
 def prompt_facts(spark, sf_dir):
     """The event lines of the full prompt, for every event, with the whole command text."""
@@ -439,9 +466,10 @@ def _replies(spark, sf_dir) -> DataFrame:
     turn = t.table(spark, sf_dir, "conversations")
     n = F.col("conv_id") * 7 + F.col("turn")
     fields = {
-        "attack_technique": F.concat(F.lit("T1"), F.lpad((n % 500).cast("string"), 3, "0")),
-        "attack_tactic": F.col("role"),
-        "description": F.col("text"),
+        # where a rule stands behind the alert, a reply may leave these out
+        "attack_technique": F.when(n % 8 != 4, F.concat(F.lit("T1"), F.lpad((n % 500).cast("string"), 3, "0"))),
+        "attack_tactic": F.when(n % 8 != 6, F.col("role")),
+        "description": F.when(n % 16 != 4, F.col("text")),
         "fp_assessment": F.try_element_at(
             F.array(*[F.lit(x) for x in ("low", " Medium ", "HIGH", "unsure")]), (n % 4 + 1).cast("int")
         ),
@@ -464,6 +492,7 @@ def _replies(spark, sf_dir) -> DataFrame:
         F.when(n % 2 == 0, F.concat(F.lit("R"), n.cast("string"))).alias("rule_id"),
         (n % 100 / 100.0).alias("score"),
         F.when(n % 3 != 0, n % 100 * F.lit(1.0)).alias("percentile"),
+        F.when(n % 16 == 12, F.lit("T4242")).alias("known_technique"),
     )
 
 
@@ -472,7 +501,7 @@ def parse_reply(spark, sf_dir):
     replies = _replies(spark, sf_dir)
     alert = replies.select(
         "alert_id",
-        F.struct(F.struct(F.lit(None).cast("string").alias("technique")).alias("mitre")).alias("event"),
+        F.struct(F.struct(F.col("known_technique").alias("technique")).alias("mitre")).alias("event"),
         F.struct(
             F.struct(
                 F.col("rule_id").alias("id"),
@@ -962,6 +991,18 @@ def _flat_scores(scores: DataFrame) -> DataFrame:
     return scores.withColumn("top_features", F.array_join(tops, ","))
 
 
+@query
+def legacy_job(spark, sf_dir):
+    """Two runs of the job over different days, the first of them twice: what its table holds."""
+    base = t.base_events(spark, sf_dir).select(F.concat(F.lit("e"), "event_id").alias("alert_id"), F.col("ts").alias("timestamp"))
+    logs = _legacy_rows(spark, sf_dir).join(base, "alert_id")
+    path = scratch_path(spark, "legacy-scores")
+    for run, day in (("a", "2024-01-10"), ("b", "2024-01-12"), ("a", "2024-01-10"), ("none", "1999-01-01")):
+        legacy_job_plan.score_logs(logs, at(day), path, run, hours=36)
+    rows = spark.read.parquet(path)
+    return rows.select("run_id", "alert_id", ts_text(F.col("timestamp")).alias("timestamp"), r6("anomaly_score").alias("anomaly_score"), "method")
+
+
 def _forest(spark, sf_dir) -> tuple[DataFrame, Forest]:
     """Scaled features of all events and the forest grown on them."""
     z = _z(spark, sf_dir)
@@ -1030,6 +1071,53 @@ def incremental_batch(spark, sf_dir):
     return _flat_scores(retrain_plan.score_new(model, cut(_fresh_events(spark, sf_dir))))
 
 
+@query
+def round_trips(spark, sf_dir):
+    """Every table written and read back through its own writer and reader: rows, and a sum over what was read."""
+    path = lambda name: scratch_path(spark, name)
+    events, sent, triaged = path("events"), path("notifications"), path("triage")
+    tables.append_events(t.sec_events(spark, sf_dir), events)
+    tables.append_triage(t.triage_rows(spark, sf_dir).filter("enrichment_path = 'A'"), triaged)
+    tables.append_triage(t.triage_rows(spark, sf_dir).filter("enrichment_path = 'B'"), triaged)
+    tables.append_log(t.notification_rows(spark, sf_dir), sent)
+    scored = path("scores")
+    for _ in range(2):  # a repeated run replaces itself
+        tables.write_scores(t.score_runs(spark, sf_dir), scored)
+    snapshots = path("snapshots")
+    for run in ("20240101_000000", "20240102_000000"):
+        tables.write_snapshot(t.base_events(spark, sf_dir).select("event_id", "value").filter(F.lit(run) > "20240101_9"), snapshots, run)
+    ledger_rows = reduce(DataFrame.unionByName, [ledger.run_row(spark, "retrain", at(f"2024-01-0{d}"), at(f"2024-01-0{d}"), "{}", run_id=f"2024010{d}_000000") for d in (1, 2)])
+    cards = path("scorecards")
+    for day in ("2024-01-01", "2024-01-02", "2024-01-02"):
+        results = _results(spark, sf_dir).filter(F.col("executed_at") < F.lit(at(day)) + F.expr("interval 15 days"))
+        tables.write_scorecard(coverage.scorecard(results), results, cards, day)
+    lines = path("alert-lines")
+    _alert_lines(spark, sf_dir).select("line").write.text(lines)
+    runs = path("run-files")
+    for run in ("20240101_000000", "20240102_000000"):  # a file holds one run
+        ledger_rows.filter(F.col("run_id") == run).coalesce(1).write.mode("append").json(runs)
+    logs = path("log-lines")
+    _log_lines(spark, sf_dir).select("line").write.text(logs)
+    read = {
+        "events": spark.read.parquet(events).select(F.col("k").alias("x")),
+        "events_since": scans.events_since(spark.read.parquet(events), at("2024-01-20")).select(F.col("k").alias("x")),
+        "triage": spark.read.schema(schemas.TRIAGE).parquet(triaged).select("combined_confidence"),
+        "notifications": spark.read.schema(schemas.NOTIFICATION).json(sent).select((F.col("status") == "sent").cast("int")),
+        "scores": spark.read.parquet(scored).select("ml.anomaly_score"),
+        "snapshot": scans.feature_snapshot(spark, snapshots, ledger=ledger_rows).select("value"),
+        "scorecard": scans.latest_scorecard(spark.read.parquet(f"{cards}/summary")).select("detected"),
+        "scorecard_steps": spark.read.parquet(f"{cards}/steps").filter("report_date = '2024-01-01'").select(F.lit(1)),
+        "alert_lines": scans.alert_lines(spark, at("2024-01-20"), lines).select(F.lit(1)),
+        "run_files": ledger.last_valid_run(scans.run_records(spark, runs)).select(F.substring("run_id", 1, 8).cast("bigint")),
+        "log_lines": archives.text_lines(spark, logs).select(F.lit(1)),
+    }
+    rows = [
+        df.toDF("x").agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("x").cast("double")), 3).alias("total"))
+        for name, df in read.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def stored_run(spark, sf_dir):
     """What readers see of a run that is stored twice, beside one that failed and one that died between its writes."""

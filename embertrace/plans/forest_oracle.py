@@ -183,6 +183,22 @@ WITH RECURSIVE {o.LEGACY}, x_rows AS MATERIALIZED (SELECT alert_id, [{_AXES}] AS
 SELECT alert_id, round(1 - (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + {fv.SCORE_EPSILON!r}::DOUBLE), 6) AS anomaly_score,
   'isolation_forest' AS model FROM scored"""
 
+
+def _legacy_run(run: str, until: str) -> str:
+    """The rows of one run of the legacy job, as a query of its own."""
+    inside = f"ts BETWEEN TIMESTAMP '{until}' - INTERVAL 36 HOUR AND TIMESTAMP '{until}'"
+    rows = o.LEGACY.replace("AS source_ip FROM events", f"AS source_ip, ts FROM events WHERE {inside}")
+    coded = rows.replace("AS source_ip_code FROM rows_in", "AS source_ip_code, ts FROM rows_in")
+    return f"""
+SELECT '{run}' AS run_id, alert_id, {o._TS.format('ts')} AS timestamp, anomaly_score, model AS method FROM (
+WITH RECURSIVE {coded}, x_rows AS MATERIALIZED (SELECT alert_id, [{_AXES}] AS x FROM coded),
+{forest_ctes('x_rows', 2, LEGACY_TREES)}, {walk_ctes('x_rows', LEGACY_TREES, 'scored')}
+SELECT s.alert_id, c.ts, round(1 - (raw - min(raw) OVER ()) / (max(raw) OVER () - min(raw) OVER () + {fv.SCORE_EPSILON!r}::DOUBLE), 6) AS anomaly_score,
+  'isolation_forest' AS model FROM scored s JOIN coded c ON c.alert_id = s.alert_id)"""
+
+
+ORACLE["legacy_job"] = f"{_legacy_run('a', '2024-01-10')} UNION ALL {_legacy_run('b', '2024-01-12')}"
+
 ORACLE["stored_run"] = f"""
 WITH RECURSIVE {_TRAINED}, {walk_ctes('x_rows', fv.TREES, 'scored')}
 SELECT 'scores' AS part, count(*) AS n FROM events

@@ -411,7 +411,9 @@ c AS (
       CASE label WHEN 'low' THEN 1.0::DOUBLE WHEN 'medium' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END, 1.0::DOUBLE / 3) AS raw
   FROM f)
 SELECT alert_id, CASE WHEN backed THEN 'A' ELSE 'B' END AS enrichment_path,
-  'T1' || lpad((n % 500)::VARCHAR, 3, '0') AS attack_technique, role AS attack_tactic, text AS description,
+  CASE WHEN n % 8 <> 4 THEN 'T1' || lpad((n % 500)::VARCHAR, 3, '0') WHEN n % 16 = 12 THEN 'T4242' ELSE 'wazuh:R' || n END AS attack_technique,
+  CASE WHEN n % 8 <> 6 THEN role ELSE 'Defense Evasion' END AS attack_tactic,
+  CASE WHEN n % 16 <> 4 THEN text ELSE 'Wazuh rule R' || n || ': desc' END AS description,
   label AS fp_assessment, 'seen before' AS fp_reasoning,
   array_to_string(list_transform(range(1, least(n % 9 + 2, 6)), lambda i: 'step ' || i), '|') AS steps,
   round(raw, 4) AS combined_confidence, conf AS llm_confidence,
@@ -719,3 +721,41 @@ SELECT alert_id, round(ln(lof), 6) + 0.0::DOUBLE AS log_factor FROM coded JOIN l
 ORACLE["drift_from_days"] = f"""
 SELECT * FROM ({ORACLE['drift_ks']}) JOIN ({ORACLE['drift_w1']}) USING (feature) JOIN ({ORACLE['drift_psi']}) USING (feature)
 JOIN ({ORACLE['quality_profile']}) USING (feature)"""
+
+
+def _entry(values: list[str]) -> str:
+    return "[" + ", ".join(f"'{v}'" for v in values) + f"][event_id % {len(values)} + 1]"
+
+
+_GROUP_WORDS = [w for w, _ in fv.RULE_GROUP_TACTIC] + [w for _, group in fv.RULE_GROUP_CATEGORY for w in group] + ["other"]
+_FIRST_TACTIC = "CASE " + " ".join(f"WHEN contains(g, '{w}') THEN '{tactic}'" for w, tactic in fv.RULE_GROUP_TACTIC) + f" ELSE '{fv.TACTIC_DEFAULT}' END"
+_FIRST_CATEGORY = (
+    "CASE "
+    + " ".join(f"WHEN {' OR '.join(f"contains(g, '{w}')" for w in group)} THEN '{category}'" for category, group in fv.RULE_GROUP_CATEGORY)
+    + f" ELSE '{fv.RULE_GROUP_DEFAULT}' END"
+)
+ORACLE["rule_tables"] = f"""
+WITH r AS (
+  SELECT {_entry([*fv.CATEGORY_RANK, 'none such'])} AS c, {_entry([*fv.CHANNEL_RANK, 'windows powershell'])} AS ch, {_entry(_GROUP_WORDS)} AS g
+  FROM events)
+SELECT {_rank('c', fv.CATEGORY_RANK)} AS category_rank, {_rank('ch', fv.CHANNEL_RANK)} AS channel_rank,
+  {_FIRST_TACTIC} AS tactic, {_FIRST_CATEGORY} AS rule_category, count(*) AS events FROM r GROUP BY 1, 2, 3, 4"""
+
+_ROUND_TRIP = {
+    "events": "SELECT k AS x FROM base",
+    "events_since": "SELECT k FROM base WHERE ts > TIMESTAMP '2024-01-20'",
+    "triage": "SELECT combined FROM triage",
+    "notifications": "SELECT (status = 'sent')::INT FROM notes",
+    "scores": "SELECT score FROM alerts UNION ALL SELECT round(1 - score, 6) FROM alerts",
+    "snapshot": "SELECT value FROM base",
+    "scorecard": "SELECT count(*) FILTER (detected) FROM results WHERE executed_at < TIMESTAMP '2024-01-17'",
+    "scorecard_steps": "SELECT 1 FROM results WHERE executed_at < TIMESTAMP '2024-01-16'",
+    "alert_lines": "SELECT 1 FROM base WHERE ts > TIMESTAMP '2024-01-20'",
+    "run_files": "SELECT 20240102",
+    "log_lines": "SELECT 1 FROM base",
+}
+_ROUND_TRIPS = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS n, round(sum(x::DOUBLE), 3) AS total FROM ({sql}) y(x)" for name, sql in _ROUND_TRIP.items()
+)
+_TRIAGE_ONLY = TRIAGE[TRIAGE.index("rounds AS ("):]
+ORACLE["round_trips"] = f"WITH {STEPS}, {_TRIAGE_ONLY} {_ROUND_TRIPS}"
