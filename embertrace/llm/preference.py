@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from embertrace.llm.staging import staged
+from embertrace.operators.skew import join_counts, table_size
 
 
 @dataclass(frozen=True)
@@ -52,15 +53,17 @@ def _ranked(items: DataFrame, template: Template) -> DataFrame:
     """``name, opening`` with ``place`` from 0 among the items of an opening, and their number ``n``.
 
     The order is that of the md5 of the name, which is even, so an opening held by very many
-    conversations is ordered in pieces of its range.
+    conversations is ordered in pieces of its range, and these are what is shuffled.
     """
-    counted = items.groupBy("opening").agg(F.count("*").alias("n"))
+    counted = staged(items.groupBy("opening").agg(F.count("*").alias("n")), "opening-counts")
+    total = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     digest = F.md5(F.col("name").cast("binary"))
     unit = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     named = (
-        items.join(counted, "opening")
+        join_counts(items, counted, ["opening"], "n", size=table_size(counted), total=total, spread_by=F.col("name"))
         .withColumn("digest", digest)
         .withColumn("piece", F.floor(unit * F.ceil(F.col("n") / template.piece_rows)))
+        .repartition("opening", "piece")
     )
     before = Window.partitionBy("opening").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -86,7 +89,7 @@ def sibling_pairs(conversations: DataFrame, template: Template = Template()) ->
     placed = staged(_ranked(names, template), "places")
     alone = (F.col("place") == F.col("n") - 1) & (F.col("n") % 2 == 1)
     number = (F.col("place") / 2).cast("bigint")
-    rest = _ranked(placed.filter(alone).select("name", F.lit("").alias("opening")), template)
+    rest = _ranked(staged(placed.filter(alone).select("name", F.lit("").alias("opening")), "left-over"), template)
     partner = placed.filter(~alone).unionByName(rest).select("name", F.concat_ws("-", "opening", number).alias("pair_id"))
     side = F.struct((-F.col("score")).alias("rank"), "name", "conv_id", "turns")
     both = (

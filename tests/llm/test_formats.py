@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from embertrace.llm import byte_cnn, records
-from embertrace.llm.preference import Template, conversations_of, formatted, sibling_pairs
+from embertrace.llm.preference import Template, _ranked, conversations_of, formatted, sibling_pairs
+from embertrace.session import setting
 
 CODING = records.Coding(public_tokenizers.path("byte_bpe_50k.json"), batch=3)
 
@@ -63,6 +64,36 @@ def test_a_conversation_left_over_has_no_rejected_side(spark):
     assert len(got) == 2 and sum(r["rejected_id"] is None for r in got) == 1
 
 
+def test_a_common_opening_is_ordered_in_pieces(spark):
+    """Two thousand conversations of one first turn: each piece of them is a group of its own for the shuffle."""
+    template = Template(piece_rows=100)
+    first = F.struct(F.lit("user").alias("role"), F.lit("hi").alias("text"))
+    talks = spark.range(2000).select(
+        F.col("id").cast("string").alias("name"), F.col("id").alias("conv_id"), F.array(first).alias("turns"),
+        F.when(F.col("id") < 1990, "hot").otherwise(F.col("id").cast("string")).alias("opening"), F.lit(0).cast("bigint").alias("score"),
+        F.lit("mine").alias("piece"), F.lit(1).alias("n"),
+    )
+    ranked = _ranked(talks.select("name", "opening"), template)
+    plan = ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [opening" in plan and "piece" in plan
+    rows = ranked.collect()
+    assert sorted(r["place"] for r in rows if r["opening"] == "hot") == list(range(1990))
+    with setting(spark, "spark.sql.adaptive.enabled", "false"):  # which would put such small pieces together again
+        pieces = _ranked(talks.select("name", "opening"), template).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in pieces) < 1000
+    pairs = sibling_pairs(talks, template).collect()
+    assert len(pairs) == 1000 and all(r["rejected"] is not None for r in pairs)
+
+
+def test_pairs_of_odd_rows(spark):
+    rows = [(1, 0, "user", "x" * 200_000), (1, 1, "assistant", None), (2, 0, "user", "x" * 200_000), (2, None, None, None), (None, None, None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    clash = turns.withColumns({"prompt": F.lit("p"), "opening": F.lit("o"), "name": F.lit("n"), "pair_id": F.lit(1)})
+    got = formatted(sibling_pairs(conversations_of(clash)))
+    assert got.count() == 2 and got.columns == formatted(sibling_pairs(conversations_of(turns))).columns
+    assert formatted(sibling_pairs(conversations_of(clash.limit(0)))).count() == 0
+
+
 @pytest.fixture(scope="module")
 def model():
     return records.WordEncoder(CODING)
