@@ -84,14 +84,6 @@ def state_columns(rows: DataFrame) -> DataFrame:
     )
 
 
-def top_alerts(scores: DataFrame, triage: DataFrame, notifications: DataFrame, chosen: Column, limit: int) -> DataFrame:
-    """Current state of the ``limit`` highest alerts that satisfy ``chosen``: cut first, joined then."""
-    top = cut(newest_top(scores, chosen, limit))
-    ids = F.broadcast(top.select("alert_id"))  # at most ``limit`` rows
-    of_top = lambda rows: rows.join(ids, "alert_id", "left_semi")
-    return current_alerts(top, of_top(triage), of_top(notifications))
-
-
 def alert_queue(alerts: DataFrame, threshold: float = 0.70, limit: int | None = 100) -> DataFrame:
     """Flat queue rows at or above a score, highest first."""
     text = lambda name: F.coalesce(F.col(name), F.lit(""))

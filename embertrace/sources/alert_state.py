@@ -8,11 +8,12 @@ keeps high-water marks of the three inputs, from which the next refresh reads on
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StringType, StructField, StructType, TimestampType
 
 from embertrace.operators.alerts import newest_order, state_columns
 from embertrace.session import scratch_path
@@ -51,7 +52,7 @@ class AlertState:
         head = manifest.newest(self.spark, self.root)
         if head is None and (scores is None or triage is None):
             raise ValueError("the first rows must have the columns of scores and of triage")
-        schema = StructType.fromJson(manifest.json.loads(head.schema)) if head else self._schema(scores, triage)
+        schema = StructType.fromJson(json.loads(head.schema)) if head else self._schema(scores, triage)
         delta = self._delta(schema, scores, triage, notifications)
         path = scratch_path(self.spark, "alert-delta")
         delta.write.parquet(path)
@@ -76,12 +77,20 @@ class AlertState:
         return manifest.commit(self.spark, self.root, head, folders, marks, schema.json())
 
     def _schema(self, scores: DataFrame, triage: DataFrame) -> StructType:
-        rows = scores.withColumn("_scored", F.lit(True)).select("alert_id", "_scored", *[c for c in scores.columns if c != "alert_id"])
-        rows = rows.limit(0).crossJoin(triage.limit(0).select(F.struct(*[c for c in triage.columns if c != "alert_id"]).alias("triage")))
-        return rows.withColumn("notified_at", F.lit(None).cast("timestamp")).schema
+        columns = [f for f in scores.schema if f.name != "alert_id"]
+        latest = StructType([f for f in triage.schema if f.name != "alert_id"])
+        return StructType(
+            [
+                StructField("alert_id", StringType()),
+                StructField("_scored", BooleanType()),
+                *columns,
+                StructField("triage", latest),
+                StructField("notified_at", TimestampType()),
+            ]
+        )
 
     def _rows(self, head: manifest.Commit, folders: dict[str, str]) -> DataFrame:
-        schema = StructType.fromJson(manifest.json.loads(head.schema))
+        schema = StructType.fromJson(json.loads(head.schema))
         if not folders:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*folders.values())
