@@ -2,7 +2,8 @@
 
 Every layer (the text itself, then whatever a part of a layer decodes to) goes through a
 worklist: it is searched for secrets and for percent-encoded, Unicode-escaped, base64 and
-compressed parts, whose content is appended as new layers until none is new.  A content met
+compressed parts, whose content is a new layer, until none is new.  Layers are taken one piece at a
+time, a piece's own layers before the next piece, so that one piece of each open layer is held.  A content met
 before at the same place of the text is not taken again, so cycles end; at another place it is.
 Each character of a layer knows the range of the
 text it came from, so findings are given as spans of the text.
@@ -17,8 +18,11 @@ import binascii
 import hashlib
 import re
 import zlib
+from collections.abc import Iterable
 from dataclasses import dataclass
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,12 +44,15 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 _PERCENT = re.compile(r"%[0-9A-Fa-f]{2}")
 _ESCAPE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}")
+_PERCENTS = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
+_ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 _RUN = re.compile(r"[^\x20\x09-\x0D\"'<>]+")
 _BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _LINES = re.compile(
-    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)+={0,2}"
+    r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:[\x20\t]*+\r?\n[\x20\t>]*+[A-Za-z0-9+/_-]++)++={0,2}"
 )
 _LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+_LINE_BYTES = re.compile(rb"[A-Za-z0-9+/_-]+={0,2}")
 _TEXT = re.compile(
     rb"(?:[\t\r\n\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}"
 )
@@ -61,14 +68,48 @@ _HEX_MARKS = _marks("0123456789abcdef")
 _BASE64_MARKS = _marks("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 
 
+#: Bytes of plain text.
+_PLAIN = bytes([9, 10, 13, *range(32, 127)])
+
+
 @dataclass(frozen=True)
 class Limits:
-    """A compressed stream of more than ``decoded_chars`` bytes is searched in pieces of that size, which
-    overlap by ``overlap``.  Such a text is marked by kind ``unfinished``, since a secret or an encoded
-    part longer than the overlap may be split between pieces."""
+    """A compressed stream of more than ``decoded_chars`` bytes is searched in pieces of about that size.  A piece
+    ends before the word, or the block of base64 lines, that its last bytes belong to, and the next begins
+    ``overlap`` bytes before that, so nothing is split.  A single word or block longer than ``longest`` is split
+    nevertheless, and its text marked by kind ``unfinished``."""
 
-    decoded_chars: int = 32 << 20
+    decoded_chars: int = 8 << 20
     overlap: int = 64 << 10
+    longest: int = 16 << 20
+
+
+class _Same:
+    """The places of characters that all stand for one range of the layer around them."""
+
+    def __init__(self, start: int, end: int):
+        self.start, self.end = start, end
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return self.start, self.end
+
+    def within(self, outer: "_Same | _Each | None") -> "_Same":
+        return self if outer is None else _Same(*outer.span(self.start, self.end))
+
+
+class _Each:
+    """The range of the layer around them that each of some characters stands for."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends = starts, ends
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        return int(self.starts[a]), int(self.ends[b - 1])
+
+    def within(self, outer: "_Same | _Each | None") -> "_Same | _Each":
+        if outer is None or isinstance(outer, _Same):
+            return outer or self
+        return _Each(outer.starts[self.starts], outer.ends[self.ends - 1])
 
 
 def direct(text: str) -> list[tuple[str, int, int]]:
@@ -85,25 +126,29 @@ def direct(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
-def _spliced(layer: str, at: int, end: int, pattern: re.Pattern, codes) -> tuple[str, list[tuple[int, int]]]:
-    """A run with its escapes replaced; each new character with the range of the layer it stands for."""
-    out, places, k = [], [], at
-    while k < end:
-        if m := pattern.match(layer, k, end):
-            group = [m]
-            while (n := pattern.match(layer, group[-1].end(), end)) is not None:
-                group.append(n)
-            text = codes([g[0] for g in group])
-            whole = (group[0].start(), group[-1].end())
-            for i, c in enumerate(text):
-                out.append(c)
-                places.append((group[i].start(), group[i].end()) if len(text) == len(group) else whole)
-            k = whole[1]
-        else:
-            out.append(layer[k])
-            places.append((k, k + 1))
-            k += 1
-    return "".join(out), places
+def _spliced(layer: str, at: int, end: int, pattern: re.Pattern, group: re.Pattern, codes, flat: bool) -> tuple[str, "_Same | _Each"]:
+    """A run with its escapes replaced, and the places of its new characters."""
+    if flat:
+        return group.sub(lambda m: codes(pattern.findall(m[0])), layer[at:end]), _Same(at, end)
+    out, starts, ends, k = [], [], [], at
+
+    def plain(to: int) -> None:
+        out.append(layer[k:to])
+        starts.append(np.arange(k, to))
+        ends.append(np.arange(k + 1, to + 1))
+
+    for m in group.finditer(layer, at, end):
+        plain(m.start())
+        own = [(x.start(), x.end()) for x in pattern.finditer(layer, m.start(), m.end())]
+        text = codes([layer[a:b] for a, b in own])
+        if len(text) != len(own):
+            own = [m.span()] * len(text)
+        out.append(text)
+        starts.append(np.array([a for a, _ in own], np.int64))
+        ends.append(np.array([b for _, b in own], np.int64))
+        k = m.end()
+    plain(end)
+    return "".join(out), _Each(np.concatenate(starts), np.concatenate(ends))
 
 
 def _from_percent(parts: list[str]) -> str:
@@ -123,19 +168,34 @@ def _printable(raw: bytes) -> str | None:
         if e.reason != "unexpected end of data":
             return None
         text = raw[: e.start].decode("utf-8")
-    odd = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
+    others = text.encode("utf-8").translate(None, _PLAIN).decode("utf-8")
+    odd = sum(not c.isprintable() for c in others)
     return text if text and odd * 20 <= len(text) else None
 
 
+def _open_from(held: bytes) -> int:
+    """Where the word, or the block of base64 lines, begins that reaches to the end."""
+    at = max(held.rfind(b" "), held.rfind(b"\n"), held.rfind(b"\t"), held.rfind(b"\r")) + 1
+    while at:
+        line = held.rfind(b"\n", 0, at) + 1
+        if held[line:at].strip(b" \t>"):
+            break  # the word stands within its line
+        before = held.rfind(b"\n", 0, max(line - 1, 0)) + 1
+        if not line or not _LINE_BYTES.fullmatch(held[before:line].strip(b" \t\r\n>")):
+            break
+        at = before
+    return at
+
+
 def _inflated(raw: bytes | memoryview, limits: Limits):
-    """The content of a zlib stream or of all members of a gzip one, in overlapping pieces."""
+    """The content of a zlib stream or of all members of a gzip one: pieces, and whether something was split."""
     most = max(1, limits.decoded_chars)
-    keep = min(limits.overlap, most // 2)
-    held, fresh, data, worker = b"", False, raw, zlib.decompressobj(wbits=47)
+    longest = max(most, limits.longest)
+    held, fresh, data, worker, goal = b"", False, raw, zlib.decompressobj(wbits=47), most
     while _STREAM.match(data) or worker is not None:
         worker = worker or zlib.decompressobj(wbits=47)
         try:
-            part = worker.decompress(data, most - len(held))
+            part = worker.decompress(data, max(1, goal - len(held)))
         except zlib.error:
             break
         held, fresh = held + part, fresh or bool(part)
@@ -144,23 +204,29 @@ def _inflated(raw: bytes | memoryview, limits: Limits):
             data, worker = worker.unused_data.lstrip(b"\0"), None
         elif not part and not data:
             break
-        if len(held) >= most:
-            yield held
-            held, fresh = held[len(held) - keep :], False
+        if len(held) >= goal:
+            start = _open_from(held)
+            keep = max(0, start - min(limits.overlap, most // 2))
+            keep = max(held.rfind(b" ", 0, keep), held.rfind(b"\n", 0, keep)) + 1 or keep
+            if start > keep or len(held) >= longest:
+                if start > keep:
+                    yield held[:start], False
+                    held, fresh = held[keep:], start < len(held)
+                else:
+                    yield held, True
+                    held, fresh = held[len(held) - most // 2 :], False
+                goal = max(most, 2 * len(held))
+            else:
+                goal = 2 * len(held)  # one long word: read on until it ends
     if fresh:
-        yield held
+        yield held, False
 
 
 def _streams(raw: bytes | memoryview, limits: Limits):
-    """The texts of the pieces of a compressed stream, and whether there are several pieces."""
-    last = None
-    for k, piece in enumerate(_inflated(raw, limits)):
-        if last is not None:
-            yield last, True
+    """The texts of the pieces of a compressed stream, and whether one was split."""
+    for k, (piece, split) in enumerate(_inflated(raw, limits)):
         start = next((j for j in range(min(4, len(piece))) if piece[j] & 0xC0 != 0x80), 0) if k else 0
-        last = _printable(piece[start:]) or ""
-    if last is not None:
-        yield last, k > 0
+        yield _printable(piece[start:] if start else piece) or "", split
 
 
 def _decoded(body: str) -> bytes:
@@ -169,60 +235,71 @@ def _decoded(body: str) -> bytes:
     return binascii.a2b_base64(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4))
 
 
-def _whole(body: str, at: list[int] | range, end: int, limits: Limits) -> list[tuple] | None:
-    """What a base64 run that starts at its first character decodes to, or None."""
+def _whole(body: str, at: np.ndarray | None, begin: int, end: int, limits: Limits) -> Iterable[tuple] | None:
+    """What a base64 run that starts at its first character decodes to, or None.  ``at``: the places of its characters, if they matter."""
     if len(body) % 4 == 1:
         return None
     raw = _decoded(body)
-    if _STREAM.match(raw) and (texts := list(_streams(raw, limits))):
-        return [("base64+compressed", t, [(at[0], end)] * len(t), cut) for t, cut in texts if t or cut]
+    here = _Same(begin, end)
+    if _STREAM.match(raw):
+        pieces = _streams(raw, limits)
+        if (first := next(pieces, None)) is not None:
+            return (("base64+compressed", t, here, split) for t, split in chain([first], pieces) if t or split)
     text = _printable(raw)
     if text is None:
         return None
-    n = len(body)
-    if text.isascii():
-        ends = lambda k: end if k >= n else at[k - 1] + 1
-        return [("base64", text, [(at[i * 4 // 3], ends((i + 1) * 4 // 3 + 1)) for i in range(len(text))], False)]
-    return [("base64", text, [(at[0], end)] * len(text), False)]
+    if at is not None and text.isascii():
+        k = np.arange(len(text))
+        last = (k + 1) * 4 // 3 + 1
+        ends = np.where(last >= len(body), end, at[np.minimum(last, len(body)) - 1] + 1)
+        return [("base64", text, _Each(at[k * 4 // 3], ends), False)]
+    return [("base64", text, here, False)]
 
 
-def _parts(body: str, at: list[int] | range, limits: Limits):
+def _parts(body: str, at: np.ndarray | None, begin: int, end: int, limits: Limits):
     """The stretches of text and the compressed streams that a run holds at any of the four alignments."""
     for shift in range(4):
-        raw, done = _decoded(body[shift:]), 0
-        place = lambda a, b: (at[shift + a * 4 // 3], at[min(len(body), shift + (b * 4 + 2) // 3) - 1] + 1)  # noqa: B023, E731
+        raw = _decoded(body[shift:])
+        if at is None:
+            for m in _STREAM.finditer(raw):
+                for text, split in _streams(memoryview(raw)[m.start() :], limits):
+                    if text or split:
+                        yield "base64+compressed", text, _Same(begin, end), split
+            for m in _TEXT.finditer(raw):
+                yield "base64", m[0].decode("utf-8", "replace"), _Same(begin, end), False
+            continue
+        first = lambda a: at[shift + a * 4 // 3]  # noqa: B023, E731
+        last = lambda b: at[np.minimum(len(body), shift + (b * 4 + 2) // 3) - 1] + 1  # noqa: B023, E731
         for m in _STREAM.finditer(raw):
-            span = place(m.start(), len(raw))
-            for text, cut in _streams(memoryview(raw)[m.start() :], limits):
-                if text or cut:
-                    yield "base64+compressed", text, [span] * len(text), cut
+            here = _Same(int(first(m.start())), int(last(len(raw))))
+            for text, split in _streams(memoryview(raw)[m.start() :], limits):
+                if text or split:
+                    yield "base64+compressed", text, here, split
         for m in _TEXT.finditer(raw):
-            text, done = m[0].decode("utf-8", "replace"), m.start()
-            places = []
-            for c in text:
-                size = len(c.encode("utf-8"))
-                places.append(place(done, min(m.end(), done + size)))
-                done = min(m.end() - 1, done + size)
-            yield "base64", text, places, False
+            text = m[0].decode("utf-8", "replace")
+            codes = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+            sizes = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000).astype(np.int64)
+            begin = np.minimum(m.end() - 1, m.start() + np.cumsum(sizes) - sizes)
+            yield "base64", text, _Each(first(begin), last(np.minimum(m.end(), begin + sizes))), False
 
 
-def _from_base64(layer: str, limits: Limits):
+def _from_base64(layer: str, limits: Limits, flat: bool):
     """What the base64 runs of a layer decode to, those over several lines first."""
     done: list[tuple[int, int]] = []
     for m in _LINES.finditer(layer):
         lines = list(_LINE.finditer(layer, m.start(), m.end()))
+        where = lambda used: None if flat else np.concatenate([np.arange(*x.span()) for x in used])
         for used in (lines, lines[:-1]) if len(lines) > 2 else (lines,):
-            body, at = "".join(x[0] for x in used), [k for x in used for k in range(x.start(), x.end())]
             end = m.end() if used is lines else used[-1].end()
-            if (found := _whole(body, at, end, limits)) is not None:
+            if (found := _whole("".join(x[0] for x in used), where(used), m.start(), end, limits)) is not None:
                 yield from found
                 done.append((m.start(), end))
                 break
         else:
-            for part in _parts("".join(x[0] for x in lines), [k for x in lines for k in range(x.start(), x.end())], limits):
+            for part in _parts("".join(x[0] for x in lines), where(lines), m.start(), m.end(), limits):
                 yield part
-                if part[2]:
-                    done.append((part[2][0][0], part[2][-1][1]))
+                if part[1]:
+                    done.append(part[2].span(0, len(part[1])))
     done.sort()
     k, reach = 0, 0
     for m in _BASE64.finditer(layer):
@@ -232,23 +309,26 @@ def _from_base64(layer: str, limits: Limits):
         if m.end() <= reach:
             continue
         body = m[0].rstrip("=")
-        at = range(m.start(), m.end())
-        found = _whole(body, at, m.end(), limits)
-        yield from _parts(body, at, limits) if found is None else found
+        at = None if flat else np.arange(m.start(), m.end())
+        found = _whole(body, at, m.start(), m.end(), limits)
+        yield from _parts(body, at, m.start(), m.end(), limits) if found is None else found
 
 
-def _unwrapped(layer: str, limits: Limits):
-    """The encoded parts of a layer: how each was encoded, its content, its places, and whether it is a piece."""
+def _unwrapped(layer: str, limits: Limits, flat: bool = False):
+    """The encoded parts of a layer: how each was encoded, its content, its places, and whether something was split.
+
+    ``flat``: all characters of the layer stand for one range, so only whole places matter.
+    """
     if "%" in layer and _PERCENT.search(layer):
         for run in _RUN.finditer(layer):
             if _PERCENT.search(layer, run.start(), run.end()):
-                yield "url", *_spliced(layer, run.start(), run.end(), _PERCENT, _from_percent), False
+                yield "url", *_spliced(layer, run.start(), run.end(), _PERCENT, _PERCENTS, _from_percent, flat), False
     if "\\" in layer and _ESCAPE.search(layer):
         for run in _RUN.finditer(layer):
             if _ESCAPE.search(layer, run.start(), run.end()):
-                yield "unicode", *_spliced(layer, run.start(), run.end(), _ESCAPE, _from_escapes), False
+                yield "unicode", *_spliced(layer, run.start(), run.end(), _ESCAPE, _ESCAPES, _from_escapes, flat), False
     if b"x" * 16 in layer.encode("utf-8", "surrogatepass").translate(_BASE64_MARKS):
-        yield from _from_base64(layer, limits)
+        yield from _from_base64(layer, limits, flat)
 
 
 def scan(text: str, limits: Limits = Limits()) -> list[dict]:
@@ -257,33 +337,42 @@ def scan(text: str, limits: Limits = Limits()) -> list[dict]:
     found = [{"kind": k, "start": a, "end": b, "value": text[a:b], "layers": ""} for k, a, b in plain]
     known = {(k, a, b) for k, a, b in plain}
     seen = {_met(text, 0, len(text))}
-    work: list[tuple[str, list[tuple[int, int]] | None, str]] = [(text, None, "")]
+    # A frame has the layers still to open and the open one: its parts, where its characters stand in the text, how it came
+    # about.  The pieces of a stream each get a frame of their own, which is done before the next piece is inflated.
+    frames: list[list] = [[[(text, None, "")], None, None, ""]]
     unfinished = False
-    while work:
-        layer, places, path = work.pop()
-        for how, content, own, cut in _unwrapped(layer, limits):
-            unfinished |= cut
-            if not content:
+    while frames:
+        work, parts, places, path = frames[-1]
+        if parts is None:
+            if not work:
+                frames.pop()
                 continue
-            if places is None:
-                mapped = own
-            elif how == "base64+compressed":
-                mapped = [(places[own[0][0]][0], places[own[0][1] - 1][1])] * len(own)
-            else:
-                mapped = [(places[a][0], places[b - 1][1]) for a, b in own]
-            met = _met(content, mapped[0][0], mapped[-1][1])
-            if met in seen:
-                continue
-            seen.add(met)
-            deeper = f"{path}>{how}" if path else how
+            layer, places, path = work.pop()
+            frames[-1][1:] = _unwrapped(layer, limits, isinstance(places, _Same)), places, path
+            continue
+        if (part := next(parts, None)) is None:
+            frames[-1][1] = None
+            continue
+        how, content, own, split = part
+        unfinished |= split
+        if not content:
+            continue
+        mapped = own.within(places)
+        met = _met(content, *mapped.span(0, len(content)))
+        if met in seen:
+            continue
+        seen.add(met)
+        deeper = f"{path}>{how}" if path else how
+        for kind, a, b in direct(content):
+            span = mapped.span(a, b)
+            if (kind, *span) not in known:
+                known.add((kind, *span))
+                found.append({"kind": f"nested-{kind}", "start": span[0], "end": span[1], "value": content[a:b], "layers": deeper})
+        if how == "base64+compressed":
+            frames.append([[(content, mapped, deeper)], None, None, ""])
+        else:
             work.append((content, mapped, deeper))
-            for kind, a, b in direct(content):
-                span = (mapped[a][0], mapped[b - 1][1])
-                if (kind, *span) not in known:
-                    known.add((kind, *span))
-                    found.append(
-                        {"kind": f"nested-{kind}", "start": span[0], "end": span[1], "value": content[a:b], "layers": deeper}
-                    )
+        layer = content = part = None
     if unfinished:
         found.append({"kind": "unfinished", "start": 0, "end": len(text), "value": None, "layers": ""})
     order = [*KINDS, *(f"nested-{k}" for k in KINDS), "unfinished"]

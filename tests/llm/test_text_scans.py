@@ -6,7 +6,10 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 from urllib.parse import quote
 
 from hypothesis import given, settings
@@ -112,17 +115,65 @@ def test_base64_over_lines_and_out_of_step():
 def test_members_and_long_streams_are_read_to_the_end():
     two = gzip.compress(b"nothing here", mtime=0) + gzip.compress(SECRET.encode(), mtime=0)
     assert [x[0] for x in nested(base64.b64encode(two).decode())] == ["nested-assign"]
-    small = secret_scan.Limits(decoded_chars=1000)
+    small = secret_scan.Limits(decoded_chars=1000, longest=4000)
     for k in (0, 400, 985, 995, 4000):
         long = base64.b64encode(gzip.compress(("é" * k + f" {SECRET} " + "zé " * 3000).encode(), mtime=0)).decode()
-        assert [x["kind"] for x in secret_scan.scan(long, small)] == ["nested-assign", "unfinished"]
+        assert [x["kind"] for x in secret_scan.scan(long, small)] == ["nested-assign"] + ["unfinished"] * (k == 4000)
+
+
+def test_pieces_find_what_the_whole_content_shows():
+    """Streams read in pieces of a few hundred bytes, with secrets and encoded blocks at every border."""
+    rng = random.Random(6)
+
+    def word():
+        kind = rng.random()
+        if kind < 0.04:
+            return rng.choice([SECRET, "AKIA" + "Z" * rng.randint(16, 90), "".join(rng.choices("0123456789abcdef", k=rng.randint(24, 200)))])
+        if kind < 0.06:
+            return base64.encodebytes(f"some words and a {SECRET} {rng.random()}".encode()).decode().strip()
+        if kind < 0.08:
+            return quote(f"token={rng.random()}x{'y' * rng.randint(1, 99)}", safe="")
+        return "".join(rng.choices("klmnop é", k=rng.randint(1, 12)))
+
+    found = lambda x: sorted((f["kind"], f["start"], f["end"]) for f in x)
+    for _ in range(25):
+        content = "".join(word() + rng.choice([" ", "\n", "\r\n"]) for _ in range(300))
+        packed = "see " + base64.b64encode(gzip.compress(content.encode(), mtime=0)).decode() + " end"
+        for size in (150, 400, 1000):
+            small = secret_scan.Limits(decoded_chars=size, overlap=size // 4, longest=1 << 20)
+            assert found(secret_scan.scan(packed, small)) == found(secret_scan.scan(packed))
+            raw = base64.b64decode(packed[4:-4])
+            pieces = [t for t, split in secret_scan._streams(raw, small) if not split]
+            plain = lambda t: {(k, t[a:b]) for k, a, b in secret_scan.direct(t)}
+            assert set().union(*map(plain, pieces)) >= plain(content)
+            assert len(pieces) > len(content) // (8 * size)
+
+
+def test_a_long_stream_takes_little_memory():
+    """Eighty megabytes of words and forty of one endless word, inflated from texts of some hundred kilobytes."""
+    code = """
+import base64, resource, sys, zlib
+sys.path.insert(0, sys.argv[1])
+from embertrace.llm import secret_scan
+for part, size in ((b"some plain words and so on " * 4000, 80_000_000), (b"z" * 100_000, 40_000_000)):
+    packer = zlib.compressobj(9)
+    packed = b"".join(packer.compress(part) for _ in range(size // len(part))) + packer.flush()
+    text = base64.b64encode(packed).decode()
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    secret_scan.scan(text)
+    print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) // 1024)
+"""
+    root = str(Path(__file__).resolve().parents[2])
+    out = subprocess.run([sys.executable, "-c", code, root], capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    assert max(map(int, out.stdout.split())) < 400
 
 
 def test_layers_end():
     assert secret_scan.scan("%25" * 50 + "41") == []
     assert [x["kind"] for x in secret_scan.scan("A" * 4000)] == []
     bomb = base64.b64encode(gzip.compress(b"z" * 100_000, mtime=0)).decode()
-    assert [x["kind"] for x in secret_scan.scan(bomb, secret_scan.Limits(decoded_chars=1000))] == ["unfinished"]
+    assert [x["kind"] for x in secret_scan.scan(bomb, secret_scan.Limits(decoded_chars=1000, longest=4000))] == ["unfinished"]
 
 
 def test_secret_spans_of_odd_rows(spark):
