@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 from embertrace import fixed_values as fv
-from embertrace.operators.iforest import DRAW_RANGE, OFFERED_ROWS, PATH_STEPS, SAMPLE_ROWS, average_path, tree_factors
+from embertrace.operators.iforest import DRAW_RANGE, OFFERED_ROWS, PATH_STEPS, SAMPLE_ROWS, tree_factors
 from embertrace.operators.legacy import LEGACY_TREES
 from embertrace.operators.model import GRID, MODEL_NAME
 from embertrace.plans import oracle as o
@@ -21,9 +21,12 @@ def _hex(text: str, first: int, digits: int) -> str:
 def forest_ctes(rows: str, width: int, trees: int, seed: int = fv.SEED) -> str:
     """``splits`` and ``leaves`` of the forest grown on ``rows(alert_id, x)``, with ``x`` a list of ``width`` numbers."""
     wanted = trees * OFFERED_ROWS
+    far = "CASE WHEN n <= 1 THEN 0.0::DOUBLE WHEN n <= 2 THEN 1.0::DOUBLE ELSE 2 * (ln(n - 1) + 0.5772156649015329::DOUBLE) - 2 * (n - 1)::DOUBLE / n END"
     factors = ", ".join(f"({t}, {f}::BIGINT)" for t, f in enumerate(tree_factors(trees, seed)))
     parts = [
-        f"""sized AS MATERIALIZED (SELECT count(*) AS n FROM {rows})""",
+        f"""counted AS (SELECT count(*) AS all_rows, least(count(*), {SAMPLE_ROWS}) AS n FROM {rows})""",
+        f"""sized AS MATERIALIZED (
+  SELECT all_rows AS n, greatest(1, ceil(log2(greatest(n, 2)))) AS height, greatest({far}, 1e-12::DOUBLE) AS far FROM counted)""",
         f"""pool AS MATERIALIZED (
   SELECT alert_id, x, {_hex('h', 1, 7)} AS a, {_hex('h', 8, 7)} AS b, least(n, {wanted}) AS pool_rows, n
   FROM (SELECT alert_id, x, md5(alert_id || ':{seed}') AS h FROM {rows}), sized
@@ -36,9 +39,8 @@ def forest_ctes(rows: str, width: int, trees: int, seed: int = fv.SEED) -> str:
   QUALIFY row_number() OVER (PARTITION BY tree ORDER BY draw, alert_id) <= least({SAMPLE_ROWS}, n))""",
     ]
     ends = lambda f: "[" + ", ".join(f"{f}(x[{i}])" for i in range(1, width + 1)) + "]"
-    far = "CASE WHEN n <= 1 THEN 0.0 WHEN n <= 2 THEN 1.0 ELSE 2 * (ln(n - 1) + 0.5772156649015329::DOUBLE) - 2 * (n - 1)::DOUBLE / n END"
     for d in range(_HEIGHT + 1):
-        grows = "len(can) > 0 AND n > 1" if d < _HEIGHT else "false"
+        grows = f"len(can) > 0 AND n > 1 AND {d} < (SELECT height FROM sized)" if d < _HEIGHT else "false"
         parts += [
             f"""c{d} AS MATERIALIZED (
   SELECT *, list_filter(range(1, {width + 1}), lambda i: hi[i] > lo[i]) AS can, md5('{seed}:' || tree || ':' || node) AS h
@@ -71,7 +73,7 @@ def walk_ctes(rows: str, trees: int, name: str) -> str:
   FROM {name}_at w JOIN splits s ON s.tree = w.tree AND s.node = w.node JOIN {rows} r ON r.alert_id = w.alert_id
 ),
 {name} AS MATERIALIZED (
-  SELECT r.alert_id, r.x, w.total, -pow(2.0::DOUBLE, -w.total / ({trees} * (SELECT CASE n WHEN 1 THEN 1e-12::DOUBLE ELSE {average_path(SAMPLE_ROWS)!r}::DOUBLE END FROM sized))) AS raw
+  SELECT r.alert_id, r.x, w.total, -pow(2.0::DOUBLE, -w.total / ({trees} * (SELECT far FROM sized))) AS raw
   FROM {rows} r JOIN (SELECT a.alert_id, sum(l.path) AS total FROM {name}_at a JOIN leaves l ON l.tree = a.tree AND l.node = a.node GROUP BY a.alert_id) w
     ON w.alert_id = r.alert_id)"""
 
