@@ -22,7 +22,7 @@ from embertrace.operators.coverage import step_report
 from embertrace.session import setting, ship_package
 from embertrace.streaming.detections import new_steps
 
-CELL_SECONDS = 3600
+CELL_SECONDS = 6 * 3600
 _MICROS = 1_000_000
 _STEP_DDL = "link_id string, technique_id string, ability_name string, at bigint"
 _HIT_DDL = "at bigint, score double, percentile double, alert_id string"
