@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,21 +31,50 @@ _FOUND_DDL = (
     "link_id string, technique_id string, ability_name string, host string, at bigint, "
     "n bigint, first_at bigint, best_at bigint, score double, percentile double, alert_id string"
 )
-_FOUND_COLUMNS = [part.split()[0] for part in _FOUND_DDL.split(", ")]
+_columns = lambda ddl: [part.split()[0] for part in ddl.split(", ")]
+_FOUND_COLUMNS = _columns(_FOUND_DDL)
 
 
-def _plain(value: Any) -> Any:
-    return None if pd.isna(value) else value
+def _rows(frame: pd.DataFrame) -> tuple[list[tuple], list[tuple]]:
+    """Steps and hits as rows of the state lists, in plain values."""
+    lists = frame.to_dict("list")
+    plain = lambda name: [None if v != v else v for v in lists[name]]
+    rows = lambda ddl, chosen: [row for row, c in zip(zip(*[plain("micros" if n == "at" else n) for n in _columns(ddl)]), chosen) if c]
+    asked = lists["is_step"]
+    return rows(_STEP_DDL, asked), rows(_HIT_DDL, [not a for a in asked])
 
 
 def _rank(hit: tuple) -> tuple:
-    """Highest score first, then the earliest; as the batch report ranks."""
+    """Highest score first (none that is a number is above NaN), then the earliest; as the batch report ranks."""
     at, score, percentile, alert_id = hit
-    return score, -at, alert_id is not None, alert_id or "", percentile is not None, percentile or 0.0
+    return score is None, score or 0.0, -at, alert_id is not None, alert_id or "", percentile is not None, percentile or 0.0
+
+
+class _RangeBest:
+    """The best of any run of neighbours: for each power of two, the best of so many from each place on."""
+
+    def __init__(self, ranks: np.ndarray):
+        self.levels = [ranks]
+        while (half := 1 << (len(self.levels) - 1)) * 2 <= len(ranks):
+            last = self.levels[-1]
+            self.levels.append(np.maximum(last[:-half], last[half:]))
+
+    def of(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The highest rank in ``first`` to ``end`` (exclusive), each of at least one place."""
+        level = np.frexp((end - first).astype(float))[1] - 1
+        best = np.empty(len(first), np.int64)
+        for k in np.unique(level):
+            here = level == k
+            best[here] = np.maximum(self.levels[k][first[here]], self.levels[k][end[here] - (1 << k)])
+        return best
 
 
 class StepMonitor(StatefulProcessor):
-    """Holds the open steps and the anomalies of one host and cell."""
+    """Holds the open steps and the anomalies of one host and cell.
+
+    A batch sets two timers, however many steps it brings, and a timer closes every step whose window the watermark
+    has passed: the anomalies of a cell are read and put in order once per batch, not once per step.
+    """
 
     def __init__(self, span_seconds: int, cell_seconds: int = CELL_SECONDS):
         self.span = span_seconds * _MICROS
@@ -58,33 +88,30 @@ class StepMonitor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         steps, hits = [], []
         for frame in rows:
-            for r in frame.itertuples(index=False):
-                if r.is_step:
-                    steps.append((_plain(r.link_id), _plain(r.technique_id), _plain(r.ability_name), int(r.micros)))
-                else:
-                    hits.append((int(r.micros), float(r.score), _plain(r.percentile), _plain(r.alert_id)))
+            more_steps, more_hits = _rows(frame)
+            steps += more_steps
+            hits += more_hits
         if hits:
             self.hits.appendList(hits)
         if steps:
             self.steps.appendList(steps)
-        for closes in {self._timer(at + self.span) for *_, at in steps} | {self._last(key)}:
-            self.handle.registerTimer(closes)
+            self.handle.registerTimer(self._closes(steps))
+        self.handle.registerTimer(self._last(key))
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs()
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs())
         steps = [tuple(s) for s in self.steps.get()] if self.steps.exists() else []
-        due = [s for s in steps if self._timer(s[3] + self.span) <= now]
+        due = [s for s in steps if self._closes([s]) <= now]
         if due:
             hits = [tuple(h) for h in self.hits.get()] if self.hits.exists() else []
-            left = [s for s in steps if self._timer(s[3] + self.span) > now]
+            left = [s for s in steps if self._closes([s]) > now]
             if left:
                 self.steps.put(left)
+                self.handle.registerTimer(self._closes(left))
             else:
                 self.steps.clear()
-            yield pd.DataFrame([self._closed(key[0], s, hits) for s in due], columns=_FOUND_COLUMNS).astype(
-                {c: "Int64" for c in ("at", "n", "first_at", "best_at")}
-            )
+            yield self._closed(key[0], due, hits)
         if now >= self._last(key):
             self.steps.clear()
             self.hits.clear()
@@ -96,15 +123,29 @@ class StepMonitor(StatefulProcessor):
         """The first millisecond after an instant."""
         return micros // 1000 + 1
 
+    def _closes(self, steps: list[tuple]) -> int:
+        """When the first of the windows has closed."""
+        return self._timer(min(at for *_, at in steps) + self.span)
+
     def _last(self, key: Any) -> int:
         return self._timer((int(key[1]) + 1) * self.cell + self.span)
 
-    def _closed(self, host: str, step: tuple, hits: list[tuple]) -> tuple:
-        at = step[3]
-        mine = [h for h in hits if at <= h[0] <= at + self.span]
-        best = max(mine, key=_rank, default=(None, None, None, None))
-        first = min((h[0] for h in mine), default=None)
-        return *step[:3], host, at, len(mine), first, *best
+    def _closed(self, host: str, steps: list[tuple], hits: list[tuple]) -> pd.DataFrame:
+        """Each step with the number, the first and the best of the anomalies in its window."""
+        ranked = sorted(hits, key=_rank)
+        times = np.array([h[0] for h in ranked], np.int64)
+        order = np.argsort(times, kind="stable")
+        times = times[order]
+        at = np.array([s[3] for s in steps], np.int64)
+        first, end = np.searchsorted(times, at, "left"), np.searchsorted(times, at + self.span, "right")
+        n, best = end - first, np.full(len(steps), -1)
+        best[n > 0] = _RangeBest(order).of(first[n > 0], end[n > 0])
+        rows = [
+            (*s, int(k), int(times[f]) if k else None, *(ranked[b] if k else (None,) * 4))
+            for s, k, f, b in zip(steps, n, first, best)
+        ]
+        found = pd.DataFrame(rows, columns=[c for c in _FOUND_COLUMNS if c != "host"]).assign(host=host)
+        return found[_FOUND_COLUMNS].astype({c: "Int64" for c in ("at", "n", "first_at", "best_at")})
 
 
 def monitored_steps(

@@ -1,6 +1,9 @@
 import json
+import random
 from datetime import timedelta
+from types import SimpleNamespace
 
+import pandas as pd
 from conftest import EVENT_SCHEMA, event, utc
 from pyspark.sql import functions as F
 
@@ -12,7 +15,7 @@ from embertrace.session import scratch_path
 from embertrace.sources.tables import append
 from embertrace.streaming.bridge import alert_events, bridge_batch, bridge_stream, log_events, run_available, text_stream
 from embertrace.streaming.detections import detection_stream
-from embertrace.streaming.monitor import monitored_steps, stateful
+from embertrace.streaming.monitor import StepMonitor, monitored_steps, stateful
 from embertrace.streaming.notifier import notification_log, notify_batch, notify_stream
 from embertrace.streaming.scoring import score_stream
 
@@ -164,6 +167,61 @@ def test_a_busy_host_lies_in_many_keys(spark):
     assert len(per_key) >= 33 and max(per_key) <= 700 and sum(per_key) >= 20_000
 
 
+class Kept:
+    """A state list in memory that counts how often it is read."""
+
+    def __init__(self):
+        self.rows, self.reads = [], 0
+
+    def exists(self):
+        return bool(self.rows)
+
+    def get(self):
+        self.reads += 1
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+def test_a_crowded_cell_is_read_once_per_batch():
+    """Timers and reads of a cell do not grow with its steps, and its steps get what a plain search finds."""
+    rng = random.Random(5)
+    second = 1_000_000
+    row = lambda step, at, **more: {"is_step": step, "micros": at, "link_id": None, "technique_id": "T1", "ability_name": None, "score": None, "percentile": None, "alert_id": None} | more
+    steps = [row(True, rng.randrange(600) * second, link_id=f"s{n}") for n in range(400)]
+    hits = [row(False, rng.randrange(150, 690) * second, alert_id=f"e{n}", score=rng.choice([0.7, 0.8, 0.9]), percentile=rng.choice([None, 1.0])) for n in range(900)]
+    lists, timers = {}, []
+    monitor = StepMonitor(90, 600)
+    monitor.init(SimpleNamespace(getListState=lambda name, ddl: lists.setdefault(name, Kept()), registerTimer=timers.append))
+    assert list(monitor.handleInputRows(("h", 0), iter([pd.DataFrame(steps + hits)]), None)) == []
+    assert len(timers) == 2
+    found = []
+    for watermark in (300_000, 700_000):
+        expired = sorted({t for t in timers if t <= watermark})
+        timers[:] = [t for t in timers if t > watermark]
+        for t in expired:
+            now = SimpleNamespace(getCurrentWatermarkInMs=lambda: watermark)
+            found += monitor.handleExpiredTimer(("h", 0), now, SimpleNamespace(getExpiryTimeInMs=lambda: t))
+    assert lists["hits"].reads == 2 and not lists["hits"].rows and not lists["steps"].rows
+    assert [f["at"].max() + 90 * second < 300_000_000 for f in found] == [True, False]
+    got = {r["link_id"]: r for f in found for r in f.astype(object).where(f.notna(), None).to_dict("records")}
+    assert len(got) == sum(map(len, found)) == 400
+    for s in steps:
+        mine = [h for h in hits if s["micros"] <= h["micros"] <= s["micros"] + 90 * second]
+        best = max(mine, key=lambda h: (h["score"], -h["micros"], h["alert_id"]), default=row(False, None))
+        r = got[s["link_id"]]
+        assert (r["n"], r["first_at"], r["alert_id"], r["best_at"], r["score"], r["percentile"]) == (
+            len(mine), min((h["micros"] for h in mine), default=None), best["alert_id"], best["micros"], best["score"], best["percentile"]
+        )
+
+
 TRIAGED = "alert_id string, enriched_at timestamp, routing_decision string, combined_confidence double"
 
 
