@@ -4,6 +4,8 @@ Alerts lie in buckets by a hash of their id.  New scores, triage rows and notifi
 that hold their alerts, and only these are read and written again; a commit then names the new folders.  Merging
 keeps the newest of what it meets, so rows that come twice, late or out of order change nothing.  The commit
 keeps high-water marks of the three inputs, from which the next refresh reads on.
+
+A bucket that has much to merge is merged in pieces, so what a task holds does not grow with the table.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from embertrace.session import scratch_path
 from embertrace.sources import manifest
 
 BUCKETS = 64
+#: A task merges about this many rows, old ones and new ones.
+TASK_ROWS = 100_000
 
 
 class AlertState:
@@ -59,7 +63,7 @@ class AlertState:
         delta = self.spark.read.schema(delta.schema).parquet(path)
         at = ("score.ml.scored_at", "triage.enriched_at", "notified_at")
         names = ("ml.scored_at", "enriched_at", "ts")
-        found = delta.agg(F.collect_set("bucket").alias("buckets"), *[F.unix_micros(F.max(c)).alias(n) for c, n in zip(at, names)]).first()
+        found = delta.agg(F.collect_set("bucket").alias("buckets"), F.count(F.lit(1)).alias("rows"), *[F.unix_micros(F.max(c)).alias(n) for c, n in zip(at, names)]).first()
         if not found["buckets"]:
             return head or manifest.commit(self.spark, self.root, None, {}, {}, schema.json())
         marks = dict(head.marks) if head else {}
@@ -69,10 +73,16 @@ class AlertState:
         touched = {str(b) for b in found["buckets"]}
         folders = dict(head.folders) if head else {}
         old = {b: f for b, f in folders.items() if b in touched}
+        rows = found["rows"]
         if old:
-            delta = delta.unionByName(self._packed(self._rows(head, old), schema))
+            before = self._rows(head, old)
+            rows += before.count()
+            delta = delta.unionByName(self._packed(before, schema))
+        pieces = -(-rows // (TASK_ROWS * len(touched)))
+        piece = F.pmod(F.xxhash64("alert_id", F.lit("piece")), F.lit(pieces)).alias("piece")
+        dealt = delta.select("*", piece).repartition(pieces * len(touched), "bucket", "piece")
         folder = manifest.new_folder(self.root)
-        self._merged(delta.repartition("bucket"), schema).write.partitionBy("bucket").parquet(folder)
+        self._merged(dealt, schema).write.partitionBy("bucket").parquet(folder)
         folders |= {b: f"{folder}/bucket={b}" for b in touched}
         return manifest.commit(self.spark, self.root, head, folders, marks, schema.json())
 
@@ -124,7 +134,7 @@ class AlertState:
     def _merged(self, rows: DataFrame, schema: StructType) -> DataFrame:
         triage_fields = schema["triage"].dataType
         latest = newest_order(triage_fields, "enriched_at", "triage.")
-        merged = rows.groupBy("bucket", "alert_id").agg(
+        merged = rows.groupBy("bucket", "piece", "alert_id").agg(
             F.max_by("score", F.when(F.col("score").isNotNull(), F.struct("score.ml.scored_at", "score.run_id"))).alias("score"),
             F.max_by("triage", F.when(F.col("triage").isNotNull(), latest)).alias("triage"),
             F.max("notified_at").alias("notified_at"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from embertrace.operators.alerts import current_alerts
 from embertrace.session import scratch_path
-from embertrace.sources import manifest
+from embertrace.sources import alert_state, manifest
 from embertrace.sources.alert_state import AlertState
 
 SCORE = "alert_id string, host string, run_id string, ml struct<anomaly_score: double, routing_decision: string, scored_at: timestamp>"
@@ -84,6 +84,20 @@ def test_only_touched_buckets_are_written(spark, tables):
     assert rows(state.read().filter(others)) == rows(current_alerts(*frames(spark, tables)).filter(others))
 
 
+def test_a_large_bucket_is_merged_in_pieces(spark, tables, monkeypatch):
+    want = rows(current_alerts(*frames(spark, tables)))
+    monkeypatch.setattr(alert_state, "TASK_ROWS", 10, raising=False)
+    state = AlertState(spark, scratch_path(spark, "state"), 2)
+    for hours in ([2], [0, 1, 4], None):
+        state.apply(*frames(spark, tables, hours))
+    folders = manifest.newest(spark, state.root).folders
+    files = [spark.read.parquet(folder).inputFiles() for folder in folders.values()]
+    assert len(files) == 2 and min(map(len, files)) >= 5
+    parts = state.read().select("alert_id", F.col("_metadata.file_path").alias("file")).groupBy("file").count().collect()
+    assert max(r["count"] for r in parts) <= 30
+    assert rows(state.read()) == want
+
+
 def test_a_writer_that_dies_or_comes_second_changes_nothing(spark, tables, monkeypatch):
     state = AlertState(spark, scratch_path(spark, "state"), 4)
     state.apply(*frames(spark, tables, [0]))
