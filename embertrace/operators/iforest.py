@@ -13,6 +13,8 @@ import json
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -206,30 +208,28 @@ class Forest:
     def walk(self, rows: DataFrame) -> DataFrame:
         """The same as ``score`` in column expressions: no Python worker takes part.
 
-        The slots of all trees lie in one array per attribute.  A row holds its place in each tree, and a step
-        moves all of them down a level.
+        A row holds its place among the slots of the level in one column per tree, and a step moves all of them down
+        a level.  Outside of lambdas these are compiled; a literal holds the slots of one tree and one level.
         """
         trees, slots = self.feature.shape
         height = int(math.log2(slots + 1)) - 1
-        array = lambda values, kind: F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
-        feature = array(self.feature.ravel().tolist(), "int")
+        array = lambda values, kind: F.from_json(F.lit(json.dumps(values.tolist())), f"array<{kind}>")
         # below a leaf any way is as good: both children repeat it
-        threshold = array(np.where(np.isinf(self.threshold), 1e300, self.threshold).ravel().tolist(), "double")
-        path = array(self.path.ravel().tolist(), "double")
-        x = F.array(*[F.col(c).cast("double") for c in self.columns])
+        threshold = np.where(np.isinf(self.threshold), 1e300, self.threshold)
+        at = lambda tree: F.col(f"_at{tree}")
 
-        def down(place: Column, tree: Column) -> Column:
-            slot = tree * F.lit(slots) + place
-            right = F.get(F.col("_x"), F.get(feature, slot)) > F.get(threshold, slot)
-            return place * 2 + 1 + right.cast("int")
+        def down(tree: int, level: slice) -> Column:
+            x = F.get(F.col("_x"), F.get(array(self.feature[tree, level], "int"), at(tree)))
+            return at(tree) * 2 + (x > F.get(array(threshold[tree, level], "double"), at(tree))).cast("int")
 
-        walked = rows.withColumns({"_x": x, "_at": F.array_repeat(F.lit(0), trees)})
-        for _ in range(height):
-            walked = walked.withColumn("_at", F.transform("_at", down))
-        ends = F.transform("_at", lambda place, tree: F.get(path, tree * F.lit(slots) + place))
-        total = F.aggregate(ends, F.lit(0.0), lambda a, b: a + b)
+        x = F.array(*[F.col(c).cast("double") for c in self.columns])
+        walked = rows.select("*", x.alias("_x"), *[F.lit(0).alias(f"_at{tree}") for tree in range(trees)])
+        for depth in range(height):
+            level = slice((1 << depth) - 1, (2 << depth) - 1)
+            walked = walked.select(*rows.columns, "_x", *[down(tree, level).alias(f"_at{tree}") for tree in range(trees)])
+        ends = [F.get(array(self.path[tree, (1 << height) - 1 :], "double"), at(tree)) for tree in range(trees)]
         scale = trees * max(average_path(self.sample_size), 1e-12)
-        return walked.withColumn("raw", -F.pow(F.lit(2.0), -total / F.lit(scale))).drop("_x", "_at")
+        return walked.select(*rows.columns, (-F.pow(F.lit(2.0), -reduce(add, ends, F.lit(0.0)) / F.lit(scale))).alias("raw"))
 
 
 def one_row(spark: SparkSession, schema: str, **values) -> DataFrame:

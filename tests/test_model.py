@@ -123,6 +123,14 @@ def test_native_walk_scores_the_same(cloud):
     assert max(abs(got[k] - want[k]) for k in want) < 1e-12
 
 
+def test_native_walk_is_compiled(cloud):
+    """Expressions inside lambdas are interpreted for each row, tree and level."""
+    columns = ["x0", "x1", "x2"]
+    slots, size = iforest.fit_trees(cloud, columns, "alert_id", 30_005, trees=20, seed=3)
+    plan = iforest.Forest.of(slots, columns, size).walk(cloud)._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "from_json" not in plan
+
+
 def test_tree_paths_by_walking():
     """The fixed-length walk ends on the depth of an explicit walk through the splits."""
     random = np.random.default_rng(3)
