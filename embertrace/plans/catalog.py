@@ -654,6 +654,16 @@ def normalise_events(spark, sf_dir):
     )
 
 
+#: A task writes about this many lines.
+_LINES_A_TASK = 250_000
+
+
+def _write_by_day(lines: DataFrame, n: int, folder: str) -> None:
+    """Write ``n`` numbered lines in a folder per day; what a task sorts does not grow with them, nor with one day's."""
+    tasks = max(2, -(-n // _LINES_A_TASK))
+    lines.repartition(tasks, "line_no").drop("line_no").write.partitionBy("day").text(folder)
+
+
 @query
 def reingest_ids(spark, sf_dir):
     """Raw lines in files by weekday, taken in twice: first four of the files, then all, split in another way.
@@ -663,9 +673,9 @@ def reingest_ids(spark, sf_dir):
     day = F.concat(F.lit("day"), F.dayofweek("ts").cast("string"))
     lines = _windows_lines(spark, sf_dir).join(t.base_events(spark, sf_dir).select(F.col("event_id").alias("line_no"), day.alias("day")), "line_no")
     # equal lines too: every line is written twice
-    twice = lines.select("day", F.explode(F.array("line", "line")).alias("value"))
+    twice = lines.select("day", "line_no", F.explode(F.array("line", "line")).alias("value"))
     folder = scratch_path(spark, "raw-lines")
-    twice.repartition(2, "day").write.partitionBy("day").text(folder)
+    _write_by_day(twice, 2 * t.table(spark, sf_dir, "events").count(), folder)
     ids = lambda *paths: cut(
         normalise.windows_events(archives.json_lines(spark, *paths)).select("alert_id")
     )

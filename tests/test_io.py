@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from embertrace import schemas
 from embertrace.operators import ledger, metrics, normalise
+from embertrace.plans import catalog
 from embertrace.session import scratch_path, setting
 from embertrace.sources import archives, scans, tables
 
@@ -262,3 +263,13 @@ def test_run_rows(spark):
     wide = spark.createDataFrame([(1, 0.5)], "events int, rate double")
     rows = ledger.metric_rows(F.lit("r"), "metric", wide).collect()
     assert [tuple(r) for r in rows] == [("r", "metric", "events", "1"), ("r", "metric", "rate", "0.5")]
+
+
+def test_lines_of_one_day_are_written_by_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "_LINES_A_TASK", 100)
+    lines = spark.range(2000).select(F.lit("day1").alias("day"), F.col("id").alias("line_no"), F.col("id").cast("string").alias("value"))
+    folder = scratch_path(spark, "lines")
+    catalog._write_by_day(lines, 2000, folder)
+    written = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
+    assert {r["value"] for r in written.collect()} == {str(n) for n in range(2000)}
+    assert max(r["count"] for r in written.groupBy("file").count().collect()) <= 200
