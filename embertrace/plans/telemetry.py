@@ -14,7 +14,7 @@ from embertrace.functions.scoring import score_route
 from embertrace.functions.text import lookup
 from embertrace.operators.features import command_indicators
 from embertrace.operators.triage import confidence_columns
-from embertrace.session import cut, spread
+from embertrace.session import cut, even, spread
 
 CATEGORY_OF_TYPE = {
     "signup": "authentication",
@@ -49,7 +49,7 @@ def from_events(events: DataFrame) -> DataFrame:
 
 
 def base_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_events(table(spark, sf_dir, "events"))
+    return from_events(even(table(spark, sf_dir, "events")))
 
 
 def _event_columns(text: Column | None = None) -> list[Column]:

@@ -85,6 +85,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Costly work on a row is dealt out in tasks of about this many rows.
+TASK_ROWS = 100_000
+
+
+def even(table: DataFrame) -> DataFrame:
+    """The rows of a stored table in tasks of about ``TASK_ROWS``, if its files come in larger parts.
+
+    A scan is cut by bytes, and columns that pack well leave a few tasks with most of the rows.
+    """
+    rows = table.count()
+    return table.repartition(-(-rows // TASK_ROWS)) if rows > TASK_ROWS * table.rdd.getNumPartitions() else table
+
+
 def ship_package(spark: SparkSession) -> None:
     """Hand this package to the Python workers, once per Spark context."""
     context = spark.sparkContext

@@ -6,9 +6,9 @@ import pytest
 from conftest import utc
 from pyspark.sql import functions as F
 
-from embertrace import schemas
+from embertrace import schemas, session
 from embertrace.operators import ledger, metrics, normalise
-from embertrace.plans import catalog
+from embertrace.plans import catalog, telemetry
 from embertrace.session import scratch_path, setting
 from embertrace.sources import archives, scans, tables
 
@@ -273,3 +273,18 @@ def test_lines_of_one_day_are_written_by_many_tasks(spark, monkeypatch):
     written = spark.read.text(folder).select("value", F.col("_metadata.file_path").alias("file"))
     assert {r["value"] for r in written.collect()} == {str(n) for n in range(2000)}
     assert max(r["count"] for r in written.groupBy("file").count().collect()) <= 200
+
+
+def test_events_of_one_file_go_to_many_tasks(spark, monkeypatch):
+    """A scan is cut by bytes: a thousand events in a few kilobytes would be one task."""
+    monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
+    folder = scratch_path(spark, "tables")
+    rows = spark.range(1000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), F.col("id").alias("user_id"),
+        F.lit("view").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"),
+    )
+    rows.coalesce(1).write.parquet(f"{folder}/events.parquet")
+    events = telemetry.base_events(spark, folder)
+    sizes = events.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(r["count"] for r in sizes) == events.select("event_id").distinct().count() == 1000
+    assert len(sizes) == 10 and max(r["count"] for r in sizes) <= 110
