@@ -589,7 +589,7 @@ def basename_urls(spark, sf_dir):
     return t.table(spark, sf_dir, "pages").select("page_id", base_name(F.col("url")).alias("base"))
 
 
-def _windows_lines(spark, sf_dir) -> DataFrame:
+def _windows_lines_of(base: DataFrame, *more: Column) -> DataFrame:
     """Raw Windows events of every shape the normaliser knows, made of the events."""
     k = F.col("k")
     user = F.concat(F.lit("u"), F.col("user_id").cast("string"))
@@ -621,12 +621,16 @@ def _windows_lines(spark, sf_dir) -> DataFrame:
     )
     whole = F.to_json(raw)
     line = F.when(k % 20 == 19, F.concat(F.lit("{bad "), whole)).when(k % 20 == 18, F.lit("  ")).otherwise(whole)
-    return t.from_events(spread(t.table(spark, sf_dir, "events"))).select(
+    return base.select(
         F.lit("raw").alias("source_dataset"), F.lit("events").alias("member"), F.col("event_id").alias("line_no"),
-        line.alias("line"),
+        line.alias("line"), *more,
     )
 
 
+def _windows_lines(spark, sf_dir) -> DataFrame:
+    return _windows_lines_of(t.from_events(spread(t.table(spark, sf_dir, "events"))))
+
+
 def _flat_events(events: DataFrame, *more: Column) -> DataFrame:
     return events.select(
         "alert_id",
@@ -658,10 +662,13 @@ def normalise_events(spark, sf_dir):
 _LINES_A_TASK = 250_000
 
 
-def _write_by_day(lines: DataFrame, n: int, folder: str) -> None:
-    """Write ``n`` numbered lines in a folder per day; what a task sorts does not grow with them, nor with one day's."""
+def _write_by_day(rows: DataFrame, n: int, folder: str, lines: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
+    """Write the ``n`` ``lines`` of ``rows`` in a folder per day; what a task sorts does not grow with them, nor with one day's.
+
+    Rows are dealt out before lines are made of them, which are much longer.
+    """
     tasks = max(2, -(-n // _LINES_A_TASK))
-    lines.repartition(tasks, "line_no").drop("line_no").write.partitionBy("day").text(folder)
+    lines(rows.repartition(tasks)).select("day", "value").write.partitionBy("day").text(folder)
 
 
 @query
@@ -671,11 +678,11 @@ def reingest_ids(spark, sf_dir):
     Lines that are events, their distinct ids, and ids that both times gave.
     """
     day = F.concat(F.lit("day"), F.dayofweek("ts").cast("string"))
-    lines = _windows_lines(spark, sf_dir).join(t.base_events(spark, sf_dir).select(F.col("event_id").alias("line_no"), day.alias("day")), "line_no")
+    events = t.table(spark, sf_dir, "events")
     # equal lines too: every line is written twice
-    twice = lines.select("day", "line_no", F.explode(F.array("line", "line")).alias("value"))
+    twice = lambda rows: _windows_lines_of(t.from_events(rows), day.alias("day")).select("day", F.explode(F.array("line", "line")).alias("value"))
     folder = scratch_path(spark, "raw-lines")
-    _write_by_day(twice, 2 * t.table(spark, sf_dir, "events").count(), folder)
+    _write_by_day(events, 2 * events.count(), folder, twice)
     ids = lambda *paths: cut(
         normalise.windows_events(archives.json_lines(spark, *paths)).select("alert_id")
     )

@@ -19,13 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from embertrace.operators.skew import table_size
+from embertrace.operators.skew import TableSize
 from embertrace.session import ship_package
 
 _BATCH = 10_000
 _SCHEMA = "source_dataset string, member string, line_no bigint, line string"
 _MEMBER = "path string, member string, at bigint, method int, flags int, crc bigint, packed bigint, size bigint"
-#: A task reads members of about this many packed bytes, or one larger member.
+#: A task reads members of about this many packed bytes, or one larger member; or splits of text files of about as many bytes.
 TASK_BYTES = 32 << 20
 MOST_TASKS = 20_000
 
@@ -179,19 +179,33 @@ def _bytes_before(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> It
         yield pd.Series(place)
 
 
-def offset_lines(spark: SparkSession, *paths: str) -> DataFrame:
-    """``path, at, line``: the lines of text files, large ones split between tasks, with the byte each starts at.
+def _few_tasks(lines: DataFrame, splits: int) -> DataFrame:
+    """The lines of a scan with several small splits to a task, as a task takes longer to start than to read some kilobytes.
 
-    A first scan sums the bytes of each split; what a file's earlier splits hold, and the running sum inside a split,
-    give the place of a line whatever the splits are.
+    The splits are the same, and so is the order of the lines in each.
     """
+    spark = lines.sparkSession
+    most = splits * spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    tasks = max(-(-most // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    return lines.coalesce(tasks) if tasks < splits else lines
+
+
+def _placed_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path, name, at, line``: :func:`offset_lines` with the names of the files, found once per split."""
+    ship_package(spark)
     file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
     size = F.octet_length("value") + 1
     lines = spark.read.option("lineSep", "\n").text(list(paths)).select("value", file.alias("path"), block.alias("block"), size.cast("bigint").alias("size"))
+    files, parts = lines.inputFiles(), lines.rdd.getNumPartitions()
+    # a part is one split of the full size, or ends of files and small files
+    splits = parts + len(files)
+    width = 32 + max((len(p) + len(posixpath.basename(p)) for p in files), default=0)
+    lines = _few_tasks(lines, parts)
     per_split = lines.groupBy("path", "block").agg(F.sum("size").alias("bytes"))
     earlier = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_split.select("path", "block", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
-    if table_size(starts).may_broadcast():
+    starts = per_split.select("path", "block", _name(F.col("path")).alias("name"), F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("start"))
+    # bounded, not measured, which would take one more scan
+    if TableSize(splits, splits * width).may_broadcast():
         starts = F.broadcast(starts)
     # the running sum must see every line, so no filter may move below it
     running = F.pandas_udf(_bytes_before, LongType()).asNondeterministic()
@@ -199,7 +213,16 @@ def offset_lines(spark: SparkSession, *paths: str) -> DataFrame:
     placed = lines.withColumn("inside", inside).join(starts, ["path", "block"], "left")
     changed = F.raise_error(F.lit("files were split in another way in the second scan"))
     at = F.when(F.col("start").isNull(), changed.cast("bigint")).otherwise(F.col("start") + F.col("inside"))
-    return placed.select("path", at.alias("at"), F.col("value").alias("line"))
+    return placed.select("path", "name", at.alias("at"), F.col("value").alias("line"))
+
+
+def offset_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """``path, at, line``: the lines of text files, large ones split between tasks, with the byte each starts at.
+
+    A first scan sums the bytes of each split; what a file's earlier splits hold, and the running sum inside a split,
+    give the place of a line whatever the splits are.
+    """
+    return _placed_lines(spark, *paths).select("path", "at", "line")
 
 
 def _name(path: Column) -> Column:
@@ -209,8 +232,8 @@ def _name(path: Column) -> Column:
 def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of unpacked JSON files; large files are split between tasks.  ``line_no`` is the byte a line starts at."""
     return (
-        offset_lines(spark, *paths)
-        .select(_name(F.col("path")).alias("source_dataset"), F.col("path").alias("member"), F.col("at").alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
+        _placed_lines(spark, *paths)
+        .select(F.col("name").alias("source_dataset"), F.col("path").alias("member"), F.col("at").alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
         .filter(F.trim("line") != "")
     )
 

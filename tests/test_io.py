@@ -109,6 +109,21 @@ def test_lines_keep_their_place_however_files_are_split(spark, tmp_path):
     assert alone < read("a")
 
 
+def test_small_splits_share_tasks(spark, tmp_path):
+    """A hundred splits are read by as many tasks as their bytes ask for, and not before rows are asked for."""
+    (tmp_path / "a.json").write_text("".join(f'{{"EventID": {n}}}\n' * (1 + n % 2) for n in range(40_000)))
+    plain = archives.json_lines(spark, str(tmp_path)).select("line_no", "line")
+    with setting(spark, "spark.sql.files.maxPartitionBytes", "10000"):
+        splits = spark.read.text(str(tmp_path)).select(F.col("_metadata.file_block_start")).distinct().count()
+        spark.sparkContext.setJobGroup("lines", "lines")
+        lines = archives.json_lines(spark, str(tmp_path))
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lines")
+        spark.sparkContext.setJobGroup("rows", "rows")
+        assert splits >= 100 and lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+        assert lines.count() == 60_000 and lines.select("line_no", "line").exceptAll(plain).isEmpty()
+    assert plain.count() == 60_000
+
+
 def test_unpacked_lines(spark, tmp_path):
     (tmp_path / "rec.json").write_text('{"EventID": 1}\n\n{"EventID": 1}\n')
     events = normalise.windows_events(archives.json_lines(spark, str(tmp_path / "rec.json")))
@@ -275,6 +290,20 @@ def test_lines_of_one_day_are_written_by_many_tasks(spark, monkeypatch):
     assert max(r["count"] for r in written.groupBy("file").count().collect()) <= 200
 
 
+def test_lines_of_events_without_an_id_of_their_own_are_taken_in(spark):
+    """Ten events of which three share an id and one has none: each is two lines, a bad one (k of 19) no event."""
+    folder = scratch_path(spark, "tables")
+    ids = F.when(F.col("id") < 9, F.when(F.col("id") < 3, F.lit(0)).otherwise(F.col("id")))
+    rows = spark.range(10).select(
+        ids.alias("event_id"), (F.col("id") * F.expr("interval 1 day") + F.lit("2024-01-07 00:00:00").cast("timestamp_ntz")).alias("ts"),
+        F.col("id").alias("user_id"), F.lit("view").alias("event_type"), F.lit(1.0).alias("value"),
+        F.format_string('{"k": %d}', F.when(F.col("id") == 5, 19).otherwise(F.col("id"))).alias("props"),
+    )
+    rows.write.parquet(f"{folder}/events.parquet")
+    # the days are Sunday to Saturday, then Sunday to Tuesday; Monday to Thursday are taken in twice
+    assert tuple(catalog.QUERIES["reingest_ids"](spark, folder).first()) == (18, 18, 12)
+
+
 def test_events_of_one_file_go_to_many_tasks(spark, monkeypatch):
     """A scan is cut by bytes: a thousand events in a few kilobytes would be one task."""
     monkeypatch.setattr(session, "TASK_ROWS", 100, raising=False)
