@@ -658,7 +658,7 @@ def normalise_events(spark, sf_dir):
     )
 
 
-#: A task writes about this many lines.
+#: A task writes about this many lines, or joins the ids of as many.
 _LINES_A_TASK = 250_000
 
 
@@ -682,14 +682,17 @@ def reingest_ids(spark, sf_dir):
     # equal lines too: every line is written twice
     twice = lambda rows: _windows_lines_of(t.from_events(rows), day.alias("day")).select("day", F.explode(F.array("line", "line")).alias("value"))
     folder = scratch_path(spark, "raw-lines")
-    _write_by_day(events, 2 * events.count(), folder, twice)
+    n = 2 * events.count()
+    _write_by_day(events, n, folder, twice)
+    # an id is a hash in hexadecimal digits; its bytes take half of them
     ids = lambda *paths: cut(
-        normalise.windows_events(archives.json_lines(spark, *paths)).select("alert_id")
+        normalise.windows_events(archives.json_lines(spark, *paths)).select(F.unhex("alert_id").alias("alert_id"))
     )
+    by_id = (max(spark.sparkContext.defaultParallelism, -(-n // _LINES_A_TASK)), "alert_id")
     first = ids(*[f"{folder}/day=day{n}" for n in range(2, 6)])
     with setting(spark, "spark.sql.files.maxPartitionBytes", "200000"):
         again = ids(f"{folder}/day=*")
-    return again.join(first.select("alert_id", F.lit(1).alias("was")), "alert_id", "left").agg(
+    return again.repartition(*by_id).join(first.select("alert_id", F.lit(1).alias("was")).repartition(*by_id), "alert_id", "left").agg(
         F.count(F.lit(1)).alias("lines"), F.count_distinct("alert_id").alias("ids"), F.count("was").alias("both")
     )
 

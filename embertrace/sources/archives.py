@@ -231,9 +231,11 @@ def _name(path: Column) -> Column:
 
 def json_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """Lines of unpacked JSON files; large files are split between tasks.  ``line_no`` is the byte a line starts at."""
+    # trimming other characters than blanks walks through the whole text
+    line = F.when(F.endswith("line", F.lit("\r")), F.rtrim("line", F.lit("\r"))).otherwise(F.col("line"))
     return (
         _placed_lines(spark, *paths)
-        .select(F.col("name").alias("source_dataset"), F.col("path").alias("member"), F.col("at").alias("line_no"), F.rtrim("line", F.lit("\r")).alias("line"))
+        .select(F.col("name").alias("source_dataset"), F.col("path").alias("member"), F.col("at").alias("line_no"), line.alias("line"))
         .filter(F.trim("line") != "")
     )
 
