@@ -665,10 +665,11 @@ _LINES_A_TASK = 250_000
 def _write_by_day(rows: DataFrame, n: int, folder: str, lines: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> None:
     """Write the ``n`` ``lines`` of ``rows`` in a folder per day; what a task sorts does not grow with them, nor with one day's.
 
-    Rows are dealt out before lines are made of them, which are much longer.
+    Rows are dealt out before lines are made of them, which are much longer; by all of their columns, as without any a
+    task sorts what it has read first.
     """
     tasks = max(2, -(-n // _LINES_A_TASK))
-    lines(rows.repartition(tasks)).select("day", "value").write.partitionBy("day").text(folder)
+    lines(rows.repartition(tasks, *rows.columns)).select("day", "value").write.partitionBy("day").text(folder)
 
 
 @query
